@@ -1,0 +1,7 @@
+"""Every operator as a query over the given tables."""
+
+from askahead.catalog import labelling  # noqa: F401
+from askahead.catalog.base import QUERIES
+from askahead.catalog.base import SQL as ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
