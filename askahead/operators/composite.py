@@ -41,8 +41,11 @@ def composite_with_labels(
     return composite_probs(predictions, kinds).join(wanted, ["subject_id", "prediction_time"])
 
 
-def composite_auroc(joined: DataFrame, label: str = "boolean_value") -> DataFrame:
-    """AUROC of every ``prob_`` column against the label; NaN where a class is missing."""
+def composite_auroc(joined: DataFrame, label: str = "boolean_value", digits: int = 12) -> DataFrame:
+    """AUROC of every ``prob_`` column against the label; NaN where a class is missing.
+
+    Risks are rounded to ``digits``, so that equal ones tie in whatever order they were combined.
+    """
     probs = [c for c in joined.columns if c.startswith("prob_")]
-    long = joined.unpivot([label], probs, "measure", "score")
+    long = joined.unpivot([label], probs, "measure", "score").withColumn("score", F.round("score", digits))
     return auroc(long, "score", label, ["measure"]).withColumn("auroc", nan_when_undefined())
