@@ -11,7 +11,7 @@ from askahead.operators.context import candidates_with_record_end, censor_flag
 from askahead.operators.sampling import sample_per_subject
 from askahead.plans.labels import label_table
 from askahead.session import configure
-from askahead.sources.tables import code_vocab, event_view, scan_events
+from askahead.sources.tables import code_vocab, event_view
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,7 +48,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as subjects, order priorities as codes."""
-    return scan_events(event_view(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderpriority"))
+    return event_view(table(spark, sf_dir, "orders"), "o_custkey", "o_orderdate", "o_orderpriority")
 
 
 def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as subjects, parts as codes: long records and a large vocabulary."""
     rows = table(spark, sf_dir, "lineitem").withColumn("code", F.concat(F.lit("PART//"), F.col("l_partkey").cast("string")))
-    return scan_events(event_view(rows, "l_suppkey", "l_shipdate", "code"))
+    return event_view(rows, "l_suppkey", "l_shipdate", "code")
 
 
 def part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,8 +69,7 @@ def part_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_labels(spark: SparkSession, sf_dir: str, durations: list[int] | None = None) -> DataFrame:
-    log = orders_log(spark, sf_dir)
-    return label_table(log, log.select("code"), durations or [DAYS_ORDERS], MIN_ORDERS)
+    return label_table(orders_log(spark, sf_dir), None, durations or [DAYS_ORDERS], MIN_ORDERS)
 
 
 def order_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +97,7 @@ def click_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def click_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = scan_events(clicks(spark, sf_dir))
-    return label_table(log, log.select("code"), [DAYS_CLICKS], MIN_CLICKS)
+    return label_table(clicks(spark, sf_dir), None, [DAYS_CLICKS], MIN_CLICKS)
 
 
 def _score(*weights: int) -> F.Column:

@@ -22,7 +22,7 @@ from askahead.functions import code_slug, list_fingerprint
 from askahead.operators import codesets
 from askahead.operators.sequences import encode_codes
 from askahead.sources.sinks import codes_fingerprint
-from askahead.sources.tables import code_vocab
+from askahead.sources.tables import code_vocab, scan_events
 
 N, SEED, REPEATS = 500, 42, 5
 
@@ -84,7 +84,7 @@ def _counts(spark, sf):
 )
 def _code_list(spark, sf):
     spec = codesets.code_list(spark, {"id": ["1-URGENT", "2-HIGH", "1-URGENT"], "ood": ["5-LOW"]})
-    seen = orders_log(spark, sf).groupBy("code").agg(F.count("*").alias("n_events"))
+    seen = scan_events(orders_log(spark, sf)).groupBy("code").agg(F.count("*").alias("n_events"))
     return spec.join(seen, "code")
 
 
@@ -155,7 +155,7 @@ _LISTS = [_values("idc", ID_CODES), _values("oodc", OOD_CODES), _values("manc",
 )
 def _concat(spark, sf):
     lists = [codesets.code_list(spark, c) for c in (ID_CODES, OOD_CODES, MANUAL_CODES + OOD_CODES)]
-    seen = orders_log(spark, sf).groupBy("code").agg(F.count("*").alias("n_events"))
+    seen = scan_events(orders_log(spark, sf)).groupBy("code").agg(F.count("*").alias("n_events"))
     return codesets.concat_code_lists(*lists).join(seen, "code")
 
 

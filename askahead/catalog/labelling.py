@@ -60,7 +60,7 @@ def _distinct(spark, sf):
 
 @query("code_filter", log_sql(E, select="SELECT subject_id, time FROM e WHERE code = '2-HIGH'"))
 def _code_filter(spark, sf):
-    return orders_log(spark, sf).where(F.col("code") == "2-HIGH").drop("code")
+    return scan_events(orders_log(spark, sf)).where(F.col("code") == "2-HIGH").drop("code")
 
 
 _CONTEXT = cand(MIN_ORDERS, DAYS_ORDERS)
@@ -79,7 +79,7 @@ def _context(spark, sf):
 def _min_context(spark, sf):
     log = orders_log(spark, sf)
     kept = context.candidate_times(log, MIN_ORDERS).withColumnRenamed("prediction_time", "time")
-    return log.join(kept, ["subject_id", "time"], "left_semi").select("subject_id", "time", "code")
+    return scan_events(log).join(kept, ["subject_id", "time"], "left_semi")
 
 
 @query("candidate_times", log_sql(ORDERS, select=f"SELECT {KEY} FROM cand"))
@@ -142,7 +142,7 @@ def _ts_arith(spark, sf):
             "WHERE time > prediction_time AND time < prediction_time + INTERVAL 90 DAY"),
 )
 def _open_interval(spark, sf):
-    near = order_index(spark, sf).drop("censored").join(orders_log(spark, sf), "subject_id")
+    near = order_index(spark, sf).drop("censored").join(scan_events(orders_log(spark, sf)), "subject_id")
     return near.where(labels.inside_open_interval("time", "prediction_time", DAYS_ORDERS))
 
 
@@ -156,7 +156,7 @@ _HITS = log_sql(ORDER_LABELS, select=f"SELECT {KEY}, query FROM labels WHERE occ
 @query("occurrence_range_join", _HITS)
 def _range_join(spark, sf):
     log = orders_log(spark, sf)
-    return zones.occurrences(_uncensored(spark, sf), log, DAYS_ORDERS, log.select("code"))
+    return zones.occurrences(_uncensored(spark, sf), log, DAYS_ORDERS, None)
 
 
 @query(
@@ -171,7 +171,7 @@ def _any(spark, sf):
 @query("dense_label_join", log_sql(ORDER_LABELS, select=f"SELECT {KEY}, query, occurs FROM labels WHERE NOT censored"))
 def _dense(spark, sf):
     log = orders_log(spark, sf)
-    return labels.dense_labels(order_candidates(spark, sf), log, log.select("code"), DAYS_ORDERS)
+    return labels.dense_labels(order_candidates(spark, sf), log, None, DAYS_ORDERS)
 
 
 @query(
@@ -202,7 +202,7 @@ def _union_labels(spark, sf):
         .withColumn("query", F.explode(codes_array(log.select("code"))))
         .select("subject_id", "prediction_time", "query", F.lit(None).cast("boolean").alias("occurs"))
     )
-    return labels.union_labels(gone, labels.dense_labels(rows, log, log.select("code"), DAYS_ORDERS))
+    return labels.union_labels(gone, labels.dense_labels(rows, log, None, DAYS_ORDERS))
 
 
 @query("label_table", log_sql(ORDER_LABELS, select="SELECT * FROM labels"))
@@ -212,8 +212,7 @@ def _label_table(spark, sf):
 
 @query("label_table_clicks", log_sql(CLICK_LABELS, select="SELECT * FROM labels"))
 def _label_table_clicks(spark, sf):
-    log = scan_events(clicks(spark, sf))
-    return label_table(log, log.select("code"), [DAYS_CLICKS], MIN_CLICKS)
+    return label_table(clicks(spark, sf), None, [DAYS_CLICKS], MIN_CLICKS)
 
 
 @query(
@@ -392,7 +391,7 @@ def _floyd(log: str, min_context: int, k: int, seed: int) -> str:
         JOIN vocab ON vocab.ci = (cell // 336) % (SELECT count(*) FROM codes))"""
 
 
-_GRID_SAMPLE = """ SELECT subject_id, prediction_time, query, duration_days, record_end_time FROM g"""
+_GRID_SAMPLE = """ SELECT subject_id, prediction_time, query, duration_days FROM g"""
 _GRID_TRAIN = """, nxt AS (SELECT g.*, (SELECT min(e.time) FROM e WHERE e.subject_id = g.subject_id AND e.code = g.query
     AND e.time > g.prediction_time) AS next_time FROM g)
     SELECT subject_id, prediction_time, query, duration_days,
@@ -404,18 +403,16 @@ _GRID_TRAIN = """, nxt AS (SELECT g.*, (SELECT min(e.time) FROM e WHERE e.subjec
 @query("sample_grid_at_scale", _floyd(E, MIN_ORDERS, 20, 9) + _GRID_SAMPLE)
 def _sample_grid(spark, sf):
     log = orders_log(spark, sf)
-    return sampling.sample_grid(
-        context.candidates_with_record_end(log, MIN_ORDERS), log.select("code"), range(30, 366), 20, 9
-    )
+    return sampling.sample_grid(context.candidate_times(log, MIN_ORDERS), log.select("code"), range(30, 366), 20, 9)
 
 
 @query("collate_sampled", _floyd(E, MIN_ORDERS, 20, 1) + _GRID_TRAIN)
 def _training(spark, sf):
     log = orders_log(spark, sf)
-    return training_table(log, log.select("code"), range(30, 366), 20, 1, MIN_ORDERS)
+    return training_table(log, None, range(30, 366), 20, 1, MIN_ORDERS)
 
 
 @query("collate_sampled_parts", _floyd(L, 50, 20, 1) + _GRID_TRAIN)
 def _training_parts(spark, sf):
     log = shipments(spark, sf)
-    return training_table(log, log.select("code"), range(30, 366), 20, 1, 50)
+    return training_table(log, None, range(30, 366), 20, 1, 50)

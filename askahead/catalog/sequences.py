@@ -9,6 +9,7 @@ from askahead.catalog.base import (
     CLICK_LABELS,
     CODES,
     INDEX,
+    MIN_CLICKS,
     ORDER_LABELS,
     TIME_KEY,
     V,
@@ -29,6 +30,7 @@ from askahead.catalog.base import (
 )
 from askahead.functions import from_micros, interval_days, micros, years
 from askahead.operators import quality, sequences
+from askahead.operators.context import candidate_times
 from askahead.operators.labels import to_training_rows
 from askahead.operators.sampling import sample_per_subject
 from askahead.plans.model_input import model_input
@@ -141,7 +143,7 @@ _CLICK_SEQ = [V, VE, CODES, cand(20, 3), _CLICK_IDX, _TOKENS]
 
 
 def _click_index(spark, sf) -> DataFrame:
-    times = click_labels(spark, sf).select("subject_id", "prediction_time").distinct()
+    times = candidate_times(clicks(spark, sf), MIN_CLICKS)
     return sample_per_subject(times, ["subject_id", "prediction_time"], 2, 3)
 
 
@@ -198,7 +200,7 @@ _ORDER_HIST = f"""vocab AS (SELECT code, row_number() OVER (ORDER BY code)::INTE
 
 
 def _order_history(spark, sf) -> DataFrame:
-    log = orders_log(spark, sf)
+    log = scan_events(orders_log(spark, sf))
     return sequences.history_sequences(order_index(spark, sf), log, code_vocab(log), MAX_LEN)
 
 

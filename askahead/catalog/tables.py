@@ -208,7 +208,7 @@ def _incremental(spark, sf):
     shards = log.withColumn("shard", F.pmod("subject_id", F.lit(4))).repartition("shard")
 
     def build(events):
-        return label_table(events.distinct(), codes, [DAYS_ORDERS], MIN_ORDERS)
+        return label_table(events, codes, [DAYS_ORDERS], MIN_ORDERS)
 
     for half in (0, 1):
         # Files arrive in two deliveries; the second call sees only the new ones.

@@ -29,6 +29,11 @@ def codes_array(codes: CodeSet) -> Column:
     return codes.agg(checked.alias("codes")).scalar()
 
 
+def codes_or_all(codes: CodeSet | None, events: DataFrame) -> CodeSet:
+    """The given codes, or every code of the log."""
+    return events.where(F.col("code").isNotNull()).select("code") if codes is None else codes
+
+
 def only_codes(rows: DataFrame, codes: CodeSet, on: str = "code") -> DataFrame:
     if isinstance(codes, list):
         return rows.where(F.col(on).isin(codes))

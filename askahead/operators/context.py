@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from askahead.functions import interval_days
+from askahead.functions import micros
+from askahead.functions.columns import DAY_US
+from askahead.operators.skew import ROWS_PER_TASK, join_to_unique
 from askahead.operators.timeline import Running, running
 
 # Spark prunes each task to the first k rows of a group before the shuffle up to this many rows.
@@ -27,57 +29,67 @@ def context_count(events: DataFrame) -> DataFrame:
 
 
 def context_start(events: DataFrame, min_context: int) -> DataFrame:
-    """First time of each subject at which ``min_context`` event rows have been seen.
+    """First time of each subject at which ``min_context`` distinct event rows have been seen.
 
-    The running count never falls, so the times that qualify are exactly those from this one on. Each
-    time adds at least one row, so the answer lies among the subject's first ``min_context`` times.
+    That is the time of the subject's ``min_context``-th row in time order, whichever way ties are broken.
+    The running count never falls, so the times that qualify are exactly those from this one on.
     """
     if min_context > _FIRST_K_LIMIT:
         reached = context_count(events).where(F.col("context_count") >= min_context)
-    else:
-        by_time = Window.partitionBy("subject_id").orderBy("time")
-        reached = (
-            visits(events)
-            .withColumn("_nth", F.row_number().over(by_time))
-            .where(F.col("_nth") <= min_context)
-            .withColumn("_seen", F.sum("n_events").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-            .where(F.col("_seen") >= min_context)
-        )
-    return reached.groupBy("subject_id").agg(F.min("time").alias("context_start"))
+        return reached.groupBy("subject_id").agg(F.min("time").alias("context_start"))
+    by_time = Window.partitionBy("subject_id").orderBy("time")
+    return (
+        events.where(F.col("time").isNotNull())
+        .select("subject_id", "time", "code")
+        .distinct()
+        .withColumn("_nth", F.row_number().over(by_time))
+        .where(F.col("_nth") == min_context)
+        .select("subject_id", F.col("time").alias("context_start"))
+    )
 
 
 def record_end(events: DataFrame) -> DataFrame:
     return events.groupBy("subject_id").agg(F.max("time").alias("record_end_time"))
 
 
-def candidate_times(events: DataFrame, min_context: int) -> DataFrame:
-    """Distinct (subject_id, prediction_time) with at least ``min_context`` event rows up to then."""
-    if min_context < 1:
-        return events.select("subject_id", F.col("time").alias("prediction_time")).distinct()
+def _from_context_start(events: DataFrame, bounds: DataFrame, rows_per_task: int) -> DataFrame:
+    """Distinct event times from ``context_start`` on, with the other columns of ``bounds``."""
     times = events.where(F.col("time").isNotNull()).select("subject_id", "time").distinct()
+    sizes = events.groupBy("subject_id").agg(F.count("*").alias("n_rows"))
+    joined = join_to_unique(times, bounds, ["subject_id"], sizes, F.col("time"), rows_per_task=rows_per_task)
     return (
-        times.join(context_start(events, min_context), "subject_id")
-        .where(F.col("time") >= F.col("context_start"))
-        .select("subject_id", F.col("time").alias("prediction_time"))
+        joined.where(F.col("time") >= F.col("context_start"))
+        .drop("context_start")
+        .withColumnRenamed("time", "prediction_time")
     )
 
 
-def candidates_with_record_end(events: DataFrame, min_context: int) -> DataFrame:
+def candidate_times(events: DataFrame, min_context: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Distinct (subject_id, prediction_time) with at least ``min_context`` event rows up to then."""
+    if min_context < 1:
+        return events.select("subject_id", F.col("time").alias("prediction_time")).distinct()
+    return _from_context_start(events, context_start(events, min_context), rows_per_task)
+
+
+def candidates_with_record_end(
+    events: DataFrame, min_context: int, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """Candidate times with the end of the subject's record: one join for both per-subject bounds."""
     if min_context < 1:
-        return candidate_times(events, min_context).join(record_end(events), "subject_id")
+        # Every time counts, those without a value included.
+        sizes = events.groupBy("subject_id").agg(F.count("*").alias("n_rows"))
+        every = candidate_times(events, min_context)
+        return join_to_unique(
+            every, record_end(events), ["subject_id"], sizes, F.col("prediction_time"), rows_per_task=rows_per_task
+        )
     bounds = context_start(events, min_context).join(record_end(events), "subject_id")
-    times = events.where(F.col("time").isNotNull()).select("subject_id", "time").distinct()
-    return (
-        times.join(bounds, "subject_id")
-        .where(F.col("time") >= F.col("context_start"))
-        .select("subject_id", F.col("time").alias("prediction_time"), "record_end_time")
-    )
+    return _from_context_start(events, bounds, rows_per_task)
 
 
-def censor_flag(duration):
+def censor_flag(duration: Column | str | int) -> Column:
     """Less than the duration is left on record after the prediction time (strictly)."""
-    return (F.col("record_end_time") - F.col("prediction_time")) < interval_days(duration)
+    days = F.lit(duration) if isinstance(duration, int) else F.col(duration) if isinstance(duration, str) else duration
+    return (micros("record_end_time") - micros("prediction_time")) < days.cast("bigint") * F.lit(DAY_US)
 
 
 def censored_candidates(events: DataFrame, min_context: int, duration_days: int) -> DataFrame:
@@ -88,5 +100,5 @@ def censored_candidates(events: DataFrame, min_context: int, duration_days: int)
 
 def row_index(candidates: DataFrame) -> DataFrame:
     """Dense zero-based number of each distinct prediction time within its subject, in time order."""
-    numbered = running(candidates, ["subject_id"], "prediction_time", [Running("_nth", F.lit(1))])
+    numbered = running(candidates.select("subject_id", "prediction_time"), ["subject_id"], "prediction_time", [Running("_nth", F.lit(1))])
     return numbered.withColumn("row_index", F.col("_nth") - 1).drop("_nth")

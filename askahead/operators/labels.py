@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askahead.functions import interval_days
+from askahead.functions.columns import DAY_US
 from askahead.operators.codesets import CodeSet
-from askahead.operators.context import censor_flag
-from askahead.operators.zones import occurs_within, with_reach
+from askahead.operators.zones import eligible_with_reach, occurs_within, with_reach
 
 LABEL_COLUMNS = ["subject_id", "prediction_time", "query", "duration_days", "censored", "occurs"]
 
@@ -24,24 +24,26 @@ def null_when_censored(occurs: F.Column) -> F.Column:
     return F.when(~F.col("censored"), occurs)
 
 
-def label_grid(
-    candidates: DataFrame, events: DataFrame, codes: CodeSet, durations: list[int]
-) -> DataFrame:
-    """Labels of every candidate × code × duration, long; ``candidates`` carry ``record_end_time``."""
-    reach = with_reach(candidates, events, codes, durations)
+def label_grid(events: DataFrame, codes: CodeSet | None, durations: list[int], min_context: int) -> DataFrame:
+    """Labels of every eligible prediction time × code × duration, long."""
+    reach = eligible_with_reach(events, codes, durations, min_context)
+    left_us = F.col("record_end_us") - F.col("at_us")
+    cells = reach.withColumn("_left_us", left_us).drop("record_end_us")
     if len(durations) == 1:
-        grid = reach.withColumn("duration_days", F.lit(durations[0]))
+        cells = cells.withColumn("duration_days", F.lit(durations[0]))
     else:
-        grid = reach.withColumn("duration_days", F.explode(F.lit(sorted(durations))))
+        cells = cells.withColumn("duration_days", F.explode(F.lit(sorted(durations))))
+    too_short = F.col("_left_us") < F.col("duration_days").cast("bigint") * F.lit(DAY_US)
     return (
-        grid.withColumn("censored", censor_flag("duration_days"))
-        .where(F.col("censored").isNotNull())
+        cells.withColumn("censored", too_short)
         .withColumn("occurs", null_when_censored(occurs_within(F.col("duration_days"))))
         .select(*LABEL_COLUMNS)
     )
 
 
-def dense_labels(candidates: DataFrame, events: DataFrame, codes: CodeSet, duration_days: int) -> DataFrame:
+def dense_labels(
+    candidates: DataFrame, events: DataFrame, codes: CodeSet | None, duration_days: int
+) -> DataFrame:
     """True/False for every uncensored candidate × code."""
     return (
         with_reach(candidates.where(~F.col("censored")), events, codes, [duration_days])

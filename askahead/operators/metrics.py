@@ -23,10 +23,11 @@ def auroc(
     """Area under the ROC curve per group, ties counted one half; null where a class is missing.
 
     Counts ordered (negative, positive) pairs. Rows are first reduced to counts per distinct score, and a
-    pair is then counted where its two scores first part: in different coarse cells, in different fine
-    cells, or as different scores of one fine cell. Each level is a window inside the enclosing cell, so
-    no group, and not even the whole table, is ever ranked in one task. Rows without a target or a score
-    are left out; ``n_dropped`` reports how many. Any cells give the same result; they only balance the work.
+    pair is then counted where its two scores first part: as different scores of one fine cell, in
+    different fine cells, or in different coarse cells. Each level is a window inside the enclosing cell
+    over the totals of the level below, so no group, and not even the whole table, is ever ranked in one
+    task. Rows without a target or a score are left out; ``n_dropped`` reports how many. Any cells give
+    the same result; they only balance the work.
     """
     by = by or []
     number = F.col(score).cast("double")
@@ -41,42 +42,31 @@ def auroc(
             F.count_if(~usable).alias("dropped"),
         )
         .withColumns({n: F.floor(F.col("_score") / F.lit(w)) for n, w in zip(cell_names, cells, strict=True)})
+        # Inside one score every pair is a tie: one half each.
+        .withColumn("_credit", F.col("pos").cast(_EXACT) * F.col("neg").cast(_EXACT))
     )
-    parts = []
     order = [*cell_names, "_score"]
     for depth in range(len(order) - 1, -1, -1):
         enclosing = [*by, *order[:depth]]
-        if depth < len(order) - 1:
-            level = level.groupBy(*enclosing, order[depth]).agg(
-                F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("dropped").alias("dropped")
-            )
         below = (
             Window.partitionBy(*(enclosing or [F.lit(0)]))
             .orderBy(order[depth])
             .rowsBetween(Window.unboundedPreceding, -1)
         )
         lower = F.coalesce(F.sum("neg").over(below), F.lit(0))
-        twice = 2 * lower + (F.col("neg") if depth == len(order) - 1 else F.lit(0))
-        parts.append(
-            level.withColumn("_credit", F.col("pos").cast(_EXACT) * twice.cast(_EXACT)).select(
-                *by,
-                "_credit",
-                *[(F.col(c) if depth == 0 else F.lit(0)).cast("bigint").alias(c) for c in ("pos", "neg", "dropped")],
-            )
+        level = (
+            level.withColumn("_credit", F.col("_credit") + F.col("pos").cast(_EXACT) * (2 * lower).cast(_EXACT))
+            .groupBy(*enclosing)
+            .agg(*[F.sum(c).alias(c) for c in ("_credit", "pos", "neg", "dropped")])
         )
-    counted = parts[0]
-    for part in parts[1:]:
-        counted = counted.unionByName(part)
-    pairs = F.lit(2.0) * F.col("n_pos").cast("double") * F.col("n_neg").cast("double")
-    return (
-        counted.groupBy(*by)
-        .agg(
-            F.sum("_credit").alias("_credit"),
-            F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"),
-            F.coalesce(F.sum("neg"), F.lit(0)).alias("n_neg"),
-            F.coalesce(F.sum("dropped"), F.lit(0)).alias("n_dropped"),
-        )
-        .select(*by, F.try_divide(F.col("_credit").cast("double"), pairs).alias("auroc"), "n_pos", "n_neg", "n_dropped")
+    zero = F.lit(0).cast("bigint")
+    pairs = F.lit(2.0) * F.col("pos").cast("double") * F.col("neg").cast("double")
+    return level.select(
+        *by,
+        F.try_divide(F.col("_credit").cast("double"), pairs).alias("auroc"),
+        F.coalesce("pos", zero).alias("n_pos"),
+        F.coalesce("neg", zero).alias("n_neg"),
+        F.coalesce("dropped", zero).alias("n_dropped"),
     )
 
 

@@ -61,7 +61,7 @@ def sample_grid(candidates: DataFrame, codes: CodeSet, durations: range, k: int,
     """``k`` random cells per subject from times × codes × durations, without building the grid.
 
     Cell numbers are drawn per subject and then decoded; only the drawn cells are ever rows. Gives
-    (subject_id, prediction_time, query, duration_days) plus the other candidate columns.
+    (subject_id, prediction_time, query, duration_days).
     """
     sizes = (
         candidates.groupBy("subject_id")

@@ -57,74 +57,81 @@ def explode_times(rows: DataFrame, times: str = "times") -> DataFrame:
 
 
 def event_tokens(events: DataFrame, vocab: DataFrame, max_len: int) -> DataFrame:
-    """Per subject and time: the tokens that can still be among the last ``max_len`` at a later time.
+    """Encoded events that can still be among the last ``max_len`` tokens at some later time.
 
-    Within one time tokens are ordered by code id, then value. Only the last ``max_len`` of a time can
-    ever be used, because a prediction time sees all events of that time or none.
+    Within one time tokens are ordered by code id, then value; ``from_end`` counts from that time's last
+    token. Only the last ``max_len`` of a time can ever be used, because a prediction time sees all events
+    of that time or none.
     """
     coded = encode_codes(events.where(F.col("time").isNotNull()), vocab)
     nan = F.lit(float("nan")).cast("float")
     value = F.coalesce(F.col("numeric_value").cast("float"), nan) if "numeric_value" in events.columns else nan
-    coded = coded.withColumn("numeric_value", value)
     latest = Window.partitionBy("subject_id", "time").orderBy(F.desc("code_id"), F.desc("numeric_value"))
     return (
-        coded.select("subject_id", "time", "code_id", "numeric_value")
-        .withColumn("_nth", F.row_number().over(latest))
-        .where(F.col("_nth") <= max_len)
-        .groupBy("subject_id", "time")
-        .agg(F.sort_array(F.collect_list(F.struct("code_id", "numeric_value"))).alias("tokens"))
+        coded.select("subject_id", "time", "code_id", value.alias("numeric_value"))
+        .withColumn("from_end", F.row_number().over(latest))
+        .where(F.col("from_end") <= max_len)
     )
 
 
-def history_sequences(
-    probes: DataFrame, events: DataFrame, vocab: DataFrame, max_len: int = 256
-) -> DataFrame:
-    """Last ``max_len`` tokens up to each distinct (subject, prediction time), oldest first.
+def token_positions(probes: DataFrame, events: DataFrame, max_len: int) -> DataFrame:
+    """Running token count at every event time and at every probe; ``before_us`` is the event time before.
 
-    ``history`` holds structs (code, numeric_value, time_delta_days). The first token of an event carries
-    the days since the subject's previous event (0 at the first one), its other tokens carry 0. Prediction
-    times of subjects without history drop out; one before the first event gets an empty array.
+    A time counts at most ``max_len`` tokens, the ones ``event_tokens`` keeps.
     """
-    at_times = event_tokens(events, vocab, max_len).withColumn("_probe", F.lit(False))
-    none = F.array().cast(at_times.schema["tokens"].dataType)
+    timed = events.where(F.col("time").isNotNull())
+    sizes = timed.groupBy("subject_id", "time").agg(F.count("*").alias("n_tokens"))
     asked = (
-        label_history_join(probes.select(*_TIME_KEY).distinct(), events)
-        .select("subject_id", F.col("prediction_time").alias("time"), none.alias("tokens"), F.lit(True).alias("_probe"))
+        label_history_join(probes.select(*_TIME_KEY).distinct(), timed)
+        .select("subject_id", F.col("prediction_time").alias("time"), F.lit(None).cast("bigint").alias("n_tokens"))
     )
-    marks = running(
-        at_times.unionByName(asked),
+    return running(
+        sizes.unionByName(asked),
         ["subject_id"],
         "time",
         [
-            Running("_end", F.size("tokens")),
-            Running("_before_us", F.when(~F.col("_probe"), micros("time")), "max", ties=False),
+            Running("end", F.least(F.coalesce("n_tokens", F.lit(0)), F.lit(max_len))),
+            Running("before_us", F.when(F.col("n_tokens").isNotNull(), micros("time")), "max", ties=False),
         ],
     )
-    delta = F.coalesce((micros("time") - F.col("_before_us")) / F.lit(float(DAY_US)), F.lit(0.0))
+
+
+def history_sequences(
+    probes: DataFrame, events: DataFrame, vocab: DataFrame, max_len: int = 256
+) -> DataFrame:
+    """Last ``max_len`` tokens up to each distinct (subject, prediction time), oldest first.
+
+    ``history`` holds structs (code, numeric_value, time_delta_days). The first token of an event carries
+    the days since the subject's previous event (0 at the first one), its other tokens carry 0. Prediction
+    times of subjects without history drop out; one before the first event gets an empty array.
+    """
+    positions = token_positions(probes, events, max_len)
+    at_events = positions.where(F.col("n_tokens").isNotNull())
+    delta = F.coalesce((micros("time") - F.col("before_us")) / F.lit(float(DAY_US)), F.lit(0.0))
+    first_of_event = F.col("from_end") == F.col("n_tokens")
     tokens = (
-        marks.where(~F.col("_probe"))
-        .select("subject_id", "time", "_end", F.size("tokens").alias("_n"), delta.alias("_delta"), F.posexplode("tokens"))
+        event_tokens(events, vocab, max_len)
+        .join(at_events, ["subject_id", "time"])
         .select(
             "subject_id",
-            (F.col("_end") - F.col("_n") + F.col("pos")).alias("_pos"),
+            (F.col("end") - F.col("from_end")).alias("_pos"),
             F.struct(
-                F.col("col.code_id").alias("code"),
-                F.col("col.numeric_value").alias("numeric_value"),
-                F.when(F.col("pos") == 0, F.col("_delta")).otherwise(F.lit(0.0)).cast("float").alias("time_delta_days"),
+                F.col("code_id").alias("code"),
+                "numeric_value",
+                F.when(first_of_event, delta).otherwise(F.lit(0.0)).cast("float").alias("time_delta_days"),
             ).alias("_token"),
             F.col("time").alias("_time"),
         )
         .withColumn("_block", F.expr(f"_pos div {max_len}"))
     )
-    wanted = marks.where("_probe").select(
+    blocks = F.array(
+        F.expr(f"greatest(end - {max_len}, 0) div {max_len}"), F.expr(f"greatest(end - 1, 0) div {max_len}")
+    )
+    wanted = positions.where(F.col("n_tokens").isNull()).select(
         "subject_id",
         F.col("time").alias("prediction_time"),
-        "_end",
-        F.explode(
-            F.array_distinct(
-                F.array(F.expr(f"greatest(_end - {max_len}, 0) div {max_len}"), F.expr(f"greatest(_end - 1, 0) div {max_len}"))
-            )
-        ).alias("_block"),
+        F.col("end").alias("_end"),
+        F.explode(F.array_distinct(blocks)).alias("_block"),
     )
     inside = (F.col("_pos") < F.col("_end")) & (F.col("_pos") >= F.col("_end") - max_len)
     # A block without a usable token leaves one row of nulls, so that empty histories survive.
@@ -134,8 +141,8 @@ def history_sequences(
     )
     return gathered.select(
         *_TIME_KEY,
-        F.transform("_entries", lambda e: e["_token"]).alias("history"),
-        F.transform("_entries", lambda e: e["_time"]).alias("times"),
+        F.col("_entries")["_token"].alias("history"),
+        F.col("_entries")["_time"].alias("times"),
     )
 
 

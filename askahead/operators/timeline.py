@@ -45,11 +45,16 @@ def running(
     ahead: bool = False,
     cells: tuple[int, ...] = CELLS,
 ) -> DataFrame:
-    """Add running measures over the rows up to ``at`` (or, with ``ahead``, from ``at`` on) per key."""
+    """Add running measures over the rows up to ``at`` (or, with ``ahead``, from ``at`` on) per key.
+
+    Keep ``rows`` to the columns that matter here and join others afterwards: cell summaries and row
+    windows then start from one and the same shuffle of ``rows``.
+    """
     cell_names = [f"_cell{i}" for i in range(len(cells))]
-    values = {f"_v_{m.name}": m.value for m in measures}
-    marked = rows.withColumn("_us", micros(at)).withColumns(
-        {name: cell_start("_us", width) for name, width in zip(cell_names, cells, strict=True)} | values
+    placed = rows.repartition(*keys, cell_start(micros(at), cells[-1]))
+    marked = placed.withColumn("_us", micros(at)).withColumns(
+        {name: cell_start("_us", width) for name, width in zip(cell_names, cells, strict=True)}
+        | {f"_v_{m.name}": m.value for m in measures}
     )
 
     # Cell summaries, finest first; each coarser level aggregates the finer one.

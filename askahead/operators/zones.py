@@ -9,92 +9,169 @@ needs only equality joins on (subject, zone); the number of events behind a zone
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from askahead.functions import cell_start, micros
+from askahead.functions import cell_start, from_micros, micros
 from askahead.functions.columns import DAY_US
-from askahead.operators.codesets import CodeSet, codes_array, only_codes
+from askahead.operators.codesets import CodeSet, codes_array, codes_or_all
+from askahead.operators.context import context_start
+from askahead.operators.skew import ROWS_PER_TASK, join_to_unique
 
 
-def zone_map(events: DataFrame, width_days: int, codes: CodeSet | None = None) -> DataFrame:
+def zone_map(events: DataFrame, width_days: int) -> DataFrame:
     """First and last time of each code per subject and zone; combined before the shuffle."""
-    events = events.where(F.col("time").isNotNull() & F.col("code").isNotNull())
-    if codes is not None:
-        events = only_codes(events, codes)
     return (
-        events.withColumn("_us", micros("time"))
+        events.where(F.col("time").isNotNull())
+        .withColumn("_us", micros("time"))
         .withColumn("zone", cell_start("_us", width_days * DAY_US))
         .groupBy("subject_id", "code", "zone")
-        .agg(F.min("_us").alias("first_us"), F.max("_us").alias("last_us"))
+        .agg(F.min("_us").alias("first_us"), F.max("_us").alias("last_us"), F.count("*").alias("n_rows"))
     )
 
 
-def zone_outlook(zones: DataFrame, width_days: int, horizon_days: int) -> DataFrame:
-    """What a prediction time in each zone can see, as one row per (subject, zone).
+def _wanted_zones(events: DataFrame, width_days: int, codes: CodeSet | None) -> DataFrame:
+    """Zone map that marks the codes asked for."""
+    zones = zone_map(events, width_days)
+    if codes is None:
+        return zones.withColumn("_wanted", F.col("code").isNotNull())
+    if isinstance(codes, list):
+        return zones.withColumn("_wanted", F.coalesce(F.col("code").isin(codes), F.lit(False)))
+    asked = codes.select("code").distinct().withColumn("_asked", F.lit(True))
+    return zones.join(asked, "code", "left").withColumn("_wanted", F.coalesce("_asked", F.lit(False))).drop("_asked")
 
-    ``outlook`` has an entry per code: the last time inside the zone, and the first time in the zones
-    after it as far as the horizon. It holds at most one entry per code of the vocabulary.
+
+def _zone_profiles(zones: DataFrame, width_days: int, horizon_days: int) -> DataFrame:
+    """What can be seen from each (subject, zone), as one row.
+
+    ``outlook`` has an entry per wanted code: the last time inside the zone, and the first time in the
+    zones after it as far as the horizon. It holds at most one entry per code of the vocabulary.
+    ``n_rows`` and ``zone_end_us`` describe the zone's own events, wanted or not; zones that only look
+    ahead have none.
     """
-    width_us = width_days * DAY_US
     reach = -(-horizon_days // width_days)
-    seen_from = (
-        zones.withColumn("_back", F.explode(F.sequence(F.lit(0), F.lit(reach))))
-        .withColumn("zone", F.col("zone") - F.col("_back") * F.lit(width_us))
-        .groupBy("subject_id", "zone", "code")
+    offsets = F.when(F.col("_wanted"), F.sequence(F.lit(0), F.lit(reach))).otherwise(F.array(F.lit(0)))
+    here = F.col("_back") == 0
+    return (
+        zones.withColumn("_back", F.explode(offsets))
+        .withColumn("zone", F.col("zone") - F.col("_back") * F.lit(width_days * DAY_US))
+        # One shuffle serves both groupings below; a (subject, zone) has a bounded number of rows here.
+        .repartition("subject_id", "zone")
+        .groupBy("subject_id", "zone", "code", "_wanted")
         .agg(
-            F.max(F.when(F.col("_back") == 0, F.col("last_us"))).alias("last_us"),
-            F.min(F.when(F.col("_back") > 0, F.col("first_us"))).alias("next_us"),
+            F.max(F.when(here, F.col("last_us"))).alias("last_us"),
+            F.min(F.when(~here, F.col("first_us"))).alias("next_us"),
+            F.sum(F.when(here, F.col("n_rows"))).alias("n_rows"),
+        )
+        .groupBy("subject_id", "zone")
+        .agg(
+            F.collect_list(F.when(F.col("_wanted"), F.struct("code", "last_us", "next_us"))).alias("outlook"),
+            F.sum("n_rows").alias("n_rows"),
+            F.max("last_us").alias("zone_end_us"),
         )
-    )
-    return seen_from.groupBy("subject_id", "zone").agg(
-        F.collect_list(F.struct("code", "last_us", "next_us")).alias("outlook")
     )
 
 
-def with_reach(candidates: DataFrame, events: DataFrame, codes: CodeSet, durations: list[int]) -> DataFrame:
-    """Candidates × codes with ``reach_us``: the code occurs within d exactly when reach < t + d.
+def _check(durations: list[int]) -> tuple[int, int]:
+    if not durations or min(durations) < 1:
+        raise ValueError("durations must be whole days, at least 1")
+    return min(durations), max(durations)
+
+
+def _grid(rows: DataFrame, codes: CodeSet) -> DataFrame:
+    """One row per code: ``outlook`` entries, and an empty entry for each code it does not have.
 
-    Valid for every d in ``durations``. The grid is made by a generator after the join, so what is
-    shuffled is the candidates, not the grid.
+    Made by a generator after the join, so what is shuffled is the prediction times, not the grid.
     """
-    if min(durations) < 1:
-        raise ValueError("durations must be whole days, at least 1")
-    width, horizon = min(durations), max(durations)
-    outlook = zone_outlook(zone_map(events, width, codes), width, horizon)
-    at_us = F.col("_at_us")
-    known = F.coalesce(F.col("outlook"), F.array().cast(outlook.schema["outlook"].dataType))
-    found = F.transform(
-        known,
-        lambda e: F.struct(
-            e["code"].alias("query"),
-            F.when(e["last_us"] > at_us, at_us).otherwise(e["next_us"]).alias("reach_us"),
-        ),
-    )
+    entry = rows.schema["outlook"].dataType
+    known = F.coalesce(F.col("outlook"), F.array().cast(entry))
+    never = F.lit(None).cast("bigint")
     absent = F.transform(
-        F.array_except(F.col("_codes"), F.transform(known, lambda e: e["code"])),
-        lambda c: F.struct(c.alias("query"), F.lit(None).cast("bigint").alias("reach_us")),
+        F.array_except(F.col("_codes"), known["code"]),
+        lambda c: F.struct(c.alias("code"), never.alias("last_us"), never.alias("next_us")),
     )
+    filled = rows.withColumn("_codes", codes_array(codes)).withColumn("_cells", F.concat(known, absent))
+    reach = F.when(F.col("last_us") > F.col("at_us"), F.col("at_us")).otherwise(F.col("next_us"))
     return (
-        candidates.withColumn("_at_us", micros("prediction_time"))
-        .withColumn("zone", cell_start("_at_us", width * DAY_US))
-        .join(outlook, ["subject_id", "zone"], "left")
-        .withColumn("_codes", codes_array(codes))
-        .withColumn("_cells", F.concat(found, absent))
-        .drop("outlook", "zone", "_codes")
+        filled.drop("outlook", "_codes")
         .select("*", F.inline("_cells"))
-        .drop("_cells")
+        .withColumn("reach_us", reach)
+        .withColumnRenamed("code", "query")
+        .drop("_cells", "last_us", "next_us")
+    )
+
+
+def with_reach(
+    candidates: DataFrame,
+    events: DataFrame,
+    codes: CodeSet | None,
+    durations: list[int],
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """Any prediction times × codes with ``reach_us``: the code occurs within d exactly when reach < t + d.
+
+    Valid for every d in ``durations``. Without ``codes``, all codes of the log are asked about.
+    """
+    width, horizon = _check(durations)
+    profiles = _zone_profiles(_wanted_zones(events, width, codes), width, horizon).select("subject_id", "zone", "outlook")
+    placed = candidates.withColumn("at_us", micros("prediction_time")).withColumn(
+        "zone", cell_start("at_us", width * DAY_US)
+    )
+    sizes = placed.groupBy("subject_id", "zone").agg(F.count("*").alias("n_rows"))
+    joined = join_to_unique(
+        placed, profiles, ["subject_id", "zone"], sizes, F.col("at_us"), "left", rows_per_task=rows_per_task
+    )
+    return _grid(joined.drop("zone"), codes_or_all(codes, events))
+
+
+def eligible_with_reach(
+    events: DataFrame,
+    codes: CodeSet | None,
+    durations: list[int],
+    min_context: int,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """The same for all eligible prediction times of the log, with ``record_end_us``.
+
+    Context start and record end are attached to the zones, which are few per subject, so the event times
+    are joined only once, on (subject, zone).
+    """
+    width, horizon = _check(durations)
+    width_us = width * DAY_US
+    timed = events.where(F.col("time").isNotNull())
+    profiles = (
+        _zone_profiles(_wanted_zones(timed, width, codes), width, horizon)
+        .where(F.col("n_rows").isNotNull())
+        .withColumn("record_end_us", F.max("zone_end_us").over(Window.partitionBy("subject_id")))
+        .drop("n_rows", "zone_end_us")
+    )
+    if min_context > 0:
+        start = context_start(events, min_context).select("subject_id", micros("context_start").alias("start_us"))
+        profiles = profiles.join(start, "subject_id").where(F.col("start_us") < F.col("zone") + F.lit(width_us))
+    else:
+        profiles = profiles.withColumn("start_us", F.col("zone"))
+    zone = cell_start("at_us", width_us)
+    times = timed.select("subject_id", micros("time").alias("at_us")).distinct().withColumn("zone", zone)
+    sizes = (
+        timed.select("subject_id", cell_start(micros("time"), width_us).alias("zone"))
+        .groupBy("subject_id", "zone")
+        .agg(F.count("*").alias("n_rows"))
+    )
+    joined = join_to_unique(
+        times, profiles, ["subject_id", "zone"], sizes, F.col("at_us"), rows_per_task=rows_per_task
     )
+    eligible = joined.where(F.col("at_us") >= F.col("start_us")).drop("zone", "start_us")
+    return _grid(eligible, codes_or_all(codes, events)).withColumn("prediction_time", from_micros("at_us"))
 
 
 def occurs_within(duration: Column | int) -> Column:
-    """Label of a ``with_reach`` row for one duration."""
+    """Label of a row with ``reach_us`` for one duration."""
     duration = F.lit(duration) if isinstance(duration, int) else duration
-    end_us = F.col("_at_us") + duration.cast("bigint") * F.lit(DAY_US)
+    end_us = F.col("at_us") + duration.cast("bigint") * F.lit(DAY_US)
     return F.coalesce(F.col("reach_us") < end_us, F.lit(False))
 
 
-def occurrences(candidates: DataFrame, events: DataFrame, duration_days: int, codes: CodeSet) -> DataFrame:
+def occurrences(candidates: DataFrame, events: DataFrame, duration_days: int, codes: CodeSet | None) -> DataFrame:
     """The (candidate, code) pairs for which the code occurs: the matches of the interval join."""
     return (
         with_reach(candidates, events, codes, [duration_days])
@@ -123,7 +200,7 @@ def label_questions(questions: DataFrame, events: DataFrame, width_days: int) ->
             .otherwise(F.sequence(cell_start("_at_us", width_us), cell_start("_end_us", width_us), F.lit(width_us)))
         ),
     )
-    zones = zone_map(events, width_days).withColumnRenamed("code", "query")
+    zones = zone_map(events, width_days).drop("n_rows").withColumnRenamed("code", "query")
     hit = (F.col("last_us") > F.col("_at_us")) & (F.col("first_us") < F.col("_end_us"))
     return (
         visited.join(zones, ["subject_id", "query", "zone"], "left")

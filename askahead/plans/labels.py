@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askahead.operators.codesets import CodeSet
-from askahead.operators.context import candidates_with_record_end, censor_flag
+from askahead.operators.codesets import CodeSet, codes_or_all
+from askahead.operators.context import candidate_times, censor_flag, record_end
 from askahead.operators.labels import LABEL_COLUMNS, label_grid, null_when_censored, to_training_rows
 from askahead.operators.sampling import sample_grid, sample_per_subject
 from askahead.operators.zones import label_questions
@@ -14,12 +14,14 @@ from askahead.operators.zones import label_questions
 TRAINING_COLUMNS = ["subject_id", "prediction_time", "boolean_value", "occurs", "query", "duration_days"]
 
 
-def label_table(events: DataFrame, codes: CodeSet, durations: list[int], min_context: int = 50) -> DataFrame:
+def label_table(
+    events: DataFrame, codes: CodeSet | None, durations: list[int], min_context: int = 50
+) -> DataFrame:
     """Every eligible prediction time × code × duration with its censoring flag and label.
 
-    Use it for bounded code lists; for training sets over a large vocabulary see ``training_table``.
+    Repeated event rows make no difference. Use it for bounded code lists; for training sets over a large vocabulary see ``training_table``.
     """
-    return label_grid(candidates_with_record_end(events, min_context), events, codes, durations)
+    return label_grid(events, codes, durations, min_context)
 
 
 def label_sampled(questions: DataFrame, events: DataFrame, min_duration: int) -> DataFrame:
@@ -35,11 +37,12 @@ def label_sampled(questions: DataFrame, events: DataFrame, min_duration: int) ->
 
 
 def training_table(
-    events: DataFrame, codes: CodeSet, durations: range, k: int = 20, seed: int = 1, min_context: int = 50
+    events: DataFrame, codes: CodeSet | None, durations: range, k: int = 20, seed: int = 1, min_context: int = 50
 ) -> DataFrame:
     """``k`` random questions per subject with labels: samples first, then labels only the sample."""
-    candidates = candidates_with_record_end(events, min_context)
-    questions = sample_grid(candidates, codes, durations, k, seed)
+    drawn = sample_grid(candidate_times(events, min_context), codes_or_all(codes, events), durations, k, seed)
+    # A sample has at most k rows per subject, so this join has no large key.
+    questions = drawn.join(record_end(events), "subject_id")
     return to_training_rows(label_sampled(questions, events, durations.start)).select(*TRAINING_COLUMNS)
 
 
