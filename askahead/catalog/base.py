@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askahead.operators.context import candidates_with_record_end, censor_flag
+from askahead.operators.codesets import codes_array
+from askahead.operators.context import candidate_times, candidates_with_record_end, censor_flag
 from askahead.operators.sampling import sample_per_subject
 from askahead.plans.labels import label_table
 from askahead.session import configure
@@ -123,8 +124,14 @@ def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored_labels(spark, sf_dir).select(
-        "subject_id", "prediction_time", "occurs_probs", F.col("query").alias("code")
+    """A prediction for every candidate and code, as a model would leave them."""
+    log = orders_log(spark, sf_dir)
+    asked = candidate_times(log, MIN_ORDERS).withColumn("query", F.explode(codes_array(log.select("code"))))
+    return asked.select(
+        "subject_id",
+        "prediction_time",
+        (_score(7919, 104729, 15485863) / 1000).alias("occurs_probs"),
+        F.col("query").alias("code"),
     )
 
 

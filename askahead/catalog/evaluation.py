@@ -47,17 +47,17 @@ EXT_TASK = f"""ext_task AS (SELECT subject_id, prediction_time, query, censored
 
 
 def eval_task(spark, sf):
-    return evaluation.eval_task_tables(order_labels(spark, sf), EVAL_CODES, 1, INDEX_SEED)
+    return evalsets.index_label_join(order_index(spark, sf), order_labels(spark, sf), EVAL_CODES)
 
 
 @query("index_label_join", log_sql(ORDER_LABELS, INDEX, EVAL_TASK, select="SELECT * FROM task"))
 def _index_join(spark, sf):
-    return evalsets.index_label_join(order_index(spark, sf), order_labels(spark, sf), EVAL_CODES)
+    return eval_task(spark, sf)
 
 
 @query("eval_task_tables", log_sql(ORDER_LABELS, INDEX, EVAL_TASK, select="SELECT * FROM task"))
 def _eval_task(spark, sf):
-    return eval_task(spark, sf)
+    return evaluation.eval_task_tables(order_labels(spark, sf), EVAL_CODES, 1, INDEX_SEED)
 
 
 _CLICK_IDX = f"idx AS {sample('(SELECT DISTINCT subject_id, prediction_time, censored FROM labels)', TIME_KEY, 2, 11, '* EXCLUDE (nth)')}"
@@ -119,8 +119,9 @@ _PREDS = [*_SCORED, PREDICTIONS]
 
 @query(
     "prediction_label_join",
-    log_sql(*_PREDS, INDEX, EVAL_TASK, f"p AS (SELECT *, {slug_sql('code')} AS code_slug FROM preds)",
-            select=f"SELECT {KEY}, p.code, p.code_slug, occurs_probs, task.occurs FROM p LEFT JOIN task USING (subject_id, prediction_time, code_slug)"),
+    log_sql(*_PREDS, INDEX, EVAL_TASK,
+            select="SELECT p.subject_id, p.prediction_time, p.code, occurs_probs, task.occurs FROM preds p LEFT JOIN task "
+            "ON p.subject_id = task.subject_id AND p.prediction_time = task.prediction_time AND p.code = task.query"),
 )
 def _prediction_join(spark, sf):
     return evalsets.prediction_label_join(predictions(spark, sf), eval_task(spark, sf))

@@ -37,7 +37,8 @@ def code_slug(code: Column | str, n_hash: int = 10, prefix_len: int = 24) -> Col
     digest = F.substring(F.sha1(F.encode(code, "UTF-8")), 1, n_hash)
     safe = F.regexp_replace(code, "[^A-Za-z0-9._-]+", "_")
     prefix = F.substring(F.trim(safe, F.lit("_")), 1, prefix_len)
-    return F.when(prefix == "", digest).otherwise(F.concat(prefix, F.lit("__"), digest))
+    # The prefix never starts with an underscore, so leading ones mean that it is empty.
+    return F.regexp_replace(F.concat(prefix, F.lit("__"), digest), "^__", "")
 
 
 def draw_key(seed: int, *cols: Column | str) -> Column:

@@ -46,9 +46,9 @@ def external_label_join(external: DataFrame, labels: DataFrame, codes: CodeSet)
 
 
 def prediction_label_join(predictions: DataFrame, eval_task: DataFrame) -> DataFrame:
-    """Each prediction with the label of its code, or null; all codes at once, matched by slug."""
-    labels = eval_task.select(*_TIME_KEY, "code_slug", "occurs")
-    return predictions.withColumn("code_slug", code_slug("code")).join(labels, [*_TIME_KEY, "code_slug"], "left")
+    """Each prediction with the label of its code, or null; all codes at once."""
+    labels = eval_task.select(*_TIME_KEY, F.col("query").alias("code"), "occurs")
+    return predictions.join(labels, [*_TIME_KEY, "code"], "left")
 
 
 def slug_filter(predictions: DataFrame, slugs: DataFrame) -> DataFrame:

@@ -47,13 +47,21 @@ def running(
 ) -> DataFrame:
     """Add running measures over the rows up to ``at`` (or, with ``ahead``, from ``at`` on) per key.
 
-    Keep ``rows`` to the columns that matter here and join others afterwards: cell summaries and row
-    windows then start from one and the same shuffle of ``rows``.
+    Rows without a key or a time are on no timeline and are left out. Keep ``rows`` to the columns that
+    matter here and join others afterwards: cell summaries and row windows then start from one and the
+    same shuffle of ``rows``.
     """
     cell_names = [f"_cell{i}" for i in range(len(cells))]
-    placed = rows.repartition(*keys, cell_start(micros(at), cells[-1]))
-    marked = placed.withColumn("_us", micros(at)).withColumns(
-        {name: cell_start("_us", width) for name, width in zip(cell_names, cells, strict=True)}
+
+    def cell(width: int) -> Column:
+        # Never null, so that the joins below add no null checks under the shared shuffle.
+        return F.coalesce(cell_start(micros(at), width), F.lit(0).cast("bigint"))
+
+    for column in (*keys, at):
+        rows = rows.where(F.col(column).isNotNull())
+    marked = rows.repartition(*keys, cell(cells[-1])).withColumns(
+        {"_us": micros(at)}
+        | {name: cell(width) for name, width in zip(cell_names, cells, strict=True)}
         | {f"_v_{m.name}": m.value for m in measures}
     )
 
@@ -101,7 +109,7 @@ def running(
 def next_event_time(probes: DataFrame, events: DataFrame, keys: list[str], at: str) -> DataFrame:
     """First event time of the same key strictly after ``at`` (null when there is none)."""
     marks = probes.select(*keys, F.col(at).alias("_at"), F.lit(True).alias("_probe")).distinct().unionByName(
-        events.select(*keys, F.col("time").alias("_at"), F.lit(False).alias("_probe")).distinct()
+        events.select(*keys, F.col("time").alias("_at"), F.lit(False).alias("_probe"))
     )
     event_us = F.when(~F.col("_probe"), micros("_at"))
     scanned = running(marks, keys, "_at", [Running("_next_us", event_us, "min", ties=False)], ahead=True)

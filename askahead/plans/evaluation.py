@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from askahead.functions import code_slug
 from askahead.operators.codesets import CodeSet, bucket_codes
 from askahead.operators.composite import composite_auroc, composite_with_labels
-from askahead.operators.evalsets import external_label_join, index_label_join, prediction_label_join, slug_filter
+from askahead.operators.evalsets import external_label_join, index_label_join, prediction_label_join
 from askahead.operators.metrics import auroc, auroc_two_head, nan_when_undefined
 from askahead.operators.sampling import sample_index_times
 
@@ -32,7 +32,8 @@ def auroc_per_code(predictions: DataFrame, eval_task: DataFrame) -> DataFrame:
     Codes without an evaluation table are left out; predictions without a label are counted in
     ``n_dropped``.
     """
-    joined = prediction_label_join(slug_filter(predictions, eval_task).drop("code_slug"), eval_task)
+    evaluated = eval_task.select(F.col("query").alias("code")).distinct()
+    joined = prediction_label_join(predictions.join(evaluated, "code", "left_semi"), eval_task)
     return auroc(joined, "occurs_probs", "occurs", ["code"]).withColumn("auroc", nan_when_undefined())
 
 

@@ -15,6 +15,8 @@ _RUNTIME = {
     # Split oversized join partitions even where that costs one more exchange above the join.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Collecting small arrays for many keys: hash first, sort only where a task has very many keys.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
     # A rerun of a write replaces only the partitions it produces.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
@@ -34,6 +36,8 @@ def local_session(cores: int | str = "*", app: str = "askahead", memory: str = "
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # Recording the Python call site of every column expression costs more than planning.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
         # Test tables are small: keep all cores busy instead of merging them into one partition.
