@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from askahead.catalog.base import (
     CLICK_LABELS,
+    DAYS_ORDERS,
     EXTERNAL,
     INDEX,
     INDEX_SEED,
+    MIN_ORDERS,
     OOD_CODES,
     ORDER_LABELS,
     PREDICTIONS,
@@ -19,6 +21,7 @@ from askahead.catalog.base import (
     log_sql,
     order_index,
     order_labels,
+    orders_log,
     predictions,
     query,
     rank_auroc,
@@ -47,11 +50,16 @@ EXT_TASK = f"""ext_task AS (SELECT subject_id, prediction_time, query, censored
 
 
 def eval_task(spark, sf):
-    return evalsets.index_label_join(order_index(spark, sf), order_labels(spark, sf), EVAL_CODES)
+    return evaluation.eval_tasks_from_log(orders_log(spark, sf), EVAL_CODES, DAYS_ORDERS, MIN_ORDERS, 1, INDEX_SEED)
 
 
 @query("index_label_join", log_sql(ORDER_LABELS, INDEX, EVAL_TASK, select="SELECT * FROM task"))
 def _index_join(spark, sf):
+    return evalsets.index_label_join(order_index(spark, sf), order_labels(spark, sf), EVAL_CODES)
+
+
+@query("eval_tasks_from_log", log_sql(ORDER_LABELS, INDEX, EVAL_TASK, select="SELECT * FROM task"))
+def _eval_from_log(spark, sf):
     return eval_task(spark, sf)
 
 

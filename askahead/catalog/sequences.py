@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from askahead.catalog.base import (
     CLICK_LABELS,
     CODES,
+    DAYS_CLICKS,
     INDEX,
     MIN_CLICKS,
     ORDER_LABELS,
@@ -15,7 +16,6 @@ from askahead.catalog.base import (
     V,
     VE,
     cand,
-    click_labels,
     click_vocab,
     clicks,
     external_cohort,
@@ -33,6 +33,7 @@ from askahead.operators import quality, sequences
 from askahead.operators.context import candidate_times
 from askahead.operators.labels import to_training_rows
 from askahead.operators.sampling import sample_per_subject
+from askahead.plans.labels import label_times
 from askahead.plans.model_input import model_input
 from askahead.sources.tables import code_vocab, scan_events
 
@@ -288,8 +289,9 @@ _INPUT = log_sql(
 
 
 def click_inputs(spark, sf, max_len: int = MAX_LEN) -> DataFrame:
-    labels = click_labels(spark, sf).join(_click_index(spark, sf), ["subject_id", "prediction_time"], "left_semi")
-    return model_input(to_training_rows(labels), clicks(spark, sf), click_vocab(spark, sf), max_len)
+    log, index = clicks(spark, sf), _click_index(spark, sf)
+    labels = to_training_rows(label_times(index, log, None, DAYS_CLICKS))
+    return model_input(labels, log, click_vocab(spark, sf), max_len, index)
 
 
 @query("model_input", _INPUT)

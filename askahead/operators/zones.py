@@ -106,21 +106,25 @@ def with_reach(
     events: DataFrame,
     codes: CodeSet | None,
     durations: list[int],
+    few_per_subject: bool = False,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Any prediction times × codes with ``reach_us``: the code occurs within d exactly when reach < t + d.
 
-    Valid for every d in ``durations``. Without ``codes``, all codes of the log are asked about.
+    Valid for every d in ``durations``. Without ``codes``, all codes of the log are asked about. For a
+    sample of times, ``few_per_subject`` saves the count that finds subjects to split.
     """
     width, horizon = _check(durations)
     profiles = _zone_profiles(_wanted_zones(events, width, codes), width, horizon).select("subject_id", "zone", "outlook")
     placed = candidates.withColumn("at_us", micros("prediction_time")).withColumn(
         "zone", cell_start("at_us", width * DAY_US)
     )
-    sizes = placed.groupBy("subject_id", "zone").agg(F.count("*").alias("n_rows"))
-    joined = join_to_unique(
-        placed, profiles, ["subject_id", "zone"], sizes, F.col("at_us"), "left", rows_per_task=rows_per_task
-    )
+    key = ["subject_id", "zone"]
+    if few_per_subject:
+        joined = placed.join(profiles, key, "left")
+    else:
+        sizes = placed.groupBy(*key).agg(F.count("*").alias("n_rows"))
+        joined = join_to_unique(placed, profiles, key, sizes, F.col("at_us"), "left", rows_per_task=rows_per_task)
     return _grid(joined.drop("zone"), codes_or_all(codes, events))
 
 

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from askahead.functions import code_slug
 from askahead.operators.codesets import CodeSet, bucket_codes
 from askahead.operators.composite import composite_auroc, composite_with_labels
+from askahead.operators.context import candidate_times
 from askahead.operators.evalsets import external_label_join, index_label_join, prediction_label_join
 from askahead.operators.metrics import auroc, auroc_two_head, nan_when_undefined
-from askahead.operators.sampling import sample_index_times
+from askahead.operators.sampling import sample_index_times, sample_per_subject
+from askahead.plans.labels import label_times
 
 
 def eval_task_tables(labels: DataFrame, codes: CodeSet, k: int = 1, seed: int = 43) -> DataFrame:
@@ -22,6 +24,27 @@ def eval_task_tables(labels: DataFrame, codes: CodeSet, k: int = 1, seed: int =
     return index_label_join(sample_index_times(times, k, seed), labels, codes)
 
 
+def eval_tasks_from_log(
+    events: DataFrame,
+    codes: CodeSet | None,
+    duration_days: int,
+    min_context: int = 50,
+    k: int = 1,
+    seed: int = 43,
+) -> DataFrame:
+    """The same tables straight from the event log: samples the index times first, then labels only those."""
+    index = sample_per_subject(candidate_times(events, min_context), ["subject_id", "prediction_time"], k, seed)
+    labels = label_times(index, events, codes, duration_days).where(F.col("occurs").isNotNull())
+    return labels.select(
+        "subject_id",
+        "prediction_time",
+        F.col("censored").alias("boolean_value"),
+        "query",
+        "occurs",
+        code_slug("query").alias("code_slug"),
+    )
+
+
 def external_task_tables(external: DataFrame, labels: DataFrame, codes: CodeSet) -> DataFrame:
     return external_label_join(external, labels, codes)
 

@@ -9,7 +9,7 @@ from askahead.operators.codesets import CodeSet, codes_or_all
 from askahead.operators.context import candidate_times, censor_flag, record_end
 from askahead.operators.labels import LABEL_COLUMNS, label_grid, null_when_censored, to_training_rows
 from askahead.operators.sampling import sample_grid, sample_per_subject
-from askahead.operators.zones import label_questions
+from askahead.operators.zones import label_questions, occurs_within, with_reach
 
 TRAINING_COLUMNS = ["subject_id", "prediction_time", "boolean_value", "occurs", "query", "duration_days"]
 
@@ -24,6 +24,23 @@ def label_table(
     return label_grid(events, codes, durations, min_context)
 
 
+def label_times(times: DataFrame, events: DataFrame, codes: CodeSet | None, duration_days: int) -> DataFrame:
+    """Label rows of given prediction times, such as a sample or a cohort, for all codes.
+
+    Work follows the given times: nothing is labelled that is not asked for.
+    """
+    # A few times per subject, so neither join has a large key.
+    known = times.select("subject_id", "prediction_time").distinct().join(record_end(events), "subject_id")
+    reach = with_reach(known, events, codes, [duration_days], few_per_subject=True)
+    return (
+        reach.withColumn("duration_days", F.lit(duration_days))
+        .withColumn("censored", censor_flag(duration_days))
+        .where(F.col("censored").isNotNull())
+        .withColumn("occurs", null_when_censored(occurs_within(duration_days)))
+        .select(*LABEL_COLUMNS)
+    )
+
+
 def label_sampled(questions: DataFrame, events: DataFrame, min_duration: int) -> DataFrame:
     """Labels of chosen (time, code, duration) questions that carry ``record_end_time``."""
     asked = (

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from askahead.operators.sequences import history_sequences, insert_duration_slot, label_roles, prepend_query
 
 
-def model_input(labels: DataFrame, events: DataFrame, vocab: DataFrame, max_len: int = 256) -> DataFrame:
+def model_input(
+    labels: DataFrame, events: DataFrame, vocab: DataFrame, max_len: int = 256, times: DataFrame | None = None
+) -> DataFrame:
     """One row per label row: roles, ``sequence`` with the query at position 0, and its masks.
 
     ``attention_mask`` has one more slot than the sequence: position 1 stands for the duration and is always
-    attended.
+    attended. ``times`` are the labels' prediction times, where the caller has them without the labels.
     """
-    histories = history_sequences(labels, events, vocab, max_len).select("subject_id", "prediction_time", "history")
+    histories = history_sequences(labels if times is None else times, events, vocab, max_len).select("subject_id", "prediction_time", "history")
     rows = label_roles(labels, vocab).join(histories, ["subject_id", "prediction_time"])
     return (
         rows.withColumn("sequence", prepend_query("history", "query_id"))

@@ -15,8 +15,6 @@ _RUNTIME = {
     # Split oversized join partitions even where that costs one more exchange above the join.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Collecting small arrays for many keys: hash first, sort only where a task has very many keys.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
     # A rerun of a write replaces only the partitions it produces.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }

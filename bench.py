@@ -26,6 +26,7 @@ HEADLINE = [
     "collate_sampled",
     "collate_sampled_parts",
     "eval_task_tables",
+    "eval_tasks_from_log",
     "external_task_tables",
     "auroc_per_code",
     "auroc_two_head",
