@@ -10,7 +10,7 @@ from askahead.functions.columns import DAY_US
 from askahead.operators.skew import ROWS_PER_TASK, join_to_unique
 from askahead.operators.timeline import Running, running
 
-# Spark prunes each task to the first k rows of a group before the shuffle up to this many rows.
+# Up to this many, Spark prunes each task to the first k rows of a group before the shuffle.
 _FIRST_K_LIMIT = 1000
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from askahead.functions import micros, years
 from askahead.functions.columns import DAY_US
+from askahead.operators.skew import join_to_unique
 from askahead.operators.timeline import Running, history_bound, running
 from askahead.schemas import PAD_INDEX
 
@@ -27,7 +28,9 @@ def encode_codes(rows: DataFrame, vocab: DataFrame, on: str = "code", to: str =
 
 def label_history_join(labels: DataFrame, events: DataFrame) -> DataFrame:
     """Labels of subjects that have a history; the others drop out."""
-    return labels.join(events.select("subject_id").distinct(), "subject_id", "left_semi")
+    subjects = events.select("subject_id").distinct()
+    sizes = labels.groupBy("subject_id").agg(F.count("*").alias("n_rows"))
+    return join_to_unique(labels, subjects, ["subject_id"], sizes, F.col("prediction_time"), "left_semi")
 
 
 def passthrough_columns(labels: DataFrame) -> list[str]:
@@ -75,25 +78,29 @@ def event_tokens(events: DataFrame, vocab: DataFrame, max_len: int) -> DataFrame
 
 
 def token_positions(probes: DataFrame, events: DataFrame, max_len: int) -> DataFrame:
-    """Running token count at every event time and at every probe; ``before_us`` is the event time before.
+    """Running token count at every event time and probe; ``before_us`` is the event time before.
 
-    A time counts at most ``max_len`` tokens, the ones ``event_tokens`` keeps.
+    A time counts at most ``max_len`` tokens, the ones ``event_tokens`` keeps. Probes of subjects without
+    events drop out.
     """
     timed = events.where(F.col("time").isNotNull())
     sizes = timed.groupBy("subject_id", "time").agg(F.count("*").alias("n_tokens"))
     asked = (
-        label_history_join(probes.select(*_TIME_KEY).distinct(), timed)
-        .select("subject_id", F.col("prediction_time").alias("time"), F.lit(None).cast("bigint").alias("n_tokens"))
+        probes.select("subject_id", F.col("prediction_time").alias("time"))
+        .distinct()
+        .withColumn("n_tokens", F.lit(None).cast("bigint"))
     )
-    return running(
+    placed = running(
         sizes.unionByName(asked),
         ["subject_id"],
         "time",
         [
             Running("end", F.least(F.coalesce("n_tokens", F.lit(0)), F.lit(max_len))),
             Running("before_us", F.when(F.col("n_tokens").isNotNull(), micros("time")), "max", ties=False),
+            Running("_events", F.coalesce("n_tokens", F.lit(0)), whole=True),
         ],
     )
+    return placed.where(F.col("_events") > 0).drop("_events")
 
 
 def history_sequences(

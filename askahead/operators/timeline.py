@@ -21,12 +21,16 @@ CELLS = (DAY_US, SECOND_US)
 
 @dataclass(frozen=True)
 class Running:
-    """One running column: ``sum``, ``max`` or ``min`` of ``value``, with or without ties at the row."""
+    """One running column: ``sum``, ``max`` or ``min`` of ``value``, with or without ties at the row.
+
+    With ``whole`` it covers all rows of the key instead.
+    """
 
     name: str
     value: Column
     fold: str = "sum"
     ties: bool = True
+    whole: bool = False
 
     def aggregate(self, col: Column | str) -> Column:
         return {"sum": F.sum, "max": F.max, "min": F.min}[self.fold](col)
@@ -81,13 +85,18 @@ def running(
         w = Window.partitionBy(*enclosing).orderBy(cell_names[depth])
         w = w.rowsBetween(1, Window.unboundedFollowing) if ahead else w.rowsBetween(Window.unboundedPreceding, -1)
         grain = [*enclosing, cell_names[depth]]
-        level = summary.select(*grain, *[m.aggregate(f"_v_{m.name}").over(w).alias(f"_n_{m.name}") for m in measures])
         if outside is None:
-            outside = level.select(*grain, *[F.col(f"_n_{m.name}").alias(f"_o_{m.name}") for m in measures])
+            over = {m.name: Window.partitionBy(*keys) if m.whole else w for m in measures}
+            outside = summary.select(
+                *grain, *[m.aggregate(f"_v_{m.name}").over(over[m.name]).alias(f"_o_{m.name}") for m in measures]
+            )
         else:
+            partial = [m for m in measures if not m.whole]
+            level = summary.select(*grain, *[m.aggregate(f"_v_{m.name}").over(w).alias(f"_n_{m.name}") for m in partial])
             outside = level.join(outside, enclosing).select(
                 *grain,
-                *[m.merge(F.col(f"_n_{m.name}"), F.col(f"_o_{m.name}")).alias(f"_o_{m.name}") for m in measures],
+                *[m.merge(F.col(f"_n_{m.name}"), F.col(f"_o_{m.name}")).alias(f"_o_{m.name}") for m in partial],
+                *[f"_o_{m.name}" for m in measures if m.whole],
             )
 
     within = Window.partitionBy(*keys, cell_names[-1]).orderBy("_us")
@@ -98,18 +107,21 @@ def running(
             return within.rangeBetween(edge, Window.unboundedFollowing)
         return within.rangeBetween(Window.unboundedPreceding, -edge)
 
-    inside = marked.withColumns({f"_i_{m.name}": m.aggregate(f"_v_{m.name}").over(frame(m)) for m in measures})
-    joined = inside.join(outside.drop(*cell_names[:-1]), [*keys, cell_names[-1]], "left")
-    return joined.select(
-        *rows.columns,
-        *[m.merge(F.col(f"_i_{m.name}"), F.col(f"_o_{m.name}")).alias(m.name) for m in measures],
+    inside = marked.withColumns(
+        {f"_i_{m.name}": m.aggregate(f"_v_{m.name}").over(frame(m)) for m in measures if not m.whole}
     )
+    joined = inside.join(outside.drop(*cell_names[:-1]), [*keys, cell_names[-1]], "left")
+
+    def result(m: Running) -> Column:
+        return F.col(f"_o_{m.name}") if m.whole else m.merge(F.col(f"_i_{m.name}"), F.col(f"_o_{m.name}"))
+
+    return joined.select(*rows.columns, *[result(m).alias(m.name) for m in measures])
 
 
 def next_event_time(probes: DataFrame, events: DataFrame, keys: list[str], at: str) -> DataFrame:
     """First event time of the same key strictly after ``at`` (null when there is none)."""
     marks = probes.select(*keys, F.col(at).alias("_at"), F.lit(True).alias("_probe")).distinct().unionByName(
-        events.select(*keys, F.col("time").alias("_at"), F.lit(False).alias("_probe"))
+        events.select(*keys, F.col("time").alias("_at"), F.lit(False).alias("_probe")).distinct()
     )
     event_us = F.when(~F.col("_probe"), micros("_at"))
     scanned = running(marks, keys, "_at", [Running("_next_us", event_us, "min", ties=False)], ahead=True)
@@ -124,8 +136,10 @@ def history_bound(probes: DataFrame, events: DataFrame, keys: list[str], at: str
     Subjects without any event drop out, as in an inner join with the history.
     """
     times = events.where(F.col("time").isNotNull()).select(*keys, F.col("time").alias("_at")).distinct()
-    marks = probes.join(times.select(*keys).distinct(), keys, "left_semi").select(
-        *keys, F.col(at).alias("_at"), F.lit(0).alias("_n")
-    ).distinct().unionByName(times.withColumn("_n", F.lit(1)))
-    scanned = running(marks, keys, "_at", [Running("end_event_index", F.col("_n"))])
-    return scanned.where("_n = 0").select(*keys, F.col("_at").alias(at), "end_event_index")
+    marks = (
+        probes.select(*keys, F.col(at).alias("_at"), F.lit(0).alias("_n")).distinct()
+        .unionByName(times.withColumn("_n", F.lit(1)))
+    )
+    n = F.col("_n")
+    scanned = running(marks, keys, "_at", [Running("end_event_index", n), Running("_times", n, whole=True)])
+    return scanned.where("_n = 0 AND _times > 0").select(*keys, F.col("_at").alias(at), "end_event_index")

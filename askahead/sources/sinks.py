@@ -1,4 +1,8 @@
-"""Writers. Partitioned tables are overwritten partition by partition, so a rerun after a failure is safe."""
+"""Writers. Partitioned tables are overwritten partition by partition, so a rerun after a failure is safe.
+
+Before a partitioned write rows are rebalanced by the partition columns: few files per partition, and a
+partition that holds much of the data is split over several tasks.
+"""
 
 from __future__ import annotations
 
@@ -34,6 +38,7 @@ def write_label_table(labels: DataFrame, path: str, durations: list[int], splits
     todo = spark.createDataFrame(missing, "duration_days int, split string")
     (
         labels.join(todo, keys, "left_semi")
+        .hint("rebalance", *keys)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys)
@@ -64,7 +69,7 @@ def write_collated(rows: DataFrame, root: str, fingerprint: str) -> str:
     """Training rows per split below a folder named by the configuration; kept when already complete."""
     path = f"{root}/collated/{fingerprint}"
     try:
-        rows.write.mode("errorifexists").partitionBy("split").parquet(path)
+        rows.hint("rebalance", "split").write.mode("errorifexists").partitionBy("split").parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_ALREADY_EXISTS":
             raise
@@ -72,8 +77,9 @@ def write_collated(rows: DataFrame, root: str, fingerprint: str) -> str:
 
 
 def write_per_code(rows: DataFrame, path: str) -> str:
-    """One dataset per code in a single job."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("code_slug").parquet(path)
+    """One dataset per code in a single job; codes with many rows get several files."""
+    balanced = rows.hint("rebalance", "code_slug").write.mode("overwrite")
+    balanced.option("partitionOverwriteMode", "dynamic").partitionBy("code_slug").parquet(path)
     return path
 
 
