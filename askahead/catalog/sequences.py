@@ -35,6 +35,7 @@ from askahead.operators.labels import to_training_rows
 from askahead.operators.sampling import sample_per_subject
 from askahead.plans.labels import label_times
 from askahead.plans.model_input import model_input
+from askahead.session import checkpointed
 from askahead.sources.tables import code_vocab, scan_events
 
 KEY = "subject_id, prediction_time"
@@ -289,7 +290,8 @@ _INPUT = log_sql(
 
 
 def click_inputs(spark, sf, max_len: int = MAX_LEN) -> DataFrame:
-    log, index = clicks(spark, sf), _click_index(spark, sf)
+    # The sample feeds labels and histories; it is small, so it is computed once.
+    log, index = clicks(spark, sf), checkpointed(_click_index(spark, sf))
     labels = to_training_rows(label_times(index, log, None, DAYS_CLICKS))
     return model_input(labels, log, click_vocab(spark, sf), max_len, index)
 

@@ -82,8 +82,8 @@ def _write_index(spark, sf):
     path = sinks.write_index_times(
         sample_index_times(order_candidates(spark, sf), 1, INDEX_SEED), fresh_path(spark, "eval"), "orders", 1, INDEX_SEED
     )
-    meta = spark.read.schema("sample_times_per_subject int, seed int").json(f"{path}/meta")
-    return spark.read.parquet(f"{path}/held_out").join(meta, F.lit(INDEX_SEED) == F.col("seed"))
+    meta = spark.read.schema("sample_times_per_subject int, seed int").json(f"{path}/meta").first()
+    return spark.read.parquet(f"{path}/held_out").withColumns({name: F.lit(meta[name]) for name in meta.asDict()})
 
 
 @query("write_csv_metrics", _PER_CODE)

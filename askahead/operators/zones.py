@@ -21,10 +21,12 @@ from askahead.operators.skew import ROWS_PER_TASK, join_to_unique
 
 def zone_map(events: DataFrame, width_days: int) -> DataFrame:
     """First and last time of each code per subject and zone; combined before the shuffle."""
+    # Key columns that cannot be null: joins on them then add no filters below the shuffle.
+    zone = F.coalesce(cell_start("_us", width_days * DAY_US), F.lit(0).cast("bigint"))
     return (
-        events.where(F.col("time").isNotNull())
+        events.where(F.col("time").isNotNull() & F.col("subject_id").isNotNull())
         .withColumn("_us", micros("time"))
-        .withColumn("zone", cell_start("_us", width_days * DAY_US))
+        .withColumn("zone", zone)
         .groupBy("subject_id", "code", "zone")
         .agg(F.min("_us").alias("first_us"), F.max("_us").alias("last_us"), F.count("*").alias("n_rows"))
     )
@@ -143,8 +145,9 @@ def eligible_with_reach(
     width, horizon = _check(durations)
     width_us = width * DAY_US
     timed = events.where(F.col("time").isNotNull())
+    zones = _wanted_zones(timed, width, codes)
     profiles = (
-        _zone_profiles(_wanted_zones(timed, width, codes), width, horizon)
+        _zone_profiles(zones, width, horizon)
         .where(F.col("n_rows").isNotNull())
         .withColumn("record_end_us", F.max("zone_end_us").over(Window.partitionBy("subject_id")))
         .drop("n_rows", "zone_end_us")
@@ -156,10 +159,11 @@ def eligible_with_reach(
         profiles = profiles.withColumn("start_us", F.col("zone"))
     zone = cell_start("at_us", width_us)
     times = timed.select("subject_id", micros("time").alias("at_us")).distinct().withColumn("zone", zone)
+    # The condition always holds; it keeps the columns that make this the same shuffle as the profiles'.
     sizes = (
-        timed.select("subject_id", cell_start(micros("time"), width_us).alias("zone"))
+        zones.where((F.col("first_us") <= F.col("last_us")) & F.col("_wanted").isNotNull())
         .groupBy("subject_id", "zone")
-        .agg(F.count("*").alias("n_rows"))
+        .agg(F.sum("n_rows").alias("n_rows"))
     )
     joined = join_to_unique(
         times, profiles, ["subject_id", "zone"], sizes, F.col("at_us"), rows_per_task=rows_per_task

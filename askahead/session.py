@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _RUNTIME = {
     # Naive timestamps are converted to epoch microseconds through the session zone.
@@ -64,6 +64,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The table, computed once and kept in the shared folder; for small tables that feed several branches."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint()
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder, unique to this call."""
     return f"{shared_dir(spark)}/askahead/{uuid.uuid4().hex}/{name}"
