@@ -78,12 +78,16 @@ def running(
         )
         summaries.insert(0, source)
 
+    # Frames always grow from the start of the order: one that shrinks towards the end would be
+    # recomputed for every row. Looking ahead therefore means running through time backwards.
+    sign = -1 if ahead else 1
+
     # What lies outside the row's cell: the other cells of the enclosing cell, level by level.
     outside: DataFrame | None = None
     for depth, summary in enumerate(summaries):
         enclosing = [*keys, *cell_names[:depth]]
-        w = Window.partitionBy(*enclosing).orderBy(cell_names[depth])
-        w = w.rowsBetween(1, Window.unboundedFollowing) if ahead else w.rowsBetween(Window.unboundedPreceding, -1)
+        in_order = Window.partitionBy(*enclosing).orderBy(F.col(cell_names[depth]) * sign)
+        w = in_order.rowsBetween(Window.unboundedPreceding, -1)
         grain = [*enclosing, cell_names[depth]]
         if outside is None:
             over = {m.name: Window.partitionBy(*keys) if m.whole else w for m in measures}
@@ -99,13 +103,10 @@ def running(
                 *[f"_o_{m.name}" for m in measures if m.whole],
             )
 
-    within = Window.partitionBy(*keys, cell_names[-1]).orderBy("_us")
+    within = Window.partitionBy(*keys, cell_names[-1]).orderBy(F.col("_us") * sign)
 
     def frame(m: Running):
-        edge = 0 if m.ties else 1
-        if ahead:
-            return within.rangeBetween(edge, Window.unboundedFollowing)
-        return within.rangeBetween(Window.unboundedPreceding, -edge)
+        return within.rangeBetween(Window.unboundedPreceding, 0 if m.ties else -1)
 
     inside = marked.withColumns(
         {f"_i_{m.name}": m.aggregate(f"_v_{m.name}").over(frame(m)) for m in measures if not m.whole}
