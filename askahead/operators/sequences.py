@@ -100,7 +100,10 @@ def token_positions(probes: DataFrame, events: DataFrame, max_len: int) -> DataF
             Running("_events", F.coalesce("n_tokens", F.lit(0)), whole=True),
         ],
     )
-    return placed.where(F.col("_events") > 0).drop("_events")
+    # The second condition always holds. It makes both uses of this table need the same columns, and so
+    # share the shuffles behind them.
+    earlier = F.coalesce(F.col("before_us") < micros("time"), F.lit(True))
+    return placed.where((F.col("_events") > 0) & earlier).drop("_events")
 
 
 def history_sequences(

@@ -80,6 +80,17 @@ def _check(durations: list[int]) -> tuple[int, int]:
     return min(durations), max(durations)
 
 
+def _sparse(rows: DataFrame, entries: str = "outlook") -> DataFrame:
+    """One row per entry of the outlook."""
+    reach = F.when(F.col("last_us") > F.col("at_us"), F.col("at_us")).otherwise(F.col("next_us"))
+    return (
+        rows.select("*", F.inline(entries))
+        .withColumn("reach_us", reach)
+        .withColumnRenamed("code", "query")
+        .drop(entries, "last_us", "next_us")
+    )
+
+
 def _grid(rows: DataFrame, codes: CodeSet) -> DataFrame:
     """One row per code: ``outlook`` entries, and an empty entry for each code it does not have.
 
@@ -93,14 +104,7 @@ def _grid(rows: DataFrame, codes: CodeSet) -> DataFrame:
         lambda c: F.struct(c.alias("code"), never.alias("last_us"), never.alias("next_us")),
     )
     filled = rows.withColumn("_codes", codes_array(codes)).withColumn("_cells", F.concat(known, absent))
-    reach = F.when(F.col("last_us") > F.col("at_us"), F.col("at_us")).otherwise(F.col("next_us"))
-    return (
-        filled.drop("outlook", "_codes")
-        .select("*", F.inline("_cells"))
-        .withColumn("reach_us", reach)
-        .withColumnRenamed("code", "query")
-        .drop("_cells", "last_us", "next_us")
-    )
+    return _sparse(filled.drop("outlook", "_codes"), "_cells")
 
 
 def with_reach(
@@ -109,25 +113,28 @@ def with_reach(
     codes: CodeSet | None,
     durations: list[int],
     few_per_subject: bool = False,
+    dense: bool = True,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Any prediction times × codes with ``reach_us``: the code occurs within d exactly when reach < t + d.
 
     Valid for every d in ``durations``. Without ``codes``, all codes of the log are asked about. For a
-    sample of times, ``few_per_subject`` saves the count that finds subjects to split.
+    sample of times, ``few_per_subject`` saves the count that finds subjects to split. Unless ``dense``,
+    codes that surely do not occur have no row.
     """
     width, horizon = _check(durations)
     profiles = _zone_profiles(_wanted_zones(events, width, codes), width, horizon).select("subject_id", "zone", "outlook")
     placed = candidates.withColumn("at_us", micros("prediction_time")).withColumn(
         "zone", cell_start("at_us", width * DAY_US)
     )
-    key = ["subject_id", "zone"]
+    key, how = ["subject_id", "zone"], "left" if dense else "inner"
     if few_per_subject:
-        joined = placed.join(profiles, key, "left")
+        joined = placed.join(profiles, key, how)
     else:
         sizes = placed.groupBy(*key).agg(F.count("*").alias("n_rows"))
-        joined = join_to_unique(placed, profiles, key, sizes, F.col("at_us"), "left", rows_per_task=rows_per_task)
-    return _grid(joined.drop("zone"), codes_or_all(codes, events))
+        joined = join_to_unique(placed, profiles, key, sizes, F.col("at_us"), how, rows_per_task=rows_per_task)
+    joined = joined.drop("zone")
+    return _grid(joined, codes_or_all(codes, events)) if dense else _sparse(joined)
 
 
 def eligible_with_reach(
@@ -182,7 +189,7 @@ def occurs_within(duration: Column | int) -> Column:
 def occurrences(candidates: DataFrame, events: DataFrame, duration_days: int, codes: CodeSet | None) -> DataFrame:
     """The (candidate, code) pairs for which the code occurs: the matches of the interval join."""
     return (
-        with_reach(candidates, events, codes, [duration_days])
+        with_reach(candidates, events, codes, [duration_days], dense=False)
         .where(occurs_within(duration_days))
         .select(*candidates.columns, "query")
     )
