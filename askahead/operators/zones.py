@@ -21,10 +21,10 @@ from askahead.operators.skew import ROWS_PER_TASK, join_to_unique
 
 def zone_map(events: DataFrame, width_days: int) -> DataFrame:
     """First and last time of each code per subject and zone; combined before the shuffle."""
-    # Key columns that cannot be null: joins on them then add no filters below the shuffle.
+    # Never null, so that joins on it add no filter below the shuffle.
     zone = F.coalesce(cell_start("_us", width_days * DAY_US), F.lit(0).cast("bigint"))
     return (
-        events.where(F.col("time").isNotNull() & F.col("subject_id").isNotNull())
+        events.where(F.col("time").isNotNull())
         .withColumn("_us", micros("time"))
         .withColumn("zone", zone)
         .groupBy("subject_id", "code", "zone")
@@ -151,7 +151,8 @@ def eligible_with_reach(
     """
     width, horizon = _check(durations)
     width_us = width * DAY_US
-    timed = events.where(F.col("time").isNotNull())
+    # Filtering subjects here, and not only in the joins below, lets all branches share one zone shuffle.
+    timed = events.where(F.col("time").isNotNull() & F.col("subject_id").isNotNull())
     zones = _wanted_zones(timed, width, codes)
     profiles = (
         _zone_profiles(zones, width, horizon)
