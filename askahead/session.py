@@ -46,22 +46,17 @@ def local_session(cores: int | str = "*", app: str = "askahead", memory: str = "
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="askahead-"))
     return configure(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: the cluster's checkpoint folder.
-
-    A machine-local folder is only chosen where none is configured and the session is local.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else the context's checkpoint folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="askahead-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
