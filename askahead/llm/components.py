@@ -32,7 +32,7 @@ def _stars(links: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node with an edge to another, root being the smallest node it reaches.
 
-    ``edges`` has integer columns a and b in any direction; loops and repeats are allowed. Each round is stored, and
+    ``edges`` has columns a and b of any type with an order, in any direction; loops and repeats are allowed. Each round is stored, and
     the rounds end when the set of links no longer changes, which takes a logarithmic number of them also on chains.
     An empty table gives an empty one.
     """

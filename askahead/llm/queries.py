@@ -5,8 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from askahead.llm import decontaminate, simhash, sql
+from askahead.llm import (
+    arc_warc,
+    decontaminate,
+    exact_dedup,
+    line_dedup,
+    packing,
+    pii,
+    quality,
+    secrets,
+    simhash,
+    sql,
+    token_files,
+)
 from askahead.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,3 +48,58 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     ).drop("spans")
+
+
+def token_file(name: str) -> str:
+    """Path of a public tokenizer's vocabulary; applications pass their own path to the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op3_token_files")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return token_files.read_tokens(*token_files.write_tokens(documents, token_file("word_bpe_49k.json")))
+
+
+@query("op4_line_dedup", sql.LINE_DEDUP)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op5_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return packing.with_checksums(packing.pack(documents, token_file("byte_bpe_50k.json")))
+
+
+@query("op6_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op7_exact_dedup", sql.EXACT_DEDUP)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(read_table(spark, sf_dir, "documents")).drop("_rid")
+
+
+@query("op8_arc_to_warc", sql.WARC)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc_warc.pages_through_warc(read_table(spark, sf_dir, "pages"))
+
+
+@query("op9_secrets")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.scan(documents, secrets.train(documents)))
+
+
+# Stands in for a secret kept outside the code; the query only shows the operator.
+DEMO_KEY = b"demonstration key"
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(pii.replace_pii(read_table(spark, sf_dir, "documents"), DEMO_KEY))

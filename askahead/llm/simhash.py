@@ -2,8 +2,7 @@
 
 Fingerprints within the radius r share at least one of r + 1 bit blocks exactly. So one shard holds the fingerprints
 that agree on one block, and its BK-tree finds all partners there; no fingerprint meets the rest of the corpus. Shards
-with more members than ``max_tree`` are divided again by blocks of their remaining bits, which loses no partner. As the
-bits left free get fewer with each division, a tree is bounded by construction.
+with more members than ``max_tree`` are divided again by blocks of their remaining bits, which loses no partner.
 
 All trees together grow with the corpus, so they are not broadcast from the driver: a shuffle brings each shard to the
 task that builds its tree and searches it.
@@ -11,7 +10,9 @@ task that builds its tree and searches it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,43 +25,73 @@ from askahead.llm.components import components
 
 BITS, SEED = 64, 42
 _BLOCK = 1 << 15
+_MAX_MASKS = 400
 
 
-def fingerprint(text: bytes | None, words_per_shingle: int = 3) -> int:
+def fingerprint(text: bytes | None, words_per_shingle: int = 3, distinct: bool = False) -> int:
     """Unsigned 64-bit SimHash of the XXH64 of all word shingles, repeats included; no words give zero.
 
-    A-Z count as lower case, words are separated by ASCII white space. Fewer words than a shingle form one shingle.
+    A-Z count as lower case, words are separated by ASCII white space. Fewer words than a shingle form one shingle. With
+    ``distinct`` each shingle counts once.
     """
     words = (text or b"").lower().split()
     if not words:
         return 0
     k = min(words_per_shingle, len(words))
+    if distinct:
+        grams = list({b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)})
+        return _majority(grams[at : at + _BLOCK] for at in range(0, len(grams), _BLOCK))
     n = len(words) - k + 1
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, _BLOCK):
-        part = words[at : min(n, at + _BLOCK) + k - 1]
-        grams = map(b" ".join, zip(*(part[i:] for i in range(k)), strict=False))
-        hashes = np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], "<u8")
+    return _majority(
+        map(b" ".join, zip(*(words[at + i : min(n, at + _BLOCK) + i] for i in range(k)), strict=False))
+        for at in range(0, n, _BLOCK)
+    )
+
+
+def _majority(blocks: Iterable[Iterable[bytes]]) -> int:
+    """The bits that are set in over half of the hashes."""
+    counts, n = np.zeros(BITS, np.int64), 0
+    for block in blocks:
+        hashes = np.array([xxhash.xxh64_intdigest(g, SEED) for g in block], "<u8")
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(words_per_shingle: int):
+@dataclass(frozen=True)
+class Likeness:
+    """When two documents are linked: their fingerprints of ``words``-word shingles differ in at most ``radius`` bits.
+
+    With ``check_words`` a second fingerprint, of shingles of that many words, must not differ in more than
+    ``check_bits``; the cosine it estimates is cos(pi * bits / 64).
+    """
+
+    words: int = 3
+    radius: int = 2
+    distinct: bool = False
+    check_words: int | None = None
+    check_bits: int = 0
+
+
+def _fingerprints(like: Likeness):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t, words_per_shingle) for t in batch.column(0).to_pylist()]
-            column = pa.array(np.array(found, np.uint64).view(np.int64))
+            texts = batch.column(0).to_pylist()
+            prints = [fingerprint(t, like.words, like.distinct) for t in texts]
+            checks = [fingerprint(t, like.check_words) if like.check_words else 0 for t in texts]
+            columns = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (prints, checks)]
             rest = [batch.column(i) for i in range(1, batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([column, *rest], ["fp", *batch.schema.names[1:]])
+            yield pa.RecordBatch.from_arrays([*columns, *rest], ["fp", "check", *batch.schema.names[1:]])
 
     return run
 
 
-def fingerprints(docs: DataFrame, carry: list[str], text: str = "text", words_per_shingle: int = 3) -> DataFrame:
-    """(fp, carried columns) per document, fp being the fingerprint as a signed long."""
-    fields = ", ".join(["fp bigint", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)])
-    return docs.select(text_bytes(text).alias("_text"), *carry).mapInArrow(_fingerprints(words_per_shingle), fields)
+def fingerprints(docs: DataFrame, carry: list[str], like: Likeness, text: str = "text") -> DataFrame:
+    """(fp, check, carried columns) per document, both fingerprints as signed longs."""
+    kinds = (f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    fields = ", ".join(["fp bigint", "check bigint", *kinds])
+    return docs.select(text_bytes(text).alias("_text"), *carry).mapInArrow(_fingerprints(like), fields)
 
 
 class BKTree:
@@ -70,13 +101,14 @@ class BKTree:
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
 
-    def add(self, value: int) -> int:
-        """Insert a fingerprint and return its node; equal fingerprints share one."""
-        node = 0
+    def add(self, value: int) -> list[int]:
+        """Insert a fingerprint; returns the nodes from the root to its own. Equal fingerprints share a node."""
+        path, node = [], 0
         while self.values:
+            path.append(node)
             distance = (self.values[node] ^ value).bit_count()
             if distance == 0:
-                return node
+                return path
             below = self.children[node].get(distance)
             if below is None:
                 self.children[node][distance] = len(self.values)
@@ -84,25 +116,35 @@ class BKTree:
             node = below
         self.values.append(value)
         self.children.append({})
-        return len(self.values) - 1
+        return [*path, len(self.values) - 1]
 
-    def within(self, value: int, radius: int) -> list[int]:
-        """Nodes at most ``radius`` away, following only edges that the triangle inequality leaves open."""
-        found, open_nodes = [], [0] if self.values else []
+    def within(self, value: int, radius: int, skip: Callable[[int], bool] = lambda node: False) -> Iterator[int]:
+        """Nodes at most ``radius`` away, following only edges that the triangle inequality leaves open.
+
+        Subtrees for whose top node ``skip`` is true when they are reached are left out.
+        """
+        open_nodes = [0] if self.values else []
         while open_nodes:
             node = open_nodes.pop()
+            if skip(node):
+                continue
             distance = (self.values[node] ^ value).bit_count()
             if distance <= radius:
-                found.append(node)
+                yield node
             for edge, below in self.children[node].items():
                 if distance - radius <= edge <= distance + radius:
                     open_nodes.append(below)
-        return found
 
 
-def tree_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """(value, smallest value of its group) for the linked members of one shard."""
-    tree, parent = BKTree(), []
+def shard_links(prints: list[int], checks: list[int], like: Likeness) -> list[tuple[int, int]]:
+    """(member, first member of its group) for the linked members of one shard, as positions.
+
+    Subtrees that lie in the group a new member has joined already are not searched, so a dense group costs about as
+    much as its number of members.
+    """
+    tree, parent = BKTree(), list(range(len(prints)))
+    members: list[list[int]] = []
+    one_group: list[bool] = []  # all members of the subtree were in the group of its top node when they came
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -110,33 +152,45 @@ def tree_links(values: list[int], radius: int) -> list[tuple[int, int]]:
             i = parent[i]
         return i
 
-    for value in values:
-        near = tree.within(value, radius)
-        node = tree.add(value)
-        if node == len(parent):
-            parent.append(node)
-        for other in near:
-            a, b = root(node), root(other)
-            parent[max(a, b)] = min(a, b)
-    return [(tree.values[i], tree.values[root(i)]) for i in range(len(parent)) if root(i) != i]
+    for i, (value, check) in enumerate(zip(prints, checks, strict=True)):
+
+        def settled(node: int, i: int = i) -> bool:
+            return one_group[node] and root(members[node][0]) == root(i)
 
+        for node in tree.within(value, like.radius, settled):
+            for other in members[node]:
+                if (checks[other] ^ check).bit_count() <= like.check_bits:
+                    a, b = root(i), root(other)
+                    parent[max(a, b)] = min(a, b)
+        *above, node = tree.add(value)
+        if node == len(members):
+            members.append([])
+            one_group.append(True)
+        for top in [*above, node]:
+            one_group[top] = one_group[top] and (not members[top] or root(members[top][0]) == root(i))
+        members[node].append(i)
+    return [(i, root(i)) for i in range(len(prints)) if root(i) != i]
 
-def _shard_links(radius: int):
+
+def _links(like: Likeness):
     """Trees over rows sorted by shard (mask, value); a shard that crosses a batch border is carried on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.empty((3, 0), np.int64)
+        rest = np.empty((4, 0), np.int64)
 
         def links(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-            pairs = []
+            a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for i in np.flatnonzero(ends - starts > 1):
-                pairs += tree_links(rows[2, starts[i] : ends[i]].view(np.uint64).tolist(), radius)
-            sides = np.array(pairs, np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(sides[:, 0]), pa.array(sides[:, 1])], ["a", "b"])
+                part = rows[2:, starts[i] : ends[i]].view(np.uint64).tolist()
+                pairs = np.array(shard_links(*part, like), np.int64).reshape(-1, 2) + starts[i]
+                a.append(pairs[:, 0])
+                b.append(pairs[:, 1])
+            sides = [rows[2:, np.concatenate(x)] for x in (a, b)]
+            columns = [pa.array(c) for side in sides for c in side]
+            return pa.RecordBatch.from_arrays(columns, ["fp", "check", "fp2", "check2"])
 
         for batch in batches:
-            new = np.stack([c.to_numpy() for c in batch.columns])
-            rows = np.concatenate([rest, new], axis=1)
+            rows = np.concatenate([rest, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
             changes = np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0)) + 1
             if changes.size:
                 starts = np.concatenate([[0], changes[:-1]])
@@ -161,42 +215,32 @@ def divide(mask: int, radius: int) -> list[int]:
 
 
 def shards(distinct: DataFrame, radius: int, max_tree: int) -> DataFrame:
-    """(mask, value, fp): every fingerprint once per shard; two within the radius meet in one shard at least.
+    """(mask, value, fp, check): every fingerprint once per shard; two within the radius meet in one shard at least.
 
     A shard is the set of fingerprints that agree on the bits of a mask. Shards above ``max_tree`` go on to longer
-    masks; with at most log2(max_tree) free bits no shard can be larger.
+    masks, until the masks leave so few bits free that none can be larger, or number ``_MAX_MASKS``.
     """
     masks = divide(0, radius)
     value = F.col("fp").bitwiseAND(F.col("mask"))
-    rows = distinct.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask"))
+    rows = distinct.select("fp", "check", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask"))
     done = []
     while True:
-        rows = rows.select("mask", value.alias("value"), "fp")
-        splittable = [m for m in masks if 1 << (BITS - m.bit_count()) > max_tree]
-        if not splittable:
-            done.append(rows)
+        rows = rows.select("mask", value.alias("value"), "fp", "check")
+        if len(masks) > _MAX_MASKS or all(1 << (BITS - m.bit_count()) <= max_tree for m in masks):
             break
         large = stored(rows.groupBy("mask", "value").count().where(F.col("count") > max_tree), "large_shards")
         if large.isEmpty():
-            done.append(rows)
             break
         marked = rows.join(large, ["mask", "value"], "left")
-        done.append(marked.where(F.col("count").isNull()).select("mask", "value", "fp"))
+        done.append(marked.where(F.col("count").isNull()).select("mask", "value", "fp", "check"))
         children = {m: divide(m, radius) for m in masks}
-        table = F.create_map(
-            *(F.lit(x) if isinstance(x, int) else x
-              for m, c in children.items()
-              for x in (_signed(m), F.array(*(F.lit(_signed(y)) for y in c))))
-        )
-        rows = stored(
-            marked.where(F.col("count").isNotNull()).select("fp", F.explode(table[F.col("mask")]).alias("mask")),
-            "divided_shards",
-        )
+        entries = [
+            x for m, c in children.items() for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(y)) for y in c)))
+        ]
+        deeper = F.explode(F.create_map(*entries)[F.col("mask")]).alias("mask")
+        rows = stored(marked.where(F.col("count").isNotNull()).select("fp", "check", deeper), "divided_shards")
         masks = sorted({y for c in children.values() for y in c})
-    out = done[0]
-    for more in done[1:]:
-        out = out.union(more)
-    return out
+    return reduce(DataFrame.union, [*done, rows])
 
 
 def near_groups(
@@ -204,39 +248,40 @@ def near_groups(
     carry: list[str] | None = None,
     id_col: str = "doc_id",
     text: str = "text",
-    words_per_shingle: int = 3,
-    radius: int = 2,
-    max_tree: int = 1024,
+    like: Likeness | None = None,
+    max_tree: int = 256,
 ) -> DataFrame:
     """(id, fingerprint, component_id, root, carried columns): one row per document.
 
-    Documents whose fingerprints differ in at most ``radius`` bits are linked; ``component_id`` is the smallest id
-    reachable over links, itself included, and ``root`` (16 hex digits) names the component also where ids are null.
-    Null and empty texts have no words and the fingerprint zero, which is linked like any other. Null ids are passed
-    over for ``component_id``, which is null where a component has no other. Repeated rows stay repeated. Other columns
-    of ``docs`` are ignored. An empty table gives an empty one.
+    Documents are linked as ``like`` says; ``component_id`` is the smallest id reachable over links, itself included,
+    and ``root`` names the component also where ids are null. Null and empty texts have no words and the fingerprint
+    zero, which is linked like any other. Null ids are passed over for ``component_id``, which is null where a component
+    has no other. Repeated rows stay repeated. Other columns of ``docs`` are ignored. An empty table gives an empty one.
     """
+    like = like or Likeness()
     carry = [c for c in carry or [] if c != id_col]
-    prints = stored(fingerprints(docs, [id_col, *carry], text, words_per_shingle), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min(id_col).alias("_first"))
-    placed = shards(nodes.select("fp"), radius, max_tree)
-    edges = (
-        placed.repartition("mask", "value")
-        .sortWithinPartitions("mask", "value", "fp")
-        .mapInArrow(_shard_links(radius), "a bigint, b bigint")
-    )
-    # Ids of components are smallest fingerprints; each shard has sent a star instead of all its pairs.
-    roots = components(edges).select(F.col("node").alias("fp"), F.col("root").alias("_root"))
-    nodes = nodes.join(roots, "fp", "left").withColumn("_root", F.coalesce("_root", "fp"))
-    smallest = nodes.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    named = nodes.join(smallest, "_root").select("fp", "_root", "component_id")
+    key = ["fp", "check"]
+    prints = stored(fingerprints(docs, [id_col, *carry], like, text), "fingerprints")
+    nodes = prints.groupBy(*key).agg(F.min(id_col).alias("_first"))
 
     def digits(c: str) -> F.Column:
         return F.lower(F.lpad(F.hex(c), BITS // 4, "0"))
 
-    return prints.join(named, "fp").select(
-        id_col, digits("fp").alias("fingerprint"), "component_id", digits("_root").alias("root"), *carry
+    def node(fp: str, check: str) -> F.Column:
+        return F.concat(digits(fp), digits(check)) if like.check_words else F.col(fp)
+
+    links = (
+        shards(nodes.select(*key), like.radius, max_tree)
+        .repartition("mask", "value")
+        .sortWithinPartitions("mask", "value", *key)
+        .mapInArrow(_links(like), "fp bigint, check bigint, fp2 bigint, check2 bigint")
     )
+    # Each shard has sent a star per group instead of all its pairs; stars are joined to components here.
+    roots = components(links.select(node(*key).alias("a"), node("fp2", "check2").alias("b")))
+    nodes = nodes.withColumn("node", node(*key)).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = nodes.groupBy("root").agg(F.min("_first").alias("component_id"))
+    named = nodes.join(smallest, "root").select(*key, "component_id", F.col("root").cast("string").alias("root"))
+    return prints.join(named, key).select(id_col, digits("fp").alias("fingerprint"), "component_id", "root", *carry)
 
 
 def keep_one(docs: DataFrame, numbered: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -20,3 +20,39 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hits ON d.doc_id = hits.doc_id LEFT JOIN found ON d.doc_id = found.doc_id
 """
+
+LINE_DEDUP = f"""
+WITH l AS (SELECT doc_id, pos, line,
+                  {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS k
+           FROM (SELECT doc_id, unnest(s) AS line, unnest(range(len(s))) AS pos
+                 FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))),
+common AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT l.*, coalesce(keeper <> doc_id, false) AS gone FROM l LEFT JOIN common USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+EXACT_DEDUP = f"""
+WITH n AS (SELECT doc_id, {_LOWER.format("text")} AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+       sha256(t) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY t)
+"""
+
+_CHARS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+# Base32 of 20 bytes: each five hexadecimal digits are four letters of five bits.
+_GROUPS = ", ".join(
+    f"substr({_CHARS}, 1 + ((('0x' || substr(sha, {5 * g + 1}, 5))::INTEGER >> {s}) & 31)::INTEGER, 1)"
+    for g in range(8)
+    for s in (15, 10, 5, 0)
+)
+
+WARC = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS sha FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY sha) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, concat({_GROUPS}) AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
