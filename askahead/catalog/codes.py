@@ -47,9 +47,9 @@ def _universe(spark, sf):
     return codesets.code_universe(part_codes(spark, sf))
 
 
-@query("sorted_codes", log_sql(PARTS, select="SELECT code FROM u ORDER BY code"))
+@query("sorted_codes", log_sql(PARTS, select="SELECT code, row_number() OVER (ORDER BY code) - 1 AS row_no FROM u"))
 def _sorted(spark, sf):
-    return codesets.code_universe(part_codes(spark, sf)).orderBy("code")
+    return codesets.numbered(codesets.code_universe(part_codes(spark, sf)), ["code"], "row_no").orderBy("row_no")
 
 
 @query("code_vocab", log_sql(PARTS, select="SELECT code, row_number() OVER (ORDER BY code)::INTEGER AS vocab_index FROM u"))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askahead.catalog.base import (
     CLICK_LABELS,
     DAYS_ORDERS,
     EXTERNAL,
+    ID_CODES,
     INDEX,
     INDEX_SEED,
+    MANUAL_CODES,
     MIN_ORDERS,
     OOD_CODES,
     ORDER_LABELS,
@@ -32,7 +37,7 @@ from askahead.catalog.base import (
 )
 from askahead.functions import sigmoid
 from askahead.operators import composite, evalsets, metrics
-from askahead.operators.codesets import code_list
+from askahead.operators.codesets import code_list, numbered
 from askahead.operators.quality import require_zero
 from askahead.plans import evaluation
 from askahead.sources.tables import with_split
@@ -91,7 +96,9 @@ def _external_join(spark, sf):
             "count(*) AS n_rows FROM ext_task GROUP BY ALL"),
 )
 def _external_tables(spark, sf):
-    rows = evaluation.external_task_tables(external_cohort(spark, sf), order_labels(spark, sf), EVAL_CODES)
+    rows = evaluation.external_tasks_from_log(
+        external_cohort(spark, sf), orders_log(spark, sf), EVAL_CODES, DAYS_ORDERS, MIN_ORDERS
+    )
     return rows.groupBy("code_slug", "query", "task_label", "boolean_value", "occurs").agg(F.count("*").alias("n_rows"))
 
 
@@ -286,8 +293,10 @@ def _sigmoid(spark, sf):
 
 _COMPOSITE = [
     *_PREDS,
-    "comp AS (SELECT subject_id, prediction_time, max(occurs_probs) AS prob_max, 1 - product(1 - occurs_probs) AS prob_or, "
-    "sum(occurs_probs) AS prob_sum FROM preds GROUP BY ALL)",
+    "risks AS (SELECT subject_id, prediction_time, list_sort(list(occurs_probs)) AS p FROM preds GROUP BY ALL)",
+    "comp AS (SELECT subject_id, prediction_time, list_max(p) AS prob_max, "
+    "1 - list_reduce(list_prepend(1::DOUBLE, [1 - x FOR x IN p]), lambda a, b: a * b) AS prob_or, "
+    "list_reduce(list_prepend(0::DOUBLE, p), lambda a, b: a + b) AS prob_sum FROM risks)",
 ]
 
 
@@ -298,13 +307,18 @@ def _one(kind: str):
     query(f"composite_{kind}", log_sql(*_COMPOSITE, select=f"SELECT {KEY}, round(prob_{kind}, 9) AS prob_{kind} FROM comp"))(run)
 
 
-for _kind in composite.KINDS:
+_KINDS = ("max", "or", "sum")
+for _kind in _KINDS:
     _one(_kind)
 
 
-@query("sort_composite", log_sql(*_COMPOSITE, select=f"SELECT {KEY}, prob_max FROM comp ORDER BY 1, 2"))
+@query(
+    "sort_composite",
+    log_sql(*_COMPOSITE, select=f"SELECT {KEY}, prob_max, row_number() OVER (ORDER BY subject_id, prediction_time) - 1 AS row_no FROM comp"),
+)
 def _sort_composite(spark, sf):
-    return composite.composite_probs(predictions(spark, sf), ["max"]).orderBy("subject_id", "prediction_time")
+    rows = composite.composite_probs(predictions(spark, sf), ["max"])
+    return numbered(rows, ["subject_id", "prediction_time"], "row_no").orderBy("row_no")
 
 
 _JOINED = "joined AS (SELECT comp.*, ext.boolean_value FROM comp JOIN ext USING (subject_id, prediction_time))"
@@ -323,8 +337,8 @@ def _composite_join(spark, sf):
 
 def _composite_auc(columns: str) -> str:
     return " UNION ALL ".join(
-        f"SELECT {columns.format(k=k)} FROM " + rank_auroc(f"(SELECT boolean_value, round(prob_{k}, 9) AS s FROM joined)", "s", "boolean_value")
-        for k in composite.KINDS
+        f"SELECT {columns.format(k=k)} FROM " + rank_auroc(f"(SELECT boolean_value, prob_{k} AS s FROM joined)", "s", "boolean_value")
+        for k in _KINDS
     )
 
 
@@ -337,11 +351,12 @@ def _composite_agg(spark, sf):
 
 @query(
     "union_codes",
-    log_sql(*_PREDS, select=f"SELECT {KEY}, occurs_probs, code FROM preds WHERE code IN ('1-URGENT', '5-LOW')"),
+    log_sql(*_PREDS, select=f"SELECT {KEY}, occurs_probs, code FROM preds"),
 )
 def _union_codes(spark, sf):
     rows = predictions(spark, sf)
-    return rows.where("code = '1-URGENT'").unionByName(rows.where("code = '5-LOW'"))
+    per_code = [rows.where(F.col("code") == c) for c in ID_CODES + OOD_CODES + MANUAL_CODES]
+    return reduce(DataFrame.unionByName, per_code)
 
 
 @query(

@@ -35,10 +35,11 @@ from askahead.catalog.base import (
 )
 from askahead.functions import interval_days
 from askahead.operators import context, labels, sampling, timeline, zones
-from askahead.operators.codesets import codes_array
+from askahead.operators.codesets import codes_array, numbered
 from askahead.operators.quality import null_counts, null_labels, require_zero
-from askahead.plans.labels import collate_labels, label_table, training_table
-from askahead.sources.tables import pruned_labels, scan_events
+from askahead.plans.labels import collate_labels, duration_counts, label_table, training_table
+from askahead.session import fresh_path
+from askahead.sources.tables import in_split, pruned_labels, scan_events
 
 KEY = "subject_id, prediction_time"
 
@@ -48,9 +49,12 @@ def _scan(spark, sf):
     return scan_events(clicks(spark, sf))
 
 
-@query("sort_events", log_sql(V, VE, select="SELECT * FROM e ORDER BY subject_id, time, code"))
+@query(
+    "sort_events",
+    log_sql(V, VE, select="SELECT *, row_number() OVER (ORDER BY subject_id, time, code) - 1 AS row_no FROM e"),
+)
 def _sort(spark, sf):
-    return scan_events(clicks(spark, sf)).orderBy("subject_id", "time", "code")
+    return numbered(scan_events(clicks(spark, sf)), ["subject_id", "time", "code"], "row_no").orderBy("row_no")
 
 
 @query("distinct_rows", log_sql(E, select="SELECT DISTINCT subject_id, code FROM e"))
@@ -142,8 +146,7 @@ def _ts_arith(spark, sf):
             "WHERE time > prediction_time AND time < prediction_time + INTERVAL 90 DAY"),
 )
 def _open_interval(spark, sf):
-    near = order_index(spark, sf).drop("censored").join(scan_events(orders_log(spark, sf)), "subject_id")
-    return near.where(labels.inside_open_interval("time", "prediction_time", DAYS_ORDERS))
+    return labels.events_inside(order_index(spark, sf).drop("censored"), scan_events(orders_log(spark, sf)), DAYS_ORDERS)
 
 
 def _uncensored(spark, sf):
@@ -230,12 +233,7 @@ def _label_table_clicks(spark, sf):
     ),
 )
 def _duration_grid(spark, sf):
-    grid_rows = order_labels(spark, sf, list(range(30, 366)))
-    return grid_rows.groupBy("duration_days", "query").agg(
-        F.count_if("occurs").alias("n_true"),
-        F.count_if(~F.col("occurs")).alias("n_false"),
-        F.count_if("censored").alias("n_censored"),
-    )
+    return duration_counts(orders_log(spark, sf), None, range(30, 366), MIN_ORDERS)
 
 
 _THREE = [30, 60, 90]
@@ -283,7 +281,9 @@ def _unpivot(spark, sf):
     log_sql(ORDER_LABELS, select=f"SELECT {KEY}, query, censored, occurs FROM labels WHERE query IN ('1-URGENT', '5-LOW')"),
 )
 def _pruned(spark, sf):
-    return pruned_labels(order_labels(spark, sf), ["1-URGENT", "5-LOW"])
+    path = fresh_path(spark, "labels")
+    order_labels(spark, sf).write.parquet(path)
+    return pruned_labels(spark.read.parquet(path), ["1-URGENT", "5-LOW"])
 
 
 @query(
@@ -357,18 +357,20 @@ def _collate(spark, sf):
     return collate_labels(order_labels(spark, sf, _THREE), 20, 1)
 
 
-@query("sample_index_times", log_sql(ORDERS, INDEX, select="SELECT * FROM idx"))
+@query("sample_index_times", log_sql(ORDERS, INDEX, select="SELECT * FROM idx WHERE subject_id % 10 = 9"))
 def _index_times(spark, sf):
-    return sampling.sample_index_times(order_candidates(spark, sf), 1, INDEX_SEED)
+    return sampling.sample_index_times(order_candidates(spark, sf), 1, INDEX_SEED, in_split("held_out"))
 
 
 @query(
     "seeded_shuffle",
-    log_sql(ORDERS, select=f"SELECT {KEY}, md5(concat_ws('|', {TIME_KEY}, 5)) AS shuffle_key FROM cand ORDER BY 3"),
+    log_sql(ORDERS, f"s AS (SELECT {KEY}, md5(concat_ws('|', {TIME_KEY}, 5)) AS shuffle_key FROM cand)",
+            select="SELECT *, row_number() OVER (ORDER BY shuffle_key, subject_id, prediction_time) - 1 AS row_no FROM s"),
 )
 def _shuffle(spark, sf):
     rows = context.candidate_times(orders_log(spark, sf), MIN_ORDERS)
-    return sampling.seeded_shuffle(rows, ["subject_id", "prediction_time"], 5)
+    keys = ["subject_id", "prediction_time"]
+    return numbered(sampling.seeded_shuffle(rows, keys, 5), ["shuffle_key", *keys], "row_no").orderBy("row_no")
 
 
 def _floyd(log: str, min_context: int, k: int, seed: int) -> str:

@@ -8,38 +8,33 @@ from pyspark.sql import functions as F
 from askahead.catalog.base import (
     CLICK_LABELS,
     CODES,
-    DAYS_CLICKS,
-    INDEX,
+    E,
     MIN_CLICKS,
+    MIN_ORDERS,
     ORDER_LABELS,
+    ORDERS,
     TIME_KEY,
     V,
     VE,
     cand,
+    click_labels,
     click_vocab,
     clicks,
-    external_cohort,
     log_sql,
-    order_candidates,
-    order_index,
     order_labels,
     orders_log,
     query,
-    sample,
     table,
 )
 from askahead.functions import from_micros, interval_days, micros, years
 from askahead.operators import quality, sequences
 from askahead.operators.context import candidate_times
 from askahead.operators.labels import to_training_rows
-from askahead.operators.sampling import sample_per_subject
-from askahead.plans.labels import label_times
-from askahead.plans.model_input import model_input
-from askahead.session import checkpointed
+from askahead.plans.model_input import model_input, model_input_by_event
 from askahead.sources.tables import code_vocab, scan_events
 
 KEY = "subject_id, prediction_time"
-MAX_LEN = 32
+MAX_LEN = 256
 
 
 def _later(spark, sf) -> DataFrame:
@@ -58,17 +53,16 @@ def _bound(spark, sf):
     return sequences.history_bounds(_later(spark, sf), scan_events(clicks(spark, sf)))
 
 
-_HALF = "half AS (SELECT * FROM e WHERE subject_id % 2 = 0)"
-
-
 @query(
     "label_history_join",
-    log_sql(ORDER_LABELS, _HALF, select=f"SELECT {KEY}, query, occurs FROM labels WHERE subject_id IN (SELECT subject_id FROM half)"),
+    log_sql(E, select="SELECT c_custkey AS subject_id, TIMESTAMP '1998-01-01' AS prediction_time FROM customer "
+            "WHERE c_custkey IN (SELECT subject_id FROM e)"),
 )
 def _history_join(spark, sf):
-    half = orders_log(spark, sf).where(F.col("subject_id") % 2 == 0)
-    rows = order_labels(spark, sf).select("subject_id", "prediction_time", "query", "occurs")
-    return sequences.label_history_join(rows, half)
+    people = table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("bigint").alias("subject_id"), F.lit("1998-01-01").cast("timestamp_ntz").alias("prediction_time")
+    )
+    return sequences.label_history_join(people, orders_log(spark, sf))
 
 
 @query(
@@ -126,7 +120,7 @@ def _years(spark, sf):
 
 # --- Token sequences ----------------------------------------------------------------------------------
 
-_CLICK_IDX = f"idx AS {sample('cand', TIME_KEY, 2, 3, 'subject_id, prediction_time')}"
+_CLICK_IDX = "idx AS (SELECT subject_id, prediction_time FROM cand)"
 _TOKENS = f"""vocab AS (SELECT code, row_number() OVER (ORDER BY code)::INTEGER AS id FROM codes),
     visits AS (SELECT subject_id, time, lag(time) OVER (PARTITION BY subject_id ORDER BY time) AS before
         FROM (SELECT DISTINCT subject_id, time FROM v)),
@@ -144,9 +138,8 @@ _TOKENS = f"""vocab AS (SELECT code, row_number() OVER (ORDER BY code)::INTEGER
 _CLICK_SEQ = [V, VE, CODES, cand(20, 3), _CLICK_IDX, _TOKENS]
 
 
-def _click_index(spark, sf) -> DataFrame:
-    times = candidate_times(clicks(spark, sf), MIN_CLICKS)
-    return sample_per_subject(times, ["subject_id", "prediction_time"], 2, 3)
+def _click_times(spark, sf) -> DataFrame:
+    return candidate_times(clicks(spark, sf), MIN_CLICKS)
 
 
 def _text(tokens: str, field: str, digits: int | None = None) -> Column:
@@ -169,7 +162,7 @@ def _shown(df: DataFrame, tokens: str) -> DataFrame:
 
 
 def _click_history(spark, sf) -> DataFrame:
-    return sequences.history_sequences(_click_index(spark, sf), clicks(spark, sf), click_vocab(spark, sf), MAX_LEN)
+    return sequences.history_sequences(_click_times(spark, sf), clicks(spark, sf), click_vocab(spark, sf), MAX_LEN)
 
 
 @query("history_sequence", log_sql(*_CLICK_SEQ, select="SELECT * FROM seq"))
@@ -194,36 +187,37 @@ def _prepend(spark, sf):
 
 
 _ORDER_HIST = f"""vocab AS (SELECT code, row_number() OVER (ORDER BY code)::INTEGER AS id FROM codes),
-    hist AS (SELECT idx.subject_id, idx.prediction_time, e.time, id, row_number() OVER (
-        PARTITION BY idx.subject_id, idx.prediction_time ORDER BY e.time DESC, id DESC) AS back
-        FROM idx JOIN e ON e.subject_id = idx.subject_id AND e.time <= idx.prediction_time JOIN vocab USING (code)),
+    hist AS (SELECT cand.subject_id, cand.prediction_time, e.time, id, row_number() OVER (
+        PARTITION BY cand.subject_id, cand.prediction_time ORDER BY e.time DESC, id DESC) AS back
+        FROM cand JOIN e ON e.subject_id = cand.subject_id AND e.time <= cand.prediction_time JOIN vocab USING (code)),
     nested AS (SELECT subject_id, prediction_time, time, string_agg(id::VARCHAR, ',' ORDER BY back DESC) AS codes
         FROM hist WHERE back <= {MAX_LEN} GROUP BY ALL)"""
 
 
-def _order_history(spark, sf) -> DataFrame:
-    log = scan_events(orders_log(spark, sf))
-    return sequences.history_sequences(order_index(spark, sf), log, code_vocab(log), MAX_LEN)
+def _joined_codes(events: Column) -> Column:
+    per_event = F.transform(events, lambda e: F.array_join(F.transform(e["codes"], lambda c: c.cast("string")), ","))
+    return F.array_join(per_event, ";")
 
 
 @query(
     "sm_sem_layout",
-    log_sql(ORDER_LABELS, INDEX, _ORDER_HIST, select=f"""SELECT {KEY}, string_agg(codes, ';' ORDER BY time) AS nested,
+    log_sql(ORDERS, _ORDER_HIST, select=f"""SELECT {KEY}, string_agg(codes, ';' ORDER BY time) AS nested,
         string_agg(codes, ',' ORDER BY time) AS flat, count(*)::INTEGER AS n_events FROM nested GROUP BY ALL"""),
 )
 def _layout(spark, sf):
-    rows = _order_history(spark, sf).withColumn("events", sequences.by_event("history", "times"))
-    per_event = F.transform("events", lambda e: F.array_join(F.transform(e["codes"], lambda c: c.cast("string")), ","))
+    log = scan_events(orders_log(spark, sf))
+    times = candidate_times(log, MIN_ORDERS)
+    rows = sequences.event_sequences(times, log, code_vocab(log), MAX_LEN)
     return rows.select(
         "subject_id",
         "prediction_time",
-        F.array_join(per_event, ";").alias("nested"),
+        _joined_codes(F.col("events")).alias("nested"),
         F.array_join(F.transform(sequences.flatten_events("events"), lambda c: c.cast("string")), ",").alias("flat"),
         F.size("events").alias("n_events"),
     )
 
 
-_BUCKETS = "(SELECT count(*) // (512 * 128) + 1 FROM seq)"
+_N_BUCKETS = 4
 
 
 @query(
@@ -231,7 +225,7 @@ _BUCKETS = "(SELECT count(*) // (512 * 128) + 1 FROM seq)"
     log_sql(
         *_CLICK_SEQ,
         f"""k AS (SELECT *, md5(concat_ws('|', {TIME_KEY}, 0)) AS key FROM seq),
-        b AS (SELECT *, ('0x' || substr(key, 1, 15))::BIGINT % {_BUCKETS} AS bucket FROM k),
+        b AS (SELECT *, ('0x' || substr(key, 1, 15))::BIGINT % {_N_BUCKETS} AS bucket FROM k),
         r AS (SELECT *, (row_number() OVER (PARTITION BY bucket ORDER BY key) - 1) // 128 AS batch FROM b),
         p AS (SELECT *, max(n) OVER (PARTITION BY bucket, batch) AS longest FROM r)""",
         select=f"SELECT {KEY}, bucket, batch, codes || repeat(',0', longest - n) AS codes, longest AS padded_length, n AS attended FROM p",
@@ -239,7 +233,7 @@ _BUCKETS = "(SELECT count(*) // (512 * 128) + 1 FROM seq)"
 )
 def _pad(spark, sf):
     rows = _click_history(spark, sf).select("subject_id", "prediction_time", F.col("history.code").alias("codes"))
-    batched = sequences.assign_batches(rows, ["subject_id", "prediction_time"], 128)
+    batched = sequences.assign_batches(rows, ["subject_id", "prediction_time"], 128, _N_BUCKETS)
     padded = sequences.pad_and_mask(batched, "codes", ["bucket", "batch"])
     return padded.select(
         "subject_id",
@@ -284,16 +278,24 @@ def _roles(spark, sf):
 _INPUT = log_sql(
     CLICK_LABELS, _CLICK_IDX, _TOKENS,
     select=f"""SELECT {KEY}, query, vocab.id AS query_id, censored AS censor, coalesce(occurs, false)::INTEGER AS occurs,
-        duration_days::DOUBLE AS duration_days, vocab.id || ',' || seq.codes AS codes, n + 1 AS n, n + 2 AS attended
+        duration_days::DOUBLE AS duration_days, vocab.id || ',' || seq.codes AS codes, seq.numbers, seq.deltas, n + 1 AS n, n + 2 AS attended
         FROM labels JOIN seq USING (subject_id, prediction_time) JOIN vocab ON vocab.code = query""",
 )
 
 
+def click_rows(spark, sf) -> DataFrame:
+    """All label rows of the click log."""
+    return to_training_rows(click_labels(spark, sf))
+
+
 def click_inputs(spark, sf, max_len: int = MAX_LEN) -> DataFrame:
-    # The sample feeds labels and histories; it is small, so it is computed once.
-    log, index = clicks(spark, sf), checkpointed(_click_index(spark, sf))
-    labels = to_training_rows(label_times(index, log, None, DAYS_CLICKS))
-    return model_input(labels, log, click_vocab(spark, sf), max_len, index)
+    return model_input(click_rows(spark, sf), clicks(spark, sf), click_vocab(spark, sf), max_len, _click_times(spark, sf))
+
+
+def _tail(values: str, digits: int) -> Column:
+    """The values after the query's, which has none."""
+    rest = F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
+    return F.array_join(F.transform(rest, lambda v: F.round(v.cast("double"), digits).cast(f"decimal(12,{digits})").cast("string")), ",")
 
 
 @query("model_input", _INPUT)
@@ -307,11 +309,26 @@ def _model_input(spark, sf):
         "occurs",
         F.col("duration_days").cast("double").alias("duration_days"),
         F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"),
+        _tail("numeric_values", 2).alias("numbers"),
+        _tail("time_deltas", 4).alias("deltas"),
         F.size("codes").alias("n"),
         F.size(F.filter("attention_mask", lambda m: m)).alias("attended"),
     )
 
 
+@query(
+    "model_input_by_event",
+    log_sql(ORDER_LABELS, _ORDER_HIST,
+            "nest AS (SELECT subject_id, prediction_time, string_agg(codes, ';' ORDER BY time) AS nested FROM nested GROUP BY ALL)",
+            select=f"""SELECT {KEY}, query, censored AS censor, vocab.id || ';' || nested AS nested
+            FROM labels JOIN nest USING (subject_id, prediction_time) JOIN vocab ON vocab.code = query"""),
+)
+def _by_event(spark, sf):
+    log = scan_events(orders_log(spark, sf))
+    rows = model_input_by_event(to_training_rows(order_labels(spark, sf)), log, code_vocab(log), MAX_LEN, candidate_times(log, MIN_ORDERS))
+    return rows.select("subject_id", "prediction_time", "query", "censor", _joined_codes(F.col("events")).alias("nested"))
+
+
 # --- Checks -------------------------------------------------------------------------------------------
 
 

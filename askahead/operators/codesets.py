@@ -11,22 +11,37 @@ from pyspark.sql import functions as F
 
 from askahead.functions import draw_key
 from askahead.schemas import CODE_LIST
+from askahead.session import checkpointed
 
 CodeSet = list[str] | DataFrame
 
-# A vocabulary beyond this size should be labelled by sampling questions, not as a dense grid.
-MAX_DENSE_CODES = 200_000
-
-
 def codes_array(codes: CodeSet) -> Column:
-    """The distinct codes as one array value; a table is read through a scalar subquery."""
+    """The distinct codes as one array value; a table is read through a scalar subquery.
+
+    For dense grids only, whose every prediction time gets a row per code anyway.
+    """
     if isinstance(codes, list):
         return F.lit(sorted(set(codes)))
-    found = F.sort_array(F.collect_set("code"))
-    checked = F.when(F.count_distinct("code") <= MAX_DENSE_CODES, found).otherwise(
-        F.raise_error(F.lit(f"more than {MAX_DENSE_CODES} codes: sample questions instead of a dense grid"))
+    return codes.agg(F.sort_array(F.collect_set("code")).alias("codes")).scalar()
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Distinct rows with their place from 0 in the given order, counted without gathering them in one task.
+
+    Rows are cut into ranges; a range's offset is the number of rows in the ranges before it, and there are
+    only as many ranges as shuffle partitions.
+    """
+    cut = checkpointed(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy("_range").agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return (
+        cut.withColumn("_nth", nth)
+        .join(offsets, "_range")
+        .withColumn(name, F.col("_offset") + F.col("_nth") - 1)
+        .drop("_range", "_nth", "_offset")
     )
-    return codes.agg(checked.alias("codes")).scalar()
 
 
 def codes_or_all(codes: CodeSet | None, events: DataFrame) -> CodeSet:
@@ -34,6 +49,11 @@ def codes_or_all(codes: CodeSet | None, events: DataFrame) -> CodeSet:
     return events.where(F.col("code").isNotNull()).select("code") if codes is None else codes
 
 
+def codes_table(codes: CodeSet, spark: SparkSession) -> DataFrame:
+    """A code set as a table with a ``code`` column."""
+    return spark.createDataFrame([(c,) for c in codes], "code string") if isinstance(codes, list) else codes
+
+
 def only_codes(rows: DataFrame, codes: CodeSet, on: str = "code") -> DataFrame:
     if isinstance(codes, list):
         return rows.where(F.col(on).isin(codes))
@@ -109,11 +129,10 @@ def _require(rows: DataFrame, n: int, available: Column) -> DataFrame:
 def sample_codes(codes: DataFrame, n: int, seed: int) -> DataFrame:
     """``n`` codes without replacement; ``pos`` is the order of the draw."""
     universe = code_universe(codes)
-    drawn = universe.withColumn("_key", draw_key(seed, "code")).orderBy("_key", "code").limit(n)
-    numbered = drawn.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_key", "code")) - 1)
+    keyed = universe.withColumn("_key", draw_key(seed, "code"))
+    drawn = numbered(keyed, ["_key", "code"], "pos").where(F.col("pos") < n)
     population = universe.agg(F.count("*")).scalar()
-    # An empty draw has no row to carry the check, so the population is checked on a one-row table too.
-    return _require(numbered, n, population).select("code", "pos")
+    return _require(drawn, n, population).select("code", F.col("pos").cast("int").alias("pos"))
 
 
 def sample_codes_repeated(codes: DataFrame, n: int, repeats: int, seed: int) -> DataFrame:

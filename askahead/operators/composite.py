@@ -2,36 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askahead.operators.metrics import auroc, nan_when_undefined
 
-KINDS = ("max", "or", "sum")
-
+# Each folds a group's probabilities in ascending order, so the result does not depend on how rows arrive.
+_FOLDS: dict[str, Callable[[Column], Column]] = {
+    "max": F.array_max,
+    # At least one of several independent events; no probabilities at all means no risk.
+    "or": lambda p: F.lit(1.0) - F.aggregate(p, F.lit(1.0), lambda acc, x: acc * (F.lit(1.0) - x)),
+    "sum": lambda p: F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x),
+}
 
-def _combined(kind: str, p: Column) -> Column:
-    if kind == "max":
-        return F.max(p)
-    if kind == "or":
-        # At least one of several independent events; no probabilities at all means no risk.
-        return F.lit(1.0) - F.coalesce(F.product(F.lit(1.0) - p), F.lit(1.0))
-    return F.coalesce(F.sum(p), F.lit(0.0))
 
-
-def check_kinds(kinds: list[str]) -> list[str]:
-    asked = {k.lower() for k in kinds}
-    unknown = sorted(asked - set(KINDS))
-    if unknown:
-        raise ValueError(f"unknown composite {unknown}; choose from {sorted(KINDS)}")
-    return [k for k in KINDS if k in asked]
+def folds(kinds: list[str]) -> dict[str, Callable[[Column], Column]]:
+    """The folds asked for, by any spelling of their names."""
+    names = {k.lower(): k for k in kinds}
+    if strange := names.keys() - _FOLDS.keys():
+        raise ValueError(f"unknown composite {sorted(strange)}; choose from {sorted(_FOLDS)}")
+    return {k: fold for k, fold in _FOLDS.items() if k in names}
 
 
 def composite_probs(predictions: DataFrame, kinds: list[str], prob: str = "occurs_probs") -> DataFrame:
     """``prob_max`` / ``prob_or`` / ``prob_sum`` per subject and prediction time."""
-    return predictions.groupBy("subject_id", "prediction_time").agg(
-        *[_combined(k, F.col(prob)).alias(f"prob_{k}") for k in check_kinds(kinds)]
-    )
+    wanted = folds(kinds)
+    risks = predictions.groupBy("subject_id", "prediction_time").agg(F.array_sort(F.collect_list(prob)).alias("_p"))
+    return risks.select("subject_id", "prediction_time", *[fold(F.col("_p")).alias(f"prob_{k}") for k, fold in wanted.items()])
 
 
 def composite_with_labels(
@@ -41,11 +40,8 @@ def composite_with_labels(
     return composite_probs(predictions, kinds).join(wanted, ["subject_id", "prediction_time"])
 
 
-def composite_auroc(joined: DataFrame, label: str = "boolean_value", digits: int = 12) -> DataFrame:
-    """AUROC of every ``prob_`` column against the label; NaN where a class is missing.
-
-    Risks are rounded to ``digits``, so that equal ones tie in whatever order they were combined.
-    """
+def composite_auroc(joined: DataFrame, label: str = "boolean_value") -> DataFrame:
+    """AUROC of every ``prob_`` column against the label; NaN where a class is missing."""
     probs = [c for c in joined.columns if c.startswith("prob_")]
-    long = joined.unpivot([label], probs, "measure", "score").withColumn("score", F.round("score", digits))
+    long = joined.unpivot([label], probs, "measure", "score")
     return auroc(long, "score", label, ["measure"]).withColumn("auroc", nan_when_undefined())

@@ -10,9 +10,6 @@ from askahead.functions.columns import DAY_US
 from askahead.operators.skew import ROWS_PER_TASK, join_to_unique
 from askahead.operators.timeline import Running, running
 
-# Up to this many, Spark prunes each task to the first k rows of a group before the shuffle.
-_FIRST_K_LIMIT = 1000
-
 
 def visits(events: DataFrame) -> DataFrame:
     """One row per subject and time with the number of distinct event rows at that time."""
@@ -32,11 +29,9 @@ def context_start(events: DataFrame, min_context: int) -> DataFrame:
     """First time of each subject at which ``min_context`` distinct event rows have been seen.
 
     That is the time of the subject's ``min_context``-th row in time order, whichever way ties are broken.
-    The running count never falls, so the times that qualify are exactly those from this one on.
+    The running count never falls, so the times that qualify are exactly those from this one on. Each task
+    passes on the first ``min_context`` rows of a subject only.
     """
-    if min_context > _FIRST_K_LIMIT:
-        reached = context_count(events).where(F.col("context_count") >= min_context)
-        return reached.groupBy("subject_id").agg(F.min("time").alias("context_start"))
     by_time = Window.partitionBy("subject_id").orderBy("time")
     return (
         events.where(F.col("time").isNotNull())

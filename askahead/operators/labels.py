@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askahead.functions import interval_days
+from askahead.functions import cell_start, interval_days, micros
 from askahead.functions.columns import DAY_US
 from askahead.operators.codesets import CodeSet
 from askahead.operators.zones import eligible_with_reach, occurs_within, with_reach
@@ -19,6 +19,19 @@ def inside_open_interval(time: str, start: str, duration) -> F.Column:
     return (t > s) & (t < s + interval_days(duration))
 
 
+def events_inside(probes: DataFrame, events: DataFrame, duration_days: int) -> DataFrame:
+    """The events strictly inside each probe's interval: (subject_id, prediction_time, time, code).
+
+    Joined on (subject, zone of the duration's width): an interval overlaps two zones at most.
+    """
+    width = duration_days * DAY_US
+    first = cell_start(micros("prediction_time"), width)
+    near = probes.withColumn("_zone", F.explode(F.array(first, first + F.lit(width))))
+    placed = events.select("subject_id", "time", "code", cell_start(micros("time"), width).alias("_zone"))
+    inside = near.join(placed, ["subject_id", "_zone"]).where(inside_open_interval("time", "prediction_time", duration_days))
+    return inside.drop("_zone")
+
+
 def null_when_censored(occurs: F.Column) -> F.Column:
     """A censored row has no label; a row with an unknown flag is in neither group."""
     return F.when(~F.col("censored"), occurs)

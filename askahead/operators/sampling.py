@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askahead.functions import draw_key, draw_number, micros
-from askahead.operators.codesets import CodeSet, codes_array
+from askahead.operators.codesets import CodeSet, code_universe, codes_table, numbered
 from askahead.operators.context import row_index
 
 
@@ -34,9 +34,13 @@ def sample_per_subject(df: DataFrame, keys: list[str], k: int, seed: int) -> Dat
     )
 
 
-def sample_index_times(labels: DataFrame, k: int = 1, seed: int = 43) -> DataFrame:
-    """Held-out index times: ``k`` seeded prediction times per subject with their censoring flag."""
+def sample_index_times(labels: DataFrame, k: int = 1, seed: int = 43, subjects: Column | None = None) -> DataFrame:
+    """Index times: ``k`` seeded prediction times per subject with their censoring flag.
+
+    ``subjects`` is a condition on ``subject_id``, such as the held-out split; without it all are sampled.
+    """
     times = labels.select("subject_id", "prediction_time", "censored")
+    times = times if subjects is None else times.where(subjects)
     return sample_per_subject(times, ["subject_id", "prediction_time"], k, seed)
 
 
@@ -60,15 +64,13 @@ def _draw_without_replacement(population: Column, k: int, seed: int, *key: str)
 def sample_grid(candidates: DataFrame, codes: CodeSet, durations: range, k: int, seed: int) -> DataFrame:
     """``k`` random cells per subject from times × codes × durations, without building the grid.
 
-    Cell numbers are drawn per subject and then decoded; only the drawn cells are ever rows. Gives
+    Cell numbers are drawn per subject and then decoded, codes through a table of numbered codes; only the drawn
+    cells are ever rows, and the size of the vocabulary does not matter. Gives
     (subject_id, prediction_time, query, duration_days).
     """
-    sizes = (
-        candidates.groupBy("subject_id")
-        .agg(F.count("*").alias("_n_times"))
-        .withColumn("_codes", codes_array(codes))
-        .withColumn("_n_codes", F.size("_codes").cast("bigint"))
-    )
+    vocab = numbered(code_universe(codes_table(codes, candidates.sparkSession)).where(F.col("code").isNotNull()), ["code"], "_code_no")
+    n_codes = vocab.agg(F.count("*")).scalar()
+    sizes = candidates.groupBy("subject_id").agg(F.count("*").alias("_n_times")).withColumn("_n_codes", n_codes)
     n_durations = F.lit(len(durations)).cast("bigint")
     population = F.col("_n_times") * F.col("_n_codes") * n_durations
     cells = (
@@ -76,8 +78,10 @@ def sample_grid(candidates: DataFrame, codes: CodeSet, durations: range, k: int,
         .withColumn("_cell", F.explode(_draw_without_replacement(population, k, seed, "subject_id")))
         .withColumn("duration_days", (F.pmod("_cell", n_durations) * F.lit(durations.step) + durations.start).cast("int"))
         .withColumn("_rest", F.expr(f"_cell div {len(durations)}"))
-        .withColumn("query", F.element_at("_codes", (F.pmod("_rest", "_n_codes") + 1).cast("int")))
+        .withColumn("_code_no", F.pmod("_rest", "_n_codes"))
         .withColumn("row_index", F.expr("_rest div _n_codes"))
-        .select("subject_id", "row_index", "query", "duration_days")
+        .select("subject_id", "row_index", "_code_no", "duration_days")
     )
+    # Drawn numbers are uniform, so this join has no large key however skewed the codes are in the log.
+    cells = cells.join(vocab, "_code_no").select("subject_id", "row_index", F.col("code").alias("query"), "duration_days")
     return row_index(candidates).join(cells, ["subject_id", "row_index"]).drop("row_index")

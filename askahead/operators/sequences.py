@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from askahead.functions import micros, years
+from askahead.functions import draw_key, draw_number, micros, years
 from askahead.functions.columns import DAY_US
 from askahead.operators.skew import join_to_unique
 from askahead.operators.timeline import Running, history_bound, running
@@ -23,14 +23,24 @@ OPTIONAL_LABELS = ["boolean_value", "occurs", "query", "duration_days"]
 def encode_codes(rows: DataFrame, vocab: DataFrame, on: str = "code", to: str = "code_id") -> DataFrame:
     """Vocabulary index of each code; a code outside the vocabulary becomes the padding index."""
     ids = vocab.select(F.col("code").alias(on), F.col("vocab_index").alias("_index"))
-    return rows.join(ids, on, "left").withColumn(to, F.coalesce("_index", F.lit(PAD_INDEX))).drop("_index")
+    sizes = rows.groupBy(on).agg(F.count("*").alias("n_rows"))
+    coded = join_to_unique(rows, ids, [on], sizes, F.xxhash64(*rows.columns), "left")
+    return coded.withColumn(to, F.coalesce("_index", F.lit(PAD_INDEX))).drop("_index")
 
 
 def label_history_join(labels: DataFrame, events: DataFrame) -> DataFrame:
     """Labels of subjects that have a history; the others drop out."""
     subjects = events.select("subject_id").distinct()
     sizes = labels.groupBy("subject_id").agg(F.count("*").alias("n_rows"))
-    return join_to_unique(labels, subjects, ["subject_id"], sizes, F.col("prediction_time"), "left_semi")
+    return join_to_unique(labels, subjects, ["subject_id"], sizes, F.xxhash64(*labels.columns), "left_semi")
+
+
+def until_last_probe(events: DataFrame, probes: DataFrame) -> DataFrame:
+    """Events that some probe can see: of the probed subjects, up to their last prediction time."""
+    last = probes.groupBy("subject_id").agg(F.max("prediction_time").alias("_last"))
+    sizes = events.groupBy("subject_id").agg(F.count("*").alias("n_rows"))
+    seen = join_to_unique(events, last, ["subject_id"], sizes, F.col("time"))
+    return seen.where(F.col("time") <= F.col("_last")).select(*events.columns)
 
 
 def passthrough_columns(labels: DataFrame) -> list[str]:
@@ -106,15 +116,11 @@ def token_positions(probes: DataFrame, events: DataFrame, max_len: int) -> DataF
     return placed.where((F.col("_events") > 0) & earlier).drop("_events")
 
 
-def history_sequences(
-    probes: DataFrame, events: DataFrame, vocab: DataFrame, max_len: int = 256
-) -> DataFrame:
-    """Last ``max_len`` tokens up to each distinct (subject, prediction time), oldest first.
-
-    ``history`` holds structs (code, numeric_value, time_delta_days). The first token of an event carries
-    the days since the subject's previous event (0 at the first one), its other tokens carry 0. Prediction
-    times of subjects without history drop out; one before the first event gets an empty array.
-    """
+def _seen_tokens(probes: DataFrame, events: DataFrame, vocab: DataFrame, max_len: int) -> DataFrame:
+    """A row (prediction key, _pos, _time, _token) per token of each history; one of nulls for an empty history."""
+    # The whole log decides which subjects have a history at all; the rest needs only what the probes see.
+    probes = label_history_join(probes.select(*_TIME_KEY).distinct(), events.where(F.col("time").isNotNull()))
+    events = until_last_probe(events, probes)
     positions = token_positions(probes, events, max_len)
     at_events = positions.where(F.col("n_tokens").isNotNull())
     delta = F.coalesce((micros("time") - F.col("before_us")) / F.lit(float(DAY_US)), F.lit(0.0))
@@ -144,9 +150,23 @@ def history_sequences(
         F.explode(F.array_distinct(blocks)).alias("_block"),
     )
     inside = (F.col("_pos") < F.col("_end")) & (F.col("_pos") >= F.col("_end") - max_len)
-    # A block without a usable token leaves one row of nulls, so that empty histories survive.
-    entry = F.when(inside, F.struct("_pos", "_time", "_token"))
-    gathered = wanted.join(tokens, ["subject_id", "_block"], "left").groupBy(*_TIME_KEY).agg(
+    # A block without a usable token leaves a row of nulls, so that empty histories survive.
+    return wanted.join(tokens, ["subject_id", "_block"], "left").select(
+        *_TIME_KEY, *[F.when(inside, F.col(c)).alias(c) for c in ("_pos", "_time", "_token")]
+    )
+
+
+def history_sequences(
+    probes: DataFrame, events: DataFrame, vocab: DataFrame, max_len: int = 256
+) -> DataFrame:
+    """Last ``max_len`` tokens up to each distinct (subject, prediction time), oldest first.
+
+    ``history`` holds structs (code, numeric_value, time_delta_days). The first token of an event carries
+    the days since the subject's previous event (0 at the first one), its other tokens carry 0. Prediction
+    times of subjects without history drop out; one before the first event gets an empty array.
+    """
+    entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_time", "_token"))
+    gathered = _seen_tokens(probes, events, vocab, max_len).groupBy(*_TIME_KEY).agg(
         F.sort_array(F.collect_list(entry)).alias("_entries")
     )
     return gathered.select(
@@ -156,6 +176,37 @@ def history_sequences(
     )
 
 
+def event_sequences(
+    probes: DataFrame, events: DataFrame, vocab: DataFrame, max_len: int = 256
+) -> DataFrame:
+    """The same tokens in the nested layout: ``events`` has an entry (time_delta_days, codes, numeric_values) per
+    event time, oldest first. Tokens are grouped by time before they are gathered."""
+    tokens = F.sort_array(F.collect_list(F.struct("_pos", "_token")))["_token"]
+    per_time = _seen_tokens(probes, events, vocab, max_len).groupBy(*_TIME_KEY, "_time").agg(tokens.alias("_tokens"))
+    event = F.struct(
+        "_time",
+        F.struct(
+            F.get("_tokens", F.lit(0))["time_delta_days"].alias("time_delta_days"),
+            F.col("_tokens")["code"].alias("codes"),
+            F.col("_tokens")["numeric_value"].alias("numeric_values"),
+        ).alias("_event"),
+    )
+    entry = F.when(F.col("_time").isNotNull(), event)
+    gathered = per_time.groupBy(*_TIME_KEY).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
+    return gathered.select(*_TIME_KEY, F.col("_entries")["_event"].alias("events"))
+
+
+def prepend_query_event(events: Column | str, query_id: Column | str) -> Column:
+    """The encoded query as an event of its own before the others, without value and time."""
+    events = F.col(events) if isinstance(events, str) else events
+    query_id = F.col(query_id) if isinstance(query_id, str) else query_id
+    nan = F.lit(float("nan")).cast("float")
+    first = F.struct(
+        nan.alias("time_delta_days"), F.array(query_id.cast("int")).alias("codes"), F.array(nan).alias("numeric_values")
+    )
+    return F.concat(F.array(first), events)
+
+
 def prepend_query(history: Column | str, query_id: Column | str) -> Column:
     """The encoded query as token 0, without value and time; the history follows unchanged."""
     history = F.col(history) if isinstance(history, str) else history
@@ -165,41 +216,21 @@ def prepend_query(history: Column | str, query_id: Column | str) -> Column:
     return F.concat(F.array(first), history)
 
 
-def by_event(history: Column | str, times: Column | str) -> Column:
-    """Nested layout: one entry per event time with the days since the event before and its codes."""
-    history = F.col(history) if isinstance(history, str) else history
-    times = F.col(times) if isinstance(times, str) else times
-    pairs = F.arrays_zip(times.alias("t"), history.alias("token"))
-    return F.transform(
-        F.array_distinct(times),
-        lambda t: F.struct(
-            F.filter(pairs, lambda p: p["t"] == t)[0]["token"]["time_delta_days"].alias("time_delta_days"),
-            F.transform(F.filter(pairs, lambda p: p["t"] == t), lambda p: p["token"]["code"]).alias("codes"),
-            F.transform(F.filter(pairs, lambda p: p["t"] == t), lambda p: p["token"]["numeric_value"]).alias(
-                "numeric_values"
-            ),
-        ),
-    )
-
-
 def flatten_events(nested: Column | str) -> Column:
     """Flat code list of a nested sequence."""
     return F.flatten(F.transform(nested, lambda e: e["codes"]))
 
 
-def assign_batches(rows: DataFrame, keys: list[str], batch_size: int, seed: int = 0) -> DataFrame:
+def assign_batches(rows: DataFrame, keys: list[str], batch_size: int, buckets: int, seed: int = 0) -> DataFrame:
     """Batches of ``batch_size`` rows in seeded order, without one global ordering.
 
-    Rows are spread over hash buckets whose number follows the row count; batches are cut inside a
-    bucket, so a bucket's last batch may be smaller.
+    Rows are spread over ``buckets`` by hash and batches are cut inside a bucket, so a bucket's last batch may
+    be smaller. A bucket is ordered in one task: choose their number from the table's size, some hundred
+    batches each. Rows that come later change the batches after them in their own bucket only.
     """
-    per_bucket = 512 * batch_size
     parts = [micros(k) if rows.schema[k].dataType.typeName().startswith("timestamp") else F.col(k) for k in keys]
-    key = F.md5(F.encode(F.concat_ws("|", *[p.cast("string") for p in parts], F.lit(str(seed))), "UTF-8"))
-    n_buckets = F.expr(f"n_rows div {per_bucket} + 1")
-    total = rows.agg(F.count("*").alias("n_rows")).select(n_buckets.alias("n")).scalar()
-    keyed = rows.withColumn("_key", key).withColumn(
-        "bucket", F.pmod(F.conv(F.substring("_key", 1, 15), 16, 10).cast("bigint"), total)
+    keyed = rows.withColumn("_key", draw_key(seed, *parts)).withColumn(
+        "bucket", F.pmod(draw_number(F.col("_key")), F.lit(buckets).cast("bigint"))
     )
     nth = F.row_number().over(Window.partitionBy("bucket").orderBy("_key", *keys))
     return keyed.withColumn("_nth", nth).withColumn("batch", F.expr(f"(_nth - 1) div {batch_size}")).drop("_key", "_nth")

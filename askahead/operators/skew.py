@@ -22,15 +22,15 @@ def join_to_unique(
 
     ``sizes`` holds (keys, n_rows) with at least the number of left rows of each key. Keys above
     ``rows_per_task`` get several salts: their right row is copied once per salt, and ``spread`` deals
-    their left rows over the salts. At most (all rows / ``rows_per_task``) keys can be that large, a few
-    hundred thousand even for 10^12 rows, which is why their list may be broadcast. All other keys have
-    one salt, so nothing is copied for them.
+    their left rows over the salts. All other keys have one salt, so nothing is copied for them. The list of
+    large keys is at most (all rows / ``rows_per_task``) long; adaptive execution measures it before it chooses
+    how to join it, and splits its large keys' partitions if that is a shuffle.
     """
     hot = (
         sizes.where(F.col("n_rows") > rows_per_task)
         .select(*keys, F.ceil(F.col("n_rows") / rows_per_task).cast("int").alias("_salts"))
     )
     salts = F.coalesce(F.col("_salts"), F.lit(1))
-    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
-    copied = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    dealt = left.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), salts).cast("int"))
+    copied = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return dealt.drop("_salts").join(copied.drop("_salts"), [*keys, "_salt"], how).drop("_salt")

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from askahead.functions import cell_start, from_micros, micros
 from askahead.functions.columns import DAY_US
-from askahead.operators.codesets import CodeSet, codes_array, codes_or_all
-from askahead.operators.context import context_start
+from askahead.operators.codesets import CodeSet, codes_array, codes_or_all, only_codes
+from askahead.operators.context import context_start, record_end
 from askahead.operators.skew import ROWS_PER_TASK, join_to_unique
 
 
@@ -32,46 +32,39 @@ def zone_map(events: DataFrame, width_days: int) -> DataFrame:
     )
 
 
-def _wanted_zones(events: DataFrame, width_days: int, codes: CodeSet | None) -> DataFrame:
-    """Zone map that marks the codes asked for."""
-    zones = zone_map(events, width_days)
-    if codes is None:
-        return zones.withColumn("_wanted", F.col("code").isNotNull())
-    if isinstance(codes, list):
-        return zones.withColumn("_wanted", F.coalesce(F.col("code").isin(codes), F.lit(False)))
-    asked = codes.select("code").distinct().withColumn("_asked", F.lit(True))
-    return zones.join(asked, "code", "left").withColumn("_wanted", F.coalesce("_asked", F.lit(False))).drop("_asked")
+def _outlooks(events: DataFrame, spots: DataFrame, width_days: int, horizon_days: int) -> DataFrame:
+    """What can be seen from each spot (subject, zone), as one row with ``outlook``.
 
-
-def _zone_profiles(zones: DataFrame, width_days: int, horizon_days: int) -> DataFrame:
-    """What can be seen from each (subject, zone), as one row.
-
-    ``outlook`` has an entry per wanted code: the last time inside the zone, and the first time in the
-    zones after it as far as the horizon. It holds at most one entry per code of the vocabulary.
-    ``n_rows`` and ``zone_end_us`` describe the zone's own events, wanted or not; zones that only look
-    ahead have none.
+    It has an entry per code: the last time inside the zone, and the first time in the zones after it, at least
+    as far as the horizon. Zones are gathered in cells as long as the horizon, and each zone is sent to its own
+    cell and to the one before, so what is shuffled is the zone map twice, whatever the durations. Within a cell
+    no more than (its zones x codes) rows meet, however many events lie behind them.
     """
-    reach = -(-horizon_days // width_days)
-    offsets = F.when(F.col("_wanted"), F.sequence(F.lit(0), F.lit(reach))).otherwise(F.array(F.lit(0)))
-    here = F.col("_back") == 0
-    return (
-        zones.withColumn("_back", F.explode(offsets))
-        .withColumn("zone", F.col("zone") - F.col("_back") * F.lit(width_days * DAY_US))
-        # One shuffle serves both groupings below; a (subject, zone) has a bounded number of rows here.
-        .repartition("subject_id", "zone")
-        .groupBy("subject_id", "zone", "code", "_wanted")
-        .agg(
-            F.max(F.when(here, F.col("last_us"))).alias("last_us"),
-            F.min(F.when(~here, F.col("first_us"))).alias("next_us"),
-            F.sum(F.when(here, F.col("n_rows"))).alias("n_rows"),
-        )
-        .groupBy("subject_id", "zone")
-        .agg(
-            F.collect_list(F.when(F.col("_wanted"), F.struct("code", "last_us", "next_us"))).alias("outlook"),
-            F.sum("n_rows").alias("n_rows"),
-            F.max("last_us").alias("zone_end_us"),
-        )
+    cell_us = -(-horizon_days // width_days) * width_days * DAY_US
+    cell = cell_start("zone", cell_us)
+    key = ["subject_id", "_cell"]
+    near = (
+        zone_map(events, width_days)
+        .where(F.col("code").isNotNull())
+        .withColumn("_cell", F.explode(F.array(cell, cell - F.lit(cell_us))))
+        .select(*key, "code", "zone", "first_us", "last_us", F.lit(False).alias("_asked"))
+        .repartition(*key)
+    )
+    places = spots.select("subject_id", "zone").distinct().withColumn("_cell", cell).repartition(*key)
+    none = F.lit(None).cast("bigint")
+    asked = places.join(near.select(*key, "code").distinct(), key).select(
+        *key, "code", "zone", none.alias("first_us"), none.alias("last_us"), F.lit(True).alias("_asked")
+    )
+    # Growing frames only: looking ahead runs through the zones backwards.
+    later = Window.partitionBy(*key, "code").orderBy(-F.col("zone")).rangeBetween(Window.unboundedPreceding, -1)
+    seen = (
+        near.unionByName(asked)
+        .groupBy(*key, "code", "zone")
+        .agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.bool_or("_asked").alias("_asked"))
+        .withColumn("next_us", F.min("first_us").over(later))
+        .where(F.col("_asked") & (F.col("last_us").isNotNull() | F.col("next_us").isNotNull()))
     )
+    return seen.groupBy(*key, "zone").agg(F.collect_list(F.struct("code", "last_us", "next_us")).alias("outlook")).drop("_cell")
 
 
 def _check(durations: list[int]) -> tuple[int, int]:
@@ -118,15 +111,16 @@ def with_reach(
 ) -> DataFrame:
     """Any prediction times × codes with ``reach_us``: the code occurs within d exactly when reach < t + d.
 
-    Valid for every d in ``durations``. Without ``codes``, all codes of the log are asked about. For a
-    sample of times, ``few_per_subject`` saves the count that finds subjects to split. Unless ``dense``,
-    codes that surely do not occur have no row.
+    Valid for every d in ``durations``. Without ``codes``, all codes of the log are asked about; a code list
+    reaches the scan of the events. For a sample of times, ``few_per_subject`` saves the count that finds
+    subjects to split. Unless ``dense``, codes that surely do not occur have no row.
     """
     width, horizon = _check(durations)
-    profiles = _zone_profiles(_wanted_zones(events, width, codes), width, horizon).select("subject_id", "zone", "outlook")
     placed = candidates.withColumn("at_us", micros("prediction_time")).withColumn(
         "zone", cell_start("at_us", width * DAY_US)
     )
+    wanted = events if codes is None else only_codes(events, codes)
+    profiles = _outlooks(wanted, placed, width, horizon)
     key, how = ["subject_id", "zone"], "left" if dense else "inner"
     if few_per_subject:
         joined = placed.join(profiles, key, how)
@@ -151,32 +145,27 @@ def eligible_with_reach(
     """
     width, horizon = _check(durations)
     width_us = width * DAY_US
-    # Filtering subjects here, and not only in the joins below, lets all branches share one zone shuffle.
     timed = events.where(F.col("time").isNotNull() & F.col("subject_id").isNotNull())
-    zones = _wanted_zones(timed, width, codes)
-    profiles = (
-        _zone_profiles(zones, width, horizon)
-        .where(F.col("n_rows").isNotNull())
-        .withColumn("record_end_us", F.max("zone_end_us").over(Window.partitionBy("subject_id")))
-        .drop("n_rows", "zone_end_us")
-    )
-    if min_context > 0:
-        start = context_start(events, min_context).select("subject_id", micros("context_start").alias("start_us"))
-        profiles = profiles.join(start, "subject_id").where(F.col("start_us") < F.col("zone") + F.lit(width_us))
-    else:
-        profiles = profiles.withColumn("start_us", F.col("zone"))
     zone = cell_start("at_us", width_us)
     times = timed.select("subject_id", micros("time").alias("at_us")).distinct().withColumn("zone", zone)
-    # The condition always holds; it keeps the columns that make this the same shuffle as the profiles'.
-    sizes = (
-        zones.where((F.col("first_us") <= F.col("last_us")) & F.col("_wanted").isNotNull())
-        .groupBy("subject_id", "zone")
-        .agg(F.sum("n_rows").alias("n_rows"))
+    sizes = times.groupBy("subject_id", "zone").agg(F.count("*").alias("n_rows"))
+    bounds = record_end(timed).select("subject_id", micros("record_end_time").alias("record_end_us"))
+    if min_context > 0:
+        start = context_start(timed, min_context).select("subject_id", micros("context_start").alias("start_us"))
+        bounds = bounds.join(start, "subject_id")
+    else:
+        bounds = bounds.withColumn("start_us", F.lit(None).cast("bigint"))
+    # A subject has at most as many zones as the calendar, so this join has no large key.
+    spots = sizes.join(bounds, "subject_id").where(
+        F.col("start_us").isNull() | (F.col("start_us") < F.col("zone") + F.lit(width_us))
     )
+    wanted = timed if codes is None else only_codes(timed, codes)
+    outlooks = _outlooks(wanted, spots, width, horizon)
+    profiles = spots.drop("n_rows").join(outlooks, ["subject_id", "zone"], "left")
     joined = join_to_unique(
         times, profiles, ["subject_id", "zone"], sizes, F.col("at_us"), rows_per_task=rows_per_task
     )
-    eligible = joined.where(F.col("at_us") >= F.col("start_us")).drop("zone", "start_us")
+    eligible = joined.where(F.col("start_us").isNull() | (F.col("at_us") >= F.col("start_us"))).drop("zone", "start_us")
     return _grid(eligible, codes_or_all(codes, events)).withColumn("prediction_time", from_micros("at_us"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askahead.functions import code_slug
@@ -31,8 +31,14 @@ def eval_tasks_from_log(
     min_context: int = 50,
     k: int = 1,
     seed: int = 43,
+    subjects: Column | None = None,
 ) -> DataFrame:
-    """The same tables straight from the event log: samples the index times first, then labels only those."""
+    """The same tables straight from the event log: samples the index times first, then labels only those.
+
+    ``subjects`` is a condition on ``subject_id``, such as the held-out split.
+    """
+    if subjects is not None:
+        events = events.where(subjects)
     index = sample_per_subject(candidate_times(events, min_context), ["subject_id", "prediction_time"], k, seed)
     labels = label_times(index, events, codes, duration_days).where(F.col("occurs").isNotNull())
     return labels.select(
@@ -49,6 +55,18 @@ def external_task_tables(external: DataFrame, labels: DataFrame, codes: CodeSet)
     return external_label_join(external, labels, codes)
 
 
+def external_tasks_from_log(
+    external: DataFrame, events: DataFrame, codes: CodeSet, duration_days: int, min_context: int = 50
+) -> DataFrame:
+    """The same straight from the event log: only the cohort's own times are labelled.
+
+    A time at which its subject has not seen enough context is unknown, as it is to a label table: an error.
+    """
+    key = ["subject_id", "prediction_time"]
+    known = candidate_times(events, min_context).join(external.select(*key).distinct(), key, "left_semi")
+    return external_label_join(external, label_times(known, events, codes, duration_days), codes)
+
+
 def auroc_per_code(predictions: DataFrame, eval_task: DataFrame) -> DataFrame:
     """AUROC of each code's predictions against that code's labels, NaN where a class is missing.
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from askahead.operators.codesets import CodeSet, codes_or_all
+from askahead.functions.columns import DAY_US
+from askahead.operators.codesets import CodeSet, codes_or_all, only_codes
 from askahead.operators.context import candidate_times, censor_flag, record_end
 from askahead.operators.labels import LABEL_COLUMNS, label_grid, null_when_censored, to_training_rows
 from askahead.operators.sampling import sample_grid, sample_per_subject
-from askahead.operators.zones import label_questions, occurs_within, with_reach
+from askahead.operators.zones import eligible_with_reach, label_questions, occurs_within, with_reach
 
 TRAINING_COLUMNS = ["subject_id", "prediction_time", "boolean_value", "occurs", "query", "duration_days"]
 
@@ -24,6 +25,51 @@ def label_table(
     return label_grid(events, codes, durations, min_context)
 
 
+def duration_counts(events: DataFrame, codes: CodeSet | None, durations: range, min_context: int = 50) -> DataFrame:
+    """Per code and duration the number of true, false and censored cells of the label table, without its rows.
+
+    Along the durations a cell is false, then true from the first one that reaches the code, then censored
+    from the first one that outlasts the record. So each cell counts at two durations only, and running sums
+    over the durations give the rest.
+    """
+    reach = eligible_with_reach(events, codes, [durations.start, durations[-1]], min_context)
+    at = F.col("at_us")
+    # First duration that is longer than the record, and first that ends after the code's next time.
+    ends = F.floor((F.col("record_end_us") - at) / DAY_US) + 1
+    hits = F.coalesce(F.floor((F.col("reach_us") - at) / DAY_US) + 1, ends)
+
+    def bounded(day: F.Column) -> F.Column:
+        return F.least(F.greatest(day, F.lit(durations.start)), F.lit(durations.stop)).cast("int")
+
+    cells = reach.select("query", bounded(ends).alias("_ends"), bounded(F.least(hits, ends)).alias("_hits"))
+    steps = (
+        cells.groupBy("query", "_ends", "_hits")
+        .agg(F.count("*").alias("n"))
+        .select("query", "n", F.inline(F.array(
+            F.struct(F.col("_hits").alias("_day"), F.lit(1).alias("_hit"), F.lit(0).alias("_end")),
+            F.struct(F.col("_ends").alias("_day"), F.lit(0).alias("_hit"), F.lit(1).alias("_end")),
+        )))
+    )
+    days = F.explode(F.sequence(F.lit(durations.start), F.lit(durations.stop - 1))).alias("_day")
+    every = steps.select("query").distinct().select("query", F.lit(0).cast("bigint").alias("n"), days)
+    every = every.select("query", "n", "_day", F.lit(0).alias("_hit"), F.lit(0).alias("_end"))
+    per_day = (
+        steps.unionByName(every)
+        .groupBy("query", "_day")
+        .agg(F.sum(F.col("n") * F.col("_hit")).alias("_hit"), F.sum(F.col("n") * F.col("_end")).alias("_end"))
+    )
+    so_far = Window.partitionBy("query").orderBy("_day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.sum("_end").over(Window.partitionBy("query"))
+    counted = per_day.select(
+        F.col("_day").alias("duration_days"),
+        "query",
+        (F.sum("_hit").over(so_far) - F.sum("_end").over(so_far)).alias("n_true"),
+        (total - F.sum("_hit").over(so_far)).alias("n_false"),
+        F.sum("_end").over(so_far).alias("n_censored"),
+    )
+    return counted.where(F.col("duration_days").isin(list(durations)))
+
+
 def label_times(times: DataFrame, events: DataFrame, codes: CodeSet | None, duration_days: int) -> DataFrame:
     """Label rows of given prediction times, such as a sample or a cohort, for all codes.
 
@@ -60,7 +106,8 @@ def training_table(
     drawn = sample_grid(candidate_times(events, min_context), codes_or_all(codes, events), durations, k, seed)
     # A sample has at most k rows per subject, so this join has no large key.
     questions = drawn.join(record_end(events), "subject_id")
-    return to_training_rows(label_sampled(questions, events, durations.start)).select(*TRAINING_COLUMNS)
+    asked = events if codes is None else only_codes(events, codes)
+    return to_training_rows(label_sampled(questions, asked, durations.start)).select(*TRAINING_COLUMNS)
 
 
 def collate_labels(labels: DataFrame, k: int = 20, seed: int = 1) -> DataFrame:

@@ -5,24 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askahead.operators.sequences import history_sequences, insert_duration_slot, label_roles, prepend_query
+from askahead.operators.sequences import (
+    event_sequences,
+    history_sequences,
+    insert_duration_slot,
+    label_roles,
+    prepend_query,
+    prepend_query_event,
+)
+
+_KEY = ["subject_id", "prediction_time"]
 
 
 def model_input(
     labels: DataFrame, events: DataFrame, vocab: DataFrame, max_len: int = 256, times: DataFrame | None = None
 ) -> DataFrame:
-    """One row per label row: roles, ``sequence`` with the query at position 0, and its masks.
+    """One row per label row: roles, ``sequence`` with the query at position 0, and its parts as arrays.
 
-    ``attention_mask`` has one more slot than the sequence: position 1 stands for the duration and is always
-    attended. ``times`` are the labels' prediction times, where the caller has them without the labels.
+    ``codes``, ``numeric_values`` and ``time_deltas`` (days) are those of the sequence; ``attention_mask`` has
+    one more slot: position 1 stands for the duration and is always attended. ``times`` are the labels'
+    prediction times, where the caller has them without the labels.
     """
-    histories = history_sequences(labels if times is None else times, events, vocab, max_len).select("subject_id", "prediction_time", "history")
-    rows = label_roles(labels, vocab).join(histories, ["subject_id", "prediction_time"])
+    histories = history_sequences(labels if times is None else times, events, vocab, max_len).drop("times")
+    rows = label_roles(labels, vocab).join(histories, _KEY)
     return (
         rows.withColumn("sequence", prepend_query("history", "query_id"))
         .drop("history")
-        .withColumn("codes", F.transform("sequence", lambda t: t["code"]))
+        .withColumn("codes", F.col("sequence")["code"])
+        .withColumn("numeric_values", F.col("sequence")["numeric_value"])
+        .withColumn("time_deltas", F.col("sequence")["time_delta_days"])
         .withColumn(
             "attention_mask", insert_duration_slot(F.transform("codes", lambda c: c != 0), F.lit(True))
         )
     )
+
+
+def model_input_by_event(
+    labels: DataFrame, events: DataFrame, vocab: DataFrame, max_len: int = 256, times: DataFrame | None = None
+) -> DataFrame:
+    """The same rows in the nested layout: ``events`` with the query as the first event."""
+    nested = event_sequences(labels if times is None else times, events, vocab, max_len)
+    rows = label_roles(labels, vocab).join(nested, _KEY)
+    return rows.withColumn("events", prepend_query_event("events", "query_id"))

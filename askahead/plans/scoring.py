@@ -13,9 +13,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from askahead.functions import draw_key, micros
 from askahead.schemas import SCORED
+from askahead.session import checkpointed
 
-# Gets one Arrow batch of model input, returns occurs_probs, censor_probs and embedding in row order.
+# Per token of a sequence; the mask has a further slot for the duration at position 1.
+MODEL_ARRAYS = ["codes", "numeric_values", "time_deltas", "attention_mask"]
+
+# Gets one Arrow batch of model input (MODEL_ARRAYS, query_id, duration_years), returns occurs_probs, censor_probs and embedding in row order.
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
 
@@ -40,7 +45,7 @@ def predict_table(inputs: DataFrame, load_scorer: Callable[[], Scorer]) -> DataF
                 }
             )
 
-    wanted = inputs.select("subject_id", "prediction_time", "query", "query_id", "codes", "duration_years")
+    wanted = inputs.select("subject_id", "prediction_time", "query", "query_id", "duration_years", *MODEL_ARRAYS)
     return wanted.mapInPandas(score, SCORED)
 
 
@@ -73,11 +78,21 @@ def _with_tokens(inputs: DataFrame) -> DataFrame:
     return inputs.withColumn("words", F.concat(history, F.array(F.concat(F.lit("q"), F.col("query_id").cast("string")))))
 
 
-def baseline_two_head(inputs: DataFrame, n_features: int = 1 << 12, max_iter: int = 20) -> TwoHeadModel:
+def training_sample(inputs: DataFrame, max_rows: int, seed: int = 0) -> DataFrame:
+    """At most ``max_rows`` rows in seeded order, cut in each task before they meet."""
+    key = draw_key(seed, "subject_id", micros("prediction_time"), "query", "duration_days")
+    return inputs.withColumn("_key", key).orderBy("_key").limit(max_rows).drop("_key")
+
+
+def baseline_two_head(
+    inputs: DataFrame, n_features: int = 1 << 12, max_iter: int = 20, max_rows: int = 100_000
+) -> TwoHeadModel:
     """Logistic regressions on hashed history counts, query and duration.
 
-    The censor head learns from all rows, the occurs head from the uncensored ones.
+    The censor head learns from all rows, the occurs head from the uncensored ones. At most ``max_rows`` rows
+    are learned from, drawn by a hash of their keys; the model can score any number.
     """
+    inputs = checkpointed(training_sample(inputs, max_rows))
     features = Pipeline(
         stages=[
             HashingTF(inputCol="words", outputCol="counts", numFeatures=n_features),

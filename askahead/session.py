@@ -15,8 +15,8 @@ _RUNTIME = {
     # Split oversized join partitions even where that costs one more exchange above the join.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Keep only the first k rows of a group in each task before the shuffle, for k up to a code sample.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
+    # Keep only the first k rows of a group in each task before the shuffle, whatever k is.
+    "spark.sql.optimizer.windowGroupLimitThreshold": str((1 << 31) - 1),
     # A rerun of a write replaces only the partitions it produces.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }

@@ -6,7 +6,7 @@ partition that holds much of the data is split over several tasks.
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,26 +16,36 @@ from askahead.functions import micros
 
 
 def _finished(spark: SparkSession, path: str, keys: list[str]) -> list[tuple]:
-    """Partitions a former run completed: one small row per configured duration and split."""
+    """What former runs have completed: one small row per configured duration and split, or one per table."""
     try:
         log = spark.read.json(f"{path}.finished")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return []
     return [tuple(r) for r in log.select(*keys).distinct().collect()]
 
 
-def write_label_table(labels: DataFrame, path: str, durations: list[int], splits: list[str]) -> list[tuple]:
+def write_label_table(
+    spark: SparkSession,
+    build: Callable[[list[int]], DataFrame],
+    path: str,
+    durations: list[int],
+    splits: list[str],
+) -> list[tuple]:
     """Write the (duration, split) partitions that are not there yet; returns those written.
 
-    A partition counts as done once its whole job has finished, so half-written ones are made again.
+    ``build`` gets the durations that lack a partition and returns their labels with ``split``, so finished
+    durations are not computed again. A partition counts as done once its whole job has finished, so
+    half-written ones are made again.
     """
-    spark = labels.sparkSession
     keys = ["duration_days", "split"]
     done = {(int(d), s) for d, s in _finished(spark, path, keys)}
     missing = [(d, s) for d in durations for s in splits if (d, s) not in done]
     if not missing:
         return []
     todo = spark.createDataFrame(missing, "duration_days int, split string")
+    labels = build(sorted({d for d, _ in missing})).where(F.col("split").isin(sorted({s for _, s in missing})))
     (
         labels.join(todo, keys, "left_semi")
         .hint("rebalance", *keys)
@@ -48,31 +58,23 @@ def write_label_table(labels: DataFrame, path: str, durations: list[int], splits
     return missing
 
 
-def config_fingerprint(codes: list[str], durations: list[int]) -> str:
-    """Identity of a training configuration: sorted codes (duplicates kept) and durations."""
-    text = "|".join(sorted(codes)) + "_" + "|".join(str(d) for d in sorted(durations))
-    return hashlib.md5(text.encode()).hexdigest()
-
-
-def index_fingerprint(read_dir: str, k: int, seed: int) -> str:
-    return hashlib.md5(f"{read_dir}|K={k}|seed={seed}".encode()).hexdigest()
-
-
 def codes_fingerprint(codes: DataFrame, durations: list[int]) -> DataFrame:
-    """``config_fingerprint`` of a code table, as a one-row table."""
+    """Identity of a training configuration, as a one-row table: its codes (repeats kept) and durations in order."""
     tail = "_" + "|".join(str(d) for d in sorted(durations))
     names = F.array_join(F.sort_array(F.collect_list("code")), "|")
     return codes.agg(F.md5(F.encode(F.concat(names, F.lit(tail)), "UTF-8")).alias("fingerprint"))
 
 
 def write_collated(rows: DataFrame, root: str, fingerprint: str) -> str:
-    """Training rows per split below a folder named by the configuration; kept when already complete."""
-    path = f"{root}/collated/{fingerprint}"
-    try:
-        rows.hint("rebalance", "split").write.mode("errorifexists").partitionBy("split").parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_ALREADY_EXISTS":
-            raise
+    """Training rows per split below a folder named by the configuration.
+
+    Kept when a former run has logged its end; what an interrupted run left is replaced.
+    """
+    spark, path = rows.sparkSession, f"{root}/collated/{fingerprint}"
+    if not _finished(spark, path, ["fingerprint"]):
+        whole = rows.hint("rebalance", "split").write.mode("overwrite").option("partitionOverwriteMode", "static")
+        whole.partitionBy("split").parquet(path)
+        spark.createDataFrame([(fingerprint,)], "fingerprint string").write.mode("overwrite").json(f"{path}.finished")
     return path
 
 
@@ -83,15 +85,12 @@ def write_per_code(rows: DataFrame, path: str) -> str:
     return path
 
 
-def write_index_times(index: DataFrame, root: str, read_dir: str, k: int, seed: int) -> str:
-    """Index times and a one-row description of how they were drawn."""
-    spark = index.sparkSession
-    fingerprint = index_fingerprint(read_dir, k, seed)
-    path = f"{root}/index_times/{fingerprint}"
+def write_index_times(index: DataFrame, root: str, name: str, k: int, seed: int) -> str:
+    """Index times and a one-row description of how they were drawn, below a folder that says the same."""
+    spark, path = index.sparkSession, f"{root}/index_times/{name}-{k}-per-subject-seed-{seed}"
     index.write.mode("overwrite").parquet(f"{path}/held_out")
-    meta = [(fingerprint, read_dir, k, seed)]
-    schema = "time_hash string, read_dir string, sample_times_per_subject int, seed int"
-    spark.createDataFrame(meta, schema).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
+    drawn = spark.createDataFrame([(name, k, seed)], "name string, sample_times_per_subject int, seed int")
+    drawn.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
     return path
 
 

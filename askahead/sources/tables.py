@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import warnings
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askahead.functions import from_micros
-from askahead.operators.codesets import CodeSet, only_codes
+from askahead.operators.codesets import CodeSet, numbered, only_codes
 from askahead.operators.sequences import OPTIONAL_LABELS
 from askahead.schemas import PREDICTIONS_CSV
 
@@ -33,35 +37,43 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def code_vocab(rows: DataFrame) -> DataFrame:
-    """Vocabulary of a table with a ``code`` column: index by code order, 0 stays free for padding.
-
-    The window runs over the distinct codes only, which the vocabulary bounds.
-    """
+    """Vocabulary of a table with a ``code`` column: index by code order, 0 stays free for padding."""
     codes = rows.where(F.col("code").isNotNull()).select("code").distinct()
-    order = Window.partitionBy(F.lit(0)).orderBy("code")
-    return codes.withColumn("vocab_index", F.row_number().over(order))
+    return numbered(codes, ["code"], "_no").select("code", (F.col("_no") + 1).cast("int").alias("vocab_index"))
+
+
+def _missing(error: AnalysisException) -> bool:
+    return error.getCondition() == "PATH_NOT_FOUND"
 
 
 def read_vocab(spark: SparkSession, path: str) -> DataFrame:
-    """Stored vocabulary with ``code`` and ``code/vocab_index``."""
-    stored = spark.read.parquet(path)
+    """Stored vocabulary with ``code`` and ``code/vocab_index``; a missing file is an empty vocabulary, with a warning."""
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as error:
+        if not _missing(error):
+            raise
+        warnings.warn(f"no vocabulary at {path}: every code becomes the padding index", stacklevel=2)
+        return spark.createDataFrame([], "code string, vocab_index int")
     return stored.select("code", F.col("`code/vocab_index`").cast("int").alias("vocab_index"))
 
 
 def read_labels(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Label files: the required columns and whichever optional ones exist. All files must agree."""
-    parts = []
-    for path in paths:
-        stored = spark.read.parquet(path)
-        parts.append(stored.select(*_REQUIRED_LABELS, *[c for c in OPTIONAL_LABELS if c in stored.columns]))
-    wanted = [(f.name, f.dataType) for f in parts[0].schema]
-    for path, part in zip(paths, parts, strict=True):
-        if [(f.name, f.dataType) for f in part.schema] != wanted:
+    """Label files in one scan: the required columns and whichever optional ones exist. All files must agree.
+
+    Only footers are read to compare the files, many at a time.
+    """
+
+    def label_fields(path: str) -> list[tuple]:
+        fields = {f.name: f.dataType for f in spark.read.parquet(path).schema}
+        return [(c, fields.get(c)) for c in [*_REQUIRED_LABELS, *OPTIONAL_LABELS]]
+
+    with ThreadPoolExecutor(16) as pool:
+        found = list(pool.map(label_fields, paths))
+    for path, fields in zip(paths, found, strict=True):
+        if fields != found[0]:
             raise ValueError(f"label file {path} has other label columns than {paths[0]}")
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every
+    return spark.read.parquet(*paths).select(*[c for c, kind in found[0] if kind is not None])
 
 
 def pruned_labels(labels: DataFrame, codes: CodeSet) -> DataFrame:
@@ -79,9 +91,15 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return stored.withColumn("prediction_time", from_micros("prediction_time"))
 
 
-def with_split(rows: DataFrame) -> DataFrame:
+def _split() -> Column:
     """Split by subject: eight tenths train, one tuning, one held out."""
     digit = F.pmod("subject_id", F.lit(10))
-    return rows.withColumn(
-        "split", F.when(digit < 8, F.lit("train")).when(digit == 8, F.lit("tuning")).otherwise(F.lit("held_out"))
-    )
+    return F.when(digit < 8, F.lit("train")).when(digit == 8, F.lit("tuning")).otherwise(F.lit("held_out"))
+
+
+def with_split(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("split", _split())
+
+
+def in_split(split: str) -> Column:
+    return _split() == split

@@ -17,10 +17,10 @@ def process_new_shards(
     target: str,
     checkpoint: str,
     build: Callable[[DataFrame], DataFrame],
-    files_per_batch: int = 1000,
 ) -> None:
     """Run ``build`` over the event files that arrived since the last call, each exactly once.
 
+    All files of a delivery, however many, are one batch.
     The stream's checkpoint remembers the files. A batch writes its own partition by overwriting it, so a
     batch repeated after a failure leaves no duplicates. Results per batch are right only if all events
     of a subject arrive together; a subject that was in an earlier batch is an error.
@@ -30,7 +30,9 @@ def process_new_shards(
     def check_new(subjects: DataFrame, batch_id: int) -> None:
         try:
             earlier = subjects.sparkSession.read.parquet(ledger).where(F.col("batch_id") < batch_id)
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return
         again = subjects.join(earlier, "subject_id", "left_semi").limit(1).count()
         if again:
@@ -46,7 +48,7 @@ def process_new_shards(
         write(build(batch), batch_id, target)
         write(subjects, batch_id, ledger)
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    stream = spark.readStream.schema(schema).parquet(source)
     query = (
         stream.writeStream.foreachBatch(on_batch)
         .option("checkpointLocation", checkpoint)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from askahead.operators import context, timeline, zones
 from askahead.operators.labels import assemble_wide, label_grid, unpivot_labels
 from askahead.operators.quality import null_labels, require_zero
-from askahead.plans.labels import label_sampled, label_table, label_times
+from askahead.plans.evaluation import external_task_tables, external_tasks_from_log
+from askahead.plans.labels import duration_counts, label_sampled, label_table, label_times
 
 
 def labels_of(df):
@@ -85,6 +86,42 @@ def test_grid_equals_definition(events, seed):
     assert hits == {(s, t, c) for (s, t, c, d), (_, hit) in expected.items() if d == 7 and hit}
 
 
+def test_shuffled_zones_do_not_follow_the_durations(events):
+    rng = random.Random(8)
+    rows = [(s, rng.randint(0, 3000) / 2, rng.choice("abcd")) for s in range(10) for _ in range(60)]
+    log = events(rows)
+    codes = ["a", "b", "c", "d"]
+    got = labels_of(label_table(log, codes, [1, 365], 1))
+    assert got == brute(rows, codes, [1, 365], 1)
+    spots = log.select("subject_id", (F.lit(0).cast("bigint")).alias("zone"))
+    text = zones._outlooks(log, spots, 1, 365)._jdf.queryExecution().optimizedPlan().toString()
+    # Each zone goes to two cells, however many zones the horizon holds.
+    assert "sequence(" not in text and "explode(array(" in text
+
+
+def test_duration_counts_equal_the_label_table(events):
+    rng = random.Random(4)
+    rows = [(rng.randint(1, 4), rng.randint(0, 160) / 4, rng.choice("abc")) for _ in range(120)]
+    log = events(rows)
+    durations = range(2, 17, 3)
+    grid = label_table(log, ["a", "b", "x"], list(durations), 2)
+    want = grid.groupBy("duration_days", "query").agg(
+        F.count_if("occurs").alias("n_true"), F.count_if(~F.col("occurs")).alias("n_false"), F.count_if("censored").alias("n_censored")
+    )
+    got = duration_counts(log, ["a", "b", "x"], durations, 2)
+    assert set(got.select(want.columns).collect()) == set(want.collect())
+
+
+def test_cohorts_can_be_labelled_from_the_log(spark, events):
+    log = events([(1, 0, "a"), (1, 5, "b"), (1, 30, "a"), (2, 0, "b"), (2, 40, "a")])
+    key = "subject_id bigint, prediction_time timestamp_ntz, boolean_value boolean"
+    cohort = spark.createDataFrame([(1, day(30), True), (2, day(0), False)], key)
+    whole = external_task_tables(cohort, label_table(log, ["a", "b"], [10], 1), ["a"])
+    assert set(external_tasks_from_log(cohort, log, ["a"], 10, 1).collect()) == set(whole.collect())
+    with pytest.raises(Exception, match="no label row"):
+        external_tasks_from_log(cohort, log, ["a"], 10, 2).collect()
+
+
 def test_zones_before_the_epoch(spark):
     import datetime as dt
 

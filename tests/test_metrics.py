@@ -104,7 +104,19 @@ def test_composites(spark):
     empty = composite.composite_probs(preds(spark, [None, None]), ["max", "or", "sum"]).first()
     assert (empty.prob_max, empty.prob_or, empty.prob_sum) == (None, 0.0, 0.0)
     with pytest.raises(ValueError, match="mean"):
-        composite.check_kinds(["max", "mean"])
+        composite.folds(["max", "mean"])
+
+
+def test_tiny_risks_keep_their_order(spark):
+    rows = [(1, day(0), True, 3e-13), (2, day(0), False, 1e-13), (3, day(0), False, 2e-13)]
+    joined = spark.createDataFrame(rows, "subject_id bigint, prediction_time timestamp_ntz, boolean_value boolean, prob_max double")
+    assert composite.composite_auroc(joined).first().auroc == 1.0
+
+
+def test_equal_risks_tie_in_whatever_order_their_parts_arrive(spark):
+    values = [0.1, 0.7, 0.3, 1e-9, 0.2]
+    one, other = (composite.composite_probs(preds(spark, v), ["or", "sum"]).first() for v in (values, values[::-1]))
+    assert (one.prob_or, one.prob_sum) == (other.prob_or, other.prob_sum)
 
 
 def test_composite_auroc_is_nan_with_one_class(spark):

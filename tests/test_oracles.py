@@ -7,10 +7,15 @@ from pathlib import Path
 
 import pytest
 from oracle import connect, difference
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
+from askahead.catalog import ORACLES as SQL
+from askahead.catalog import QUERIES
+from askahead.catalog.sequences import click_inputs
+from askahead.plans.scoring import baseline_two_head, training_sample
+from askahead.session import checkpointed
 
-QUERIES, SQL = entry_point.queries(), entry_point.oracle_sql()
 SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 DRAWS = {
     "sample_codes",
@@ -34,10 +39,15 @@ def test_query_equals_sql(spark, connections, name):
     assert difference(QUERIES[name](spark, sf), connections[sf], SQL[name]) is None
 
 
-def test_baseline_scores_every_code(spark):
-    rows = QUERIES["baseline_two_head"](spark, SMALL).collect()
-    assert len(rows) == 5
-    assert all(r.censor_auc is None or 0 <= r.censor_auc <= 1 for r in rows)
+def test_baseline_learns_from_a_bounded_sample_and_labels_of_uncensored_rows(spark):
+    inputs = checkpointed(click_inputs(spark, SMALL).limit(400))
+    assert training_sample(inputs, 100).count() == 100
+    drawn = [{(r.subject_id, r.prediction_time, r["query"]) for r in training_sample(x, 100).collect()} for x in (inputs, inputs.repartition(7))]
+    assert drawn[0] == drawn[1]
+    # The occurs head must not see censored rows: turning their labels round changes nothing.
+    flipped = inputs.withColumn("occurs", F.when(F.col("censor"), 1 - F.col("occurs")).otherwise(F.col("occurs")))
+    a, b = (baseline_two_head(rows, n_features=64).occurs for rows in (inputs, flipped))
+    assert a.coefficients == b.coefficients and a.intercept == b.intercept
 
 
 def test_entry_counts_codes(spark):

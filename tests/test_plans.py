@@ -10,6 +10,8 @@ from askahead.catalog.base import orders_log, table
 from askahead.operators import sampling
 from askahead.operators.context import candidate_times
 from askahead.operators.zones import zone_map
+from askahead.plans.evaluation import eval_tasks_from_log
+from askahead.plans.labels import training_table
 
 SF = "/root/testdata/sf0.001"
 QUERIES = entry_point.queries()
@@ -40,6 +42,15 @@ def test_code_lists_reach_the_scan(spark):
     assert "In(o_orderpriority, [1-URGENT,5-LOW])" in plan(rows)
 
 
+def test_wanted_codes_reach_the_scan_of_labels(spark):
+    log = orders_log(spark, SF)
+    for df in (
+        eval_tasks_from_log(log, ["1-URGENT"], 90, 5),
+        training_table(log, ["1-URGENT"], range(30, 366), 20, 1, 5),
+    ):
+        assert "EqualTo(o_orderpriority,1-URGENT)" in plan(df) or "In(o_orderpriority, [1-URGENT])" in plan(df)
+
+
 def test_samples_are_cut_before_the_shuffle(spark):
     keys = ["subject_id", "prediction_time"]
     text = plan(sampling.sample_per_subject(candidate_times(orders_log(spark, SF), 5), keys, 1, 43))

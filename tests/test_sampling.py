@@ -37,6 +37,23 @@ def test_grid_sample_is_distinct_and_complete_on_small_grids(spark):
     assert set(sampling.sample_grid(df.repartition(7), ["a", "b", "c"], range(30, 34), 20, 3).collect()) == set(got)
 
 
+def test_grid_sample_takes_any_vocabulary(spark):
+    df = grid(spark, {1: 3, 2: 50})
+    codes = spark.range(250_000).select(F.format_string("c%06d", "id").alias("code"))
+    got = sampling.sample_grid(df, codes, range(30, 366), 20, 3)
+    rows = got.collect()
+    assert Counter(r.subject_id for r in rows) == {1: 20, 2: 20}
+    assert set(sampling.sample_grid(df, codes.repartition(5), range(30, 366), 20, 3).collect()) == set(rows)
+
+
+def test_numbers_follow_the_order_without_one_task(spark):
+    rows = spark.range(5000).select(F.md5(F.col("id").cast("string")).alias("code"))
+    got = codesets.numbered(rows, ["code"], "n").collect()
+    assert [r.code for r in sorted(got, key=lambda r: r.n)] == sorted(r.code for r in got)
+    assert sorted(r.n for r in got) == list(range(5000))
+    assert codesets.numbered(rows.limit(0), ["code"], "n").count() == 0
+
+
 def test_grid_sample_is_even(spark):
     df = grid(spark, {s: 10 for s in range(1500)})
     got = sampling.sample_grid(df, ["a", "b", "c", "d"], range(30, 40), 8, 5)
@@ -78,6 +95,6 @@ def test_manual_codes_count_as_in_distribution(spark):
 
 def test_batches_have_the_given_size(spark):
     df = spark.range(1000).withColumnRenamed("id", "subject_id").withColumn("prediction_time", F.lit(day(0)))
-    sizes = Counter((r.bucket, r.batch) for r in assign_batches(df, KEYS, 64).collect())
+    sizes = Counter((r.bucket, r.batch) for r in assign_batches(df, KEYS, 64, 1).collect())
     assert sum(sizes.values()) == 1000
     assert sorted(sizes.values())[1:] == [64] * 15

@@ -78,8 +78,10 @@ def test_query_goes_in_front_and_history_stays(spark):
 
 def test_nested_layout_flattens_back(spark):
     log = valued(spark, [(1, 0, "a", 1.0), (1, 0, "b", 2.0), (1, 1, "a", 3.0)])
-    out = sequences.history_sequences(times(spark, [(1, 5)]), log, code_vocab(log), 8)
-    row = out.withColumn("events", sequences.by_event("history", "times")).withColumn("flat", sequences.flatten_events("events")).first()
+    out = sequences.event_sequences(times(spark, [(1, 5), (1, -1)]), log, code_vocab(log), 8)
+    rows = out.withColumn("flat", sequences.flatten_events("events")).orderBy("prediction_time").collect()
+    assert rows[0].events == []
+    row = rows[1]
     assert [e.codes for e in row.events] == [[1, 2], [1]]
     assert [e.time_delta_days for e in row.events] == [0.0, 1.0]
     assert row.flat == [1, 2, 1]

@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 
 import pytest
 from conftest import day
@@ -14,20 +13,26 @@ from askahead.plans.labels import label_table
 from askahead.schemas import EVENTS
 from askahead.session import fresh_path
 from askahead.sources import sinks
-from askahead.sources.tables import read_labels, read_predictions, with_split
+from askahead.sources.tables import read_labels, read_predictions, read_vocab, with_split
 from askahead.streaming.incremental import process_new_shards
 
 
-def slug(code: str) -> str:
-    digest = hashlib.sha1(code.encode()).hexdigest()[:10]
-    prefix = re.sub(r"[^A-Za-z0-9._-]+", "_", code).strip("_")[:24]
-    return f"{prefix}__{digest}" if prefix else digest
+SLUGS = {
+    "HR": "HR__f187928fdb",
+    "////": "c9b423aa80",
+    "": "da39a3ee5e",
+    "__a b//c__": "a_b_c__487ba7a5d2",
+    "LAB//50912//mg/dLLAB//50912//mg/dLLAB//50912//mg/dL": "LAB_50912_mg_dLLAB_50912__0d862c6b26",
+    "é//x": "x__47b11fbf25",
+    "a.b-c_d": "a.b-c_d__c3472e213e",
+    "日本": "44da6bbcf2",
+    "_-_": "-__48ab534db7",
+}
 
 
 def test_slugs(spark):
-    codes = ["HR", "////", "", "__a b//c__", "LAB//50912//mg/dL" * 3, "é//x", "a.b-c_d", "日本", "_-_"]
-    got = spark.createDataFrame([(c,) for c in codes], "code string").select("code", code_slug("code").alias("s"))
-    assert {r.code: r.s for r in got.collect()} == {c: slug(c) for c in codes}
+    got = spark.createDataFrame([(c,) for c in SLUGS], "code string").select("code", code_slug("code").alias("s"))
+    assert {r.code: r.s for r in got.collect()} == SLUGS
 
 
 def test_fingerprint_depends_on_order(spark):
@@ -37,7 +42,8 @@ def test_fingerprint_depends_on_order(spark):
 
     assert of(["b", "a"]) == hashlib.sha256(b"b\na\n").hexdigest()[:12]
     assert of(["b", "a"]) != of(["a", "b"])
-    assert sinks.config_fingerprint(["b", "a", "a"], [31, 30]) == hashlib.md5(b"a|a|b_30|31").hexdigest()
+    codes = spark.createDataFrame([("b",), ("a",), ("a",)], "code string")
+    assert sinks.codes_fingerprint(codes, [31, 30]).first()[0] == hashlib.md5(b"a|a|b_30|31").hexdigest()
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
@@ -67,11 +73,18 @@ def test_index_join_drops_missing_labels_and_external_join_keeps_them(spark, eve
 def test_label_table_write_skips_finished_partitions(spark, events):
     log = events([(s, t, c) for s in range(20) for t, c in ((0, "a"), (3, "b"), (9, "a"))])
     path = fresh_path(spark, "labels")
-    rows = with_split(label_table(log, ["a", "b"], [2, 4], 1))
+    built = []
+
+    def build(durations):
+        built.append(durations)
+        return with_split(label_table(log, ["a", "b"], durations, 1))
+
     splits = ["train", "tuning", "held_out"]
-    assert len(sinks.write_label_table(rows, path, [2], splits)) == 3
-    assert sinks.write_label_table(rows, path, [2], splits) == []
-    assert sorted({d for d, _ in sinks.write_label_table(rows, path, [2, 4], splits)}) == [4]
+    assert len(sinks.write_label_table(spark, build, path, [2], splits)) == 3
+    assert sinks.write_label_table(spark, build, path, [2], splits) == []
+    assert sorted({d for d, _ in sinks.write_label_table(spark, build, path, [2, 4], splits)}) == [4]
+    assert built == [[2], [4]]  # finished durations are not computed again
+    rows = build([2, 4])
     stored = spark.read.parquet(path).select(rows.columns)
     assert sorted(map(str, stored.collect())) == sorted(map(str, rows.collect()))
 
@@ -93,6 +106,18 @@ def test_exclusive_writes(spark):
     assert spark.read.parquet(f"{root}/collated/f").count() == 1
 
 
+def test_a_folder_left_by_an_interrupted_run_is_written_again(spark):
+    root = fresh_path(spark, "train")
+    rows = spark.createDataFrame([("a", "train")], "code string, split string")
+    (rows.where("false").write.partitionBy("split").parquet(f"{root}/collated/f"))
+    assert spark.read.parquet(sinks.write_collated(rows, root, "f")).count() == 1
+
+
+def test_a_missing_vocabulary_is_empty_with_a_warning(spark):
+    with pytest.warns(UserWarning, match="no vocabulary"):
+        assert read_vocab(spark, fresh_path(spark, "codes")).count() == 0
+
+
 def test_prediction_round_trip(spark):
     rows = [(1, day(0.123456), 0.25, 'a,"b')]
     df = spark.createDataFrame(rows, "subject_id bigint, prediction_time timestamp_ntz, occurs_probs double, code string")
