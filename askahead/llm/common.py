@@ -40,9 +40,15 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
-    """The table with a number per row, stored so that every later read sees the same numbers."""
-    return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+def with_row_id(df: DataFrame) -> tuple[DataFrame, str]:
+    """The table with a number per row under a name that it did not have, and that name.
+
+    Stored, so that every later read sees the same numbers.
+    """
+    name = "_rid"
+    while name in df.columns:
+        name += "_"
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 
 def text_bytes(column: str = "text") -> Any:

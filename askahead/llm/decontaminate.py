@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askahead.llm.common import stored, text_bytes
+from askahead.llm.common import stored, text_bytes, with_row_id
 
 SPAN = 10
 BITMAP_BITS = 23
@@ -301,7 +301,8 @@ def decontaminate(
     )
 
 
-def keep_clean(docs: DataFrame, numbered: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Rows of ``numbered`` (with a row number ``_rid``) in which no benchmark passage occurs."""
-    hit = decontaminate(numbered, benchmark, ["_rid"], **options).where("contaminated").select("_rid")
-    return numbered.join(stored(hit, "contaminated"), "_rid", "left_anti").select(docs.columns)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows in which no benchmark passage occurs."""
+    numbered, rid = with_row_id(docs)
+    hit = decontaminate(numbered, benchmark, [rid], **options).where("contaminated").select(rid)
+    return numbered.join(stored(hit, "contaminated"), rid, "left_anti").select(docs.columns)

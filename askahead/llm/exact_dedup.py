@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askahead.llm.common import stored, text_bytes
+from askahead.llm.common import stored, text_bytes, with_row_id
 from askahead.llm.cuckoo import CuckooIndex
 
 _OUT_ROWS = 50_000
@@ -124,7 +124,8 @@ def exact_groups(
     )
 
 
-def keep_last(docs: DataFrame, numbered: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``numbered`` (with a row number ``_rid``) that stay of each group of equal texts."""
-    kept = exact_groups(numbered, id_col, rid_col="_rid", **options).where("kept").select("_rid")
-    return numbered.join(stored(kept, "kept"), "_rid", "left_semi").select(docs.columns)
+def keep_last(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The row that stays of each group of equal texts."""
+    numbered, rid = with_row_id(docs)
+    kept = exact_groups(numbered, id_col, rid_col=rid, **options).where("kept").select(F.col("_rid").alias(rid))
+    return numbered.join(stored(kept, "kept"), rid, "left_semi").select(docs.columns)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askahead.llm.common import stored, text_bytes
+from askahead.llm.common import stored, text_bytes, with_row_id
 from askahead.llm.components import components
 
 BITS, SEED = 64, 42
@@ -284,8 +284,10 @@ def near_groups(
     return prints.join(named, key).select(id_col, digits("fp").alias("fingerprint"), "component_id", "root", *carry)
 
 
-def keep_one(docs: DataFrame, numbered: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row of each near-duplicate group of ``numbered`` (with a row number ``_rid``): the smallest id, nulls last."""
-    groups = stored(near_groups(numbered, ["_rid"], id_col, **options), "near_groups")
-    best = groups.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), id_col, "_rid")).alias("b"))
-    return numbered.join(best.select(F.col("b._rid").alias("_rid")), "_rid", "left_semi").select(docs.columns)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """One row of each near-duplicate group: the one with the smallest id, nulls last, of equal ids any one."""
+    numbered, rid = with_row_id(docs)
+    groups = stored(near_groups(numbered, [rid], id_col, **options), "near_groups")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(rid).alias("row"))
+    best = groups.groupBy("root").agg(F.min(order).alias("b")).select(F.col("b.row").alias(rid))
+    return numbered.join(best, rid, "left_semi").select(docs.columns)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from askahead.llm import decontaminate, exact_dedup, packing, quality, simhash
-from askahead.llm.common import prepare, read_table, stored, with_row_id
+from askahead.llm.common import prepare, read_table, stored
 from askahead.llm.queries import token_file
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -29,18 +29,18 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the largest id."""
     prepare(spark)
-    return exact_dedup.keep_last(docs, with_row_id(docs))
+    return exact_dedup.keep_last(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
     prepare(spark)
-    return simhash.keep_one(docs, with_row_id(docs), like=NEAR)
+    return simhash.keep_one(docs, like=NEAR)
 
 
 def clean_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no passage of a benchmark item occurs."""
-    return decontaminate.keep_clean(docs, with_row_id(docs), read_table(spark, sf_dir, "benchmark"))
+    return decontaminate.keep_clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
