@@ -75,7 +75,8 @@ class LineRuns:
 
 def _batch_bounds(ids: DataFrame, batches: int) -> list[float]:
     """Ids that divide the documents into about equal batches; any bounds give the same result."""
-    return sorted(set(ids.approxQuantile("_doc", [i / batches for i in range(1, batches)], 0.01)), reverse=True)
+    shares = [i / batches for i in range(1, batches)]
+    return sorted(set(ids.approxQuantile("_doc", shares, 0.01)), reverse=True) if shares else []
 
 
 def dedup_lines(

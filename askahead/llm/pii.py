@@ -28,9 +28,9 @@ _PATTERNS = [
     ("ipv4", re.compile(r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])")),
     ("date", re.compile(r"(?<![\w./-])(?:([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})|([0-9]{1,2})([-/.])([0-9]{1,2})\6([0-9]{4}))(?![\w]|[./-][0-9])")),
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w]|-[0-9])")),
-    ("card", re.compile(r"(?<![\w])[0-9](?:[ -]?[0-9]){12,18}(?![\w])")),
+    ("card", re.compile(r"(?<![\w+])[0-9](?:[ -]?[0-9]){12,18}(?![\w])")),
     ("phone", re.compile(r"(?<![\w])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-][0-9]{2,4}){1,4}(?![\w]|[.-][0-9])")),
-    ("phone", re.compile(r"(?<![\w.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[.-])[0-9]{2,4}[.-][0-9]{3,4}(?![\w]|[.-][0-9])")),
+    ("phone", re.compile(r"(?<![\w.-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![\w]|[.-][0-9])")),
     ("phone", re.compile(r"(?<![\w])\+[0-9]{8,15}(?![\w])")),
 ]
 
