@@ -19,6 +19,19 @@ def seeded_shuffle(df: DataFrame, keys: list[str], seed: int) -> DataFrame:
     return df.withColumn("shuffle_key", draw_key(seed, *_key_parts(df, keys))).orderBy("shuffle_key", *keys)
 
 
+def at_most(rows: DataFrame, key: Column, k: int) -> DataFrame:
+    """A random ``k`` of the rows in the order of ``key``, a hexadecimal draw key; all if there are fewer.
+
+    Rows are counted first, and only those below a bound on the key that about ``k`` rows pass are ordered. So what
+    meets in one task is about ``k`` rows, however many tasks the rows come from.
+    """
+    total = rows.agg(F.count("*")).scalar()
+    wanted = k + 8 * int(k**0.5) + 16
+    bound = F.lit(float(wanted)) / total * F.lit(float(1 << 60))
+    passed = rows.withColumn("_draw", key).where(draw_number(F.col("_draw")) < bound)
+    return passed.orderBy("_draw").limit(k).drop("_draw")
+
+
 def sample_per_subject(df: DataFrame, keys: list[str], k: int, seed: int) -> DataFrame:
     """The first ``k`` rows of each subject in seeded order.
 

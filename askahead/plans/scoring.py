@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askahead.functions import draw_key, micros
+from askahead.operators.sampling import at_most
 from askahead.schemas import SCORED
 from askahead.session import checkpointed
 
@@ -79,9 +80,8 @@ def _with_tokens(inputs: DataFrame) -> DataFrame:
 
 
 def training_sample(inputs: DataFrame, max_rows: int, seed: int = 0) -> DataFrame:
-    """At most ``max_rows`` rows in seeded order, cut in each task before they meet."""
-    key = draw_key(seed, "subject_id", micros("prediction_time"), "query", "duration_days")
-    return inputs.withColumn("_key", key).orderBy("_key").limit(max_rows).drop("_key")
+    """At most ``max_rows`` rows, drawn by a hash of their keys."""
+    return at_most(inputs, draw_key(seed, "subject_id", micros("prediction_time"), "query", "duration_days"), max_rows)
 
 
 def baseline_two_head(
