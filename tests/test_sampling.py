@@ -37,6 +37,17 @@ def test_grid_sample_is_distinct_and_complete_on_small_grids(spark):
     assert set(sampling.sample_grid(df.repartition(7), ["a", "b", "c"], range(30, 34), 20, 3).collect()) == set(got)
 
 
+def test_bounded_draws_follow_the_key_alone(spark):
+    rows = spark.range(20_000).withColumn("x", F.col("id") % 7)
+    key = F.md5(F.col("id").cast("string"))
+    want = {r.id for r in rows.orderBy(key).limit(500).collect()}
+    for layout in (rows, rows.repartition(9)):
+        got = sampling.at_most(layout, key, 500)
+        assert got.columns == ["id", "x"] and {r.id for r in got.collect()} == want
+    assert sampling.at_most(rows, key, 50_000).count() == 20_000
+    assert sampling.at_most(rows.limit(0), key, 5).count() == 0
+
+
 def test_grid_sample_takes_any_vocabulary(spark):
     df = grid(spark, {1: 3, 2: 50})
     codes = spark.range(250_000).select(F.format_string("c%06d", "id").alias("code"))
