@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -24,7 +25,7 @@ _OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xff]")
 _GAPS = ("  ", " \n", "\n ", "\n\n", "\t", "\r")
 
 ID = np.dtype("<u4")
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -34,69 +35,51 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Cache(dict):
-    """Values made on first use; all are forgotten when there are too many."""
-
-    def __init__(self, make, entries: int) -> None:
-        super().__init__()
-        self.make, self.entries = make, entries
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.entries:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
-
-
-class Encoder:
+class Encoder(dict):
     """Ids of a text as little-endian unsigned 32-bit integers, without special tokens.
 
-    The strings of special tokens are ordinary text here.
+    The strings of special tokens are ordinary text here. As a dictionary it remembers the ids of words and pieces; all
+    are forgotten when there are ``entries`` of them.
     """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES) -> None:
+        super().__init__()
         with open(path, encoding="utf-8") as f:
             settings = json.load(f)
+        self.entries = entries
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.letters = _byte_letters()
-        self.model = self.whole.model
+        self.merge = self.whole.model.tokenize
         lower = "Lowercase" in json.dumps(settings.get("normalizer"))
         byte_level = (settings.get("pre_tokenizer") or {}).get("type") == "ByteLevel"
         self.kind = "byte" if byte_level and not settings.get("normalizer") else "word" if lower else "other"
-        self.pieces = re.compile(_BYTE_PIECE if self.kind == "byte" else _WORD_PIECE)
-        self.of_piece = _Cache(self._merge, entries)
-        self.of_word = _Cache(self._word, entries)
-        self.of_spaced = _Cache(lambda word: self._word(" " + word), entries)
-
-    def _merge(self, piece: str) -> bytes:
-        mapped = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(mapped)], ID).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        return b"".join(map(self.of_piece.__getitem__, self.pieces.findall(word)))
-
-    def _library(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, ID).tobytes()
+        self.pieces = re.compile(_BYTE_PIECE if self.kind == "byte" else _WORD_PIECE).findall
+
+    def __missing__(self, word: str) -> bytes:
+        pieces = self.pieces(word)
+        if pieces == [word]:
+            mapped = word.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [token.id for token in self.merge(mapped)]).tobytes()
+        else:
+            ids = b"".join(map(self.__getitem__, pieces))
+        if len(self) >= self.entries:
+            self.clear()
+        self[word] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         if self.kind == "other" or _OTHER.search(text):
-            return self._library(text)
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, ID).tobytes()
         if self.kind == "word":
             # No piece holds white space, so words can be encoded one by one.
-            return b"".join(map(self.of_word.__getitem__, text.lower().split()))
-        if any(gap in text for gap in _GAPS):
-            return b"".join(map(self.of_piece.__getitem__, self.pieces.findall(text)))
-        # White space is single here: a space opens the next piece, a line end is a piece of its own.
-        out = []
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append(self.of_word["\n"])
-            first, *rest = line.split(" ")
-            if first:
-                out.append(self.of_word[first])
-            out += map(self.of_spaced.__getitem__, rest)
-        return b"".join(out)
+            words = text.lower().split()
+        elif any(gap in text for gap in _GAPS):
+            words = self.pieces(text)
+        else:
+            # White space is single here: a space opens the next piece, a line end is a piece of its own.
+            words = text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+        return b"".join(map(self.__getitem__, words))
 
 
 _ENCODERS: dict[str, Encoder] = {}
