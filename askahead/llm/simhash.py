@@ -1,8 +1,8 @@
 """Near-duplicates by SimHash fingerprints and BK-trees.
 
 Fingerprints within the radius r share at least one of r + 1 bit blocks exactly. So one shard holds the fingerprints
-that agree on one block, and its BK-tree finds all partners there; no fingerprint meets the rest of the corpus. Shards
-with more members than ``max_tree`` are divided again by blocks of their remaining bits, which loses no partner.
+that agree on one block, and its BK-trees find all partners there; no fingerprint meets the rest of the corpus. Large
+shards are divided again by blocks of their remaining bits, which loses no partner.
 
 All trees together grow with the corpus, so they are not broadcast from the driver: a shuffle brings each shard to the
 task that builds its tree and searches it.
@@ -136,69 +136,117 @@ class BKTree:
                     open_nodes.append(below)
 
 
-def shard_links(prints: list[int], checks: list[int], like: Likeness) -> list[tuple[int, int]]:
-    """(member, first member of its group) for the linked members of one shard, as positions.
+class Groups:
+    """Groups of the members of one shard, joined by searching BK-trees over some of them at a time."""
 
-    Subtrees that lie in the group a new member has joined already are not searched, so a dense group costs about as
-    much as its number of members.
-    """
-    tree, parent = BKTree(), list(range(len(prints)))
-    members: list[list[int]] = []
-    one_group: list[bool] = []  # all members of the subtree were in the group of its top node when they came
+    def __init__(self, prints: np.ndarray, checks: np.ndarray, like: Likeness) -> None:
+        self.prints, self.like = prints, like
+        self.values, self.checks = prints.tolist(), checks.tolist()
+        self.parent = list(range(len(prints)))
 
-    def root(i: int) -> int:
+    def root(self, i: int) -> int:
+        parent = self.parent
         while parent[i] != i:
             parent[i] = parent[parent[i]]
             i = parent[i]
         return i
 
-    for i, (value, check) in enumerate(zip(prints, checks, strict=True)):
-
-        def settled(node: int, i: int = i) -> bool:
-            return one_group[node] and root(members[node][0]) == root(i)
-
-        for node in tree.within(value, like.radius, settled):
-            for other in members[node]:
-                if (checks[other] ^ check).bit_count() <= like.check_bits:
-                    a, b = root(i), root(other)
-                    parent[max(a, b)] = min(a, b)
-        *above, node = tree.add(value)
-        if node == len(members):
-            members.append([])
-            one_group.append(True)
-        for top in [*above, node]:
-            one_group[top] = one_group[top] and (not members[top] or root(members[top][0]) == root(i))
-        members[node].append(i)
-    return [(i, root(i)) for i in range(len(prints)) if root(i) != i]
+    def search(self, positions: list[int]) -> None:
+        """Link all members at these positions by one tree.
 
-
-def _links(like: Likeness):
-    """Trees over rows sorted by shard (mask, value); a shard that crosses a batch border is carried on."""
+        Subtrees that lie in the group a new member has joined already are not searched, so a dense group costs about
+        as much as its number of members.
+        """
+        tree, root = BKTree(), self.root
+        members: list[list[int]] = []
+        one_group: list[bool] = []  # all members of the subtree were in the group of its top node when they came
+        for i in positions:
+            value, check = self.values[i], self.checks[i]
+
+            def settled(node: int, i: int = i) -> bool:
+                return one_group[node] and root(members[node][0]) == root(i)
+
+            for node in tree.within(value, self.like.radius, settled):
+                for other in members[node]:
+                    if (self.checks[other] ^ check).bit_count() <= self.like.check_bits:
+                        a, b = root(i), root(other)
+                        self.parent[max(a, b)] = min(a, b)
+            *above, node = tree.add(value)
+            if node == len(members):
+                members.append([])
+                one_group.append(True)
+            for top in [*above, node]:
+                one_group[top] = one_group[top] and (not members[top] or root(members[top][0]) == root(i))
+            members[node].append(i)
+
+    def link(self, positions: np.ndarray, mask: int, max_tree: int) -> None:
+        """Link the members at these positions, which agree on the bits of ``mask``.
+
+        More than ``max_tree`` are divided by further blocks first. Where a block does not tell them apart, as among
+        copies of one text, they stay together, as that is what the tree's own shortcut is for.
+        """
+        if len(positions) > max_tree:
+            parts = []
+            for deeper in divide(mask, self.like.radius):
+                value = self.prints[positions] & np.uint64(deeper)
+                order = np.argsort(value, kind="stable")
+                cuts = np.flatnonzero(np.diff(value[order])) + 1
+                runs = [r for r in np.split(positions[order], cuts) if len(r) > 1]
+                if max(map(len, runs), default=0) * 2 > len(positions):
+                    break
+                parts += [(r, deeper) for r in runs]
+            else:
+                for run, deeper in parts:
+                    self.link(run, deeper, max_tree)
+                return
+        self.search(positions.tolist())
+
+    def stars(self) -> list[tuple[int, int]]:
+        """(member, first member of its group), as positions, for all but the first."""
+        return [(i, r) for i in range(len(self.parent)) if (r := self.root(i)) != i]
+
+
+def shard_links(prints: np.ndarray, checks: np.ndarray, like: Likeness, mask: int, max_tree: int) -> list[tuple[int, int]]:
+    """(member, first member of its group) for the linked members of one shard, as positions."""
+    groups = Groups(prints, checks, like)
+    groups.link(np.arange(len(prints)), mask, max_tree)
+    return groups.stars()
+
+
+def _links(like: Likeness, max_tree: int):
+    """Groups of rows sorted by shard (mask, value); a shard that crosses a batch border is carried on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.empty((4, 0), np.int64)
-
-        def links(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        def links(rows: np.ndarray) -> pa.RecordBatch:
+            changes = np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0)) + 1
+            starts, ends = np.append(0, changes), np.append(changes, rows.shape[1])
             a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for i in np.flatnonzero(ends - starts > 1):
-                part = rows[2:, starts[i] : ends[i]].view(np.uint64).tolist()
-                pairs = np.array(shard_links(*part, like), np.int64).reshape(-1, 2) + starts[i]
+                prints, checks = np.ascontiguousarray(rows[2:, starts[i] : ends[i]]).view(np.uint64)
+                mask = int(rows[0, starts[i]]) & ((1 << BITS) - 1)
+                pairs = np.array(shard_links(prints, checks, like, mask, max_tree), np.int64).reshape(-1, 2) + starts[i]
                 a.append(pairs[:, 0])
                 b.append(pairs[:, 1])
             sides = [rows[2:, np.concatenate(x)] for x in (a, b)]
             columns = [pa.array(c) for side in sides for c in side]
             return pa.RecordBatch.from_arrays(columns, ["fp", "check", "fp2", "check2"])
 
+        held: list[np.ndarray] = []
         for batch in batches:
-            rows = np.concatenate([rest, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
-            changes = np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0)) + 1
-            if changes.size:
-                starts = np.concatenate([[0], changes[:-1]])
-                yield links(rows, starts, changes)
-                rows = rows[:, changes[-1] :]
-            rest = np.ascontiguousarray(rows)
-        if rest.shape[1]:
-            yield links(rest, np.array([0]), np.array([rest.shape[1]]))
+            rows = np.stack([c.to_numpy() for c in batch.columns])
+            if not rows.size:
+                continue
+            # All up to the last change of shard is complete.
+            last = np.flatnonzero((rows[:2] != rows[:2, -1:]).any(axis=0))
+            cut = last[-1] + 1 if last.size else 0
+            if held and (cut or (held[-1][:2, -1] != rows[:2, 0]).any()):
+                yield links(np.concatenate([*held, rows[:, :cut]], axis=1))
+                held = []
+            elif cut:
+                yield links(rows[:, :cut])
+            held.append(rows[:, cut:])
+        if held:
+            yield links(np.concatenate(held, axis=1))
 
     return run
 
@@ -214,10 +262,10 @@ def divide(mask: int, radius: int) -> list[int]:
     return [mask | sum(1 << int(i) for i in block) for block in blocks]
 
 
-def shards(distinct: DataFrame, radius: int, max_tree: int) -> DataFrame:
+def shards(distinct: DataFrame, radius: int, max_shard: int) -> DataFrame:
     """(mask, value, fp, check): every fingerprint once per shard; two within the radius meet in one shard at least.
 
-    A shard is the set of fingerprints that agree on the bits of a mask. Shards above ``max_tree`` go on to longer
+    A shard is the set of fingerprints that agree on the bits of a mask. Shards above ``max_shard`` go on to longer
     masks, until the masks leave so few bits free that none can be larger, or number ``_MAX_MASKS``.
     """
     masks = divide(0, radius)
@@ -226,9 +274,9 @@ def shards(distinct: DataFrame, radius: int, max_tree: int) -> DataFrame:
     done = []
     while True:
         rows = rows.select("mask", value.alias("value"), "fp", "check")
-        if len(masks) > _MAX_MASKS or all(1 << (BITS - m.bit_count()) <= max_tree for m in masks):
+        if len(masks) > _MAX_MASKS or all(1 << (BITS - m.bit_count()) <= max_shard for m in masks):
             break
-        large = stored(rows.groupBy("mask", "value").count().where(F.col("count") > max_tree), "large_shards")
+        large = stored(rows.groupBy("mask", "value").count().where(F.col("count") > max_shard), "large_shards")
         if large.isEmpty():
             break
         marked = rows.join(large, ["mask", "value"], "left")
@@ -250,6 +298,7 @@ def near_groups(
     text: str = "text",
     like: Likeness | None = None,
     max_tree: int = 256,
+    max_shard: int = 200_000,
 ) -> DataFrame:
     """(id, fingerprint, component_id, root, carried columns): one row per document.
 
@@ -257,6 +306,9 @@ def near_groups(
     and ``root`` names the component also where ids are null. Null and empty texts have no words and the fingerprint
     zero, which is linked like any other. Null ids are passed over for ``component_id``, which is null where a component
     has no other. Repeated rows stay repeated. Other columns of ``docs`` are ignored. An empty table gives an empty one.
+
+    Shards above ``max_shard`` are dealt anew by more bits; within its task, a shard above ``max_tree`` is searched by
+    several trees. Neither changes the result.
     """
     like = like or Likeness()
     carry = [c for c in carry or [] if c != id_col]
@@ -271,15 +323,17 @@ def near_groups(
         return F.concat(digits(fp), digits(check)) if like.check_words else F.col(fp)
 
     links = (
-        shards(nodes.select(*key), like.radius, max_tree)
+        shards(nodes.select(*key), like.radius, max_shard)
         .repartition("mask", "value")
         .sortWithinPartitions("mask", "value", *key)
-        .mapInArrow(_links(like), "fp bigint, check bigint, fp2 bigint, check2 bigint")
+        .mapInArrow(_links(like, max_tree), "fp bigint, check bigint, fp2 bigint, check2 bigint")
     )
     # Each shard has sent a star per group instead of all its pairs; stars are joined to components here.
     roots = components(links.select(node(*key).alias("a"), node("fp2", "check2").alias("b")))
     nodes = nodes.withColumn("node", node(*key)).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = nodes.groupBy("root").agg(F.min("_first").alias("component_id"))
+    nodes = stored(nodes, "nodes")
+    # Stored, so that adaptive execution can split the join where one component owns much of the corpus.
+    smallest = stored(nodes.groupBy("root").agg(F.min("_first").alias("component_id")), "smallest_ids")
     named = nodes.join(smallest, "root").select(*key, "component_id", F.col("root").cast("string").alias("root"))
     return prints.join(named, key).select(id_col, digits("fp").alias("fingerprint"), "component_id", "root", *carry)
 

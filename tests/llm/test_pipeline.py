@@ -18,18 +18,22 @@ def tables(spark):
     """Documents of known kinds: what each stage must drop, and clean ones that must stay."""
     rng = random.Random(12)
     items = [(i, " ".join(words(rng, 14, 5000))) for i in range(6)]
-    good = {i: " ".join(words(rng, rng.randint(80, 200), 5000)) for i in range(0, 150)}
+
+    def prose(n):
+        return [w.title() if rng.random() < 0.05 else w for w in words(rng, n, 5000)]
+
+    good = {i: " ".join(prose(rng.randint(80, 200))) for i in range(0, 150)}
     rows, kind = dict(good), dict.fromkeys(good, "good")
     for i in range(200, 280):
         rows[i], kind[i] = " ".join(w.upper() + "!!" for w in words(rng, 60, 6)), "junk"
     for n, i in enumerate(range(300, 330)):
-        rows[i], kind[i] = good[n].replace("w12", "W12") if n % 2 else good[n], "copy"
+        rows[i], kind[i] = good[n].replace("w1", "W1") if n % 2 else good[n], "copy"
     for n, i in enumerate(range(400, 430)):
         text = good[60 + n].split(" ")
         text[len(text) // 2] = "changed"
         rows[i], kind[i] = " ".join(text), "near"
     for n, i in enumerate(range(500, 512)):
-        text = words(rng, 90, 5000)
+        text = prose(90)
         rows[i], kind[i] = " ".join([*text[:40], *items[n % 6][1].split(" ")[1:12], *text[40:]]), "leak"
     labels = [(i, int(k != "junk"), 0) for i, k in kind.items() if i % 2 == 0]
     folder = stored_tables(

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from common_llm import docs_table, groups_of, words
@@ -73,7 +74,9 @@ def test_shard_links_join_all_groups(like):
         (i, j) for i in range(n) for j in range(i)
         if (prints[i] ^ prints[j]).bit_count() <= like.radius and (checks[i] ^ checks[j]).bit_count() <= like.check_bits
     ]
-    assert groups_of(n, simhash.shard_links(prints, checks, like)) == groups_of(n, links)
+    for max_tree in (1000, 20, 1):
+        stars = simhash.shard_links(np.array(prints, np.uint64), np.array(checks, np.uint64), like, 0, max_tree)
+        assert groups_of(n, stars) == groups_of(n, links)
 
 
 def test_masks_cover_all_bits():
@@ -95,12 +98,31 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("max_tree", [256, 3])
-def test_groups_equal_brute_force(spark, max_tree):
+def test_dense_groups_are_not_searched_pair_by_pair():
+    rng = random.Random(4)
+    center = rng.getrandbits(64)
+    prints = list({near(rng, center, rng.randint(0, 3)) for _ in range(6000)})
+    groups = simhash.Groups(np.array(prints, np.uint64), np.zeros(len(prints), np.uint64), Likeness(radius=6))
+    steps = 0
+    counted = groups.root
+
+    def root(i):
+        nonlocal steps
+        steps += 1
+        return counted(i)
+
+    groups.root = root
+    groups.link(np.arange(len(prints)), 0, 256)
+    assert len(groups.stars()) == len(prints) - 1
+    assert steps < 100 * len(prints)
+
+
+@pytest.mark.parametrize(("max_tree", "max_shard"), [(256, 200_000), (3, 200_000), (3, 4)])
+def test_groups_equal_brute_force(spark, max_tree, max_shard):
     rows = corpus(3, 80)
     rng = random.Random(5)
     rng.shuffle(rows)
-    got = {r.doc_id: r for r in simhash.near_groups(docs_table(spark, rows), max_tree=max_tree).collect()}
+    got = {r.doc_id: r for r in simhash.near_groups(docs_table(spark, rows), max_tree=max_tree, max_shard=max_shard).collect()}
     rows.sort()
     prints = [plain_fingerprint(t) for _, t in rows]
     n = len(rows)
