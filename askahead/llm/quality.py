@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from askahead.functions import draw_key
 from askahead.llm.boosting import Forest, train
 from askahead.llm.common import text_bytes
+from askahead.operators.sampling import at_most
 
 THRESHOLD = 0.7
 # Labelled documents the trees are fitted on at most.
@@ -115,9 +117,8 @@ def fit(
         labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
         .groupBy(F.col(id_col).alias("_labelled"))
         .agg(F.max(label).cast("int").alias("_label"))
-        .orderBy(F.xxhash64("_labelled"), "_labelled")
-        .limit(max_train)
     )
+    drawn = at_most(drawn, draw_key(0, "_labelled"), max_train)
     # The draw has at most max_train rows of two numbers.
     sample = (
         docs.select(F.col(id_col).alias("_doc"), text_bytes(text).alias("_text"))
