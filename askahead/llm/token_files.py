@@ -98,8 +98,8 @@ def write_tokens(
 ) -> tuple[str, DataFrame]:
     """Write shard files; returns their folder and the manifest (part, shard, file, tokens, start).
 
-    Documents follow one another in ascending id over parts and shards, null ids first, equal ids in the order of their
-    tokens. A document lies in one shard; a shard is closed once it holds ``shard_tokens``. Null texts are empty, every
+    Documents follow one another in ascending id over parts and shards, null ids first, equal ids in the order of a
+    hash of their tokens. A document lies in one shard; a shard is closed once it holds ``shard_tokens``. Null texts are empty, every
     document ends with ``end_id``. ``start`` counts the ids in all shards before. An empty table writes no file.
     """
     folder = fresh_path(docs.sparkSession, "token_shards")
@@ -110,8 +110,9 @@ def write_tokens(
     # The range bounds are drawn from a sample of the ids; stored first so that texts are encoded once.
     sized = stored(sized, "token_ids")
     written = (
-        sized.repartitionByRange("id")
-        .sortWithinPartitions("id", "ids")
+        sized.withColumn("tie", F.xxhash64("ids"))
+        .repartitionByRange("id", "tie")
+        .sortWithinPartitions("id", "tie", "ids")
         .select(F.spark_partition_id().alias("part"), "id", "n", "ids")
         .mapInArrow(_write_shards(folder, shard_tokens), "part int, shard int, file string, tokens bigint")
     )
