@@ -344,4 +344,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     groups = stored(near_groups(numbered, [rid], id_col, **options), "near_groups")
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(rid).alias("row"))
     best = groups.groupBy("root").agg(F.min(order).alias("b")).select(F.col("b.row").alias(rid))
-    return numbered.join(best, rid, "left_semi").select(docs.columns)
+    # Most rows stay, so their numbers grow with the corpus: one and the same plan at every size.
+    return numbered.join(best.hint("merge"), rid, "left_semi").select(docs.columns)
