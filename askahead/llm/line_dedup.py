@@ -117,7 +117,8 @@ def dedup_lines(
     for i in range(len(bounds) + 1):
         of_batch = lines.where(F.col("batch") == i)
         runs.add(of_batch.groupBy(*KEY).agg(F.countDistinct("_doc").alias("n_docs"), F.max("_doc").alias("last_doc")))
-    common = runs.state().where(F.col("n_docs") >= min_docs)
+    # Stored, so that both sides of the join below come from a shuffle and adaptive execution can split hot lines.
+    common = stored(runs.state().where(F.col("n_docs") >= min_docs), "common_lines")
     dropped = (
         lines.join(common, KEY)
         .where(F.col("_doc") != F.col("keeper"))
