@@ -64,7 +64,7 @@ class Likeness:
     """When two documents are linked: their fingerprints of ``words``-word shingles differ in at most ``radius`` bits.
 
     With ``check_words`` a second fingerprint, of shingles of that many words, must not differ in more than
-    ``check_bits``; the cosine it estimates is cos(pi * bits / 64).
+    ``check_bits``; the cosine it estimates is cos(pi * bits / 64). ``distinct`` holds for both fingerprints.
     """
 
     words: int = 3
@@ -79,7 +79,7 @@ def _fingerprints(like: Likeness):
         for batch in batches:
             texts = batch.column(0).to_pylist()
             prints = [fingerprint(t, like.words, like.distinct) for t in texts]
-            checks = [fingerprint(t, like.check_words) if like.check_words else 0 for t in texts]
+            checks = [fingerprint(t, like.check_words, like.distinct) if like.check_words else 0 for t in texts]
             columns = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (prints, checks)]
             rest = [batch.column(i) for i in range(1, batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*columns, *rest], ["fp", "check", *batch.schema.names[1:]])

@@ -155,6 +155,15 @@ def test_a_second_fingerprint_tells_apart_what_the_first_cannot(spark):
     assert got == {1: 1, 2: 1, 3: 3}
 
 
+def test_passages_repeated_in_one_copy_do_not_part_it_from_the_other(spark):
+    rng = random.Random(6)
+    text = words(rng, 200)
+    rows = [(1, " ".join(text)), (2, " ".join(text + text[:40] * 30))]  # five-word sets that differ by one seam
+    like = Likeness(words=1, radius=6, distinct=True, check_words=5, check_bits=13)
+    got = {r.doc_id: r.component_id for r in simhash.near_groups(docs_table(spark, rows), like=like).collect()}
+    assert got == {1: 1, 2: 1}
+
+
 @pytest.mark.parametrize("kind", ["chain", "star", "random", "strings", "none"])
 def test_components(spark, kind):
     rng = random.Random(11)
