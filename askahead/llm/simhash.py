@@ -53,9 +53,23 @@ def _majority(blocks: Iterable[Iterable[bytes]]) -> int:
     counts, n = np.zeros(BITS, np.int64), 0
     for block in blocks:
         hashes = np.array([xxhash.xxh64_intdigest(g, SEED) for g in block], "<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
+        counts += _bit_counts(hashes)
         n += len(hashes)
+    return _over_half(counts, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of these hashes, each counted once."""
+    parts = (_bit_counts(hashes[at : at + _BLOCK]) for at in range(0, len(hashes), _BLOCK))
+    return _over_half(sum(parts, np.zeros(BITS, np.int64)), len(hashes))
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return bits.sum(axis=0, dtype=np.int64)
+
+
+def _over_half(counts: np.ndarray, n: int) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
@@ -213,7 +227,7 @@ def shard_links(prints: np.ndarray, checks: np.ndarray, like: Likeness, mask: in
     return groups.stars()
 
 
-def _links(like: Likeness, max_tree: int):
+def shard_stars(like: Likeness, max_tree: int):
     """Groups of rows sorted by shard (mask, value); a shard that crosses a batch border is carried on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +340,7 @@ def near_groups(
         shards(nodes.select(*key), like.radius, max_shard)
         .repartition("mask", "value")
         .sortWithinPartitions("mask", "value", *key)
-        .mapInArrow(_links(like, max_tree), "fp bigint, check bigint, fp2 bigint, check2 bigint")
+        .mapInArrow(shard_stars(like, max_tree), "fp bigint, check bigint, fp2 bigint, check2 bigint")
     )
     # Each shard has sent a star per group instead of all its pairs; stars are joined to components here.
     roots = components(links.select(node(*key).alias("a"), node("fp2", "check2").alias("b")))

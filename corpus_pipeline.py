@@ -10,16 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from askahead.llm import decontaminate, exact_dedup, packing, quality, simhash
+from askahead.llm import decontaminate, exact_dedup, near_copies, packing, quality
 from askahead.llm.common import prepare, read_table, stored
 from askahead.llm.queries import token_file
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-# Near copies: the words of both documents differ little, and the cosine of their five-word shingles is at least
-# cos(pi * 13 / 64) = 0.80 as the fingerprints estimate it.
-NEAR = simhash.Likeness(words=1, radius=6, distinct=True, check_words=5, check_bits=13)
-
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labelled ones of them, does not reject."""
@@ -35,7 +31,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
     prepare(spark)
-    return simhash.keep_one(docs, like=NEAR)
+    return near_copies.keep_one(docs)
 
 
 def clean_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
