@@ -161,15 +161,15 @@ def _document_prints(span: int, short: list[int], bitmap: np.ndarray):
     return run
 
 
-def _bitmap(prints: DataFrame) -> np.ndarray:
-    """Fixed-size bitmap of the benchmark's hashes, combined on the executors."""
+def hash_bitmap(prints: DataFrame) -> np.ndarray:
+    """Fixed-size bitmap of the hashes in a table, such as the benchmark's, combined on the executors."""
     place = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
     rows = (
         prints.select(F.shiftright(place, 6).alias("at"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
         .select("at", F.expr("shiftleft(1L, bit)").alias("mask"))
         .groupBy("at")
         .agg(F.bit_or("mask").alias("mask"))
-        .collect()  # at most 2 ** (BITMAP_BITS - 6) rows, whatever the benchmark's size
+        .collect()  # at most 2 ** (BITMAP_BITS - 6) rows, whatever the table's size
     )
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     for row in rows:
@@ -216,7 +216,7 @@ def decontaminate(
     scanned = stored(
         docs.select(text_bytes(text).alias("_text"), id_col, *carry)
         .mapInArrow(
-            _document_prints(span, sorted(set(sizes) - {span}), _bitmap(prints)),
+            _document_prints(span, sorted(set(sizes) - {span}), hash_bitmap(prints)),
             f"n_words bigint, hits array<{_HIT_DDL}>, {fields}",
         )
         .withColumn("_row", F.monotonically_increasing_id()),

@@ -165,6 +165,10 @@ class Groups:
             i = parent[i]
         return i
 
+    def agree(self, i: int, other: int) -> bool:
+        """Whether two members with close fingerprints are linked; asked only while they are in different groups."""
+        return (self.checks[other] ^ self.checks[i]).bit_count() <= self.like.check_bits
+
     def search(self, positions: list[int]) -> None:
         """Link all members at these positions by one tree.
 
@@ -175,15 +179,15 @@ class Groups:
         members: list[list[int]] = []
         one_group: list[bool] = []  # all members of the subtree were in the group of its top node when they came
         for i in positions:
-            value, check = self.values[i], self.checks[i]
+            value = self.values[i]
 
             def settled(node: int, i: int = i) -> bool:
                 return one_group[node] and root(members[node][0]) == root(i)
 
             for node in tree.within(value, self.like.radius, settled):
                 for other in members[node]:
-                    if (self.checks[other] ^ check).bit_count() <= self.like.check_bits:
-                        a, b = root(i), root(other)
+                    a, b = root(i), root(other)
+                    if a != b and self.agree(i, other):
                         self.parent[max(a, b)] = min(a, b)
             *above, node = tree.add(value)
             if node == len(members):
