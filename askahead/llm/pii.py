@@ -35,6 +35,35 @@ _PATTERNS = [
 ]
 
 
+# Where a value of a kind can end inside a longer match that is not valid.
+_MARKS = {"card": " -", "iban": " ", "phone": " "}
+# Lengths of the IBANs of each country.
+_IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+        31: "MT SC", 32: "LC",
+    }.items()
+    for country in countries.split()
+}
+
+
+def _tries(kind: str, pattern: re.Pattern, m: re.Match) -> Iterator[re.Match]:
+    """A match and the shorter ones from the same start, the likeliest first."""
+    text, start = m.string, m.start()
+    ends = [i for i in range(m.end() - 1, start, -1) if text[i] in _MARKS.get(kind, "") and text[i - 1] not in " -"]
+    length = _IBAN_LENGTHS.get(m[0][:2]) if kind == "iban" else None
+    if length:
+        # The country says where the value ends; the whole match comes after it.
+        exact = [i for i in ends if i - start - text.count(" ", start, i) == length]
+        yield from filter(None, (pattern.fullmatch(text, start, i) for i in exact))
+        ends = []
+    yield m
+    yield from filter(None, (pattern.fullmatch(text, start, i) for i in ends))
+
+
 def _refill(text: str, digits: str) -> str:
     """The text with its digits replaced in order."""
     new = iter(digits)
@@ -123,12 +152,17 @@ def replacements(text: str, names: Pseudonyms) -> list[tuple[int, int, str, str]
         """Parts are (start, end, how far the pattern may look); returns what is left of them."""
         left = []
         for start, end, sight in parts:
-            for m in pattern.finditer(text, start, sight):
-                new = _CHANGES[kind](m, names) if m.end() <= end else None
-                if new is not None:
-                    found.append((*m.span(), kind, new))
-                    left.append((start, m.start(), m.start()))
-                    start = m.end()
+            at = start
+            while whole := pattern.search(text, at, sight):
+                # Where no end gives a valid value, a later start inside the match may.
+                at = whole.start() + 1 if kind in _MARKS else whole.end()
+                for m in _tries(kind, pattern, whole):
+                    new = _CHANGES[kind](m, names) if m.end() <= end else None
+                    if new is not None:
+                        found.append((*m.span(), kind, new))
+                        left.append((start, m.start(), m.start()))
+                        start = at = m.end()
+                        break
             left.append((start, end, sight))
         return left
 

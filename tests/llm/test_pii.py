@@ -87,6 +87,23 @@ def test_what_is_not_valid_stays(text):
     assert pii.pseudonymise(text, NAMES) == (text, [])
 
 
+BESIDE = {
+    "DE89 3704 0044 0532 0130 00 BIC COBADEFF": [("iban", "DE89 3704 0044 0532 0130 00")],
+    "DE89370400440532013000 A": [("iban", "DE89370400440532013000")],
+    "DE89370400440532013000 2 times": [("iban", "DE89370400440532013000")],
+    "AB12 DE89370400440532013000 X": [("iban", "DE89370400440532013000")],
+    "card 4111111111111111 12": [("card", "4111111111111111")],
+    "no 12 4111111111111111": [("card", "4111111111111111")],
+    "4111 1111 1111 1111 123": [("card", "4111 1111 1111 1111")],
+    "call +49 3012 1234 5678 2024": [("phone", "+49 3012 1234 5678")],
+}
+
+
+@pytest.mark.parametrize("text", BESIDE)
+def test_values_beside_other_words_and_numbers_are_found(text):
+    assert [(k, text[s:e]) for s, e, k, _ in pii.replacements(text, NAMES)] == BESIDE[text]
+
+
 def test_equal_values_are_linked_in_any_notation():
     def digits(text):
         return [re.sub(r"\D", "", to)[-10:] for *_, to in pii.pseudonymise(text, NAMES)[1]]
