@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import datetime as dt
 import sys
 from pathlib import Path
 
@@ -9,15 +8,11 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from calendar_days import day  # noqa: E402
+
 from askahead.schemas import EVENTS  # noqa: E402
 from askahead.session import local_session  # noqa: E402
 
-START = dt.datetime(2020, 1, 1)
-
-
-def day(n: float) -> dt.datetime:
-    return START + dt.timedelta(days=n)
-
 
 @pytest.fixture(scope="session")
 def spark():

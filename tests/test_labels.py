@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from conftest import day
+from calendar_days import day
 from pyspark.sql import functions as F
 
 from askahead.operators import context, timeline, zones
