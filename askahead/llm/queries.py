@@ -12,6 +12,7 @@ from askahead.llm import (
     decontaminate,
     exact_dedup,
     line_dedup,
+    ngram_join,
     packing,
     pii,
     quality,
@@ -103,3 +104,8 @@ DEMO_KEY = b"demonstration key"
 @query("op10_pii")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.replace_pii(read_table(spark, sf_dir, "documents"), DEMO_KEY))
+
+
+@query("op13_ngram_join", sql.NGRAM_JOIN)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(read_table(spark, sf_dir, "documents"))
