@@ -1,10 +1,11 @@
 """Similarity join on word n-grams: documents whose sets of shingles have a Jaccard similarity of at least a threshold.
 
-Prefix filtering: two sets with a similarity of t or more share one of their first n - ceil(t n) + 1 shingles under *any*
-order of all shingles. Here several orders are used one after the other. Each puts frequent shingles last (by a table of
-counts with a fixed number of cells) and breaks ties by a permutation of its own. Sets that share a prefix shingle under
-the first order are joined to components of candidates; under the next order only sets in one component are compared, so
-each order divides what the ones before it left. No pair is written in that.
+Prefix filtering: if a set of n shingles shares o of them with another, the first c common ones are among its first
+n - o + c, under *any* order of all shingles. Several orders are used one after the other, with a growing c. Each puts
+frequent shingles last (by a table of counts with a fixed number of cells) and breaks ties by a permutation of its own.
+Sets that share a prefix shingle under the first order are joined to components of candidates. Under the next orders only
+sets of one component are compared; a set leaves if too few of its prefix shingles occur in another of its component (the
+c of the smallest set that it can be linked with), and the rest are joined to smaller components. No pair is written in that.
 
 Links are then verified in cells. A component of bounded size is one cell: a pair is compared if it shares prefix
 shingles under every order, its sizes allow the threshold and it is not in one group yet. A larger component is dealt to
@@ -31,21 +32,27 @@ from askahead.llm.decontaminate import BITMAP_BITS, hash_bitmap
 SEED = 42
 # Cells of the table of counts; its size does not depend on the corpus.
 COUNT_BITS = 18
-_KEYS = "token bigint, key bigint"
 
 
 @dataclass(frozen=True)
 class Threshold:
-    """Sets link when ``of`` * intersection >= ``shared`` * union; shingles have ``words`` words."""
+    """Sets link when ``of`` * intersection >= ``shared`` * union; shingles have ``words`` words.
+
+    Each order of ``common`` asks for that share of a set's shingles in common, out of a prefix longer by as many.
+    """
 
     words: int = 5
     shared: int = 80
     of: int = 100
-    orders: int = 3
+    common: tuple[float, ...] = (0.0, 0.4, 0.8)
+
+    def overlap(self, n: int) -> int:
+        """The least number of shingles that a set of n shares with any set like it."""
+        return -(-self.shared * n // self.of)
 
-    def prefix(self, n: int) -> int:
-        """How many first shingles of n two similar sets cannot both miss."""
-        return n + self.shared * n // -self.of + 1
+    def need(self, n: int, order: int) -> int:
+        """How many common shingles the prefix of a set of n is long enough for; never less for a larger set."""
+        return min(max(1, int(self.common[order] * n)), self.overlap(n))
 
     def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
         both = len(np.intersect1d(a, b, assume_unique=True))
@@ -107,15 +114,17 @@ class Orders:
 
     def __init__(self, classes: np.ndarray, threshold: Threshold) -> None:
         self.classes, self.threshold = classes, threshold
-        draw = np.random.default_rng(SEED).integers(1 << 63, size=threshold.orders, dtype=np.uint64)
+        draw = np.random.default_rng(SEED).integers(1 << 63, size=len(threshold.common), dtype=np.uint64)
         self.factors = draw * np.uint64(2) + np.uint64(1)
 
-    def prefix(self, hashes: np.ndarray, order: int) -> np.ndarray:
-        """The first shingles of a set under one order. Equal places are taken in the order of the hashes."""
+    def prefix(self, hashes: np.ndarray, order: int, need: int = 1) -> np.ndarray:
+        """The first shingles under one order, enough to hold the first ``need`` that it shares with a set like it.
+
+        Equal places are taken in the order of the hashes.
+        """
         rank = self.classes[hashes >> np.uint64(64 - COUNT_BITS)].astype(np.uint64) << np.uint64(58)
         rank |= (hashes * self.factors[order]) >> np.uint64(6)
-        first = np.argsort(rank, kind="stable")[: self.threshold.prefix(len(hashes))]
-        return hashes[first]
+        return hashes[np.argsort(rank, kind="stable")[: len(hashes) - self.threshold.overlap(len(hashes)) + need]]
 
 
 def _known(batch: pa.RecordBatch, bitmap: np.ndarray) -> pa.RecordBatch:
@@ -131,23 +140,29 @@ def _with_bit(bitmap: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = _known(batch, bitmap)
-            yield pa.RecordBatch.from_arrays(kept.columns[1:], ["node", *kept.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays(kept.columns[1:], kept.schema.names[1:])
 
     return run
 
 
-def _prefixes(orders: Orders, order: int, bitmap: np.ndarray | None):
-    """(key, hashes) to (prefix shingle, key); keys without their bit in the bitmap have dropped out."""
+def _prefixes(orders: Orders, order: int):
+    """(key, hashes) to (prefix shingle, key, how many of them must be shared).
+
+    The partner's prefix holds as many of the common ones as the partner's size asks for, which may be fewer.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch if bitmap is None else _known(batch, bitmap)
-            parts = [orders.prefix(_as_hashes(raw), order) for raw in batch.column(1).to_pylist()]
-            if parts:
-                keys = np.repeat(batch.column(0).to_numpy(), [len(p) for p in parts])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(parts).view(np.int64)), pa.array(keys)], ["token", "key"]
-                )
+            sets = [_as_hashes(raw) for raw in batch.column(1).to_pylist()]
+            if not sets:
+                continue
+            limits = orders.threshold
+            parts = [orders.prefix(s, order, limits.need(len(s), order)) for s in sets]
+            needs = [limits.need(limits.overlap(len(s)), order) for s in sets]
+            sizes = [len(p) for p in parts]
+            columns = [np.concatenate(parts).view(np.int64), np.repeat(batch.column(0).to_numpy(), sizes)]
+            columns.append(np.repeat(np.array(needs, np.int32), sizes))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "key", "need"])
 
     return run
 
@@ -156,75 +171,91 @@ def _key() -> F.Column:
     return F.xxhash64("digest")
 
 
-def candidates(sets: DataFrame, orders: Orders) -> tuple[DataFrame, np.ndarray | None]:
-    """(key, comp) of sets that may be linked to another of the same component, and a bitmap of the keys.
+def prefixes(sets: DataFrame, orders: Orders, order: int) -> DataFrame:
+    """(token, key, need) of all sets (key, hashes)."""
+    return sets.mapInArrow(_prefixes(orders, order), "token bigint, key bigint, need int")
 
-    Keys are hashes of the sets; two different sets with one key are only taken for candidates of each other.
-    """
-    found, bitmap = None, None
-    for order in range(orders.threshold.orders):
-        rows = sets.where("size > 0").select(_key().alias("key"), "hashes").mapInArrow(
-            _prefixes(orders, order, bitmap), _KEYS
-        )
-        by = ["token"]
-        if found is not None:
-            rows, by = rows.join(found, "key"), ["comp", "token"]
-        rows = stored(rows, "prefixes")
-        heads = rows.groupBy(*by).agg(F.min("key").alias("head"), F.max("key").alias("tail")).where("head < tail")
-        # Stored, so that adaptive execution can split the join at shingles that very many documents share.
-        stars = rows.join(stored(heads.drop("tail"), "heads"), by).where("key <> head")
-        roots = components(stars.select(F.col("key").alias("a"), F.col("head").alias("b")))
-        found = roots.select(F.col("node").alias("key"), F.col("root").alias("comp"))
-        bitmap = hash_bitmap(found.select(F.col("key").alias("hash")))
-    return found, bitmap
 
+def _shared(rows: DataFrame, by: list[str]) -> DataFrame:
+    """The rows whose ``by`` occurs with several keys, with the least of them as ``head``."""
+    heads = rows.groupBy(*by).agg(F.min("key").alias("head"), F.max("key").alias("tail")).where("head < tail")
+    # Stored, so that adaptive execution can split the join at shingles that very many documents share.
+    return rows.join(stored(heads.drop("tail"), "heads"), by)
 
-class Postings:
-    """Which members of a cell have a shingle in their prefix under one order."""
 
-    def __init__(self, prefixes: list[np.ndarray]) -> None:
-        tokens = np.concatenate(prefixes)
-        order = np.argsort(tokens, kind="stable")
-        self.tokens = tokens[order]
-        self.members = np.repeat(np.arange(len(prefixes)), [len(p) for p in prefixes])[order]
+def _joined(shared: DataFrame) -> DataFrame:
+    """(key, comp): components of the sets that share a prefix shingle."""
+    roots = components(shared.where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")))
+    return roots.select(F.col("node").alias("key"), F.col("root").alias("comp"))
+
+
+def candidates(sets: DataFrame, orders: Orders) -> DataFrame:
+    """(key, comp) of sets that share prefix shingles under the first order.
+
+    Keys are hashes of the sets; two different sets with one key only become candidates of each other.
+    """
+    rows = prefixes(sets.where("size > 0").select(_key().alias("key"), "hashes"), orders, 0)
+    return _joined(_shared(stored(rows.drop("need"), "prefixes"), ["token"]))
 
-    def sharing(self, prefix: np.ndarray, n: int) -> np.ndarray:
-        """Mask of the n members that share a shingle with this prefix."""
-        low, high = (np.searchsorted(self.tokens, prefix, side) for side in ("left", "right"))
-        long = high > low
-        low, sizes = low[long], (high - low)[long]
-        at = np.repeat(low - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
-        mask = np.zeros(n, bool)
-        mask[self.members[at]] = True
-        return mask
 
+def refined(sets: DataFrame, comps: DataFrame, orders: Orders, order: int) -> DataFrame:
+    """(key, comp): the components divided by another order; each key has one set (key, hashes)."""
+    rows = stored(prefixes(sets.join(comps, "key").select("key", "hashes"), orders, order).join(comps, "key"), "prefixes")
+    shared = stored(_shared(rows, ["comp", "token"]).drop("head"), "shared_prefixes")
+    kept = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("key")
+    return _joined(_shared(stored(shared.join(kept, "key", "left_semi"), "kept_prefixes"), ["comp", "token"]))
 
-def cell_links(sets: list[np.ndarray], groups: np.ndarray, pivots: int, orders: Orders) -> list[tuple[int, int]]:
+
+class Postings:
+    """Pairs of sets of a cell that share a shingle in their prefixes under one order."""
+
+    def __init__(self, prefixes: list[np.ndarray], pivots: int) -> None:
+        tokens, sizes = np.concatenate(prefixes), [len(p) for p in prefixes]
+        order = np.argsort(tokens, kind="stable")
+        self.members = np.repeat(np.arange(len(prefixes)), sizes)[order]
+        self.ends = np.append(0, np.cumsum(sizes))
+        asked, tokens = tokens[: self.ends[pivots]], tokens[order]
+        self.low = np.searchsorted(tokens, asked, "left")
+        self.hits = np.searchsorted(tokens, asked, "right") - self.low
+
+    def pairs(self, start: int, end: int) -> np.ndarray:
+        """Sorted (pivot * members + member), each once, of the pivots from ``start`` to ``end``."""
+        part = slice(self.ends[start], self.ends[end])
+        low, hits = self.low[part], self.hits[part]
+        pivot = np.repeat(np.arange(start, end), np.diff(self.ends[start : end + 1]))
+        at = np.repeat(low - np.append(0, np.cumsum(hits)[:-1]), hits) + np.arange(hits.sum())
+        return np.unique(np.repeat(pivot, hits) * (len(self.ends) - 1) + self.members[at])
+
+
+def cell_links(
+    sets: list[np.ndarray], groups: np.ndarray, pivots: int, orders: Orders, at_once: int = 1 << 20
+) -> list[tuple[int, int]]:
     """Links between the first ``pivots`` sets and all sets, as positions; enough of them to join every linked pair.
 
-    ``groups`` are labels of sets that are joined already.
+    ``groups`` are labels of sets that are joined already. About ``at_once`` common shingles are expanded at a time.
     """
     n, threshold = len(sets), orders.threshold
     sizes = np.array([len(s) for s in sets])
     label = np.unique(groups, return_inverse=True)[1]
-    prefixes = [[orders.prefix(s, k) for s in sets] for k in range(threshold.orders)]
-    postings = [Postings(p) for p in prefixes]
-    links = []
-    for i in range(pivots):
-        open_ = label != label[i]
-        open_[:i] = False
-        open_ &= (np.minimum(sizes, sizes[i]) * threshold.of >= np.maximum(sizes, sizes[i]) * threshold.shared)
-        for k in range(threshold.orders):
-            if not open_.any():
+    postings = [Postings([orders.prefix(s, k) for s in sets], pivots) for k in range(len(threshold.common))]
+    cost = np.append(0, np.cumsum(postings[0].hits))[postings[0].ends[: pivots + 1]]
+    links, start = [], 0
+    while start < pivots:
+        end = max(start + 1, int(np.searchsorted(cost, cost[start] + at_once, "right")) - 1)
+        pairs = postings[0].pairs(start, end)
+        for order in [None, *postings[1:]]:
+            if order is not None:
+                pairs = np.intersect1d(pairs, order.pairs(start, end), assume_unique=True)
+            i, j = pairs // n, pairs % n
+            fits = np.minimum(sizes[i], sizes[j]) * threshold.of >= np.maximum(sizes[i], sizes[j]) * threshold.shared
+            pairs = pairs[(j > i) & (label[i] != label[j]) & fits]
+            if not len(pairs):
                 break
-            open_ &= postings[k].sharing(prefixes[k][i], n)
-        joined = []
-        for j in np.flatnonzero(open_).tolist():
-            if threshold.similar(sets[i], sets[j]):
+        for i, j in zip((pairs // n).tolist(), (pairs % n).tolist(), strict=True):
+            if label[i] != label[j] and threshold.similar(sets[i], sets[j]):
                 links.append((i, j))
-                joined.append(label[j])
-        if joined:
-            label[np.isin(label, joined)] = label[i]
+                label[label == label[j]] = label[i]
+        start = end
     return links
 
 
@@ -328,7 +359,6 @@ def similar_groups(
     # Stored, so that rows keep their numbers and texts are hashed once.
     sets = stored(sets, "shingle_sets")
     orders = Orders(frequency_classes(sets), threshold)
-    comps, bitmap = candidates(sets, orders)
     # Equal sets are one node, numbered as one of its rows.
     nodes = (
         sets.where("size > 0")
@@ -336,13 +366,21 @@ def similar_groups(
         .agg(F.min("row").alias("node"), F.min("size").alias("size"), F.min("id").alias("first"))
     )
     nodes = stored(nodes, "nodes")
-    members = stored(nodes.withColumn("key", _key()).join(comps, "key").select("node", "comp", "size"), "candidates")
+    comps = candidates(sets, orders)
+    bitmap = hash_bitmap(comps.select(F.col("key").alias("hash")))
+    comps = nodes.select(_key().alias("key"), "node", "size").join(comps, "key").select(F.col("node").alias("key"), "comp", "size")
+    members = stored(comps, "candidates")
     member_sets = (
-        sets.select(_key().alias("key"), "row", "hashes")
-        .mapInArrow(_with_bit(bitmap), "node bigint, hashes binary")
-        .join(members.select("node"), "node", "left_semi")
+        sets.select(_key().alias("_key"), F.col("row").alias("key"), "hashes")
+        .mapInArrow(_with_bit(bitmap), "key bigint, hashes binary")
+        .join(members.select("key"), "key", "left_semi")
     )
-    roots = components(verified(members, stored(member_sets, "candidate_sets"), orders, max_cell))
+    member_sets = stored(member_sets, "candidate_sets")
+    comps = members.select("key", "comp")
+    for order in range(1, len(orders.threshold.common)):
+        comps = refined(member_sets, comps, orders, order)
+    members = members.drop("comp").join(comps, "key").withColumnRenamed("key", "node")
+    roots = components(verified(members, member_sets.withColumnRenamed("key", "node"), orders, max_cell))
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stored(named.select("digest", "root", "first"), "named")
     smallest = stored(named.groupBy("root").agg(F.min("first").alias("component_id")), "smallest_ids")
