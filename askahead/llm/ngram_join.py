@@ -4,8 +4,10 @@ Prefix filtering: if a set of n shingles shares o of them with another, the firs
 n - o + c, under *any* order of all shingles. Several orders are used one after the other, with a growing c. Each puts
 frequent shingles last (by a table of counts with a fixed number of cells) and breaks ties by a permutation of its own.
 Sets that share a prefix shingle under the first order are joined to components of candidates. Under the next orders only
-sets of one component are compared; a set leaves if too few of its prefix shingles occur in another of its component (the
-c of the smallest set that it can be linked with), and the rest are joined to smaller components. No pair is written in that.
+sets of one component are compared. Under each order a set leaves if too few of its prefix shingles occur in another (the
+c of the smallest set that it can be linked with), and the rest are joined to smaller components. No pair is written in
+that: a shingle links its sets to one of them, first within an Arrow batch, so that even a shingle of most documents
+arrives once per batch.
 
 Links are then verified in cells. A component of bounded size is one cell: a pair is compared if it shares prefix
 shingles under every order, its sizes allow the threshold and it is not in one group yet. A larger component is dealt to
@@ -21,6 +23,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,13 +41,13 @@ COUNT_BITS = 18
 class Threshold:
     """Sets link when ``of`` * intersection >= ``shared`` * union; shingles have ``words`` words.
 
-    Each order of ``common`` asks for that share of a set's shingles in common, out of a prefix longer by as many.
+    Each order of ``common`` asks for so many percent of a set's shingles in common, in a prefix longer by as many.
     """
 
     words: int = 5
     shared: int = 80
     of: int = 100
-    common: tuple[float, ...] = (0.0, 0.4, 0.8)
+    common: tuple[int, ...] = (10, 40, 70)
 
     def overlap(self, n: int) -> int:
         """The least number of shingles that a set of n shares with any set like it."""
@@ -52,7 +55,7 @@ class Threshold:
 
     def need(self, n: int, order: int) -> int:
         """How many common shingles the prefix of a set of n is long enough for; never less for a larger set."""
-        return min(max(1, int(self.common[order] * n)), self.overlap(n))
+        return min(max(1, self.common[order] * n // 100), self.overlap(n))
 
     def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
         both = len(np.intersect1d(a, b, assume_unique=True))
@@ -69,44 +72,66 @@ def shingles(text: bytes | None, words: int) -> np.ndarray:
     return np.sort(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
 
 
-def _sets(words: int):
+def _as_hashes(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint64)
+
+
+def _key(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+# Of a text: its id, the digest of its set and the set's size. Of a task: how many shingles fell in each cell of the table
+# of counts, one row per chunk of the table.
+_PRINTS = "digest binary, key bigint, size bigint, chunk int, counts binary"
+_CHUNK = 1 << 12
+
+
+def _prints(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["digest", "key", "size", "chunk", "counts"]
+        counts, schema = np.zeros(1 << COUNT_BITS, np.int64), None
         for batch in batches:
+            schema = batch.schema
             sets = [shingles(text, words) for text in batch.column(0).to_pylist()]
-            raw = [s.tobytes() for s in sets]
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
             columns = [
-                pa.array([xxhash.xxh3_128_digest(r) for r in raw], pa.binary()),
+                pa.array(digests, pa.binary()),
+                pa.array([_key(d) for d in digests], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array(raw, pa.binary()),
+                pa.nulls(len(sets), pa.int32()),
+                pa.nulls(len(sets), pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, *batch.columns[1:]], ["digest", "size", "hashes", *batch.schema.names[1:]]
-            )
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], [*names, "id"])
+            flat = np.concatenate([np.empty(0, np.uint64), *sets])
+            np.add.at(counts, (flat >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
+        if schema is not None:
+            chunks = counts.reshape(-1, _CHUNK)
+            n = len(chunks)
+            empty = [pa.nulls(n, kind) for kind in (pa.binary(), pa.int64(), pa.int64())]
+            packed = pa.array([c.tobytes() for c in chunks], pa.binary())
+            rows = [*empty, pa.array(np.arange(n, dtype=np.int32)), packed, pa.nulls(n, schema.field(1).type)]
+            yield pa.RecordBatch.from_arrays(rows, [*names, "id"])
 
     return run
 
 
-def _as_hashes(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, np.uint64)
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles per cell of the table, added up within the task."""
-    counts = np.zeros(1 << COUNT_BITS, np.int64)
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        hashes = _as_hashes(b"".join(batch.column(0).to_pylist()))
-        counts += np.bincount((hashes >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts))
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["at", "n"])
+        for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(raw, np.int64)
+    packed = [np.log2(np.maximum(c, 1)).astype(np.uint8).tobytes() for c in sums.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["chunk", "classes"])
 
 
-def frequency_classes(sets: DataFrame) -> np.ndarray:
+def frequency_classes(prints: DataFrame) -> np.ndarray:
     """The binary logarithm of the number of shingles in each cell of the table, over all documents."""
-    totals = sets.select("hashes").mapInArrow(_count, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
-    table = totals.select("at", F.floor(F.log2("n")).cast("byte").alias("c")).toPandas()  # at most 2 ** COUNT_BITS rows
-    classes = np.zeros(1 << COUNT_BITS, np.uint8)
-    classes[table["at"].to_numpy()] = table["c"].to_numpy()
-    return classes
+    chunks = prints.where("chunk is not null").select("chunk", "counts").repartition("chunk")
+    rows = chunks.mapInArrow(_add_up, "chunk int, classes binary").collect()  # 2 ** COUNT_BITS bytes, whatever the table
+    classes = np.zeros((1 << COUNT_BITS) // _CHUNK * _CHUNK, np.uint8).reshape(-1, _CHUNK)
+    for row in rows:
+        classes[row["chunk"]] = np.frombuffer(row["classes"], np.uint8)
+    return classes.ravel()
 
 
 class Orders:
@@ -126,84 +151,143 @@ class Orders:
         rank |= (hashes * self.factors[order]) >> np.uint64(6)
         return hashes[np.argsort(rank, kind="stable")[: len(hashes) - self.threshold.overlap(len(hashes)) + need]]
 
+    def first(self, hashes: np.ndarray, order: int) -> np.ndarray:
+        """The prefix that this order looks at."""
+        return self.prefix(hashes, order, self.threshold.need(len(hashes), order))
 
-def _known(batch: pa.RecordBatch, bitmap: np.ndarray) -> pa.RecordBatch:
-    """The rows whose key, the first column, has its bit set."""
-    place = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
-    bit = (bitmap[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)
-    return batch.filter(pa.array(bit == 1))
 
+def _known(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Which keys have their bit set."""
+    place = keys.view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+    return (bitmap[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
-def _with_bit(bitmap: np.ndarray):
-    """Rows (key, ...) whose key may be a candidate's; the key is dropped."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = _known(batch, bitmap)
-            yield pa.RecordBatch.from_arrays(kept.columns[1:], kept.schema.names[1:])
+# A row of a shingle has the set that stands for it in a batch, and the set again as its head if others there share the
+# shingle. A row with a count says how many shingles link a set to a head.
+_STARS = "token bigint, key bigint, head bigint, n int"
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
-    return run
 
+def _pair_counts(key: np.ndarray, head: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each different (key, head) with the sum of its weights."""
+    order = np.lexsort((head, key))
+    key, head, weight = key[order], head[order], weight[order]
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (head[1:] != head[:-1])))
+    return key[first], head[first], np.add.reduceat(weight, first).astype(np.int32)
 
-def _prefixes(orders: Orders, order: int):
-    """(key, hashes) to (prefix shingle, key, how many of them must be shared).
 
-    The partner's prefix holds as many of the common ones as the partner's size asks for, which may be fewer.
-    """
+def _stars(tokens: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of all shingles of a batch, and counts of the links within it."""
+    order = np.lexsort((keys, tokens))
+    tokens, keys = tokens[order], keys[order]
+    different = np.append(True, (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1]))
+    tokens, keys = tokens[different], keys[different]
+    first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+    sizes = np.diff(np.append(first, len(tokens)))
+    shared, n = sizes > 1, len(first)
+    heads = pa.array(keys[first], mask=~shared)
+    rows = [pa.array(tokens[first].view(np.int64)), pa.array(keys[first]), heads, pa.nulls(n, pa.int32())]
+    yield pa.RecordBatch.from_arrays(rows, ["token", "key", "head", "n"])
+    inside = np.repeat(shared, sizes)
+    if inside.any():
+        key, head, n = _pair_counts(keys[inside], np.repeat(keys[first], sizes)[inside], np.ones(inside.sum(), np.int32))
+        spread = (key.view(np.uint64) * _MIX).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (spread, key, head, n)], ["token", "key", "head", "n"])
+
+
+def _stars_of_texts(orders: Orders):
+    """Texts to rows of their sets under the first order, by the keys of the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [_as_hashes(raw) for raw in batch.column(1).to_pylist()]
-            if not sets:
-                continue
-            limits = orders.threshold
-            parts = [orders.prefix(s, order, limits.need(len(s), order)) for s in sets]
-            needs = [limits.need(limits.overlap(len(s)), order) for s in sets]
-            sizes = [len(p) for p in parts]
-            columns = [np.concatenate(parts).view(np.int64), np.repeat(batch.column(0).to_numpy(), sizes)]
-            columns.append(np.repeat(np.array(needs, np.int32), sizes))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "key", "need"])
+            sets = {}
+            for text in batch.column(0).to_pylist():
+                found = shingles(text, orders.threshold.words)
+                if len(found):
+                    sets.setdefault(_key(xxhash.xxh3_128_digest(found.tobytes())), found)
+            if sets:
+                parts = [orders.first(s, 0) for s in sets.values()]
+                keys = np.repeat(np.array(list(sets), np.int64), [len(p) for p in parts])
+                yield from _stars(np.concatenate(parts), keys)
 
     return run
 
 
-def _key() -> F.Column:
-    return F.xxhash64("digest")
+def _stars_of_sets(orders: Orders, order: int):
+    """Rows (key, component, hashes) to rows under an order; shingles of different components differ."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [orders.first(_as_hashes(raw), order) for raw in batch.column(2).to_pylist()]
+            if parts:
+                sizes = [len(p) for p in parts]
+                comp = np.repeat(batch.column(1).to_numpy().view(np.uint64) * _MIX, sizes)
+                tokens = (np.concatenate(parts) ^ (comp ^ comp >> np.uint64(29))) * _MIX
+                yield from _stars(tokens, np.repeat(batch.column(0).to_numpy(), sizes))
 
-def prefixes(sets: DataFrame, orders: Orders, order: int) -> DataFrame:
-    """(token, key, need) of all sets (key, hashes)."""
-    return sets.mapInArrow(_prefixes(orders, order), "token bigint, key bigint, need int")
-
-
-def _shared(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The rows whose ``by`` occurs with several keys, with the least of them as ``head``."""
-    heads = rows.groupBy(*by).agg(F.min("key").alias("head"), F.max("key").alias("tail")).where("head < tail")
-    # Stored, so that adaptive execution can split the join at shingles that very many documents share.
-    return rows.join(stored(heads.drop("tail"), "heads"), by)
-
+    return run
 
-def _joined(shared: DataFrame) -> DataFrame:
-    """(key, comp): components of the sets that share a prefix shingle."""
-    roots = components(shared.where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")))
-    return roots.select(F.col("node").alias("key"), F.col("root").alias("comp"))
 
+def _links_to_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shingle and set to (key, head, n): how many shingles link a set to a head."""
+    names = ["key", "head", "n"]
+    # The first set of the last shingle; what follows may share it.
+    held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
+    for batch in batches:
+        counted = batch.column(3).is_valid()
+        links = batch.filter(counted)
+        if links.num_rows:
+            yield pa.RecordBatch.from_arrays(links.columns[1:], names)
+        rows = batch.filter(pa.compute.invert(counted))
+        if not rows.num_rows:
+            continue
+        fresh = [rows.column(0).to_numpy(), rows.column(1).to_numpy(), rows.column(2).is_valid().to_numpy(zero_copy_only=False)]
+        token, key, done = (np.concatenate(x) for x in zip(held, fresh, strict=True))
+        first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        sizes = np.diff(np.append(first, len(token)))
+        head = np.repeat(key[first], sizes)
+        # Rows come in the order of their sets, so that a shingle of one set has that set first and last.
+        last = key[first + sizes - 1]
+        inside = np.repeat(last != key[first], sizes)
+        if inside.any():
+            columns = _pair_counts(key[inside], head[inside], (~done[inside]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+        known = done[first[-1]] or bool(inside[-1])
+        held = [token[-1:], key[first[-1:]], np.array([known])]
+
+
+def _divided(stars: DataFrame, sizes: DataFrame, threshold: Threshold, order: int) -> DataFrame:
+    """(key, comp) of the sets that share enough shingles; ``sizes`` has (key, size)."""
+    links = (
+        stars.repartition("token")
+        .sortWithinPartitions("token", "key")
+        .mapInArrow(_links_to_heads, "key bigint, head bigint, n int")
+    )
+    links = stored(links, "links_to_heads")
+    least = F.ceil(F.col("size") * threshold.shared / threshold.of)
+    need = F.least(F.greatest(F.lit(1), F.floor(least * threshold.common[order] / 100)), F.ceil(least * threshold.shared / threshold.of))
+    common = links.groupBy("key").agg(F.sum("n").alias("n")).join(sizes, "key")
+    kept = stored(common.where(F.col("n") >= need).select("key").distinct(), "kept_sets")
+    # A head may have left itself; it still stands for the shingle.
+    edges = links.join(kept, "key", "left_semi").select(F.col("key").alias("a"), F.col("head").alias("b"))
+    roots = components(edges).select(F.col("node").alias("key"), F.col("root").alias("comp"))
+    return roots.join(kept, "key", "left_semi")
 
-def candidates(sets: DataFrame, orders: Orders) -> DataFrame:
-    """(key, comp) of sets that share prefix shingles under the first order.
 
-    Keys are hashes of the sets; two different sets with one key only become candidates of each other.
-    """
-    rows = prefixes(sets.where("size > 0").select(_key().alias("key"), "hashes"), orders, 0)
-    return _joined(_shared(stored(rows.drop("need"), "prefixes"), ["token"]))
+def _candidate_sets(words: int, bitmap: np.ndarray):
+    """Texts to (digest, hashes) of sets whose key may be a candidate's, each once per batch."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = {}
+            for text in batch.column(0).to_pylist():
+                raw = shingles(text, words).tobytes()
+                sets[xxhash.xxh3_128_digest(raw)] = raw
+            keys = np.array([_key(d) for d in sets], np.int64)
+            rows = [pa.array(list(c), pa.binary()) for c in (sets.keys(), sets.values())]
+            yield pa.RecordBatch.from_arrays(rows, ["digest", "hashes"]).filter(pa.array(_known(keys, bitmap)))
 
-def refined(sets: DataFrame, comps: DataFrame, orders: Orders, order: int) -> DataFrame:
-    """(key, comp): the components divided by another order; each key has one set (key, hashes)."""
-    rows = stored(prefixes(sets.join(comps, "key").select("key", "hashes"), orders, order).join(comps, "key"), "prefixes")
-    shared = stored(_shared(rows, ["comp", "token"]).drop("head"), "shared_prefixes")
-    kept = shared.groupBy("key").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("key")
-    return _joined(_shared(stored(shared.join(kept, "key", "left_semi"), "kept_prefixes"), ["comp", "token"]))
+    return run
 
 
 class Postings:
@@ -349,46 +433,38 @@ def similar_groups(
     """
     threshold = threshold or Threshold()
     prepare(docs.sparkSession)
-    rows = docs.select(
-        text_bytes(text).alias("_text"), F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id")
-    )
+    texts = docs.select(text_bytes(text).alias("_text"))
+    rows = docs.select(text_bytes(text).alias("_text"), F.col(id_col).alias("id"))
     kind = docs.schema[id_col].dataType.simpleString()
-    sets = rows.mapInArrow(
-        _sets(threshold.words), f"digest binary, size bigint, hashes binary, row bigint, id {kind}"
-    )
-    # Stored, so that rows keep their numbers and texts are hashed once.
-    sets = stored(sets, "shingle_sets")
-    orders = Orders(frequency_classes(sets), threshold)
-    # Equal sets are one node, numbered as one of its rows.
-    nodes = (
-        sets.where("size > 0")
-        .groupBy("digest")
-        .agg(F.min("row").alias("node"), F.min("size").alias("size"), F.min("id").alias("first"))
-    )
-    nodes = stored(nodes, "nodes")
-    comps = candidates(sets, orders)
+    prints = stored(rows.mapInArrow(_prints(threshold.words), f"{_PRINTS}, id {kind}"), "shingle_prints")
+    orders = Orders(frequency_classes(prints), threshold)
+    prints = prints.where("chunk is null").drop("chunk", "counts")
+    # Equal sets are one node. Numbers are given once, as the table is stored.
+    nodes = prints.where("size > 0").groupBy("digest").agg(*(F.min(c).alias(c) for c in ("key", "size", "id")))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    # Two different sets with one key only become candidates of each other.
+    stars = texts.mapInArrow(_stars_of_texts(orders), _STARS)
+    comps = stored(_divided(stars, nodes.groupBy("key").agg(F.min("size").alias("size")), threshold, 0), "candidates")
     bitmap = hash_bitmap(comps.select(F.col("key").alias("hash")))
-    comps = nodes.select(_key().alias("key"), "node", "size").join(comps, "key").select(F.col("node").alias("key"), "comp", "size")
-    members = stored(comps, "candidates")
-    member_sets = (
-        sets.select(_key().alias("_key"), F.col("row").alias("key"), "hashes")
-        .mapInArrow(_with_bit(bitmap), "key bigint, hashes binary")
-        .join(members.select("key"), "key", "left_semi")
-    )
-    member_sets = stored(member_sets, "candidate_sets")
-    comps = members.select("key", "comp")
-    for order in range(1, len(orders.threshold.common)):
-        comps = refined(member_sets, comps, orders, order)
-    members = members.drop("comp").join(comps, "key").withColumnRenamed("key", "node")
-    roots = components(verified(members, member_sets.withColumnRenamed("key", "node"), orders, max_cell))
+    members = nodes.join(comps, "key").select("digest", "node", "size", "comp")
+    sets = texts.mapInArrow(_candidate_sets(threshold.words, bitmap), "digest binary, hashes binary")
+    sets = sets.dropDuplicates(["digest"]).join(members, "digest").drop("digest").withColumnRenamed("node", "key")
+    sets = stored(sets, "candidate_sets")
+    comps = sets.select("key", "comp")
+    for order in range(1, len(threshold.common)):
+        rows = sets.select("key", "hashes").join(comps, "key").select("key", "comp", "hashes")
+        stars = rows.mapInArrow(_stars_of_sets(orders, order), _STARS)
+        comps = stored(_divided(stars, sets.select("key", "size"), threshold, order), "candidates")
+    members = sets.select("key", "size").join(comps, "key").withColumnRenamed("key", "node")
+    sets = sets.select(F.col("key").alias("node"), "hashes")
+    roots = components(verified(members, sets, orders, max_cell))
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = stored(named.select("digest", "root", "first"), "named")
+    named = stored(named.select("digest", "root", F.col("id").alias("first")), "named")
     smallest = stored(named.groupBy("root").agg(F.min("first").alias("component_id")), "smallest_ids")
     # Stored, so that adaptive execution can split the join where many documents have one set.
     final = stored(named.join(smallest, "root").select("digest", "component_id"), "components")
-    return sets.join(final, "digest", "left").select(
+    return prints.join(final, "digest", "left").select(
         F.col("id").alias(id_col),
         F.col("size").alias("n_shingles"),
         F.when(F.col("size") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
     )
-
