@@ -20,6 +20,7 @@ from askahead.llm import (
     simhash,
     sql,
     token_files,
+    word_runs,
 )
 from askahead.llm.common import read_table
 
@@ -106,6 +107,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.replace_pii(read_table(spark, sf_dir, "documents"), DEMO_KEY))
 
 
+@query("op12_word_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.digest(word_runs.word_runs(read_table(spark, sf_dir, "documents"), plant=True))
+
+
 @query("op13_ngram_join", sql.NGRAM_JOIN)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(read_table(spark, sf_dir, "documents"))

@@ -14,6 +14,7 @@ from common_llm import groups_of
 from oracle import connect, difference
 from test_secrets import brute as base_spans
 from test_simhash import plain_fingerprint
+from test_word_runs import expected as expected_runs
 from tokenizers import Tokenizer
 
 from askahead.llm.queries import QUERIES, SQL, token_file
@@ -32,7 +33,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_there_is_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 11), 13]
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 11), 12, 13]
 
 
 def test_op1(spark, texts):
@@ -106,3 +107,10 @@ def test_op10(spark, texts):
             at = int(end)
         # All but the values is as it was; addresses may change their length.
         assert re.fullmatch(".+?".join(map(re.escape, [*parts, text[at:]])), r.text, re.S)
+
+
+def test_op12(spark, texts):
+    rows = {r.doc_id: tuple(r) for r in QUERIES["op12_word_runs"](spark, SF).collect()}
+    assert set(rows) == set(texts)
+    # Brute force is quadratic; long texts have a test of their own.
+    assert all(rows[i] == expected_runs(i, t) for i, t in texts.items() if len(t or "") < 20_000)
