@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from askahead.llm import (
     arc_warc,
+    conversations,
     decontaminate,
     exact_dedup,
     line_dedup,
@@ -107,6 +108,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.replace_pii(read_table(spark, sf_dir, "documents"), DEMO_KEY))
 
 
+@query("op11_conversations", sql.CONVERSATIONS)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations")
+    return conversations.Repair(conversations.damaged(turns)).summary(turns)
+
+
 @query("op12_word_runs")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.digest(word_runs.word_runs(read_table(spark, sf_dir, "documents"), plant=True))

@@ -70,3 +70,71 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT reach.a, links.b FROM
 SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(reach.b), w.doc_id) AS component_id
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id
 """
+
+_ROW_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _then(cost: str, edit: str, line: str, state: str) -> str:
+    """The label of a state, with one more edit in front; null stays null."""
+    return (
+        f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'e': '{edit}' || {state}.e, "
+        f"'l': {f'list_prepend({line}, {state}.l)' if line else f'{state}.l'}}} END"
+    )
+
+
+def _step(state: str) -> str:
+    """The label of a state one row earlier, without inserts: delete, reassign or keep the row."""
+    given = "a" if state == "u" else "u"
+    role = "assistant" if given == "a" else "user"
+    extra = "CASE WHEN cut THEN 5 ELSE 0 END"
+    stays = "NOT blank AND NOT dup"
+    options = [_then("2", "D", "", state), f"CASE WHEN {stays} THEN {_then(f'1 + {extra}', 'R', chr(39) + role + ':' + chr(39) + ' || text', given)} END"]
+    for initial, to in {"z": [("s", "s"), ("u", "u")], "s": [("u", "u")], "u": [("a", "a")], "a": [("u", "u")]}[state]:
+        kept = _then(extra, "K", "role || ':' || text", to)
+        options.append(f"CASE WHEN {stays} AND r = '{initial}' THEN {kept} END")
+    return f"list_min([{', '.join(options)}])"
+
+
+# Labels (cost, edits, lines) of the states nothing, system, user and assistant, from each conversation's end backwards.
+CONVERSATIONS = f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS t),
+f AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS fault
+  FROM conversations, crc),
+h AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, copy,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM f, unnest(CASE fault WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) u(copy)),
+o AS (SELECT *, rtrim(text, {_ROW_WHITE}) AS core, left(role, 1) AS r,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM h),
+m AS (SELECT *, core = '' AS blank,
+             core <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup,
+             i > 1 AND ((lag(r) OVER w) || r) NOT IN ('su', 'ua', 'au') AS wrong
+      FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+n AS MATERIALIZED (SELECT *, NOT blank AND NOT dup AND right(core, 1) NOT IN ('.', '!', '?') AS cut FROM m),
+done(conv_id, i, z, s, u, a) AS (
+  SELECT conv_id, max(i), {{'c': 0::BIGINT, 'e': '', 'l': []::VARCHAR[]}}, {{'c': 10::BIGINT, 'e': 'II', 'l': ['user:', 'assistant:']}},
+         {{'c': 5::BIGINT, 'e': 'I', 'l': ['assistant:']}}, {{'c': 0::BIGINT, 'e': '', 'l': []::VARCHAR[]}}
+  FROM n GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, list_min([z, {_then("5", "I", "'user:'", "u")}]), list_min([s, {_then("5", "I", "'user:'", "u")}]), u, a
+  FROM (SELECT conv_id, i, z, s, list_min([u, {_then("5", "I", "'assistant:'", "a")}]) AS u,
+               list_min([a, {_then("5", "I", "'user:'", "u")}]) AS a
+        FROM (SELECT done.conv_id, done.i - 1 AS i, {_step("z")} AS z, {_step("s")} AS s, {_step("u")} AS u, {_step("a")} AS a
+              FROM done JOIN n ON n.conv_id IS NOT DISTINCT FROM done.conv_id AND n.i = done.i))),
+faults AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (dup) AS dup, count(*) FILTER (cut) AS cut, count(*) FILTER (wrong) AS wrong
+  FROM n GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(dup, 0) AS duplicate,
+       coalesce(cut, 0) AS truncated, coalesce(wrong, 0) AS illegal, coalesce(z.c, 0) AS cost, coalesce(z.e, '') AS audit,
+       sha256(coalesce(array_to_string(z.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN faults ON faults.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id AND done.i = 0
+"""

@@ -13,6 +13,7 @@ import pytest
 from common_llm import groups_of
 from oracle import connect, difference
 from test_secrets import brute as base_spans
+from test_conversations import expected as expected_repairs
 from test_simhash import plain_fingerprint
 from test_word_runs import expected as expected_runs
 from tokenizers import Tokenizer
@@ -33,7 +34,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_there_is_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 11), 12, 13]
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_op1(spark, texts):
@@ -109,6 +110,12 @@ def test_op10(spark, texts):
         assert re.fullmatch(".+?".join(map(re.escape, [*parts, text[at:]])), r.text, re.S)
 
 
+def test_op11(spark):
+    rows = duckdb.sql(f"SELECT conv_id, turn, role, text FROM '{SF}/conversations.parquet'").fetchall()
+    got = {r.conv_id: tuple(r) for r in QUERIES["op11_conversations"](spark, SF).collect()}
+    assert got == expected_repairs(rows)
+
+
 def test_op12(spark, texts):
     rows = {r.doc_id: tuple(r) for r in QUERIES["op12_word_runs"](spark, SF).collect()}
     assert set(rows) == set(texts)
