@@ -31,6 +31,7 @@ from askahead.operators import quality, sequences
 from askahead.operators.context import candidate_times
 from askahead.operators.labels import to_training_rows
 from askahead.plans.model_input import model_input, model_input_by_event
+from askahead.session import checkpointed
 from askahead.sources.tables import code_vocab, scan_events
 
 KEY = "subject_id, prediction_time"
@@ -217,28 +218,32 @@ def _layout(spark, sf):
     )
 
 
-_N_BUCKETS = 4
+_BATCHED = [
+    *_CLICK_SEQ,
+    f"k AS (SELECT *, md5(concat_ws('|', {TIME_KEY}, 0)) AS key FROM seq)",
+    "r AS (SELECT *, (row_number() OVER (ORDER BY n, key) - 1) // 128 AS batch FROM k)",
+    "p AS (SELECT *, max(n) OVER (PARTITION BY batch) AS longest FROM r)",
+]
+
+
+def _padded(spark, sf) -> DataFrame:
+    rows = _click_history(spark, sf).select("subject_id", "prediction_time", F.col("history.code").alias("codes"))
+    rows = checkpointed(rows.withColumn("n", F.size("codes")))
+    batched = sequences.assign_batches(rows, ["subject_id", "prediction_time"], "n", 128)
+    return sequences.pad_and_mask(batched, "codes", ["batch"])
 
 
 @query(
     "pad_and_mask",
     log_sql(
-        *_CLICK_SEQ,
-        f"""k AS (SELECT *, md5(concat_ws('|', {TIME_KEY}, 0)) AS key FROM seq),
-        b AS (SELECT *, ('0x' || substr(key, 1, 15))::BIGINT % {_N_BUCKETS} AS bucket FROM k),
-        r AS (SELECT *, (row_number() OVER (PARTITION BY bucket ORDER BY key) - 1) // 128 AS batch FROM b),
-        p AS (SELECT *, max(n) OVER (PARTITION BY bucket, batch) AS longest FROM r)""",
-        select=f"SELECT {KEY}, bucket, batch, codes || repeat(',0', longest - n) AS codes, longest AS padded_length, n AS attended FROM p",
+        *_BATCHED,
+        select=f"SELECT {KEY}, batch, codes || repeat(',0', longest - n) AS codes, longest AS padded_length, n AS attended FROM p",
     ),
 )
 def _pad(spark, sf):
-    rows = _click_history(spark, sf).select("subject_id", "prediction_time", F.col("history.code").alias("codes"))
-    batched = sequences.assign_batches(rows, ["subject_id", "prediction_time"], 128, _N_BUCKETS)
-    padded = sequences.pad_and_mask(batched, "codes", ["bucket", "batch"])
-    return padded.select(
+    return _padded(spark, sf).select(
         "subject_id",
         "prediction_time",
-        "bucket",
         "batch",
         F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"),
         F.size("codes").alias("padded_length"),
@@ -246,6 +251,14 @@ def _pad(spark, sf):
     )
 
 
+@query(
+    "padding_share",
+    log_sql(*_BATCHED, select="SELECT sum(longest)::BIGINT AS n_slots, round(1 - sum(n) / sum(longest), 9) AS padding_share FROM p"),
+)
+def _padding(spark, sf):
+    return sequences.padding_share(_padded(spark, sf)).withColumn("padding_share", F.round("padding_share", 9))
+
+
 @query(
     "insert_duration_slot",
     log_sql(*_CLICK_SEQ, select=f"""SELECT {KEY}, n + 1 AS n_slots, list_extract(string_split(codes, ','), 1)::INTEGER AS first_code,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from askahead.functions import micros
 from askahead.functions.columns import DAY_US
-from askahead.operators.skew import ROWS_PER_TASK, join_to_unique
+from askahead.operators.skew import ROWS_PER_TASK, heavy_keys, join_to_unique
 from askahead.operators.timeline import Running, running
 
 
@@ -50,8 +50,8 @@ def record_end(events: DataFrame) -> DataFrame:
 def _from_context_start(events: DataFrame, bounds: DataFrame, rows_per_task: int) -> DataFrame:
     """Distinct event times from ``context_start`` on, with the other columns of ``bounds``."""
     times = events.where(F.col("time").isNotNull()).select("subject_id", "time").distinct()
-    sizes = events.groupBy("subject_id").agg(F.count("*").alias("n_rows"))
-    joined = join_to_unique(times, bounds, ["subject_id"], sizes, F.col("time"), rows_per_task=rows_per_task)
+    heavy = heavy_keys(events, ["subject_id"], rows_per_task)
+    joined = join_to_unique(times, bounds, ["subject_id"], heavy, F.col("time"), rows_per_task=rows_per_task)
     return (
         joined.where(F.col("time") >= F.col("context_start"))
         .drop("context_start")
@@ -72,10 +72,10 @@ def candidates_with_record_end(
     """Candidate times with the end of the subject's record: one join for both per-subject bounds."""
     if min_context < 1:
         # Every time counts, those without a value included.
-        sizes = events.groupBy("subject_id").agg(F.count("*").alias("n_rows"))
+        heavy = heavy_keys(events, ["subject_id"], rows_per_task)
         every = candidate_times(events, min_context)
         return join_to_unique(
-            every, record_end(events), ["subject_id"], sizes, F.col("prediction_time"), rows_per_task=rows_per_task
+            every, record_end(events), ["subject_id"], heavy, F.col("prediction_time"), rows_per_task=rows_per_task
         )
     bounds = context_start(events, min_context).join(record_end(events), "subject_id")
     return _from_context_start(events, bounds, rows_per_task)

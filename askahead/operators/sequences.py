@@ -1,8 +1,6 @@
 """History sequences: the last tokens up to a prediction time, with the question in front.
 
-Tokens get a running position along their subject's timeline (see ``timeline``). The last n tokens before a
-prediction time are then a position range, which touches at most two blocks of n positions, so a
-prediction time meets at most 2n tokens through an equality join on (subject, block).
+Tokens are read from a stored log, where they are numbered along their subject's timeline (see ``tokenlog``).
 """
 
 from __future__ import annotations
@@ -11,36 +9,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askahead.functions import draw_key, draw_number, micros, years
-from askahead.functions.columns import DAY_US
+from askahead.functions.columns import from_micros
+from askahead.operators import tokenlog
 from askahead.operators.skew import join_to_unique
 from askahead.operators.timeline import Running, history_bound, running
+from askahead.operators.tokenlog import TokenLog
 from askahead.schemas import PAD_INDEX
+from askahead.session import checkpointed
 
 _TIME_KEY = ["subject_id", "prediction_time"]
 OPTIONAL_LABELS = ["boolean_value", "occurs", "query", "duration_days"]
 
 
 def encode_codes(rows: DataFrame, vocab: DataFrame, on: str = "code", to: str = "code_id") -> DataFrame:
-    """Vocabulary index of each code; a code outside the vocabulary becomes the padding index."""
-    ids = vocab.select(F.col("code").alias(on), F.col("vocab_index").alias("_index"))
-    sizes = rows.groupBy(on).agg(F.count("*").alias("n_rows"))
-    coded = join_to_unique(rows, ids, [on], sizes, F.xxhash64(*rows.columns), "left")
-    return coded.withColumn(to, F.coalesce("_index", F.lit(PAD_INDEX))).drop("_index")
+    """Vocabulary index of each code; a code outside the vocabulary becomes the padding index.
 
-
-def label_history_join(labels: DataFrame, events: DataFrame) -> DataFrame:
-    """Labels of subjects that have a history; the others drop out."""
-    subjects = events.select("subject_id").distinct()
-    sizes = labels.groupBy("subject_id").agg(F.count("*").alias("n_rows"))
-    return join_to_unique(labels, subjects, ["subject_id"], sizes, F.xxhash64(*labels.columns), "left_semi")
+    A vocabulary too large to broadcast is joined by code; adaptive execution splits the partitions of frequent codes.
+    """
+    return tokenlog.encode(rows, vocab, None, on, to)
 
 
-def until_last_probe(events: DataFrame, probes: DataFrame) -> DataFrame:
-    """Events that some probe can see: of the probed subjects, up to their last prediction time."""
-    last = probes.groupBy("subject_id").agg(F.max("prediction_time").alias("_last"))
-    sizes = events.groupBy("subject_id").agg(F.count("*").alias("n_rows"))
-    seen = join_to_unique(events, last, ["subject_id"], sizes, F.col("time"))
-    return seen.where(F.col("time") <= F.col("_last")).select(*events.columns)
+def label_history_join(labels: DataFrame, events: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+    """Labels of subjects that have a history; the others drop out. ``heavy`` subjects are those of the label table."""
+    subjects = events.select("subject_id").distinct()
+    return join_to_unique(labels, subjects, ["subject_id"], heavy, F.xxhash64(*labels.columns), "left_semi")
 
 
 def passthrough_columns(labels: DataFrame) -> list[str]:
@@ -69,131 +61,42 @@ def explode_times(rows: DataFrame, times: str = "times") -> DataFrame:
     return rows.withColumn("time", F.explode_outer(times)).drop(times)
 
 
-def event_tokens(events: DataFrame, vocab: DataFrame, max_len: int) -> DataFrame:
-    """Encoded events that can still be among the last ``max_len`` tokens at some later time.
-
-    Within one time tokens are ordered by code id, then value; ``from_end`` counts from that time's last
-    token. Only the last ``max_len`` of a time can ever be used, because a prediction time sees all events
-    of that time or none.
-    """
-    coded = encode_codes(events.where(F.col("time").isNotNull()), vocab)
-    nan = F.lit(float("nan")).cast("float")
-    value = F.coalesce(F.col("numeric_value").cast("float"), nan) if "numeric_value" in events.columns else nan
-    latest = Window.partitionBy("subject_id", "time").orderBy(F.desc("code_id"), F.desc("numeric_value"))
-    return (
-        coded.select("subject_id", "time", "code_id", value.alias("numeric_value"))
-        .withColumn("from_end", F.row_number().over(latest))
-        .where(F.col("from_end") <= max_len)
-    )
-
-
-def token_positions(probes: DataFrame, events: DataFrame, max_len: int) -> DataFrame:
-    """Running token count at every event time and probe; ``before_us`` is the event time before.
-
-    A time counts at most ``max_len`` tokens, the ones ``event_tokens`` keeps. Probes of subjects without
-    events drop out.
-    """
-    timed = events.where(F.col("time").isNotNull())
-    sizes = timed.groupBy("subject_id", "time").agg(F.count("*").alias("n_tokens"))
-    asked = (
-        probes.select("subject_id", F.col("prediction_time").alias("time"))
-        .distinct()
-        .withColumn("n_tokens", F.lit(None).cast("bigint"))
-    )
-    placed = running(
-        sizes.unionByName(asked),
-        ["subject_id"],
-        "time",
-        [
-            Running("end", F.least(F.coalesce("n_tokens", F.lit(0)), F.lit(max_len))),
-            Running("before_us", F.when(F.col("n_tokens").isNotNull(), micros("time")), "max", ties=False),
-            Running("_events", F.coalesce("n_tokens", F.lit(0)), whole=True),
-        ],
-    )
-    # The second condition always holds. It makes both uses of this table need the same columns, and so
-    # share the shuffles behind them.
-    earlier = F.coalesce(F.col("before_us") < micros("time"), F.lit(True))
-    return placed.where((F.col("_events") > 0) & earlier).drop("_events")
-
-
-def _seen_tokens(probes: DataFrame, events: DataFrame, vocab: DataFrame, max_len: int) -> DataFrame:
-    """A row (prediction key, _pos, _time, _token) per token of each history; one of nulls for an empty history."""
-    # The whole log decides which subjects have a history at all; the rest needs only what the probes see.
-    probes = label_history_join(probes.select(*_TIME_KEY).distinct(), events.where(F.col("time").isNotNull()))
-    events = until_last_probe(events, probes)
-    positions = token_positions(probes, events, max_len)
-    at_events = positions.where(F.col("n_tokens").isNotNull())
-    delta = F.coalesce((micros("time") - F.col("before_us")) / F.lit(float(DAY_US)), F.lit(0.0))
-    first_of_event = F.col("from_end") == F.col("n_tokens")
-    tokens = (
-        event_tokens(events, vocab, max_len)
-        .join(at_events, ["subject_id", "time"])
-        .select(
-            "subject_id",
-            (F.col("end") - F.col("from_end")).alias("_pos"),
-            F.struct(
-                F.col("code_id").alias("code"),
-                "numeric_value",
-                F.when(first_of_event, delta).otherwise(F.lit(0.0)).cast("float").alias("time_delta_days"),
-            ).alias("_token"),
-            F.col("time").alias("_time"),
-        )
-        .withColumn("_block", F.expr(f"_pos div {max_len}"))
-    )
-    blocks = F.array(
-        F.expr(f"greatest(end - {max_len}, 0) div {max_len}"), F.expr(f"greatest(end - 1, 0) div {max_len}")
-    )
-    wanted = positions.where(F.col("n_tokens").isNull()).select(
-        "subject_id",
-        F.col("time").alias("prediction_time"),
-        F.col("end").alias("_end"),
-        F.explode(F.array_distinct(blocks)).alias("_block"),
-    )
-    inside = (F.col("_pos") < F.col("_end")) & (F.col("_pos") >= F.col("_end") - max_len)
-    # A block without a usable token leaves a row of nulls, so that empty histories survive.
-    return wanted.join(tokens, ["subject_id", "_block"], "left").select(
-        *_TIME_KEY, *[F.when(inside, F.col(c)).alias(c) for c in ("_pos", "_time", "_token")]
-    )
-
-
 def history_sequences(
-    probes: DataFrame, events: DataFrame, vocab: DataFrame, max_len: int = 256
+    probes: DataFrame, events: DataFrame | TokenLog, vocab: DataFrame | None = None, max_len: int = 256
 ) -> DataFrame:
     """Last ``max_len`` tokens up to each distinct (subject, prediction time), oldest first.
 
     ``history`` holds structs (code, numeric_value, time_delta_days). The first token of an event carries
     the days since the subject's previous event (0 at the first one), its other tokens carry 0. Prediction
     times of subjects without history drop out; one before the first event gets an empty array.
+
+    Pass a stored log where there is one; from plain events and a vocabulary a log is stored first.
     """
-    entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_time", "_token"))
-    gathered = _seen_tokens(probes, events, vocab, max_len).groupBy(*_TIME_KEY).agg(
-        F.sort_array(F.collect_list(entry)).alias("_entries")
-    )
-    return gathered.select(
-        *_TIME_KEY,
-        F.col("_entries")["_token"].alias("history"),
-        F.col("_entries")["_time"].alias("times"),
+    log = events if isinstance(events, TokenLog) else tokenlog.build(events, vocab, max_len)
+    token = F.transform(
+        "tokens", lambda t: F.struct(t["code"].alias("code"), t["numeric_value"].alias("numeric_value"), t["time_delta_days"].alias("time_delta_days"))
     )
+    times = F.transform("tokens", lambda t: from_micros(t["us"]))
+    return log.histories(probes, max_len).select(*_TIME_KEY, token.alias("history"), times.alias("times"))
 
 
 def event_sequences(
-    probes: DataFrame, events: DataFrame, vocab: DataFrame, max_len: int = 256
+    probes: DataFrame, events: DataFrame | TokenLog, vocab: DataFrame | None = None, max_len: int = 256
 ) -> DataFrame:
     """The same tokens in the nested layout: ``events`` has an entry (time_delta_days, codes, numeric_values) per
-    event time, oldest first. Tokens are grouped by time before they are gathered."""
-    tokens = F.sort_array(F.collect_list(F.struct("_pos", "_token")))["_token"]
-    per_time = _seen_tokens(probes, events, vocab, max_len).groupBy(*_TIME_KEY, "_time").agg(tokens.alias("_tokens"))
-    event = F.struct(
-        "_time",
-        F.struct(
-            F.get("_tokens", F.lit(0))["time_delta_days"].alias("time_delta_days"),
-            F.col("_tokens")["code"].alias("codes"),
-            F.col("_tokens")["numeric_value"].alias("numeric_values"),
-        ).alias("_event"),
-    )
-    entry = F.when(F.col("_time").isNotNull(), event)
-    gathered = per_time.groupBy(*_TIME_KEY).agg(F.sort_array(F.collect_list(entry)).alias("_entries"))
-    return gathered.select(*_TIME_KEY, F.col("_entries")["_event"].alias("events"))
+    event time, oldest first."""
+    log = events if isinstance(events, TokenLog) else tokenlog.build(events, vocab, max_len)
+
+    def event(us: Column) -> Column:
+        own = F.filter("tokens", lambda t: t["us"] == us)
+        return F.struct(
+            own[0]["time_delta_days"].alias("time_delta_days"),
+            own["code"].alias("codes"),
+            own["numeric_value"].alias("numeric_values"),
+        )
+
+    at = F.array_distinct(F.col("tokens")["us"])
+    return log.histories(probes, max_len).select(*_TIME_KEY, F.transform(at, event).alias("events"))
 
 
 def prepend_query_event(events: Column | str, query_id: Column | str) -> Column:
@@ -221,19 +124,32 @@ def flatten_events(nested: Column | str) -> Column:
     return F.flatten(F.transform(nested, lambda e: e["codes"]))
 
 
-def assign_batches(rows: DataFrame, keys: list[str], batch_size: int, buckets: int, seed: int = 0) -> DataFrame:
-    """Batches of ``batch_size`` rows in seeded order, without one global ordering.
+def assign_batches(rows: DataFrame, keys: list[str], length: str, batch_size: int, seed: int = 0) -> DataFrame:
+    """Batches of ``batch_size`` rows of like length: rows in the order of (length, seeded draw), cut in turn.
 
-    Rows are spread over ``buckets`` by hash and batches are cut inside a bucket, so a bucket's last batch may
-    be smaller. A bucket is ordered in one task: choose their number from the table's size, some hundred
-    batches each. Rows that come later change the batches after them in their own bucket only.
+    No task orders all rows: rows are counted per length and share of the draw, sums over these counts give each cell the
+    number of its first row, and only the rows of one cell are ordered. There are so many shares that a cell holds about
+    one batch. Lengths are few: no more than the longest sequence allows.
     """
     parts = [micros(k) if rows.schema[k].dataType.typeName().startswith("timestamp") else F.col(k) for k in keys]
-    keyed = rows.withColumn("_key", draw_key(seed, *parts)).withColumn(
-        "bucket", F.pmod(draw_number(F.col("_key")), F.lit(buckets).cast("bigint"))
-    )
-    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("_key", *keys))
-    return keyed.withColumn("_nth", nth).withColumn("batch", F.expr(f"(_nth - 1) div {batch_size}")).drop("_key", "_nth")
+    keyed = rows.withColumn("_key", draw_key(seed, *parts)).withColumn("_length", F.col(length))
+    lengths = checkpointed(keyed.groupBy("_length").agg(F.count("*").alias("_n")))
+    shares = F.greatest(F.ceil(F.col("_n") / batch_size), F.lit(1)).cast("bigint")
+    shared = lengths.select("_length", shares.alias("_shares"))
+    # The draw is uniform below 2 ** 60: its share keeps the order of the draw.
+    at = F.least(F.floor(draw_number(F.col("_key")) / F.lit(float(1 << 60)) * F.col("_shares")), F.col("_shares") - 1)
+    placed = keyed.join(shared, "_length").withColumn("_share", at.cast("bigint")).drop("_shares")
+    cells = checkpointed(placed.groupBy("_length", "_share").agg(F.count("*").alias("_n")))
+    # Lengths are few; the cells of one length are summed by themselves.
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_length").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = lengths.select("_length", before.alias("_start"))
+    within = Window.partitionBy("_length").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.select("_length", "_share", F.coalesce(F.sum("_n").over(within), F.lit(0)).alias("_before"))
+    offsets = offsets.join(starts, "_length").select("_length", "_share", (F.col("_start") + F.col("_before")).alias("_offset"))
+    nth = F.row_number().over(Window.partitionBy("_length", "_share").orderBy("_key", *keys))
+    numbered = placed.withColumn("_nth", nth).join(offsets, ["_length", "_share"])
+    batched = numbered.withColumn("batch", F.expr(f"(_offset + _nth - 1) div {batch_size}"))
+    return batched.drop("_key", "_length", "_share", "_nth", "_offset")
 
 
 def pad_and_mask(rows: DataFrame, codes: str, batch: list[str]) -> DataFrame:
@@ -244,6 +160,13 @@ def pad_and_mask(rows: DataFrame, codes: str, batch: list[str]) -> DataFrame:
     return padded.withColumn("attention_mask", F.transform(codes, lambda c: c != PAD_INDEX))
 
 
+def padding_share(padded: DataFrame, codes: str = "codes") -> DataFrame:
+    """Share of all slots that are padding, as a one-row table."""
+    slots = F.sum(F.size(codes))
+    filled = F.sum(F.size(F.filter("attention_mask", lambda m: m)))
+    return padded.agg(slots.alias("n_slots"), (F.lit(1.0) - filled / slots).alias("padding_share"))
+
+
 def insert_duration_slot(values: Column | str, slot: Column) -> Column:
     """One more element at position 1, directly after the query."""
     values = F.col(values) if isinstance(values, str) else values

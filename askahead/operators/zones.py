@@ -16,7 +16,11 @@ from askahead.functions import cell_start, from_micros, micros
 from askahead.functions.columns import DAY_US
 from askahead.operators.codesets import CodeSet, codes_array, codes_or_all, only_codes
 from askahead.operators.context import context_start, record_end
-from askahead.operators.skew import ROWS_PER_TASK, join_to_unique
+from askahead.operators.skew import large_keys
+from askahead.session import checkpointed
+
+# Rows of one subject that are ordered in one task; subjects with more are answered from the zone map.
+LIGHT_ROWS = 10_000
 
 
 def zone_map(events: DataFrame, width_days: int) -> DataFrame:
@@ -105,15 +109,13 @@ def with_reach(
     events: DataFrame,
     codes: CodeSet | None,
     durations: list[int],
-    few_per_subject: bool = False,
     dense: bool = True,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Any prediction times × codes with ``reach_us``: the code occurs within d exactly when reach < t + d.
 
     Valid for every d in ``durations``. Without ``codes``, all codes of the log are asked about; a code list
-    reaches the scan of the events. For a sample of times, ``few_per_subject`` saves the count that finds
-    subjects to split. Unless ``dense``, codes that surely do not occur have no row.
+    reaches the scan of the events. Unless ``dense``, codes that surely do not occur have no row. Where one zone owns much
+    of the candidates, adaptive execution splits the join.
     """
     width, horizon = _check(durations)
     placed = candidates.withColumn("at_us", micros("prediction_time")).withColumn(
@@ -122,33 +124,85 @@ def with_reach(
     wanted = events if codes is None else only_codes(events, codes)
     profiles = _outlooks(wanted, placed, width, horizon)
     key, how = ["subject_id", "zone"], "left" if dense else "inner"
-    if few_per_subject:
-        joined = placed.join(profiles, key, how)
-    else:
-        sizes = placed.groupBy(*key).agg(F.count("*").alias("n_rows"))
-        joined = join_to_unique(placed, profiles, key, sizes, F.col("at_us"), how, rows_per_task=rows_per_task)
-    joined = joined.drop("zone")
+    joined = placed.join(profiles, key, how).drop("zone")
     return _grid(joined, codes_or_all(codes, events)) if dense else _sparse(joined)
 
 
+def _ordered_reach(timed: DataFrame, codes: CodeSet | None, all_codes: CodeSet, min_context: int) -> DataFrame:
+    """Eligible times × codes with ``reach_us`` and ``record_end_us``, by ordering each subject's rows.
+
+    One shuffle by subject serves everything: distinct rows, the running count, the record's end, and the next time of
+    every code, found backwards over the subject's events and its questions together.
+    """
+    # Never null, so that all windows start from the one shuffle.
+    rows = timed.select("subject_id", micros("time").alias("at_us"), "code").repartition("subject_id").distinct()
+    subject = Window.partitionBy("subject_id")
+    in_order = subject.orderBy("at_us", "code")
+    counted = rows.withColumns(
+        {
+            "_nth": F.row_number().over(in_order),
+            "_before": F.lag("at_us").over(in_order),
+            "record_end_us": F.max("at_us").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        }
+    )
+    # The count reaches the context within this time or before it, once all rows of the time are counted.
+    at_context = F.max(F.when(F.col("_nth") == min_context, F.col("at_us"))).over(
+        in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    )
+    counted = counted.withColumn("_start", at_context if min_context > 0 else F.lit(-(1 << 63)))
+    asks = F.col("_before").isNull() | (F.col("_before") < F.col("at_us"))
+    asks = asks & (F.col("at_us") >= F.col("_start"))
+    wanted = F.col("code").isNotNull()
+    if codes is not None:
+        wanted = wanted & F.array_contains("_codes", F.col("code"))
+    event = F.when(wanted, F.array(F.struct(F.col("code").alias("query"), F.lit(False).alias("_asked"))))
+    none = F.array().cast("array<struct<query:string,_asked:boolean>>")
+    questions = F.transform("_codes", lambda c: F.struct(c.alias("query"), F.lit(True).alias("_asked")))
+    entries = F.concat(F.coalesce(event, none), F.when(asks, questions).otherwise(none))
+    cells = counted.withColumn("_codes", codes_array(all_codes)).select("subject_id", "at_us", "record_end_us", F.inline(entries))
+    # Growing frames only: looking ahead runs backwards through time.
+    later = Window.partitionBy("subject_id", "query").orderBy(-F.col("at_us")).rangeBetween(Window.unboundedPreceding, -1)
+    reach = F.min(F.when(~F.col("_asked"), F.col("at_us"))).over(later)
+    return cells.withColumn("reach_us", reach).where("_asked").drop("_asked")
+
+
 def eligible_with_reach(
     events: DataFrame,
     codes: CodeSet | None,
     durations: list[int],
     min_context: int,
-    rows_per_task: int = ROWS_PER_TASK,
+    light_rows: int = LIGHT_ROWS,
 ) -> DataFrame:
-    """The same for all eligible prediction times of the log, with ``record_end_us``.
+    """All eligible prediction times of the log × codes, with ``reach_us`` and ``record_end_us``.
+
+    Subjects with at most ``light_rows`` rows are ordered, each in one task. The others, if there are any, are answered
+    from the zone map, whatever their number of rows.
+    """
+    _check(durations)
+    timed = events.where(F.col("time").isNotNull() & F.col("subject_id").isNotNull())
+    all_codes = codes_or_all(codes, events)
+    large = large_keys(timed, ["subject_id"], light_rows)
+    if large is None:
+        reach = _ordered_reach(timed, codes, all_codes, min_context)
+    else:
+        light = _ordered_reach(timed.join(large, "subject_id", "left_anti"), codes, all_codes, min_context)
+        heavy = _zoned_reach(timed.join(large, "subject_id", "left_semi"), codes, all_codes, durations, min_context)
+        reach = light.unionByName(heavy.select(*light.columns))
+    return reach.withColumn("prediction_time", from_micros("at_us"))
+
+
+def _zoned_reach(
+    timed: DataFrame, codes: CodeSet | None, all_codes: CodeSet, durations: list[int], min_context: int
+) -> DataFrame:
+    """The same from the zone map, without one task per subject.
 
     Context start and record end are attached to the zones, which are few per subject, so the event times
     are joined only once, on (subject, zone).
     """
     width, horizon = _check(durations)
     width_us = width * DAY_US
-    timed = events.where(F.col("time").isNotNull() & F.col("subject_id").isNotNull())
     zone = cell_start("at_us", width_us)
     times = timed.select("subject_id", micros("time").alias("at_us")).distinct().withColumn("zone", zone)
-    sizes = times.groupBy("subject_id", "zone").agg(F.count("*").alias("n_rows"))
     bounds = record_end(timed).select("subject_id", micros("record_end_time").alias("record_end_us"))
     if min_context > 0:
         start = context_start(timed, min_context).select("subject_id", micros("context_start").alias("start_us"))
@@ -156,17 +210,16 @@ def eligible_with_reach(
     else:
         bounds = bounds.withColumn("start_us", F.lit(None).cast("bigint"))
     # A subject has at most as many zones as the calendar, so this join has no large key.
-    spots = sizes.join(bounds, "subject_id").where(
+    spots = times.select("subject_id", "zone").distinct().join(bounds, "subject_id").where(
         F.col("start_us").isNull() | (F.col("start_us") < F.col("zone") + F.lit(width_us))
     )
     wanted = timed if codes is None else only_codes(timed, codes)
     outlooks = _outlooks(wanted, spots, width, horizon)
-    profiles = spots.drop("n_rows").join(outlooks, ["subject_id", "zone"], "left")
-    joined = join_to_unique(
-        times, profiles, ["subject_id", "zone"], sizes, F.col("at_us"), rows_per_task=rows_per_task
-    )
+    # Stored, so that adaptive execution can split the join where one zone owns much of the times.
+    profiles = checkpointed(spots.join(outlooks, ["subject_id", "zone"], "left"))
+    joined = times.join(profiles, ["subject_id", "zone"])
     eligible = joined.where(F.col("start_us").isNull() | (F.col("at_us") >= F.col("start_us"))).drop("zone", "start_us")
-    return _grid(eligible, codes_or_all(codes, events)).withColumn("prediction_time", from_micros("at_us"))
+    return _grid(eligible, all_codes)
 
 
 def occurs_within(duration: Column | int) -> Column:

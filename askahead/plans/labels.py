@@ -77,7 +77,7 @@ def label_times(times: DataFrame, events: DataFrame, codes: CodeSet | None, dura
     """
     # A few times per subject, so neither join has a large key.
     known = times.select("subject_id", "prediction_time").distinct().join(record_end(events), "subject_id")
-    reach = with_reach(known, events, codes, [duration_days], few_per_subject=True)
+    reach = with_reach(known, events, codes, [duration_days])
     return (
         reach.withColumn("duration_days", F.lit(duration_days))
         .withColumn("censored", censor_flag(duration_days))

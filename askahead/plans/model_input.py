@@ -13,18 +13,20 @@ from askahead.operators.sequences import (
     prepend_query,
     prepend_query_event,
 )
+from askahead.operators.tokenlog import TokenLog
 
 _KEY = ["subject_id", "prediction_time"]
 
 
 def model_input(
-    labels: DataFrame, events: DataFrame, vocab: DataFrame, max_len: int = 256, times: DataFrame | None = None
+    labels: DataFrame, events: DataFrame | TokenLog, vocab: DataFrame, max_len: int = 256, times: DataFrame | None = None
 ) -> DataFrame:
     """One row per label row: roles, ``sequence`` with the query at position 0, and its parts as arrays.
 
     ``codes``, ``numeric_values`` and ``time_deltas`` (days) are those of the sequence; ``attention_mask`` has
     one more slot: position 1 stands for the duration and is always attended. ``times`` are the labels'
-    prediction times, where the caller has them without the labels.
+    prediction times, where the caller has them without the labels. Histories come from a stored token log; from plain
+    events one is stored first.
     """
     histories = history_sequences(labels if times is None else times, events, vocab, max_len).drop("times")
     rows = label_roles(labels, vocab).join(histories, _KEY)
@@ -41,7 +43,7 @@ def model_input(
 
 
 def model_input_by_event(
-    labels: DataFrame, events: DataFrame, vocab: DataFrame, max_len: int = 256, times: DataFrame | None = None
+    labels: DataFrame, events: DataFrame | TokenLog, vocab: DataFrame, max_len: int = 256, times: DataFrame | None = None
 ) -> DataFrame:
     """The same rows in the nested layout: ``events`` with the query as the first event."""
     nested = event_sequences(labels if times is None else times, events, vocab, max_len)

@@ -77,8 +77,9 @@ def test_grid_equals_definition(events, seed):
     codes, durations = ["a", "b", "never"], [3, 7, 8, 20]
     expected = brute(rows, codes, durations, 4)
     assert labels_of(label_table(log, codes, durations, 4)) == expected
-    # The same when the heavy subject is split over many tasks.
-    split = zones.eligible_with_reach(log, codes, durations, 4, rows_per_task=2)
+    # The same when the heavy subject, or all of them, are answered from the zone map.
+    light_rows = rng.choice([1, 30])
+    split = zones.eligible_with_reach(log, codes, durations, 4, light_rows=light_rows)
     hits = {
         (r.subject_id, r.prediction_time, r.query)
         for r in split.where(zones.occurs_within(7) & (F.col("record_end_us") - F.col("at_us") >= 7 * 86_400_000_000)).collect()
@@ -86,6 +87,13 @@ def test_grid_equals_definition(events, seed):
     assert hits == {(s, t, c) for (s, t, c, d), (_, hit) in expected.items() if d == 7 and hit}
 
 
+def test_labels_of_light_subjects_take_one_shuffle(events):
+    log = events([(1, 0, "a"), (1, 5, "b"), (2, 3, "a")])
+    plan = label_table(log, ["a", "b"], [3], 1)._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("Initial Plan")[-1]
+    assert initial.count("Exchange hashpartitioning") == 1 and "Join" not in initial
+
+
 def test_shuffled_zones_do_not_follow_the_durations(events):
     rng = random.Random(8)
     rows = [(s, rng.randint(0, 3000) / 2, rng.choice("abcd")) for s in range(10) for _ in range(60)]

@@ -7,7 +7,7 @@ from calendar_days import day
 from pyspark.sql import functions as F
 
 from askahead.operators import codesets, sampling
-from askahead.operators.sequences import assign_batches
+from askahead.operators.sequences import assign_batches, pad_and_mask, padding_share
 
 
 def grid(spark, sizes):
@@ -104,8 +104,28 @@ def test_manual_codes_count_as_in_distribution(spark):
     assert got == {("a", 0): "id", ("z", 1): "ood", ("m", 2): "id", ("z", 2): "ood"}
 
 
-def test_batches_have_the_given_size(spark):
-    df = spark.range(1000).withColumnRenamed("id", "subject_id").withColumn("prediction_time", F.lit(day(0)))
-    sizes = Counter((r.bucket, r.batch) for r in assign_batches(df, KEYS, 64, 1).collect())
-    assert sum(sizes.values()) == 1000
-    assert sorted(sizes.values())[1:] == [64] * 15
+@pytest.mark.parametrize("size", [1, 64, 5000])
+def test_batches_are_cut_from_the_order_of_lengths(spark, size):
+    df = spark.range(1000).select(
+        F.col("id").alias("subject_id"),
+        F.lit(day(0)).alias("prediction_time"),
+        F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") % 11).alias("n"),
+    )
+    rows = assign_batches(df, KEYS, "n", size, 1).collect()
+    assert len(rows) == 1000 and len({r.subject_id for r in rows}) == 1000
+    sizes = Counter(r.batch for r in rows)
+    assert sorted(sizes) == list(range(-(-1000 // size)))
+    assert all(n == size for b, n in sizes.items() if b < max(sizes))
+    # No batch starts below the length at which the one before it ends.
+    spans = [[r.n for r in rows if r.batch == b] for b in sorted(sizes)]
+    assert all(max(a) <= min(b) for a, b in zip(spans, spans[1:], strict=False))
+    again = {r.subject_id: r.batch for r in assign_batches(df.repartition(5), KEYS, "n", size, 1).collect()}
+    assert again == {r.subject_id: r.batch for r in rows}
+    assert assign_batches(df.limit(0), KEYS, "n", size).collect() == []
+
+
+def test_padding_follows_the_batches(spark):
+    df = spark.createDataFrame([(i, day(0), [1] * n) for i, n in enumerate([1, 9, 1, 9])], "subject_id bigint, prediction_time timestamp_ntz, codes array<int>")
+    batched = assign_batches(df.withColumn("n", F.size("codes")), KEYS, "n", 2)
+    share = padding_share(pad_and_mask(batched, "codes", ["batch"])).first()
+    assert (share.n_slots, share.padding_share) == (20, 0.0)

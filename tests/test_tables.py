@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from askahead.functions import code_slug, list_fingerprint
 from askahead.operators import evalsets
-from askahead.operators.skew import join_to_unique
+from askahead.operators.skew import heavy_keys, join_to_unique, large_keys
 from askahead.plans.labels import label_table
 from askahead.schemas import EVENTS
 from askahead.session import fresh_path
@@ -50,11 +50,21 @@ def test_fingerprint_depends_on_order(spark):
 def test_hot_keys_are_split_without_changing_the_result(spark, how):
     left = spark.range(1000).select(F.when(F.col("id") < 400, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
     right = spark.createDataFrame([(k, k * 10) for k in range(1, 900, 3)], "k bigint, w bigint")
-    sizes = left.groupBy("k").agg(F.count("*").alias("n_rows"))
-    got = join_to_unique(left, right, ["k"], sizes, F.col("v"), how, rows_per_task=20)
+    heavy = heavy_keys(left, ["k"], 20)
+    assert [r.n_rows for r in heavy.collect()] == [400]
+    got = join_to_unique(left, right, ["k"], heavy, F.col("v"), how, rows_per_task=20)
     assert sorted(got.collect()) == sorted(left.join(right, "k", how).collect())
 
 
+def test_keys_of_many_rows(spark):
+    rows = spark.range(1000).select((F.col("id") % 7).alias("a"), F.when(F.col("id") < 600, "x").alias("b"))
+    assert heavy_keys(rows, ["a", "b"], 1000) is None and large_keys(rows, ["a"], 143) is None
+    assert {r.a for r in large_keys(rows, ["a"], 142).collect()} == {r.a for r in rows.groupBy("a").count().collect() if r["count"] > 142}
+    # A stored table: plans that use it do not hold the counted rows again.
+    assert "Range" not in heavy_keys(rows, ["b"], 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert heavy_keys(rows.limit(0), ["a"], 1) is None
+
+
 def test_index_join_drops_missing_labels_and_external_join_keeps_them(spark, events):
     log = events([(1, 0, "a"), (1, 5, "b"), (1, 30, "a"), (2, 0, "b"), (2, 40, "a")])
     labels = label_table(log, ["a", "b"], [10], 1)
