@@ -13,6 +13,7 @@ from .columns import (
     sigmoid,
     years,
 )
+from .exact import exact_sum
 
 __all__ = [
     "bce_with_logits",
@@ -20,6 +21,7 @@ __all__ = [
     "code_slug",
     "draw_key",
     "draw_number",
+    "exact_sum",
     "from_micros",
     "interval_days",
     "list_fingerprint",
