@@ -4,11 +4,14 @@ Prefix filtering: if a set of n shingles shares o of them with another, the firs
 n - o + c, under *any* order of all shingles. Several orders are used one after the other, with a growing c. Each puts
 frequent shingles last (by a table of counts with a fixed number of cells) and breaks ties by a permutation of its own.
 Sets that share a prefix shingle under the first order are joined to components of candidates. Under the next orders only
-sets of one component are compared. Under each order a set leaves if too few of its prefix shingles occur in another (the
-c of the smallest set that it can be linked with), and the rest are joined to smaller components. No pair is written in
+sets of one component are compared. Under each order a set leaves if fewer than about c of its prefix shingles occur in
+another, and the rest are joined to smaller components. No pair is written in
 that: a shingle links its sets to one of them, first within an Arrow batch, so that even a shingle of most documents
 arrives once per batch.
 
+Components that are still large, as among texts made of a few common passages, are divided by orders with exact counts:
+shingles are counted within the component, and sets are joined by their rarest ones only, until that divides no more.
+
 Links are then verified in cells. A component of bounded size is one cell: a pair is compared if it shares prefix
 shingles under every order, its sizes allow the threshold and it is not in one group yet. A larger component is dealt to
 blocks and meets some of its sets, the pivots, in each block. Pivots are added until all sets outside the component's
@@ -25,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from askahead.llm.common import prepare, stored, text_bytes
@@ -47,7 +50,7 @@ class Threshold:
     words: int = 5
     shared: int = 80
     of: int = 100
-    common: tuple[int, ...] = (10, 40, 70)
+    common: tuple[int, ...] = (10, 40, 80)
 
     def overlap(self, n: int) -> int:
         """The least number of shingles that a set of n shares with any set like it."""
@@ -57,6 +60,14 @@ class Threshold:
         """How many common shingles the prefix of a set of n is long enough for; never less for a larger set."""
         return min(max(1, self.common[order] * n // 100), self.overlap(n))
 
+    def least(self, n: int, order: int) -> int:
+        """How many of them the prefix of any set like it holds, too.
+
+        A smaller set's prefix is shorter, but it must share as many of its fewer shingles. With rounding, the prefix of
+        either holds two less than the other's size asks for, as long as ``common`` is not above the threshold.
+        """
+        return max(1, self.need(n, order) - 2)
+
     def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
         both = len(np.intersect1d(a, b, assume_unique=True))
         return both * self.of >= (len(a) + len(b) - both) * self.shared
@@ -264,8 +275,9 @@ def _divided(stars: DataFrame, sizes: DataFrame, threshold: Threshold, order: in
         .mapInArrow(_links_to_heads, "key bigint, head bigint, n int")
     )
     links = stored(links, "links_to_heads")
-    least = F.ceil(F.col("size") * threshold.shared / threshold.of)
-    need = F.least(F.greatest(F.lit(1), F.floor(least * threshold.common[order] / 100)), F.ceil(least * threshold.shared / threshold.of))
+    # The same as Threshold.least.
+    overlap = f"(size * {threshold.shared} + {threshold.of - 1}) div {threshold.of}"
+    need = F.expr(f"greatest(1, least(size * {threshold.common[order]} div 100, {overlap}) - 2)")
     common = links.groupBy("key").agg(F.sum("n").alias("n")).join(sizes, "key")
     kept = stored(common.where(F.col("n") >= need).select("key").distinct(), "kept_sets")
     # A head may have left itself; it still stands for the shingle.
@@ -274,6 +286,39 @@ def _divided(stars: DataFrame, sizes: DataFrame, threshold: Threshold, order: in
     return roots.join(kept, "key", "left_semi")
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, component, hashes) to a row per shingle."""
+    for batch in batches:
+        raw = batch.column(2).to_pylist()
+        if raw:
+            sizes = np.array([len(r) // 8 for r in raw])
+            key, comp = (np.repeat(batch.column(i).to_numpy(), sizes) for i in (0, 1))
+            columns = [key, comp, _as_hashes(b"".join(raw)).view(np.int64), np.repeat(sizes, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "comp", "token", "size"])
+
+
+def _large(comps: DataFrame, sizes: DataFrame, max_cell: int) -> DataFrame:
+    """(key, comp, size) of the components with more shingles than a cell holds."""
+    sized = comps.join(sizes, "key")
+    large = sized.groupBy("comp").agg(F.sum("size").alias("n")).where(F.col("n") > max_cell).select("comp")
+    return stored(sized.join(large, "comp"), "large_components")
+
+
+def _divided_by_counts(sets: DataFrame, comps: DataFrame, threshold: Threshold) -> DataFrame:
+    """(key, comp): components divided by the order of the number of sets in the component that have a shingle."""
+    rows = sets.select("key", "hashes").join(comps.select("key", "comp"), "key").select("key", "comp", "hashes")
+    rows = rows.mapInArrow(_tokens, "key bigint, comp bigint, token bigint, size bigint")
+    counts = rows.groupBy("comp", "token").agg(F.count("*").alias("n"))
+    first = F.row_number().over(Window.partitionBy("key").orderBy("n", "token"))
+    length = F.expr(f"size - (size * {threshold.shared} + {threshold.of - 1}) div {threshold.of} + 1")
+    # Stored, so that adaptive execution can split the join at shingles that very many sets share.
+    placed = rows.join(stored(counts, "shingle_counts"), ["comp", "token"]).withColumn("_nth", first)
+    placed = stored(placed.where((F.col("_nth") <= length) & (F.col("n") > 1)).select("key", "comp", "token"), "rarest")
+    heads = placed.groupBy("comp", "token").agg(F.min("key").alias("head"))
+    edges = placed.join(stored(heads, "heads"), ["comp", "token"]).select(F.col("key").alias("a"), F.col("head").alias("b"))
+    return components(edges.where("a <> b")).select(F.col("node").alias("key"), F.col("root").alias("comp"))
+
+
 def _candidate_sets(words: int, bitmap: np.ndarray):
     """Texts to (digest, hashes) of sets whose key may be a candidate's, each once per batch."""
 
@@ -455,7 +500,17 @@ def similar_groups(
         rows = sets.select("key", "hashes").join(comps, "key").select("key", "comp", "hashes")
         stars = rows.mapInArrow(_stars_of_sets(orders, order), _STARS)
         comps = stored(_divided(stars, sets.select("key", "size"), threshold, order), "candidates")
-    members = sets.select("key", "size").join(comps, "key").withColumnRenamed("key", "node")
+    sizes = sets.select("key", "size")
+    large = _large(comps, sizes, max_cell)
+    left = large.count()
+    while left:
+        divided = stored(_divided_by_counts(sets, large, threshold), "candidates")
+        comps = stored(comps.join(large.select("key"), "key", "left_anti").union(divided), "candidates")
+        large = _large(divided, sizes, max_cell)
+        before, left = left, large.count()
+        if left * 10 > before * 9:
+            break
+    members = sizes.join(comps, "key").withColumnRenamed("key", "node")
     sets = sets.select(F.col("key").alias("node"), "hashes")
     roots = components(verified(members, sets, orders, max_cell))
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
