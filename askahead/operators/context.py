@@ -25,22 +25,29 @@ def context_count(events: DataFrame) -> DataFrame:
     return running(visits(events), ["subject_id"], "time", [Running("context_count", F.col("n_events"))])
 
 
-def context_start(events: DataFrame, min_context: int) -> DataFrame:
+def context_start(events: DataFrame, min_context: int, earlier: DataFrame | None = None) -> DataFrame:
     """First time of each subject at which ``min_context`` distinct event rows have been seen.
 
+    ``earlier`` has the number ``n_earlier`` of rows that came before these events, for the subjects that had any.
+
     That is the time of the subject's ``min_context``-th row in time order, whichever way ties are broken.
     The running count never falls, so the times that qualify are exactly those from this one on. Each task
     passes on the first ``min_context`` rows of a subject only.
     """
     by_time = Window.partitionBy("subject_id").orderBy("time")
-    return (
+    numbered = (
         events.where(F.col("time").isNotNull())
         .select("subject_id", "time", "code")
         .distinct()
         .withColumn("_nth", F.row_number().over(by_time))
-        .where(F.col("_nth") == min_context)
-        .select("subject_id", F.col("time").alias("context_start"))
     )
+    if earlier is None:
+        found = numbered.where(F.col("_nth") == min_context)
+    else:
+        missing = F.greatest(min_context - F.coalesce("n_earlier", F.lit(0)), F.lit(1))
+        cut = numbered.where(F.col("_nth") <= min_context)
+        found = cut.join(earlier, "subject_id", "left").where(F.col("_nth") == missing)
+    return found.select("subject_id", F.col("time").alias("context_start"))
 
 
 def record_end(events: DataFrame) -> DataFrame:

@@ -37,9 +37,11 @@ def null_when_censored(occurs: F.Column) -> F.Column:
     return F.when(~F.col("censored"), occurs)
 
 
-def label_grid(events: DataFrame, codes: CodeSet | None, durations: list[int], min_context: int) -> DataFrame:
+def label_grid(
+    events: DataFrame, codes: CodeSet | None, durations: list[int], min_context: int, earlier: DataFrame | None = None
+) -> DataFrame:
     """Labels of every eligible prediction time × code × duration, long."""
-    reach = eligible_with_reach(events, codes, durations, min_context)
+    reach = eligible_with_reach(events, codes, durations, min_context, earlier=earlier)
     left_us = F.col("record_end_us") - F.col("at_us")
     cells = reach.withColumn("_left_us", left_us).drop("record_end_us")
     if len(durations) == 1:

@@ -128,14 +128,21 @@ def with_reach(
     return _grid(joined, codes_or_all(codes, events)) if dense else _sparse(joined)
 
 
-def _ordered_reach(timed: DataFrame, codes: CodeSet | None, all_codes: CodeSet, min_context: int) -> DataFrame:
+def _ordered_reach(
+    timed: DataFrame, codes: CodeSet | None, all_codes: CodeSet, min_context: int, earlier: DataFrame | None
+) -> DataFrame:
     """Eligible times × codes with ``reach_us`` and ``record_end_us``, by ordering each subject's rows.
 
     One shuffle by subject serves everything: distinct rows, the running count, the record's end, and the next time of
     every code, found backwards over the subject's events and its questions together.
     """
     # Never null, so that all windows start from the one shuffle.
-    rows = timed.select("subject_id", micros("time").alias("at_us"), "code").repartition("subject_id").distinct()
+    rows = timed.select("subject_id", micros("time").alias("at_us"), "code")
+    if earlier is None:
+        rows, missing = rows.repartition("subject_id").distinct(), F.lit(min_context)
+    else:
+        rows = rows.join(earlier.select("subject_id", "n_earlier"), "subject_id", "left").repartition("subject_id").distinct()
+        missing = F.greatest(min_context - F.coalesce("n_earlier", F.lit(0)), F.lit(1))
     subject = Window.partitionBy("subject_id")
     in_order = subject.orderBy("at_us", "code")
     counted = rows.withColumns(
@@ -146,7 +153,7 @@ def _ordered_reach(timed: DataFrame, codes: CodeSet | None, all_codes: CodeSet,
         }
     )
     # The count reaches the context within this time or before it, once all rows of the time are counted.
-    at_context = F.max(F.when(F.col("_nth") == min_context, F.col("at_us"))).over(
+    at_context = F.max(F.when(F.col("_nth") == missing, F.col("at_us"))).over(
         in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
     counted = counted.withColumn("_start", at_context if min_context > 0 else F.lit(-(1 << 63)))
@@ -172,27 +179,34 @@ def eligible_with_reach(
     durations: list[int],
     min_context: int,
     light_rows: int = LIGHT_ROWS,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """All eligible prediction times of the log × codes, with ``reach_us`` and ``record_end_us``.
 
     Subjects with at most ``light_rows`` rows are ordered, each in one task. The others, if there are any, are answered
-    from the zone map, whatever their number of rows.
+    from the zone map, whatever their number of rows. ``earlier`` has the number ``n_earlier`` of event rows that came
+    before those of the log, which count as context.
     """
     _check(durations)
     timed = events.where(F.col("time").isNotNull() & F.col("subject_id").isNotNull())
     all_codes = codes_or_all(codes, events)
     large = large_keys(timed, ["subject_id"], light_rows)
     if large is None:
-        reach = _ordered_reach(timed, codes, all_codes, min_context)
+        reach = _ordered_reach(timed, codes, all_codes, min_context, earlier)
     else:
-        light = _ordered_reach(timed.join(large, "subject_id", "left_anti"), codes, all_codes, min_context)
-        heavy = _zoned_reach(timed.join(large, "subject_id", "left_semi"), codes, all_codes, durations, min_context)
+        light = _ordered_reach(timed.join(large, "subject_id", "left_anti"), codes, all_codes, min_context, earlier)
+        heavy = _zoned_reach(timed.join(large, "subject_id", "left_semi"), codes, all_codes, durations, min_context, earlier)
         reach = light.unionByName(heavy.select(*light.columns))
     return reach.withColumn("prediction_time", from_micros("at_us"))
 
 
 def _zoned_reach(
-    timed: DataFrame, codes: CodeSet | None, all_codes: CodeSet, durations: list[int], min_context: int
+    timed: DataFrame,
+    codes: CodeSet | None,
+    all_codes: CodeSet,
+    durations: list[int],
+    min_context: int,
+    earlier: DataFrame | None,
 ) -> DataFrame:
     """The same from the zone map, without one task per subject.
 
@@ -205,7 +219,7 @@ def _zoned_reach(
     times = timed.select("subject_id", micros("time").alias("at_us")).distinct().withColumn("zone", zone)
     bounds = record_end(timed).select("subject_id", micros("record_end_time").alias("record_end_us"))
     if min_context > 0:
-        start = context_start(timed, min_context).select("subject_id", micros("context_start").alias("start_us"))
+        start = context_start(timed, min_context, earlier).select("subject_id", micros("context_start").alias("start_us"))
         bounds = bounds.join(start, "subject_id")
     else:
         bounds = bounds.withColumn("start_us", F.lit(None).cast("bigint"))

@@ -16,13 +16,18 @@ TRAINING_COLUMNS = ["subject_id", "prediction_time", "boolean_value", "occurs",
 
 
 def label_table(
-    events: DataFrame, codes: CodeSet | None, durations: list[int], min_context: int = 50
+    events: DataFrame,
+    codes: CodeSet | None,
+    durations: list[int],
+    min_context: int = 50,
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """Every eligible prediction time × code × duration with its censoring flag and label.
 
-    Repeated event rows make no difference. Use it for bounded code lists; for training sets over a large vocabulary see ``training_table``.
+    Repeated event rows make no difference. ``earlier`` counts event rows per subject that came before these events, where
+    a log is labelled in parts. Use it for bounded code lists; for training sets over a large vocabulary see ``training_table``.
     """
-    return label_grid(events, codes, durations, min_context)
+    return label_grid(events, codes, durations, min_context, earlier)
 
 
 def duration_counts(events: DataFrame, codes: CodeSet | None, durations: range, min_context: int = 50) -> DataFrame:

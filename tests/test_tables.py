@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 from calendar_days import day
@@ -14,7 +15,7 @@ from askahead.schemas import EVENTS
 from askahead.session import fresh_path
 from askahead.sources import sinks
 from askahead.sources.tables import read_events, read_labels, read_predictions, read_vocab, with_split
-from askahead.streaming.incremental import process_new_shards
+from askahead.streaming.incremental import current_rows, process_new_shards
 
 
 SLUGS = {
@@ -154,23 +155,48 @@ def test_label_files_must_agree(spark):
         read_labels(spark, paths[:2])
 
 
-def test_incremental_runs_each_file_once_and_rejects_returning_subjects(spark, events):
+@pytest.mark.parametrize("seed", range(3))
+def test_deliveries_equal_one_run_over_everything(spark, events, seed):
+    rng = random.Random(seed)
+    rows = sorted(
+        {(rng.choice([1, 1, 2, 3, 4]), rng.randint(0, 120) / 2, rng.choice("ab")) for _ in range(90)}, key=lambda r: r[1]
+    )
+    rows += [(5, None, "a")]
     source, target, checkpoint = (fresh_path(spark, n) for n in ("src", "out", "ckpt"))
 
-    def build(log):
-        return label_table(log, ["a"], [5], 1)
+    def build(log, earlier):
+        return label_table(log, ["a", "b"], [3, 8], 4, earlier)
 
     def run():
-        process_new_shards(spark, source, EVENTS, target, checkpoint, build)
-        return spark.read.parquet(target).count()
-
-    # One delivery may hold a subject's events in several files.
-    for part in ([(1, 0, "a")], [(1, 9, "a")]):
-        events(part).write.parquet(source, mode="append")
-    assert run() == 2
-    assert run() == 2
-    events([(2, 0, "a")]).write.parquet(source, mode="append")
-    assert run() == 3
-    events([(1, 20, "a")]).write.parquet(source, mode="append")
-    with pytest.raises(Exception, match="two batches"):
+        process_new_shards(spark, source, EVENTS, target, checkpoint, build, 8)
+
+    cuts = [0, 30, 31, 60, len(rows)]
+    for start, end in zip(cuts, cuts[1:], strict=False):
+        # One delivery may hold a subject's events in several files, and repeat rows.
+        part = rows[start:end] + rows[start:end][:2]
+        events(part).repartition(2).write.parquet(source, mode="append")
+        run()
+        want = label_table(events(rows[:end]), ["a", "b"], [3, 8], 4)
+        assert sorted(map(str, current_rows(spark, target).select(want.columns).collect())) == sorted(map(str, want.collect()))
+    before = current_rows(spark, target).count()
+    run()
+    assert current_rows(spark, target).count() == before  # no file is read twice
+
+
+def test_events_that_would_change_final_labels_are_refused(spark, events):
+    source, target, checkpoint = (fresh_path(spark, n) for n in ("src", "out", "ckpt"))
+
+    def run():
+        build = lambda log, earlier: label_table(log, ["a"], [5], 1, earlier)
+        process_new_shards(spark, source, EVENTS, target, checkpoint, build, 5)
+
+    events([(1, 0, "a"), (1, 20, "a")]).write.parquet(source, mode="append")
+    run()
+    # Inside the open horizon an event may come late.
+    events([(1, 16, "a")]).write.parquet(source, mode="append")
+    run()
+    got = {r.prediction_time: r.occurs for r in current_rows(spark, target).collect()}
+    assert got == {day(0): False, day(16): None, day(20): None}
+    events([(1, 3, "a")]).write.parquet(source, mode="append")
+    with pytest.raises(Exception, match="open horizon"):
         run()
