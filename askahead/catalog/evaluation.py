@@ -38,8 +38,9 @@ from askahead.catalog.base import (
 from askahead.functions import sigmoid
 from askahead.operators import composite, evalsets, metrics
 from askahead.operators.codesets import code_list, numbered
-from askahead.operators.quality import require_zero
 from askahead.plans import evaluation
+from askahead.session import fresh_path
+from askahead.sources import sinks
 from askahead.sources.tables import with_split
 
 KEY = "subject_id, prediction_time"
@@ -108,8 +109,10 @@ def _external_tables(spark, sf):
             "WHERE censored IS NULL"),
 )
 def _complete(spark, sf):
-    missing = evalsets.unmatched_external(external_cohort(spark, sf), order_labels(spark, sf))
-    return require_zero(missing.agg(F.count("*").alias("n_unmatched")), "external rows without a label row")
+    """Counted while the joined table is written, which a single unmatched row would undo."""
+    rows = evalsets.external_labels_unchecked(external_cohort(spark, sf), order_labels(spark, sf), EVAL_CODES)
+    found = sinks.write_checked(rows, fresh_path(spark, "external"), {"n_unmatched": F.col("boolean_value").isNull()})
+    return spark.createDataFrame([(found["n_unmatched"],)], "n_unmatched bigint")
 
 
 _ORDER_SHARD = "subject_id % 64"

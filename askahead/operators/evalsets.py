@@ -26,23 +26,26 @@ def unmatched_external(external: DataFrame, labels: DataFrame) -> DataFrame:
     return external.join(known, _TIME_KEY, "left_anti")
 
 
+def external_labels_unchecked(external: DataFrame, labels: DataFrame, codes: CodeSet) -> DataFrame:
+    """External cohort × codes with our labels; an unmatched row has no ``boolean_value``.
+
+    To be written with ``boolean_value`` checked on the way, see ``sinks.write_checked``.
+    """
+    outcome = external.select(*_TIME_KEY, F.col("boolean_value").alias("task_label"))
+    wanted = only_codes(labels, codes, "query").select(*_TIME_KEY, "query", F.col("censored").alias("boolean_value"), "occurs")
+    return outcome.join(wanted, _TIME_KEY, "left").select(
+        *_TIME_KEY, "query", "boolean_value", "occurs", "task_label", code_slug("query").alias("code_slug")
+    )
+
+
 def external_label_join(external: DataFrame, labels: DataFrame, codes: CodeSet) -> DataFrame:
     """External cohort × codes with our labels. Censored rows stay; an unmatched row is an error."""
-    outcome = external.select(*_TIME_KEY, F.col("boolean_value").alias("task_label"))
-    wanted = only_codes(labels, codes, "query").select(*_TIME_KEY, "query", "censored", "occurs")
-    joined = outcome.join(wanted, _TIME_KEY, "left")
+    joined = external_labels_unchecked(external, labels, codes)
     checked = F.when(
-        F.col("censored").isNull(),
+        F.col("boolean_value").isNull(),
         F.raise_error(F.lit("an external row has no label row at its prediction time")).cast("boolean"),
-    ).otherwise(F.col("censored"))
-    return joined.select(
-        *_TIME_KEY,
-        "query",
-        checked.alias("boolean_value"),
-        "occurs",
-        "task_label",
-        code_slug("query").alias("code_slug"),
-    )
+    ).otherwise(F.col("boolean_value"))
+    return joined.withColumn("boolean_value", checked)
 
 
 def prediction_label_join(predictions: DataFrame, eval_task: DataFrame) -> DataFrame:

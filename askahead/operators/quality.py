@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askahead.schemas import PAD_INDEX
@@ -12,9 +12,19 @@ def null_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
 
 
+def null_flags(columns: list[str]) -> dict[str, Column]:
+    """Conditions that hold where a column is null, to be counted while a table is written."""
+    return {c: F.col(c).isNull() for c in columns}
+
+
+def unlabelled() -> Column:
+    """Holds for an uncensored row without a label."""
+    return ~F.col("censored") & F.col("occurs").isNull()
+
+
 def null_labels(labels: DataFrame) -> DataFrame:
     """Number of uncensored rows without a label (has to be 0)."""
-    return labels.agg(F.count_if(~F.col("censored") & F.col("occurs").isNull()).alias("n_null_labels"))
+    return labels.agg(F.count_if(unlabelled()).alias("n_null_labels"))
 
 
 def require_zero(counts: DataFrame, message: str) -> DataFrame:

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from askahead.functions import micros
 
@@ -26,6 +26,37 @@ def _finished(spark: SparkSession, path: str, keys: list[str]) -> list[tuple]:
     return [tuple(r) for r in log.select(*keys).distinct().collect()]
 
 
+class BrokenRule(ValueError):
+    """A table broke rules; ``counts`` has the rows that broke each."""
+
+    def __init__(self, counts: dict[str, int]) -> None:
+        super().__init__(f"rows that break a rule: {counts}; the table was not kept")
+        self.counts = counts
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this session's file systems."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def write_checked(rows: DataFrame, path: str, broken: dict[str, Column], counts: dict[str, Column] | None = None) -> dict[str, int]:
+    """Write a new table and, in the same pass, count the rows for which a condition of ``broken`` holds.
+
+    The counts ride on the write as observed metrics, so nothing is read or computed twice. If a rule is broken, what was
+    written is deleted and ``BrokenRule`` raised. Returns these counts, the number of rows and further ``counts``.
+    """
+    seen = Observation()
+    metrics = {name: F.count_if(condition) for name, condition in (broken | (counts or {})).items()}
+    observed = rows.observe(seen, F.count("*").alias("n_rows"), *[m.alias(name) for name, m in metrics.items()])
+    observed.write.mode("errorifexists").parquet(path)
+    found = dict(seen.get)
+    if wrong := {name: found[name] for name in broken if found[name]}:
+        _remove(rows.sparkSession, path)
+        raise BrokenRule(wrong)
+    return found
+
+
 def write_label_table(
     spark: SparkSession,
     build: Callable[[list[int]], DataFrame],

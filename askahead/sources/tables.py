@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import warnings
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,22 +61,40 @@ def read_vocab(spark: SparkSession, path: str) -> DataFrame:
     return stored.select("code", F.col("`code/vocab_index`").cast("int").alias("vocab_index"))
 
 
-def read_labels(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Label files in one scan: the required columns and whichever optional ones exist. All files must agree.
+def _footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The label columns of each file with their types, from its footer."""
+    for batch in batches:
+        shapes = []
+        for path in batch["path"]:
+            fs, inner = pafs.FileSystem.from_uri(path)
+            with fs.open_input_file(inner) as file:
+                kinds = {f.name: str(f.type) for f in pq.read_schema(file)}
+            shapes.append(",".join(f"{c}:{kinds[c]}" for c in [*_REQUIRED_LABELS, *OPTIONAL_LABELS] if c in kinds))
+        yield pd.DataFrame({"path": batch["path"], "shape": shapes})
+
+
+def label_shapes(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(shape, n_files, path): the different sets of label columns in these files, with one file of each.
 
-    Only footers are read to compare the files, many at a time.
+    Spark lists the files, tasks read their footers, and equal ones are counted before anything reaches the driver.
     """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(paths).select("path")
+    # Their contents are not read; dealt anew, as files are packed into tasks by their size.
+    files = listed.repartition(spark.sparkContext.defaultParallelism)
+    shapes = files.mapInPandas(_footers, "path string, shape string")
+    return shapes.groupBy("shape").agg(F.count("*").alias("n_files"), F.min("path").alias("path"))
 
-    def label_fields(path: str) -> list[tuple]:
-        fields = {f.name: f.dataType for f in spark.read.parquet(path).schema}
-        return [(c, fields.get(c)) for c in [*_REQUIRED_LABELS, *OPTIONAL_LABELS]]
 
-    with ThreadPoolExecutor(16) as pool:
-        found = list(pool.map(label_fields, paths))
-    for path, fields in zip(paths, found, strict=True):
-        if fields != found[0]:
-            raise ValueError(f"label file {path} has other label columns than {paths[0]}")
-    return spark.read.parquet(*paths).select(*[c for c, kind in found[0] if kind is not None])
+def read_labels(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Label files in one scan: the required columns and whichever optional ones exist. All files must agree.
+
+    Only footers are read to compare the files, by tasks; the driver sees the first two different shapes.
+    """
+    shapes = label_shapes(spark, paths).orderBy(F.desc("n_files"), "shape").take(2)
+    if len(shapes) > 1:
+        raise ValueError(f"label file {shapes[1]['path']} has other label columns than {shapes[0]['path']}")
+    rows = spark.read.parquet(*paths)
+    return rows.select(*[c for c in [*_REQUIRED_LABELS, *OPTIONAL_LABELS] if c in rows.columns])
 
 
 def pruned_labels(labels: DataFrame, codes: CodeSet) -> DataFrame:

@@ -14,7 +14,7 @@ from askahead.plans.labels import label_table
 from askahead.schemas import EVENTS
 from askahead.session import fresh_path
 from askahead.sources import sinks
-from askahead.sources.tables import read_events, read_labels, read_predictions, read_vocab, with_split
+from askahead.sources.tables import label_shapes, read_events, read_labels, read_predictions, read_vocab, with_split
 from askahead.streaming.incremental import current_rows, process_new_shards
 
 
@@ -144,6 +144,36 @@ def test_prediction_round_trip(spark):
     assert back.select(df.columns).collect() == df.collect()
 
 
+def test_rules_are_checked_while_a_table_is_written(spark):
+    rows = spark.range(100).select("id", F.when(F.col("id") != 7, F.col("id") % 2 == 0).alias("ok"))
+    path = fresh_path(spark, "checked")
+    counts = sinks.write_checked(rows, path, {"negative": F.col("id") < 0}, {"no_value": F.col("ok").isNull()})
+    assert counts == {"n_rows": 100, "negative": 0, "no_value": 1}
+    assert spark.read.parquet(path).count() == 100
+    # One broken row undoes the write; a table that was there before is not touched.
+    other = fresh_path(spark, "checked")
+    with pytest.raises(sinks.BrokenRule, match="no_value") as error:
+        sinks.write_checked(rows, other, {"no_value": F.col("ok").isNull(), "negative": F.col("id") < 0})
+    assert error.value.counts == {"no_value": 1}
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(other)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sinks.write_checked(rows, path, {"no_value": F.col("ok").isNull()})
+    assert spark.read.parquet(path).count() == 100
+
+
+def test_footers_of_many_files_are_compared_by_tasks(spark):
+    path = fresh_path(spark, "l")
+    df = spark.range(300).select(F.col("id").alias("subject_id"), F.lit(day(0)).alias("prediction_time"), F.lit(True).alias("occurs"))
+    df.repartition(60, "subject_id").write.parquet(path)
+    shapes = label_shapes(spark, [path]).collect()
+    assert len(shapes) == 1 and shapes[0].n_files > 40
+    assert read_labels(spark, [path]).count() == 300
+    df.withColumn("occurs", F.lit("yes")).limit(3).write.mode("append").parquet(path)
+    with pytest.raises(ValueError, match="other label columns"):
+        read_labels(spark, [path])
+
+
 def test_label_files_must_agree(spark):
     a = spark.createDataFrame([(1, day(0), True)], "subject_id bigint, prediction_time timestamp_ntz, occurs boolean")
     b = a.withColumn("query", F.lit("x")).withColumn("extra", F.lit(1))
