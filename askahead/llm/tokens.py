@@ -36,10 +36,10 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder(dict):
-    """Ids of a text as little-endian unsigned 32-bit integers, without special tokens.
+    """Ids of a text as little-endian unsigned 32-bit integers, as by the library without tokens around it.
 
-    The strings of special tokens are ordinary text here. As a dictionary it remembers the ids of words and pieces; all
-    are forgotten when there are ``entries`` of them.
+    The string of an added token in a text is that token; texts that hold one are encoded whole. As a dictionary it
+    remembers the ids of words and pieces; all are forgotten when there are ``entries`` of them.
     """
 
     def __init__(self, path: str, entries: int = CACHE_ENTRIES) -> None:
@@ -48,7 +48,9 @@ class Encoder(dict):
             settings = json.load(f)
         self.entries = entries
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        # In any case, as a vocabulary may look for them in lower-cased text.
+        added = [re.escape(t["content"]) for t in settings.get("added_tokens") or []]
+        self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE)
         self.letters = _byte_letters()
         self.merge = self.whole.model.tokenize
         lower = "Lowercase" in json.dumps(settings.get("normalizer"))
@@ -69,7 +71,7 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        if self.kind == "other" or _OTHER.search(text):
+        if self.kind == "other" or _OTHER.search(text) or self.added.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, ID).tobytes()
         if self.kind == "word":
             # No piece holds white space, so words can be encoded one by one.

@@ -15,10 +15,12 @@ from askahead.llm.queries import token_file
 from askahead.llm.wavelet import WaveletMatrix
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
+PLAIN = {name: Tokenizer.from_file(token_file(name)) for name in FILES}
 ODD = [
     "", " ", "\n", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "a \n b", "\ta", "a\r\nb", "it's I'LL 'S don't", "a1b22 333",
     "é ñ ÜBER ß ÿ", "İstanbul ŉ ǆ", "é Å", "日本語 テスト", "x y z", "a\x1cb\x85c\x0bd", "🙂🙃 !!??",
     "<|endoftext|> <|startoftext|>", "²³¹ ¼½ ªº µ", "a-b_c.d,e;f", "''''s", "­ soft", "...   ...\n  x", "ǅ ﬀ Σς ΣΑΣ",
+    "<|ENDOFTEXT|>", "a<|endoftext|>b <|startoftext|> c", "<|endoftext|", "| <|endoftext|><|endoftext|>\n",
     "a\0b", "x" * 5000, "ab " * 3000,
 ]
 
@@ -26,9 +28,7 @@ ODD = [
 @pytest.fixture(scope="module", params=FILES)
 def pair(request):
     path = token_file(request.param)
-    whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
-    return tokens.Encoder(path, entries=500), whole
+    return tokens.Encoder(path, entries=500), Tokenizer.from_file(path)
 
 
 def same(pair, text):
@@ -48,7 +48,13 @@ def test_any_text_is_encoded_as_by_the_library(text):
     for name in FILES:
         encoder = tokens.encoder(token_file(name))
         got = np.frombuffer(encoder.encode(text), tokens.ID).tolist()
-        assert got == encoder.whole.encode(text, add_special_tokens=False).ids
+        assert got == PLAIN[name].encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_have_their_own_ids():
+    for name in FILES:
+        ids = np.frombuffer(tokens.encoder(token_file(name)).encode("a <|endoftext|> b"), tokens.ID).tolist()
+        assert PLAIN[name].token_to_id("<|endoftext|>") in ids and len(ids) <= 4
 
 
 @settings(max_examples=60, deadline=None)
