@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askahead.llm.common import fresh_path, read_file, stored, write_file
+from askahead.operators.codesets import numbered
 
 # Field names of ARC header lines by version, as the version block states them.
 ARC_FIELDS = {
