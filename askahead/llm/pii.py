@@ -35,6 +35,25 @@ _PATTERNS = [
 ]
 
 
+class _Emails:
+    """The email pattern, looked for from each @ to both sides, so that a long run of letters is passed once."""
+
+    LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+
+    def search(self, text: str, at: int, end: int) -> re.Match | None:
+        mark = text.find("@", at, end)
+        while mark >= 0:
+            start = mark
+            while start > at and text[start - 1] in self.LOCAL:
+                start -= 1
+            found = _EMAIL.match(text, start, end) if start < mark else None
+            if found:
+                return found
+            at = mark + 1
+            mark = text.find("@", at, end)
+        return None
+
+
 # Where a value of a kind can end inside a longer match that is not valid.
 _MARKS = {"card": " -", "iban": " ", "phone": " "}
 # Lengths of the IBANs of each country.
@@ -50,7 +69,7 @@ _IBAN_LENGTHS = {
 }
 
 
-def _tries(kind: str, pattern: re.Pattern, m: re.Match) -> Iterator[re.Match]:
+def _tries(kind: str, pattern: re.Pattern | _Emails, m: re.Match) -> Iterator[re.Match]:
     """A match and the shorter ones from the same start, the likeliest first."""
     text, start = m.string, m.start()
     ends = [i for i in range(m.end() - 1, start, -1) if text[i] in _MARKS.get(kind, "") and text[i - 1] not in " -"]
@@ -148,7 +167,7 @@ def replacements(text: str, names: Pseudonyms) -> list[tuple[int, int, str, str]
     """
     found: list[tuple[int, int, str, str]] = []
 
-    def take(kind: str, pattern: re.Pattern, parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    def take(kind: str, pattern: re.Pattern | _Emails, parts: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Parts are (start, end, how far the pattern may look); returns what is left of them."""
         left = []
         for start, end, sight in parts:
@@ -168,7 +187,7 @@ def replacements(text: str, names: Pseudonyms) -> list[tuple[int, int, str, str]
 
     parts = [(0, len(text), len(text))]
     if "@" in text:
-        parts = take("email", _EMAIL, parts)
+        parts = take("email", _Emails(), parts)
     parts = take("iban", _IBAN, parts)
     for start, end, sight in parts:
         for run in _NUMERIC.finditer(text, start, end):

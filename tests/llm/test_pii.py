@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 import re
+import time
 
 import pytest
 from common_llm import docs_table
@@ -130,3 +131,23 @@ def test_documents(spark):
     assert by_id[2].text.split()[1].rstrip(".") == by_id[1].text.split()[2]
     assert (by_id[6].n_ipv4, by_id[3].spans, by_id[4].spans) == (1, "", "")
     assert pii.replace_pii(docs.limit(0), KEY).collect() == []
+
+
+def test_emails_are_found_as_by_the_plain_pattern():
+    rng = random.Random(4)
+    finder = pii._Emails()
+    for _ in range(3000):
+        text = "".join(rng.choices(["a", "b1", ".", "-", "@", " ", "co", "%", "é", "@x.org"], k=rng.randrange(1, 25)))
+        want, got, at = [m.span() for m in pii._EMAIL.finditer(text)], [], 0
+        while m := finder.search(text, at, len(text)):
+            got.append(m.span())
+            at = m.end()
+        assert got == want, text
+
+
+def test_a_very_long_run_beside_an_at_sign_is_passed_once():
+    names = NAMES
+    for text in ("x" * 1_000_000 + " @ y", "x" * 1_000_000 + "@", "@" * 300_000 + "a" * 300_000, "a" * 500_000 + "@b.c"):
+        started = time.perf_counter()
+        assert pii.replacements(text, names) == []
+        assert time.perf_counter() - started < 1
