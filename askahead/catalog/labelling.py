@@ -190,8 +190,8 @@ def _dense(spark, sf):
 )
 def _next(spark, sf):
     log = scan_events(clicks(spark, sf))
-    probes = context.candidate_times(log, MIN_CLICKS).withColumn("code", F.explode(codes_array(log.select("code"))))
-    return timeline.next_event_time(probes, log, ["subject_id", "code"], "prediction_time")
+    probes = context.candidate_times(log, MIN_CLICKS)
+    return timeline.with_all_codes(timeline.next_times(probes, log), probes, codes_array(log.select("code")))
 
 
 @query("null_labels_for_censored", log_sql(ORDER_LABELS, select=f"SELECT {KEY}, query, occurs FROM labels WHERE censored"))

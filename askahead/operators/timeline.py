@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from askahead.functions.columns import DAY_US, SECOND_US, cell_start, from_micros, micros
+from askahead.operators.skew import large_keys
 
 CELLS = (DAY_US, SECOND_US)
 
@@ -131,6 +132,70 @@ def next_event_time(probes: DataFrame, events: DataFrame, keys: list[str], at: s
     )
 
 
+# Cells of 2 ** 10 microseconds, and each next level 32 times as wide; the last is wider than any calendar.
+_FIRST_BITS, _STEP_BITS, _LEVELS = 10, 5, 11
+_OPEN = -1
+# Rows of one subject that are ordered in one task.
+_LIGHT_ROWS = 10_000
+
+
+def gaps_before(events: DataFrame) -> DataFrame:
+    """(subject_id, code, from_us, next_us): each event time of a code with that code's time before, null at the first."""
+    times = events.where(F.col("time").isNotNull() & F.col("subject_id").isNotNull() & F.col("code").isNotNull())
+    times = times.select("subject_id", "code", "time")
+    large = large_keys(times, ["subject_id"], _LIGHT_ROWS)
+    light = times if large is None else times.join(large, "subject_id", "left_anti")
+    in_order = Window.partitionBy("subject_id", "code").orderBy("next_us")
+    gaps = (
+        light.select("subject_id", "code", micros("time").alias("next_us"))
+        .repartition("subject_id")
+        .distinct()
+        .withColumn("from_us", F.lag("next_us").over(in_order))
+    )
+    if large is not None:
+        heavy = times.join(large, "subject_id", "left_semi").distinct()
+        placed = running(heavy, ["subject_id", "code"], "time", [Running("from_us", micros("time"), "max", ties=False)])
+        gaps = gaps.unionByName(placed.select("subject_id", "code", micros("time").alias("next_us"), "from_us"))
+    return gaps
+
+
+def next_times(probes: DataFrame, events: DataFrame) -> DataFrame:
+    """(subject_id, prediction_time, code, next_time) for every distinct probe and each code that comes strictly after it.
+
+    An event answers for the gap before it, from the code's time before. A gap is filed under the level whose cells are
+    just as wide, so it lies in two cells at most, and a cell has at most some 34 gaps of one code, whatever the data. A
+    probe looks into its cell of each level that occurs. No probe is combined with a code that does not follow it.
+    """
+    gaps = gaps_before(events)
+    length = F.col("next_us") - F.col("from_us")
+    level = F.when(F.col("from_us").isNull(), F.lit(_OPEN))
+    for k in range(_LEVELS):
+        level = level.when(length <= (1 << (_FIRST_BITS + _STEP_BITS * k)), F.lit(k))
+    filed = gaps.withColumn("_level", level)
+    bits = f"{_FIRST_BITS} + {_STEP_BITS} * _level"
+    cells = F.expr(f"IF(_level = {_OPEN}, array(0L), array_distinct(array(shiftright(from_us, {bits}), shiftright(next_us - 1, {bits}))))")
+    filed = filed.withColumn("_cell", F.explode(cells))
+    levels = gaps.select(level.alias("_level")).agg(F.collect_set("_level").alias("levels")).scalar()
+    asked = (
+        probes.select("subject_id", "prediction_time")
+        .distinct()
+        .withColumn("_at", micros("prediction_time"))
+        .withColumn("_level", F.explode(levels))
+        .withColumn("_cell", F.expr(f"IF(_level = {_OPEN}, 0L, shiftright(_at, {bits}))"))
+    )
+    inside = (F.col("_at") < F.col("next_us")) & (F.col("from_us").isNull() | (F.col("from_us") <= F.col("_at")))
+    found = asked.join(filed, ["subject_id", "_level", "_cell"]).where(inside)
+    return found.select("subject_id", "prediction_time", "code", from_micros("next_us").alias("next_time"))
+
+
+def with_all_codes(found: DataFrame, probes: DataFrame, codes: Column) -> DataFrame:
+    """A row per probe and code of the array, without a time where the code does not come again."""
+    key = ["subject_id", "prediction_time"]
+    known = found.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("code", "next_time"))).alias("_next"))
+    rows = probes.select(*key).distinct().join(known, key, "left").withColumn("code", F.explode(codes))
+    return rows.withColumn("next_time", F.col("_next")[F.col("code")]).drop("_next")
+
+
 def history_bound(probes: DataFrame, events: DataFrame, keys: list[str], at: str) -> DataFrame:
     """Number of distinct event times up to and including ``at`` for each distinct probe.
 

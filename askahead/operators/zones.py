@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from askahead.functions import cell_start, from_micros, micros
+from askahead.functions import cell_start, from_micros, interval_days, micros
 from askahead.functions.columns import DAY_US
 from askahead.operators.codesets import CodeSet, codes_array, codes_or_all, only_codes
 from askahead.operators.context import context_start, record_end
@@ -21,6 +21,8 @@ from askahead.session import checkpointed
 
 # Rows of one subject that are ordered in one task; subjects with more are answered from the zone map.
 LIGHT_ROWS = 10_000
+# Rows of one subject whose pairs with its prediction times are compared one by one.
+FEW_ROWS = 1_000
 
 
 def zone_map(events: DataFrame, width_days: int) -> DataFrame:
@@ -243,13 +245,31 @@ def occurs_within(duration: Column | int) -> Column:
     return F.coalesce(F.col("reach_us") < end_us, F.lit(False))
 
 
-def occurrences(candidates: DataFrame, events: DataFrame, duration_days: int, codes: CodeSet | None) -> DataFrame:
-    """The (candidate, code) pairs for which the code occurs: the matches of the interval join."""
-    return (
-        with_reach(candidates, events, codes, [duration_days], dense=False)
-        .where(occurs_within(duration_days))
-        .select(*candidates.columns, "query")
+def occurrences(
+    candidates: DataFrame, events: DataFrame, duration_days: int, codes: CodeSet | None, few_rows: int = FEW_ROWS
+) -> DataFrame:
+    """The (candidate, code) pairs for which the code occurs: the matches of the interval join.
+
+    Subjects with at most ``few_rows`` rows are joined by the interval itself, which compares few pairs and combines equal
+    matches before they are shuffled. Others are answered from the zone map, whatever their number of rows.
+    """
+    large = large_keys(events, ["subject_id"], few_rows)
+    light = events if large is None else events.join(large, "subject_id", "left_anti")
+    wanted = light.where(F.col("code").isNotNull() & F.col("time").isNotNull())
+    wanted = wanted if codes is None else only_codes(wanted, codes)
+    inside = (F.col("time") > F.col("prediction_time")) & (F.col("time") < F.col("prediction_time") + interval_days(duration_days))
+    near = candidates.join(wanted.select("subject_id", "time", F.col("code").alias("query")), "subject_id").where(inside)
+    found = near.select(*candidates.columns, "query").distinct()
+    if large is None:
+        return found
+    heavy = with_reach(
+        candidates.join(large, "subject_id", "left_semi"),
+        events.join(large, "subject_id", "left_semi"),
+        codes,
+        [duration_days],
+        dense=False,
     )
+    return found.unionByName(heavy.where(occurs_within(duration_days)).select(*candidates.columns, "query"))
 
 
 def label_questions(questions: DataFrame, events: DataFrame, width_days: int) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import random
 
 import pytest
@@ -190,6 +191,42 @@ def test_next_event_is_strictly_later_and_history_bound_includes_ties(spark, eve
     assert bounds == {(1, day(-1)): 0, (1, day(0)): 1, (1, day(2)): 2}
 
 
+@pytest.mark.parametrize("light_rows", [10_000, 1])
+def test_next_times_by_gaps_equal_definition(spark, events, monkeypatch, light_rows):
+    monkeypatch.setattr(timeline, "_LIGHT_ROWS", light_rows)
+    rng = random.Random(light_rows)
+    # Gaps from microseconds to decades, before and after the epoch.
+    spans = [1e-11, 3e-9, 1e-6, 1e-3, 1, 40, 4000, -9000, -25_000]
+    rows = [(rng.choice([1, 1, 2]), round(rng.choice(spans) * rng.randint(0, 9), 11), rng.choice("abc")) for _ in range(120)]
+    log = events([*rows, (3, None, "a"), (4, 2, None)])
+    held = [(r.subject_id, r.time, r.code) for r in log.collect() if r.time]
+    probes = [(s, t + dt.timedelta(microseconds=d)) for s, t, _ in held for d in (-1, 0, 1)] + [(9, day(0))]
+    table = spark.createDataFrame(probes, "subject_id bigint, prediction_time timestamp_ntz")
+    want = {
+        (s, at, c, min(t for s2, t, c2 in held if s2 == s and c2 == c and t > at))
+        for s, at in probes
+        for c in "abc"
+        if any(s2 == s and c2 == c and t > at for s2, t, c2 in held)
+    }
+    got = timeline.next_times(table, log)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    dense = timeline.with_all_codes(got, table, F.array(F.lit("a"), F.lit("z"))).collect()
+    assert len(dense) == 2 * len(set(probes)) and all(r.next_time is None for r in dense if r.code == "z")
+
+
+@pytest.mark.parametrize("few_rows", [1000, 20, 0])
+def test_occurrences_equal_definition(spark, events, few_rows):
+    rng = random.Random(few_rows)
+    rows = [(rng.choice([1, 1, 1, 2]), rng.randint(0, 160) / 4, rng.choice(["a", "b", "c", None])) for _ in range(80)]
+    log = events([*rows, (2, None, "a")])
+    times = sorted({(s, t) for s, t, _ in rows} | {(1, -3), (7, 0)})
+    table = spark.createDataFrame([(s, day(t)) for s, t in times], "subject_id bigint, prediction_time timestamp_ntz")
+    for codes in (None, ["a", "z"]):
+        got = [tuple(r) for r in zones.occurrences(table, log, 5, codes, few_rows).collect()]
+        want = {(s, day(t), c) for s, t in times for s2, t2, c in rows if s2 == s and t < t2 < t + 5 and c and (not codes or c in codes)}
+        assert sorted(got) == sorted(want)
+
+
 def test_running_equals_plain_window_inside_one_second(spark):
     rng = random.Random(2)
     import datetime as dt
