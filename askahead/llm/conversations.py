@@ -335,6 +335,8 @@ class Repair:
     def __init__(self, turns: DataFrame) -> None:
         prepare(turns.sparkSession)
         self.kind = turns.schema["conv_id"].dataType.simpleString()
+        # A number of tasks, as rows are small for the work behind them and would be merged into few tasks.
+        self.tasks = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.rows = _ordered(turns)
         sizes = self.rows.groupBy("conv").agg(F.min("piece").alias("low"), F.max("piece").alias("high"))
         # Only conversations in several pieces; stored, so that the join can be split where one has much of the table.
@@ -344,7 +346,7 @@ class Repair:
         )
         found = (
             marked.select("conv", "piece", ~F.col("several"), "initial", F.col("blank") | F.col("duplicate"), "truncated", "at")
-            .repartition("conv", "piece")
+            .repartition(self.tasks, "conv", "piece")
             .sortWithinPartitions("conv", "piece", "at")
             .drop("at")
             .mapInArrow(
@@ -354,7 +356,7 @@ class Repair:
             )
         )
         fields = f"conv {self.kind}, piece bigint, illegal bigint, cost bigint, entry int, audit string"
-        joined = found.repartition("conv").sortWithinPartitions("conv", "piece").mapInArrow(_joined, fields)
+        joined = found.repartition(self.tasks, "conv").sortWithinPartitions("conv", "piece").mapInArrow(_joined, fields)
         self.edits = stored(joined, "edits")
 
     def turns(self) -> DataFrame:
@@ -371,7 +373,7 @@ class Repair:
         )
         return (
             heads.union(rows)
-            .repartition("conv", "piece")
+            .repartition(self.tasks, "conv", "piece")
             .sortWithinPartitions("conv", "piece", "at")
             .mapInArrow(_replayed, f"conv {self.kind}, at bigint, line int, edit string, role string, text string")
             .withColumnRenamed("conv", "conv_id")
@@ -394,7 +396,7 @@ class Repair:
         )
         lines = (
             self.turns()
-            .repartition("conv_id")
+            .repartition(self.tasks, "conv_id")
             .sortWithinPartitions("conv_id", "at", "line")
             .select("conv_id", "role", "text")
             .mapInArrow(_digested, f"conv {self.kind}, sha256 string")

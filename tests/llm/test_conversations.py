@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from askahead.llm import conversations
 from askahead.llm.conversations import Repair, cheapest
@@ -120,6 +121,13 @@ def test_tables_equal_brute_force(spark, monkeypatch, piece):
     assert got == expected(rows)
 
 
+def test_pieces_are_dealt_to_all_tasks(spark):
+    rows = [(i, t, "user", f"Turn {t}.") for i in range(200) for t in range(3)]
+    repair = Repair(spark.createDataFrame(rows, TURNS))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {r.p for r in repair.turns().select(F.spark_partition_id().alias("p")).distinct().collect()} == set(range(tasks))
+
+
 def test_repaired_turns(spark):
     rows = [(1, 0, "system", "S."), (1, 1, "assistant", "A."), (1, 2, "assistant", "B."), (2, 0, "user", "only.")]
     out = Repair(spark.createDataFrame(rows, TURNS)).turns().orderBy("conv_id", "at", "line").collect()
