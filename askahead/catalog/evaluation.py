@@ -110,8 +110,11 @@ def _external_tables(spark, sf):
 )
 def _complete(spark, sf):
     """Counted while the joined table is written, which a single unmatched row would undo."""
-    rows = evalsets.external_labels_unchecked(external_cohort(spark, sf), order_labels(spark, sf), EVAL_CODES)
-    found = sinks.write_checked(rows, fresh_path(spark, "external"), {"n_unmatched": F.col("boolean_value").isNull()})
+
+    def build(session):
+        return evalsets.external_labels_unchecked(external_cohort(session, sf), order_labels(session, sf), EVAL_CODES)
+
+    found = sinks.write_checked(spark, build, fresh_path(spark, "external"), {"n_unmatched": F.col("boolean_value").isNull()})
     return spark.createDataFrame([(found["n_unmatched"],)], "n_unmatched bigint")
 
 

@@ -333,7 +333,7 @@ def _lit(spark, sf):
 )
 def _nulls(spark, sf):
     """Counted while the table is written."""
-    found = write_checked(order_labels(spark, sf), fresh_path(spark, "labels"), {}, null_flags(["censored", "occurs"]))
+    found = write_checked(spark, lambda s: order_labels(s, sf), fresh_path(spark, "labels"), {}, null_flags(["censored", "occurs"]))
     return spark.createDataFrame([(found["censored"], found["occurs"])], "censored bigint, occurs bigint")
 
 
@@ -343,7 +343,7 @@ def _nulls(spark, sf):
 )
 def _assert_labels(spark, sf):
     """Counted while the table is written, which a single such row would undo."""
-    found = write_checked(order_labels(spark, sf), fresh_path(spark, "labels"), {"n_null_labels": unlabelled()})
+    found = write_checked(spark, lambda s: order_labels(s, sf), fresh_path(spark, "labels"), {"n_null_labels": unlabelled()})
     return spark.createDataFrame([(found["n_null_labels"],)], "n_null_labels bigint")
 
 

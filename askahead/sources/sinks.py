@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from askahead.functions import micros
+from askahead.session import configure
 
 
 def _finished(spark: SparkSession, path: str, keys: list[str]) -> list[tuple]:
@@ -40,19 +41,28 @@ def _remove(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-def write_checked(rows: DataFrame, path: str, broken: dict[str, Column], counts: dict[str, Column] | None = None) -> dict[str, int]:
+def write_checked(
+    spark: SparkSession,
+    build: Callable[[SparkSession], DataFrame],
+    path: str,
+    broken: dict[str, Column],
+    counts: dict[str, Column] | None = None,
+) -> dict[str, int]:
     """Write a new table and, in the same pass, count the rows for which a condition of ``broken`` holds.
 
     The counts ride on the write as observed metrics, so nothing is read or computed twice. If a rule is broken, what was
     written is deleted and ``BrokenRule`` raised. Returns these counts, the number of rows and further ``counts``.
+
+    ``build`` makes the rows in a session of their own, which shares tables and executors: Spark ML functions cannot be
+    sent to tasks from a session that has observed metrics.
     """
-    seen = Observation()
+    rows, seen = build(configure(spark.newSession())), Observation()
     metrics = {name: F.count_if(condition) for name, condition in (broken | (counts or {})).items()}
     observed = rows.observe(seen, F.count("*").alias("n_rows"), *[m.alias(name) for name, m in metrics.items()])
     observed.write.mode("errorifexists").parquet(path)
     found = dict(seen.get)
     if wrong := {name: found[name] for name in broken if found[name]}:
-        _remove(rows.sparkSession, path)
+        _remove(spark, path)
         raise BrokenRule(wrong)
     return found
 

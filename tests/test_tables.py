@@ -145,20 +145,22 @@ def test_prediction_round_trip(spark):
 
 
 def test_rules_are_checked_while_a_table_is_written(spark):
-    rows = spark.range(100).select("id", F.when(F.col("id") != 7, F.col("id") % 2 == 0).alias("ok"))
+    def build(session):
+        return session.range(100).select("id", F.when(F.col("id") != 7, F.col("id") % 2 == 0).alias("ok"))
+
     path = fresh_path(spark, "checked")
-    counts = sinks.write_checked(rows, path, {"negative": F.col("id") < 0}, {"no_value": F.col("ok").isNull()})
+    counts = sinks.write_checked(spark, build, path, {"negative": F.col("id") < 0}, {"no_value": F.col("ok").isNull()})
     assert counts == {"n_rows": 100, "negative": 0, "no_value": 1}
     assert spark.read.parquet(path).count() == 100
     # One broken row undoes the write; a table that was there before is not touched.
     other = fresh_path(spark, "checked")
     with pytest.raises(sinks.BrokenRule, match="no_value") as error:
-        sinks.write_checked(rows, other, {"no_value": F.col("ok").isNull(), "negative": F.col("id") < 0})
+        sinks.write_checked(spark, build, other, {"no_value": F.col("ok").isNull(), "negative": F.col("id") < 0})
     assert error.value.counts == {"no_value": 1}
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(other)
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
-        sinks.write_checked(rows, path, {"no_value": F.col("ok").isNull()})
+        sinks.write_checked(spark, build, path, {"no_value": F.col("ok").isNull()})
     assert spark.read.parquet(path).count() == 100
 
 
