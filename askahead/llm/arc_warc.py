@@ -284,6 +284,17 @@ def _convert(arc_folder: str, warc_folder: str):
     return run
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """The rows (file, ...) dealt in turn to as many tasks as shuffles have, or as there are files.
+
+    Files are about equally large. They are dealt by a number, since a shuffle by name would be merged into few tasks: the
+    names are small, the work behind them is not.
+    """
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turn = numbered(files.select("file"), ["file"], "_n").select("file", (F.col("_n") % tasks).alias("_turn"))
+    return files.join(turn, "file").repartitionByRange(tasks, "_turn").drop("_turn")
+
+
 def convert(arc_folder: str, arc_files: DataFrame, min_bytes: int = 0) -> tuple[str, DataFrame]:
     """Convert ARC files to WARC files; returns their folder and the table of file names.
 
@@ -291,10 +302,9 @@ def convert(arc_folder: str, arc_files: DataFrame, min_bytes: int = 0) -> tuple[
     others revisit it; records without a number come last, ties go to the first by file and offset.
     """
     spark = arc_files.sparkSession
-    folder, tasks = fresh_path(spark, "warc"), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    files = arc_files.select("file").repartition(tasks, "file")
+    folder = fresh_path(spark, "warc")
     index = stored(
-        files.mapInArrow(
+        dealt(arc_files.select("file")).mapInArrow(
             _index_arcs(arc_folder),
             "file string, offset bigint, page_id bigint, url string, digest string, payload_bytes bigint",
         ),
@@ -323,7 +333,7 @@ def convert(arc_folder: str, arc_files: DataFrame, min_bytes: int = 0) -> tuple[
         .groupBy("file")
         .agg(F.collect_list("r").alias("revisits"))
     )
-    work = arc_files.join(revisits, "file", "left").select("file", "revisits").repartition(tasks, "file")
+    work = dealt(arc_files.join(revisits, "file", "left").select("file", "revisits"))
     return folder, stored(work.mapInArrow(_convert(arc_folder, folder), "file string"), "warc_files")
 
 
@@ -362,8 +372,7 @@ def read_warcs(folder: str, files: DataFrame) -> DataFrame:
 
     The payload's size and digest are those of the full payload also for revisits, which hold only its HTTP headers.
     """
-    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.select("file").repartition(tasks, "file").mapInArrow(
+    return dealt(files.select("file")).mapInArrow(
         _read_warcs(folder),
         "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
     )

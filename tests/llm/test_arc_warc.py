@@ -115,3 +115,17 @@ def test_revisits_name_the_response(spark):
     by_type = {f["WARC-Type"]: f for f in records}
     assert by_type["revisit"]["WARC-Refers-To"] == by_type["response"]["WARC-Record-ID"]
     assert by_type["revisit"]["WARC-Profile"] == A.REVISIT_PROFILE
+
+
+def test_files_are_dealt_to_all_tasks(spark):
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pages = pages_table(spark, [(i, f"http://{i}", f"page {i} " * 50) for i in range(60)]).repartition(2)
+    folder, files = A.write_arcs(pages, file_bytes=300)
+    n = files.count()
+    assert n > tasks
+    index = A.dealt(files.select("file", F.lit("revisits").alias("more"))).withColumn("task", F.spark_partition_id())
+    rows = index.collect()
+    sizes = Counter(r.task for r in rows)
+    assert len(rows) == n and len(sizes) == tasks and max(sizes.values()) - min(sizes.values()) <= 1
+    # Conversion keeps a file each, made by as many tasks.
+    assert A.convert(folder, files)[1].count() == n
