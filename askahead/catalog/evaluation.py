@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -233,6 +234,16 @@ def _bucket(spark, sf):
     return _rounded(out, "occurs_auc", "censor_auc")
 
 
+@query(
+    "write_code_report",
+    log_sql(*_TWO_HEAD, select=f"SELECT *, CASE WHEN code = '4-NOT SPECIFIED' THEN 'ood' ELSE 'id' END AS bucket, {slug_sql('code')} AS code_slug FROM heads"),
+)
+def _code_report(spark, sf):
+    report = evaluation.bucket_metrics(scored_labels(spark, sf), code_list(spark, OOD_CODES))
+    path = sinks.write_code_report(report, fresh_path(spark, "reports"), "per_code", dt.datetime(2020, 1, 1))
+    return _rounded(spark.read.schema(sinks.REPORT).csv(path, header=True), "occurs_auc", "censor_auc")
+
+
 @query("uncensored_mask", log_sql(*_SCORED, select=f"SELECT {KEY}, query, occurs FROM scored WHERE NOT boolean_value"))
 def _mask(spark, sf):
     heads = metrics.two_head_rows(scored_labels(spark, sf), ["subject_id", "prediction_time", "query"])

@@ -6,6 +6,7 @@ partition that holds much of the data is split over several tasks.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -141,6 +142,18 @@ def write_csv(rows: DataFrame, path: str, overwrite: bool = False) -> str:
     return path
 
 
+REPORT = "bucket string, code string, code_slug string, occurs_auc double, censor_auc double"
+
+
+def write_code_report(report: DataFrame, root: str, name: str, at: dt.datetime, overwrite: bool = False) -> str:
+    """Both AUROCs per code with bucket and slug as CSV, under a name that says when they were measured.
+
+    A report of that name and time is refused unless told to overwrite it. A class that is missing leaves an empty field.
+    """
+    columns = [f.split()[0] for f in REPORT.split(", ")]
+    return write_csv(report.select(*columns), f"{root}/{name}_{at:%Y%m%d_%H%M%S}.csv", overwrite)
+
+
 def write_predictions(predictions: DataFrame, path: str, overwrite: bool = False) -> str:
     """Prediction CSV: prediction_time as epoch microseconds."""
     flat = predictions.select("subject_id", micros("prediction_time").alias("prediction_time"), "occurs_probs", "code")

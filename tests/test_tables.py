@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import random
 
@@ -164,6 +165,19 @@ def test_rules_are_checked_while_a_table_is_written(spark):
     assert spark.read.parquet(path).count() == 100
 
 
+def test_code_reports_are_not_replaced_by_accident(spark):
+    rows = [("a", "a__1", "id", 0.5, None), ('b,"c', "b__2", "ood", 1.0, 0.25)]
+    report = spark.createDataFrame(rows, "code string, code_slug string, bucket string, occurs_auc double, censor_auc double")
+    root, at = fresh_path(spark, "reports"), dt.datetime(2024, 5, 6, 7, 8, 9)
+    path = sinks.write_code_report(report, root, "model", at)
+    assert path.endswith("/model_20240506_070809.csv")
+    assert sorted(spark.read.schema(sinks.REPORT).csv(path, header=True).select(report.columns).collect()) == sorted(report.collect())
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sinks.write_code_report(report, root, "model", at)
+    sinks.write_code_report(report.limit(1), root, "model", at, overwrite=True)
+    assert spark.read.csv(path, header=True).count() == 1
+
+
 def test_footers_of_many_files_are_compared_by_tasks(spark):
     path = fresh_path(spark, "l")
     df = spark.range(300).select(F.col("id").alias("subject_id"), F.lit(day(0)).alias("prediction_time"), F.lit(True).alias("occurs"))
