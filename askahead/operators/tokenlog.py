@@ -27,6 +27,8 @@ _BLOCK = f"subject_id bigint, block bigint, from_us bigint, until_us bigint, tok
 _FIRST, _LAST = -(1 << 63), (1 << 63) - 1
 # Blocks of one subject that its prediction times are compared with one by one.
 FEW_BLOCKS = 64
+# Tokens that are worth a bucket of their own.
+BUCKET_TOKENS = 10_000
 
 
 def encode(rows: DataFrame, vocab: DataFrame, heavy: DataFrame | None, on: str = "code", to: str = "code_id") -> DataFrame:
@@ -150,14 +152,25 @@ class TokenLog:
         return late.withColumn("tokens", F.slice("tokens", start, F.lit(max_len)))
 
 
-def build(events: DataFrame, vocab: DataFrame, max_len: int = 256, path: str | None = None, few_blocks: int = FEW_BLOCKS) -> TokenLog:
-    """Number and encode the tokens of a log and store them; ``path`` defaults to a new one in the shared folder."""
+def build(
+    events: DataFrame,
+    vocab: DataFrame,
+    max_len: int = 256,
+    path: str | None = None,
+    few_blocks: int = FEW_BLOCKS,
+    buckets: int | None = None,
+) -> TokenLog:
+    """Number and encode the tokens of a log and store them; ``path`` defaults to a new one in the shared folder.
+
+    There are as many ``buckets`` as shuffle partitions, and fewer for small logs.
+    """
     spark = events.sparkSession
     path = path or fresh_path(spark, "token_log")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tokens = numbered_tokens(events, vocab, max_len, heavy_keys(events, ["code"], ROWS_PER_TASK))
     tokens.write.parquet(f"{path}/tokens")
     tokens = spark.read.parquet(f"{path}/tokens")
+    if buckets is None:
+        buckets = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens.count() // BUCKET_TOKENS))
     parts = {"few": (tokens, ["subject_id"])}
     many = checkpointed(tokens.where(F.col("pos") == few_blocks * max_len).select("subject_id"))
     if not many.isEmpty():

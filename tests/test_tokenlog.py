@@ -70,7 +70,7 @@ def test_a_log_that_was_not_finished_cannot_be_opened(spark):
 def test_reading_histories_shuffles_no_tokens(spark):
     rng = random.Random(1)
     events = log_of(spark, [(s, rng.random() * 90, rng.choice("abc"), 1.0) for s in range(200) for _ in range(20)])
-    log = tokenlog.build(events, code_vocab(events), 8)
+    log = tokenlog.build(events, code_vocab(events), 8, buckets=4)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         times = events.select("subject_id", F.col("time").alias("prediction_time"))
