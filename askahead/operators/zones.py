@@ -9,7 +9,7 @@ needs only equality joins on (subject, zone); the number of events behind a zone
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from askahead.functions import cell_start, from_micros, interval_days, micros
@@ -21,6 +21,8 @@ from askahead.session import checkpointed
 
 # Rows of one subject that are ordered in one task; subjects with more are answered from the zone map.
 LIGHT_ROWS = 10_000
+# Cells (rows, and their questions per code and duration) that one task orders; a larger log gets more tasks.
+CELLS_PER_TASK = 400_000
 # Rows of one subject whose pairs with its prediction times are compared one by one.
 FEW_ROWS = 1_000
 
@@ -130,8 +132,28 @@ def with_reach(
     return _grid(joined, codes_or_all(codes, events)) if dense else _sparse(joined)
 
 
+def _tasks(spark: SparkSession, cells: int) -> int:
+    """How many tasks share this many cells. A given number is not coalesced by bytes, which say little about cells."""
+    return max(spark.sparkContext.defaultParallelism, -(-cells // CELLS_PER_TASK))
+
+
+def _grid_cells(timed: DataFrame, codes: CodeSet | None, n_durations: int) -> int:
+    """About how many cells the log's grid has: three numbers for the driver, which only size tasks."""
+    n_rows, n_codes = timed.agg(F.count("*"), F.approx_count_distinct("code")).first()
+    if isinstance(codes, list):
+        n_codes = len(set(codes))
+    elif codes is not None:
+        n_codes = codes.agg(F.approx_count_distinct("code")).first()[0]
+    return n_rows * (1 + n_codes * n_durations)
+
+
 def _ordered_reach(
-    timed: DataFrame, codes: CodeSet | None, all_codes: CodeSet, min_context: int, earlier: DataFrame | None
+    timed: DataFrame,
+    codes: CodeSet | None,
+    all_codes: CodeSet,
+    min_context: int,
+    earlier: DataFrame | None,
+    n_tasks: int,
 ) -> DataFrame:
     """Eligible times × codes with ``reach_us`` and ``record_end_us``, by ordering each subject's rows.
 
@@ -141,9 +163,10 @@ def _ordered_reach(
     # Never null, so that all windows start from the one shuffle.
     rows = timed.select("subject_id", micros("time").alias("at_us"), "code")
     if earlier is None:
-        rows, missing = rows.repartition("subject_id").distinct(), F.lit(min_context)
+        rows, missing = rows.repartition(n_tasks, "subject_id").distinct(), F.lit(min_context)
     else:
-        rows = rows.join(earlier.select("subject_id", "n_earlier"), "subject_id", "left").repartition("subject_id").distinct()
+        rows = rows.join(earlier.select("subject_id", "n_earlier"), "subject_id", "left")
+        rows = rows.repartition(n_tasks, "subject_id").distinct()
         missing = F.greatest(min_context - F.coalesce("n_earlier", F.lit(0)), F.lit(1))
     subject = Window.partitionBy("subject_id")
     in_order = subject.orderBy("at_us", "code")
@@ -193,10 +216,11 @@ def eligible_with_reach(
     timed = events.where(F.col("time").isNotNull() & F.col("subject_id").isNotNull())
     all_codes = codes_or_all(codes, events)
     large = large_keys(timed, ["subject_id"], light_rows)
+    n_tasks = _tasks(timed.sparkSession, _grid_cells(timed, codes, len(durations)))
     if large is None:
-        reach = _ordered_reach(timed, codes, all_codes, min_context, earlier)
+        reach = _ordered_reach(timed, codes, all_codes, min_context, earlier, n_tasks)
     else:
-        light = _ordered_reach(timed.join(large, "subject_id", "left_anti"), codes, all_codes, min_context, earlier)
+        light = _ordered_reach(timed.join(large, "subject_id", "left_anti"), codes, all_codes, min_context, earlier, n_tasks)
         heavy = _zoned_reach(timed.join(large, "subject_id", "left_semi"), codes, all_codes, durations, min_context, earlier)
         reach = light.unionByName(heavy.select(*light.columns))
     return reach.withColumn("prediction_time", from_micros("at_us"))
