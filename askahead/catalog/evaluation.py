@@ -371,7 +371,10 @@ def _composite_agg(spark, sf):
     log_sql(*_PREDS, select=f"SELECT {KEY}, occurs_probs, code FROM preds"),
 )
 def _union_codes(spark, sf):
-    rows = predictions(spark, sf)
+    # Stored once, as a model would leave them; a union of one plan several times over would hold all of it in each task.
+    path = fresh_path(spark, "predictions")
+    predictions(spark, sf).write.parquet(path)
+    rows = spark.read.parquet(path)
     per_code = [rows.where(F.col("code") == c) for c in ID_CODES + OOD_CODES + MANUAL_CODES]
     return reduce(DataFrame.unionByName, per_code)
 

@@ -12,6 +12,8 @@ _RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Compressed bytes of one reduce task; sorted rows take many times that in memory.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16MB",
     # Split oversized join partitions even where that costs one more exchange above the join.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from askahead.catalog import QUERIES
 from askahead.operators import zones
 from askahead.plans.labels import label_table
 
@@ -30,3 +31,7 @@ def test_a_larger_grid_is_ordered_by_more_tasks(events, monkeypatch, codes):
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_codes_are_united_from_stored_predictions(spark):
+    assert "Join" not in plan_of(QUERIES["union_codes"](spark, "/root/testdata/sf0.001"))
