@@ -296,30 +296,57 @@ def occurrences(
     return found.unionByName(heavy.where(occurs_within(duration_days)).select(*candidates.columns, "query"))
 
 
-def label_questions(questions: DataFrame, events: DataFrame, width_days: int) -> DataFrame:
+def label_questions(questions: DataFrame, events: DataFrame, width_days: int, light_rows: int = LIGHT_ROWS) -> DataFrame:
     """Add ``occurs`` to sparse rows that each ask about one code and duration.
 
     ``questions`` needs distinct (subject_id, prediction_time, query, duration_days) rows with durations of at
-    least ``width_days``. Each question visits the few zones it overlaps, so the cost follows the
-    questions rather than the grid.
+    least ``width_days``. Subjects with at most ``light_rows`` events are ordered, so each question and each event is
+    shuffled once. Questions about others visit the few zones they overlap, whatever the number of events.
     """
-    width_us = width_days * DAY_US
-    asked = (
-        questions.withColumn("_at_us", micros("prediction_time"))
-        .withColumn("_end_us", F.col("_at_us") + F.col("duration_days").cast("bigint") * F.lit(DAY_US))
+    too_short = F.raise_error(F.lit("duration shorter than the zone width")).cast("bigint")
+    end = F.col("_at_us") + F.col("duration_days").cast("bigint") * F.lit(DAY_US)
+    asked = questions.withColumn("_at_us", micros("prediction_time")).withColumn(
+        "_end_us", F.when(F.col("duration_days") < width_days, too_short).otherwise(end)
     )
-    too_short = F.col("duration_days") < width_days
-    visited = asked.withColumn(
-        "zone",
-        F.explode(
-            F.when(too_short, F.raise_error(F.lit("duration shorter than the zone width")).cast("array<bigint>"))
-            .otherwise(F.sequence(cell_start("_at_us", width_us), cell_start("_end_us", width_us), F.lit(width_us)))
-        ),
+    timed = events.where(F.col("time").isNotNull() & F.col("subject_id").isNotNull() & F.col("code").isNotNull())
+    large = large_keys(timed, ["subject_id"], light_rows)
+    if large is None:
+        found = _ordered_questions(asked, timed)
+    else:
+        rest = [rows.join(large, "subject_id", "left_anti") for rows in (asked, timed)]
+        many = [rows.join(large, "subject_id", "left_semi") for rows in (asked, timed)]
+        found = _ordered_questions(*rest).unionByName(_zoned_questions(*many, width_days))
+    return found.select(*questions.columns, "occurs")
+
+
+def _ordered_questions(asked: DataFrame, timed: DataFrame) -> DataFrame:
+    """Questions answered by the next time of their code, found backwards over events and questions together."""
+    none = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in asked.columns if c not in ("subject_id", "query", "_at_us")]
+    seen = timed.select("subject_id", F.col("code").alias("query"), micros("time").alias("_at_us"), *none, F.lit(False).alias("_asked"))
+    key = ["subject_id", "query"]
+    # Sized by the events alone, as counting the questions would draw them twice.
+    n_tasks = _tasks(timed.sparkSession, 2 * timed.count())
+    rows = seen.unionByName(asked.withColumn("_asked", F.lit(True))).repartition(n_tasks, *key)
+    # Growing frames only: looking ahead runs backwards through time.
+    later = Window.partitionBy(*key).orderBy(-F.col("_at_us")).rangeBetween(Window.unboundedPreceding, -1)
+    next_us = F.min(F.when(~F.col("_asked"), F.col("_at_us"))).over(later)
+    return (
+        rows.withColumn("_next_us", next_us)
+        .where("_asked")
+        .withColumn("occurs", F.coalesce(F.col("_next_us") < F.col("_end_us"), F.lit(False)))
+        .select(*asked.columns, "occurs")
     )
+
+
+def _zoned_questions(asked: DataFrame, events: DataFrame, width_days: int) -> DataFrame:
+    """The same from the zone map; the cost follows the questions rather than the grid."""
+    width_us = width_days * DAY_US
+    steps = F.sequence(cell_start("_at_us", width_us), cell_start("_end_us", width_us), F.lit(width_us))
     zones = zone_map(events, width_days).drop("n_rows").withColumnRenamed("code", "query")
     hit = (F.col("last_us") > F.col("_at_us")) & (F.col("first_us") < F.col("_end_us"))
     return (
-        visited.join(zones, ["subject_id", "query", "zone"], "left")
-        .groupBy(*questions.columns)
+        asked.withColumn("zone", F.explode(steps))
+        .join(zones, ["subject_id", "query", "zone"], "left")
+        .groupBy(*asked.columns)
         .agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("occurs"))
     )
