@@ -1,24 +1,29 @@
 """Secrets in texts: three fixed patterns, and a conditional random field for secrets that no pattern names.
 
-The field reads windows of a line around runs that could be secrets: at least ``MIN_RUN`` characters that keys are made
-of, a digit among them. A window is cut into alphanumeric runs and single marks, each described by its shape, its
-neighbours and the file it stands in, and Viterbi decoding tags them. It is trained on the patterns' own hits: in half of
-the training windows the neighbours are hidden, so that shape alone has to carry a key, too.
+The field reads every line of every text. A line is cut into alphanumeric runs and single marks, each described by its
+shape, its neighbours and the file it stands in, and Viterbi decoding tags them. Tokens that are outside on the best path
+whatever stands beside them are told by their scores alone, so paths are only followed between them; the tags are those of
+the whole line. The field is trained on the patterns' own hits, on windows around other runs of key characters, and on
+pieces of lines without such runs; in half of the windows the neighbours are hidden, so that shape alone has to carry a
+key, too.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from askahead.llm import crf
 from askahead.llm.common import stored
-from askahead.llm.crf import BEGIN, INSIDE, OUTSIDE, Crf, bucket
+from askahead.llm.crf import BEGIN, INSIDE, OUTSIDE, TAGS, Crf, bucket
 from askahead.operators.sampling import at_most
 
 KINDS = ["assign", "access", "hex", "field"]
@@ -35,8 +40,12 @@ MIN_RUN, BEFORE, AFTER = 12, 40, 24
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
 _DIGITS = re.compile(r"[0-9]+")
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
+_PIECE = re.compile(_TOKEN.pattern + r"|\s+")
 _KEY_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
 MAX_WINDOWS = 2000
+_NEAR = (-3, -2, -1, 1, 2)
+# What a task remembers of tokens that it has seen.
+_SEEN_TOKENS, _SEEN_CHARS = 1 << 17, 1 << 24
 
 Span = tuple[int, int, int]
 
@@ -55,7 +64,10 @@ def base_spans(text: str) -> list[Span]:
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Parts of lines around every run that could be a secret; overlapping parts are one."""
+    """Parts of lines to train on: around every run of at least ``MIN_RUN`` key characters with a digit among them.
+
+    Overlapping parts are one.
+    """
     found: list[tuple[int, int]] = []
     run_end = -1
     for digits in _DIGITS.finditer(text):
@@ -96,6 +108,12 @@ def _shape(token: str) -> list[str]:
     ]
 
 
+def _beside(token: str, shape: list[str]) -> str:
+    """What a token is to its neighbours."""
+    near = token.lower()
+    return near if len(near) < 12 else shape[1]
+
+
 def features(text: str, start: int, end: int, file: list[str], hidden: bool = False):
     """(spans, feature buckets, joined flags) of the tokens of a window; ``hidden`` leaves the neighbours out."""
     spans = [m.span() for m in _TOKEN.finditer(text, start, end)]
@@ -106,9 +124,8 @@ def features(text: str, start: int, end: int, file: list[str], hidden: bool = Fa
         joined.append(i > 0 and spans[i - 1][1] == spans[i][0])
         names = ["bias", *own, *file, f"joined {joined[-1]} {own[0]}"]
         if not hidden:
-            for d in (-3, -2, -1, 1, 2):
-                near = tokens[i + d].lower() if 0 <= i + d < len(tokens) else "edge"
-                names.append(f"{d} {near if len(near) < 12 else shapes[i + d][1]}")
+            for d in _NEAR:
+                names.append(f"{d} {_beside(tokens[i + d], shapes[i + d]) if 0 <= i + d < len(tokens) else 'edge'}")
         rows.append([bucket(n) for n in names])
     return spans, rows, joined
 
@@ -119,42 +136,150 @@ def file_features(text: str) -> list[str]:
     return [f"equals {min(text.count('=') * 200 // n, 3)}", f"lines {min(text.count(chr(10)) * 40 // n, 3)}"]
 
 
-def field_spans(text: str, field: Crf, base: list[Span]) -> list[Span]:
-    """Spans that the field tags and no base span overlaps."""
-    found, file = [], None
-    for start, end in windows(text):
-        file = file or file_features(text)
-        spans, rows, joined = features(text, start, end, file)
-        tags = field.viterbi(rows, joined)
-        i = 0
-        while i < len(tags):
-            if tags[i] == OUTSIDE:
-                i += 1
-                continue
-            j = i + 1
-            while j < len(tags) and tags[j] == INSIDE:
-                j += 1
-            found.append((spans[i][0], 3, spans[j - 1][1]))
-            i = j
-    return [s for s in found if not any(s[0] < b[2] and b[0] < s[2] for b in base)]
+class Tagger(dict):
+    """Tags of whole texts; remembers the scores of tokens, which are the keys, by the row of ``table`` they stand in.
+
+    Rows 0 and 1 stand for spaces without and with a line end.
+    """
+
+    def __init__(self, field: Crf) -> None:
+        super().__init__()
+        self.field, self.steps = field, field.steps.tolist()
+        self.edges = np.array([field.weights[bucket(f"{d} edge")] for d in _NEAR])
+        # Per token: scores if not joined to the one before, if joined, and what it adds to its neighbours.
+        self.table = np.zeros((1024, 2 + len(_NEAR), TAGS))
+        self.n_rows, self.n_chars = 2, 0
+        # The least that steps can gain where a token becomes outside: from before it, to after it, and one further on,
+        # where an inside token after it has to begin.
+        s, allowed = field.steps, [(p, x) for p in range(TAGS) for x in (BEGIN, INSIDE) if (p, x) != (OUTSIDE, INSIDE)]
+        self.gain = min(0.0, *(s[p, OUTSIDE] - s[p, x] for p, x in allowed)) + min(
+            0.0, *(s[OUTSIDE, BEGIN if z == INSIDE else z] - s[x, z] for x in (BEGIN, INSIDE) for z in range(TAGS))
+        )
+        self.gain_next = min(0.0, *(s[BEGIN, z] - s[INSIDE, z] for z in range(TAGS)))
+
+    def __missing__(self, token: str) -> int:
+        self.n_chars += len(token)
+        if token.isspace():
+            self[token] = row = int("\n" in token)
+            return row
+        row, shape, weights = self.n_rows, _shape(token), self.field.weights
+        if row == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        for joined in (False, True):
+            names = ["bias", *shape, f"joined {joined} {shape[0]}"]
+            self.table[row, int(joined)] = weights[[bucket(n) for n in names]].sum(axis=0)
+        self.table[row, 2:] = weights[[bucket(f"{d} {_beside(token, shape)}") for d in _NEAR]]
+        self.n_rows += 1
+        self[token] = row
+        return row
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of what the best path of each line tags."""
+        if self.n_rows > _SEEN_TOKENS or self.n_chars > _SEEN_CHARS:
+            self.clear()
+            self.n_rows, self.n_chars = 2, 0
+        pieces = _PIECE.findall(text)
+        rows = np.array([self[p] for p in pieces], np.int64)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        real = rows > 1
+        n = int(real.sum())
+        if not n:
+            return []
+        line, end, tokens = np.cumsum(rows == 1)[real], ends[real], rows[real]
+        start = end - np.fromiter((len(p) for p, r in zip(pieces, real.tolist(), strict=True) if r), np.int64, n)
+        joined = np.zeros(n + 1, bool)
+        joined[1:n] = start[1:] == end[:-1]
+        score = self.table[tokens, joined[:n].astype(np.int64)]
+        score += self.field.weights[[bucket(f) for f in file_features(text)]].sum(axis=0)
+        for k, d in enumerate(_NEAR):
+            beside = np.broadcast_to(self.edges[k], (n, TAGS)).copy()
+            if abs(d) < n:
+                here, there = (slice(-d, None), slice(None, d)) if d < 0 else (slice(None, -d), slice(d, None))
+                same = line[here] == line[there]
+                beside[here][same] = self.table[tokens[there][same], 2 + k]
+            score += beside
+        inside = np.where(joined[:n], score[:, INSIDE], -np.inf)
+        change = np.zeros(n)
+        change[:-1] = np.where(joined[1:n], score[1:, BEGIN] - score[1:, INSIDE], 0.0)
+        certain = score[:, OUTSIDE] - np.maximum(score[:, BEGIN], inside)
+        certain += self.gain + np.where(joined[1:], np.minimum(0.0, change + self.gain_next), 0.0)
+        open_at = np.flatnonzero(certain <= 1e-9)
+        found = []
+        if len(open_at):
+            apart = np.flatnonzero((np.diff(open_at) > 1) | (np.diff(line[open_at]) > 0)) + 1
+            firsts, lasts = open_at[np.r_[0, apart]].tolist(), open_at[np.r_[apart - 1, len(open_at) - 1]].tolist()
+            for a, b in zip(firsts, lasts, strict=True):
+                after = a > 0 and line[a - 1] == line[a]
+                before = b + 1 < n and line[b + 1] == line[b]
+                tags = self._path(score[a : b + 1].tolist(), joined[a : b + 1].tolist(), after, before)
+                for i, tag in enumerate(tags, a):
+                    if tag == BEGIN:
+                        found.append((int(start[i]), int(end[i])))
+                    elif tag == INSIDE:
+                        found[-1] = (found[-1][0], int(end[i]))
+        return found
+
+    def _path(self, score: list[list[float]], joined: list[bool], after: bool, before: bool) -> list[int]:
+        """Best tags of a stretch; an outside token stands before it if ``after``, and behind it if ``before``."""
+        s, never = self.steps, float("-inf")
+        entry = s[OUTSIDE] if after else (0.0, 0.0, 0.0)
+        best = [score[0][OUTSIDE] + entry[OUTSIDE], score[0][BEGIN] + entry[BEGIN], never]
+        back = []
+        for row, bound in zip(score[1:], joined[1:], strict=True):
+            out, pointers = [], []
+            for tag in range(TAGS):
+                top, origin = never, BEGIN
+                if tag != INSIDE or bound:
+                    for p in (BEGIN, INSIDE) if tag == INSIDE else (OUTSIDE, BEGIN, INSIDE):
+                        if best[p] + s[p][tag] > top:
+                            top, origin = best[p] + s[p][tag], p
+                out.append(top + row[tag])
+                pointers.append(origin)
+            best = out
+            back.append(pointers)
+        if before:
+            best = [v + s[p][OUTSIDE] for p, v in enumerate(best)]
+        tags = [best.index(max(best))]
+        for pointers in reversed(back):
+            tags.append(pointers[tags[-1]])
+        return tags[::-1]
+
+
+def field_spans(text: str, field: Crf | Tagger, base: list[Span]) -> list[Span]:
+    """Spans that the field tags anywhere in the text and no base span overlaps."""
+    tagger = field if isinstance(field, Tagger) else Tagger(field)
+    starts, reach = [b[0] for b in base], list(accumulate((b[2] for b in base), max, initial=-1))
+    # Of the base spans that start before a span ends, none may end after its start.
+    return [(start, 3, end) for start, end in tagger.spans(text) if reach[bisect_left(starts, end)] <= start]
 
 
 def joined_spans(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
 
 
+def _plain_piece(text: str, parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """One piece of a line, at a place that a hash of the text draws, if it is apart from ``parts``."""
+    place = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest()) % max(len(text), 1)
+    start = max(text.rfind("\n", 0, place) + 1, place - BEFORE)
+    stop = text.find("\n", start, place + AFTER)
+    stop = min(place + AFTER, len(text)) if stop < 0 else stop
+    piece = (start, stop)
+    return [piece] if text[start:stop].strip() and all(stop <= a or b <= start for a, b in parts) else []
+
+
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per window with its tags by the base spans; the value of an assignment is its secret part."""
     for batch in batches:
         out = []
         for text in batch.column(0).to_pylist():
             text = text or ""
-            parts = windows(text)
+            runs = windows(text)
+            parts = runs + _plain_piece(text, runs)
             if not parts:
                 continue
             base, file = base_spans(text), file_features(text)
             secret = [(ASSIGN.match(text, s).start(2) if kind == 0 else s, e) for s, kind, e in base]
-            for start, end in parts:
+            for n, (start, end) in enumerate(parts):
                 part = text[start:end]
                 key = hashlib.blake2b(part.encode("utf-8", "replace"), digest_size=16).hexdigest()
                 tags, before = [], None
@@ -162,30 +287,31 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     owner = next((s for s in secret if s[0] <= m.start() and m.end() <= s[1]), None)
                     tags.append(OUTSIDE if owner is None else INSIDE if owner == before else BEGIN)
                     before = owner
-                out.append({"key": key, "part": part, "file": file, "tags": tags, "secret": any(tags)})
+                out.append({"key": key, "part": part, "file": file, "tags": tags, "kind": 0 if any(tags) else 1 if n < len(runs) else 2})
         yield pa.RecordBatch.from_pylist(out, _TRAIN)
 
 
 _TRAIN = pa.schema(
     [("key", pa.string()), ("part", pa.string()), ("file", pa.list_(pa.string())), ("tags", pa.list_(pa.int32())),
-     ("secret", pa.bool_())]
+     ("kind", pa.int32())]
 )
 
 
 def train(docs: DataFrame, text: str = "text", max_windows: int = MAX_WINDOWS) -> Crf:
     """A field fitted on at most ``max_windows`` different windows, half of them with base secrets where there are so many.
 
+    A quarter are other runs of key characters, and a quarter are pieces without any, of which a text gives one at most.
     Which windows are drawn depends on a hash of their text. A corpus without any window gives a field that finds
     nothing.
     """
-    fields = "key string, part string, file array<string>, tags array<int>, secret boolean"
+    fields = "key string, part string, file array<string>, tags array<int>, kind int"
     found = docs.select(text).mapInArrow(_training_rows, fields)
     # Of a window's copies the one with the smallest columns, so that the draw is the same on every run.
-    rest = F.struct("secret", "tags", "file", "part")
+    rest = F.struct("kind", "tags", "file", "part")
     parts = stored(found.groupBy("key").agg(F.min(rest).alias("w")).select("key", "w.*"), "windows")
     drawn = []
-    for secret in (True, False):
-        rows = at_most(parts.where(F.col("secret") == secret), F.col("key"), max_windows // 2).collect()
+    for kind, share in enumerate((2, 4, 4)):
+        rows = at_most(parts.where(F.col("kind") == kind), F.col("key"), max_windows // share).collect()
         for r in sorted(rows, key=lambda r: r["key"]):
             _, names, _ = features(r["part"], 0, len(r["part"]), r["file"], hidden=int(r["key"][-1], 16) % 2 == 0)
             drawn.append((names, r["tags"]))
@@ -194,12 +320,13 @@ def train(docs: DataFrame, text: str = "text", max_windows: int = MAX_WINDOWS) -
 
 def _scan(field: Crf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = Tagger(field)
         for batch in batches:
             out = []
             for text in batch.column(0).to_pylist():
                 text = text or ""
                 base = base_spans(text)
-                out.append(sorted(base + field_spans(text, field, base)))
+                out.append(sorted(base + field_spans(text, tagger, base)))
             spans = pa.array(
                 [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in row] for row in out],
                 pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])),
