@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from askahead.llm import crf
 from askahead.llm.common import stored
-from askahead.llm.crf import BEGIN, INSIDE, OUTSIDE, TAGS, Crf, bucket
+from askahead.llm.crf import BEGIN, BUCKETS, INSIDE, OUTSIDE, TAGS, Crf, bucket
 from askahead.operators.sampling import at_most
 
 KINDS = ["assign", "access", "hex", "field"]
@@ -44,6 +45,7 @@ _PIECE = re.compile(_TOKEN.pattern + r"|\s+")
 _KEY_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
 MAX_WINDOWS = 2000
 _NEAR = (-3, -2, -1, 1, 2)
+_NEAR_CRC = [zlib.crc32(f"{d} ".encode()) for d in _NEAR]
 # What a task remembers of tokens that it has seen.
 _SEEN_TOKENS, _SEEN_CHARS = 1 << 17, 1 << 24
 
@@ -149,6 +151,7 @@ class Tagger(dict):
         # Per token: scores if not joined to the one before, if joined, and what it adds to its neighbours.
         self.table = np.zeros((1024, 2 + len(_NEAR), TAGS))
         self.n_rows, self.n_chars = 2, 0
+        self.shapes: dict[tuple, tuple[np.ndarray, str]] = {}
         # The least that steps can gain where a token becomes outside: from before it, to after it, and one further on,
         # where an inside token after it has to begin.
         s, allowed = field.steps, [(p, x) for p in range(TAGS) for x in (BEGIN, INSIDE) if (p, x) != (OUTSIDE, INSIDE)]
@@ -162,17 +165,32 @@ class Tagger(dict):
         if token.isspace():
             self[token] = row = int("\n" in token)
             return row
-        row, shape, weights = self.n_rows, _shape(token), self.field.weights
+        row, weights = self.n_rows, self.field.weights
         if row == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        for joined in (False, True):
-            names = ["bias", *shape, f"joined {joined} {shape[0]}"]
-            self.table[row, int(joined)] = weights[[bucket(n) for n in names]].sum(axis=0)
-        self.table[row, 2:] = weights[[bucket(f"{d} {_beside(token, shape)}") for d in _NEAR]]
+        own, beside = self._own(token)
+        near = token.lower() if len(token) < 12 else beside
+        self.table[row, :2] = own
+        # The CRC of "distance token" goes on from that of "distance ".
+        self.table[row, 2:] = weights[[1 + zlib.crc32(near.encode(), c) % (BUCKETS - 1) for c in _NEAR_CRC]]
         self.n_rows += 1
         self[token] = row
         return row
 
+    def _own(self, token: str) -> tuple[np.ndarray, str]:
+        """What a token's shape scores, and its name to the neighbours of a long one."""
+        # The shape of ASCII letters follows from this much of them.
+        letters = token.isascii() and token.isalpha()
+        key = (min(len(token), 24), token.isupper(), token.islower(), not token.strip("abcdef")) if letters else None
+        found = self.shapes.get(key)
+        if found is None:
+            shape = _shape(token)
+            names = [["bias", *shape, f"joined {joined} {shape[0]}"] for joined in (False, True)]
+            found = np.array([self.field.weights[[bucket(n) for n in row]].sum(axis=0) for row in names]), shape[1]
+            if letters:
+                self.shapes[key] = found
+        return found
+
     def spans(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of what the best path of each line tags."""
         if self.n_rows > _SEEN_TOKENS or self.n_chars > _SEEN_CHARS:
