@@ -151,6 +151,8 @@ class Tagger(dict):
         # Per token: scores if not joined to the one before, if joined, and what it adds to its neighbours.
         self.table = np.zeros((1024, 2 + len(_NEAR), TAGS))
         self.n_rows, self.n_chars = 2, 0
+        self.new_own: list[np.ndarray] = []
+        self.new_near: list[list[int]] = []
         self.shapes: dict[tuple, tuple[np.ndarray, str]] = {}
         # The least that steps can gain where a token becomes outside: from before it, to after it, and one further on,
         # where an inside token after it has to begin.
@@ -165,18 +167,26 @@ class Tagger(dict):
         if token.isspace():
             self[token] = row = int("\n" in token)
             return row
-        row, weights = self.n_rows, self.field.weights
-        if row == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        own, beside = self._own(token)
-        near = token.lower() if len(token) < 12 else beside
-        self.table[row, :2] = own
+        row, (own, beside) = self.n_rows, self._own(token)
+        near = (token.lower() if len(token) < 12 else beside).encode()
+        self.new_own.append(own)
         # The CRC of "distance token" goes on from that of "distance ".
-        self.table[row, 2:] = weights[[1 + zlib.crc32(near.encode(), c) % (BUCKETS - 1) for c in _NEAR_CRC]]
+        self.new_near.append([1 + zlib.crc32(near, c) % (BUCKETS - 1) for c in _NEAR_CRC])
         self.n_rows += 1
         self[token] = row
         return row
 
+    def scored(self) -> np.ndarray:
+        """The table with the scores of all tokens seen."""
+        if self.new_own:
+            while self.n_rows > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            new = slice(self.n_rows - len(self.new_own), self.n_rows)
+            self.table[new, :2] = self.new_own
+            self.table[new, 2:] = self.field.weights[self.new_near]
+            self.new_own, self.new_near = [], []
+        return self.table
+
     def _own(self, token: str) -> tuple[np.ndarray, str]:
         """What a token's shape scores, and its name to the neighbours of a long one."""
         # The shape of ASCII letters follows from this much of them.
@@ -195,6 +205,7 @@ class Tagger(dict):
         """(start, end) of what the best path of each line tags."""
         if self.n_rows > _SEEN_TOKENS or self.n_chars > _SEEN_CHARS:
             self.clear()
+            self.new_own, self.new_near = [], []
             self.n_rows, self.n_chars = 2, 0
         pieces = _PIECE.findall(text)
         rows = np.array([self[p] for p in pieces], np.int64)
@@ -207,14 +218,15 @@ class Tagger(dict):
         start = end - np.fromiter((len(p) for p, r in zip(pieces, real.tolist(), strict=True) if r), np.int64, n)
         joined = np.zeros(n + 1, bool)
         joined[1:n] = start[1:] == end[:-1]
-        score = self.table[tokens, joined[:n].astype(np.int64)]
+        table = self.scored()
+        score = table[tokens, joined[:n].astype(np.int64)]
         score += self.field.weights[[bucket(f) for f in file_features(text)]].sum(axis=0)
         for k, d in enumerate(_NEAR):
             beside = np.broadcast_to(self.edges[k], (n, TAGS)).copy()
             if abs(d) < n:
                 here, there = (slice(-d, None), slice(None, d)) if d < 0 else (slice(None, -d), slice(d, None))
                 same = line[here] == line[there]
-                beside[here][same] = self.table[tokens[there][same], 2 + k]
+                beside[here][same] = table[tokens[there][same], 2 + k]
             score += beside
         inside = np.where(joined[:n], score[:, INSIDE], -np.inf)
         change = np.zeros(n)

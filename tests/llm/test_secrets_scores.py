@@ -19,4 +19,4 @@ def test_remembered_shapes_score_like_their_tokens():
         _, rows, _ = secrets.features(token, 0, len(token), [])
         row = tagger[token]
         # The last five are the neighbours, which are edges here.
-        assert tagger.table[row, 0] == pytest.approx(field.weights[rows[0][:-5]].sum(axis=0))
+        assert tagger.scored()[row, 0] == pytest.approx(field.weights[rows[0][:-5]].sum(axis=0))
