@@ -13,7 +13,7 @@ from askahead.functions.columns import from_micros
 from askahead.operators import tokenlog
 from askahead.operators.skew import join_to_unique
 from askahead.operators.timeline import Running, history_bound, running
-from askahead.operators.tokenlog import TokenLog
+from askahead.operators.tokenlog import TokenFields, TokenLog
 from askahead.schemas import PAD_INDEX
 from askahead.session import checkpointed
 
@@ -62,7 +62,12 @@ def explode_times(rows: DataFrame, times: str = "times") -> DataFrame:
 
 
 def history_sequences(
-    probes: DataFrame, events: DataFrame | TokenLog, vocab: DataFrame | None = None, max_len: int = 256
+    probes: DataFrame,
+    events: DataFrame | TokenLog,
+    vocab: DataFrame | None = None,
+    max_len: int = 256,
+    more: TokenFields | None = None,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Last ``max_len`` tokens up to each distinct (subject, prediction time), oldest first.
 
@@ -70,33 +75,45 @@ def history_sequences(
     the days since the subject's previous event (0 at the first one), its other tokens carry 0. Prediction
     times of subjects without history drop out; one before the first event gets an empty array.
 
-    Pass a stored log where there is one; from plain events and a vocabulary a log is stored first.
+    Pass a stored log where there is one; from plain events and a vocabulary a log is stored first. ``more`` gives the
+    structs further fields, made once per stored token. With ``keep`` there is a row per row of ``probes``, with these
+    columns of it.
     """
     log = events if isinstance(events, TokenLog) else tokenlog.build(events, vocab, max_len)
-    token = F.transform(
-        "tokens", lambda t: F.struct(t["code"].alias("code"), t["numeric_value"].alias("numeric_value"), t["time_delta_days"].alias("time_delta_days"))
-    )
+    found = log.histories(probes, max_len, more, keep)
+    names = [n for n in found.schema["tokens"].dataType.elementType.names if n != "us"]
+    token = F.transform("tokens", lambda t: F.struct(*(t[n].alias(n) for n in names)))
     times = F.transform("tokens", lambda t: from_micros(t["us"]))
-    return log.histories(probes, max_len).select(*_TIME_KEY, token.alias("history"), times.alias("times"))
+    return found.select(*_TIME_KEY, *(keep or []), token.alias("history"), times.alias("times"))
 
 
 def event_sequences(
-    probes: DataFrame, events: DataFrame | TokenLog, vocab: DataFrame | None = None, max_len: int = 256
+    probes: DataFrame,
+    events: DataFrame | TokenLog,
+    vocab: DataFrame | None = None,
+    max_len: int = 256,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """The same tokens in the nested layout: ``events`` has an entry (time_delta_days, codes, numeric_values) per
     event time, oldest first."""
     log = events if isinstance(events, TokenLog) else tokenlog.build(events, vocab, max_len)
 
-    def event(us: Column) -> Column:
-        own = F.filter("tokens", lambda t: t["us"] == us)
+    def event(start: Column, nth: Column) -> Column:
+        # Up to where the next event starts.
+        stop = F.coalesce(F.get("starts", nth + 1), F.size("tokens") + 1)
+        return F.slice("tokens", start, stop - start)
+
+    def entry(own: Column) -> Column:
         return F.struct(
             own[0]["time_delta_days"].alias("time_delta_days"),
             own["code"].alias("codes"),
             own["numeric_value"].alias("numeric_values"),
         )
 
-    at = F.array_distinct(F.col("tokens")["us"])
-    return log.histories(probes, max_len).select(*_TIME_KEY, F.transform(at, event).alias("events"))
+    us = F.col("tokens")["us"]
+    first = F.transform(us, lambda t, i: F.when((i == 0) | (t != F.get(us, i - 1)), i + 1))
+    rows = log.histories(probes, max_len, keep=keep).withColumn("starts", F.filter(first, lambda i: i.isNotNull()))
+    return rows.select(*_TIME_KEY, *(keep or []), F.transform(F.transform("starts", event), entry).alias("events"))
 
 
 def prepend_query_event(events: Column | str, query_id: Column | str) -> Column:

@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from askahead.functions import micros
 from askahead.functions.columns import DAY_US, from_micros
-from askahead.operators.skew import ROWS_PER_TASK, heavy_keys, join_to_unique
+from askahead.operators.skew import ROWS_PER_TASK, heavy_keys, join_to_unique, large_keys
 from askahead.operators.timeline import Running, running
 from askahead.schemas import PAD_INDEX
 from askahead.session import checkpointed, fresh_path
@@ -25,10 +26,14 @@ from askahead.session import checkpointed, fresh_path
 _TOKEN = "struct<us:bigint,code:int,numeric_value:float,time_delta_days:float>"
 _BLOCK = f"subject_id bigint, block bigint, from_us bigint, until_us bigint, tokens array<{_TOKEN}>"
 _FIRST, _LAST = -(1 << 63), (1 << 63) - 1
+# Further fields of a token by name.
+TokenFields = Callable[[Column], dict[str, Column]]
 # Blocks of one subject that its prediction times are compared with one by one.
 FEW_BLOCKS = 64
 # Tokens that are worth a bucket of their own.
 BUCKET_TOKENS = 10_000
+# Rows of one subject that are ordered in one task.
+LIGHT_ROWS = 10_000
 
 
 def encode(rows: DataFrame, vocab: DataFrame, heavy: DataFrame | None, on: str = "code", to: str = "code_id") -> DataFrame:
@@ -38,36 +43,67 @@ def encode(rows: DataFrame, vocab: DataFrame, heavy: DataFrame | None, on: str =
     return coded.withColumn(to, F.coalesce("_index", F.lit(PAD_INDEX))).drop("_index")
 
 
-def numbered_tokens(events: DataFrame, vocab: DataFrame, max_len: int, heavy_codes: DataFrame | None = None) -> DataFrame:
+def numbered_tokens(
+    events: DataFrame, vocab: DataFrame, max_len: int, heavy_codes: DataFrame | None = None, light_rows: int = LIGHT_ROWS
+) -> DataFrame:
     """(subject_id, pos, us, code, numeric_value, time_delta_days) of every token that can be among the last ``max_len``.
 
     Within one time tokens are ordered by code id, then value. A time counts at most ``max_len`` tokens, its last ones,
     because a prediction time sees all of its events or none. The first token of a time carries the days since the time
-    before, 0 at the subject's first, and the others 0.
+    before, 0 at the subject's first, and the others 0. Subjects with at most ``light_rows`` rows are ordered by one
+    shuffle, the others cell by cell.
     """
     timed = events.where(F.col("time").isNotNull() & F.col("subject_id").isNotNull())
     nan = F.lit(float("nan")).cast("float")
     value = F.coalesce(F.col("numeric_value").cast("float"), nan) if "numeric_value" in events.columns else nan
-    latest = Window.partitionBy("subject_id", "time").orderBy(F.desc("code_id"), F.desc("numeric_value"))
-    tokens = (
-        encode(timed, vocab, heavy_codes)
-        .select("subject_id", "time", "code_id", value.alias("numeric_value"))
-        .withColumn("from_end", F.row_number().over(latest))
-        .where(F.col("from_end") <= max_len)
+    large = large_keys(timed, ["subject_id"], light_rows)
+
+    def coded(rows: DataFrame) -> DataFrame:
+        return encode(rows, vocab, heavy_codes).select("subject_id", "time", "code_id", value.alias("numeric_value"))
+
+    if large is None:
+        return _ordered_tokens(coded(timed), max_len)
+    heavy = timed.join(large, "subject_id", "left_semi")
+    light = coded(timed.join(large, "subject_id", "left_anti"))
+    return _ordered_tokens(light, max_len).unionByName(_placed_tokens(coded(heavy), heavy, max_len))
+
+
+def _token_columns(pos: Column, first: Column, before_us: Column) -> list[Column]:
+    delta = F.coalesce((F.col("us") - before_us) / F.lit(float(DAY_US)), F.lit(0.0))
+    return [
+        F.col("subject_id"),
+        pos.cast("bigint").alias("pos"),
+        F.col("us"),
+        F.col("code_id").alias("code"),
+        F.col("numeric_value"),
+        F.when(first, delta).otherwise(F.lit(0.0)).cast("float").alias("time_delta_days"),
+    ]
+
+
+def _ordered_tokens(coded: DataFrame, max_len: int) -> DataFrame:
+    """Tokens numbered along each subject: one shuffle and one order serve all windows."""
+    one_time = Window.partitionBy("subject_id", "us")
+    subject = Window.partitionBy("subject_id").orderBy("us", "code_id", "numeric_value")
+    rows = coded.withColumn("us", micros("time")).drop("time").repartition("subject_id")
+    rows = rows.withColumns(
+        {"_nth": F.row_number().over(one_time.orderBy("code_id", "numeric_value")), "_n": F.count("*").over(one_time)}
     )
+    kept = rows.where(F.col("_n") - F.col("_nth") < max_len)
+    kept = kept.withColumns({"_pos": F.row_number().over(subject) - 1, "_before": F.lag("us").over(subject)})
+    first = F.col("_nth") == F.greatest(F.col("_n") - max_len + 1, F.lit(1))
+    return kept.select(*_token_columns(F.col("_pos"), first, F.col("_before")))
+
+
+def _placed_tokens(coded: DataFrame, timed: DataFrame, max_len: int) -> DataFrame:
+    """The same without one task per subject."""
+    latest = Window.partitionBy("subject_id", "time").orderBy(F.desc("code_id"), F.desc("numeric_value"))
+    tokens = coded.withColumn("from_end", F.row_number().over(latest)).where(F.col("from_end") <= max_len)
     sizes = timed.groupBy("subject_id", "time").agg(F.least(F.count("*"), F.lit(max_len)).alias("n_tokens"))
     measures = [Running("end", F.col("n_tokens")), Running("before_us", micros("time"), "max", ties=False)]
     placed = running(sizes, ["subject_id"], "time", measures)
-    delta = F.coalesce((micros("time") - F.col("before_us")) / F.lit(float(DAY_US)), F.lit(0.0))
     first = F.col("from_end") == F.col("n_tokens")
-    return tokens.join(placed, ["subject_id", "time"]).select(
-        "subject_id",
-        (F.col("end") - F.col("from_end")).alias("pos"),
-        micros("time").alias("us"),
-        F.col("code_id").alias("code"),
-        "numeric_value",
-        F.when(first, delta).otherwise(F.lit(0.0)).cast("float").alias("time_delta_days"),
-    )
+    rows = tokens.join(placed, ["subject_id", "time"]).withColumn("us", micros("time"))
+    return rows.select(*_token_columns(F.col("end") - F.col("from_end"), first, F.col("before_us")))
 
 
 def _blocks(tokens: DataFrame, max_len: int) -> DataFrame:
@@ -120,19 +156,34 @@ class TokenLog:
         )
         return self.spark.table(table)
 
-    def histories(self, probes: DataFrame, max_len: int | None = None) -> DataFrame:
+    def histories(
+        self, probes: DataFrame, max_len: int | None = None, more: TokenFields | None = None, keep: list[str] | None = None
+    ) -> DataFrame:
         """(subject_id, prediction_time, tokens): the last ``max_len`` tokens up to each distinct time, oldest first.
 
-        Times of subjects without tokens drop out; one before the first token has none.
+        Times of subjects without tokens drop out; one before the first token has none. ``more`` gives each token further
+        fields, made once per stored token instead of once per history that it is in. With ``keep`` there is a row per row
+        of ``probes``, with these columns of it.
         """
         max_len = max_len or self.max_len
         if max_len > self.max_len:
             raise ValueError(f"the log holds histories of at most {self.max_len} tokens")
-        times = probes.select("subject_id", "prediction_time").distinct().withColumn("_us", micros("prediction_time"))
+
+        def stored(name: str, keys: str) -> DataFrame:
+            blocks = self._table(name, keys)
+            if more is None:
+                return blocks
+            names = blocks.schema["tokens"].dataType.elementType.names
+            token = lambda t: F.struct(*(t[n].alias(n) for n in names), *(v.alias(n) for n, v in more(t).items()))
+            return blocks.withColumn("tokens", F.transform("tokens", token))
+
+        key, keep = ["subject_id", "prediction_time"], keep or []
+        rows = probes.select(*key, *keep) if keep else probes.select(*key).distinct()
+        times = rows.withColumn("_us", micros("prediction_time"))
         inside = (F.col("_us") >= F.col("from_us")) & (F.col("_us") < F.col("until_us"))
-        found = self._table("few", "subject_id").join(times, "subject_id").where(inside)
+        found = stored("few", "subject_id").join(times, "subject_id").where(inside)
         if self.has_many:
-            many = self._table("many", "subject_id, block")
+            many = stored("many", "subject_id, block")
             # Only the starts of blocks are read and shuffled for this.
             starts = many.select("subject_id", F.col("from_us").alias("_at"), F.col("block").alias("_block"))
             marks = times.join(starts.select("subject_id").distinct(), "subject_id", "left_semi").select(
@@ -144,10 +195,11 @@ class TokenLog:
             located = at.where("_block IS NULL").select(
                 "subject_id", F.col("_time").alias("prediction_time"), F.coalesce("_in", F.lit(0)).cast("bigint").alias("block")
             )
-            more = many.join(located, ["subject_id", "block"]).withColumn("_us", micros("prediction_time"))
-            found = found.unionByName(more)
+            located = rows.join(located.distinct(), key) if keep else located
+            late = many.join(located, ["subject_id", "block"]).withColumn("_us", micros("prediction_time"))
+            found = found.unionByName(late)
         seen = F.filter("tokens", lambda t: t["us"] <= F.col("_us"))
-        late = found.select("subject_id", "prediction_time", seen.alias("tokens"))
+        late = found.select(*key, *keep, seen.alias("tokens"))
         start = F.greatest(F.size("tokens") - max_len + 1, F.lit(1))
         return late.withColumn("tokens", F.slice("tokens", start, F.lit(max_len)))
 

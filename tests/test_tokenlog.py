@@ -98,3 +98,37 @@ def test_model_input_from_a_stored_log(spark):
     log = tokenlog.build(events, vocab, 8)
     # As text, because a missing value is not equal to itself.
     assert str(model_input(labels, log, vocab, 8).collect()) == str(model_input(labels, events, vocab, 8).collect())
+
+
+def input_of(spark, max_len, few_blocks, light_rows=tokenlog.LIGHT_ROWS):
+    rng = random.Random(9)
+    events = log_of(spark, [(rng.randint(1, 3), rng.randint(0, 20) / 2, rng.choice("abc"), float(rng.randint(0, 3))) for _ in range(90)])
+    schema = "subject_id bigint, prediction_time timestamp_ntz, boolean_value boolean, occurs boolean, query string, duration_days double"
+    asked = [(s, day(t), False, d % 2 == 0, "c", float(d)) for s in (1, 2) for t in (-1, 3, 8) for d in range(70)]
+    vocab = code_vocab(events)
+    log = tokenlog.build(events, vocab, max_len, few_blocks=few_blocks)
+    numbered = tokenlog.numbered_tokens(events, vocab, max_len, light_rows=light_rows)
+    return model_input(spark.createDataFrame(asked, schema), log, vocab, max_len), asked, numbered
+
+
+@pytest.mark.parametrize("few_blocks", [64, 1])
+def test_every_question_of_a_time_gets_its_history(spark, few_blocks):
+    rows, asked, _ = input_of(spark, 4, few_blocks)
+    got = rows.collect()
+    assert sorted((r.subject_id, r.prediction_time, r.duration_days) for r in got) == sorted((s, t, d) for s, t, *_, d in asked)
+    assert len({(r.subject_id, r.prediction_time, str(r.sequence)) for r in got}) == 6
+
+
+@pytest.mark.parametrize("max_len", [2, 16])
+def test_tokens_of_light_and_heavy_subjects_are_numbered_alike(spark, max_len):
+    light, heavy = (input_of(spark, max_len, 64, n)[2] for n in (tokenlog.LIGHT_ROWS, 0))
+    assert sorted(light.collect()) == sorted(heavy.select(*light.columns).collect())
+    exchanges = [x._jdf.queryExecution().executedPlan().toString().count("Exchange") for x in (light, heavy)]
+    assert exchanges[0] < exchanges[1]
+
+
+@pytest.mark.parametrize("name", ["model_input", "model_input_by_event", "predict_table"])
+def test_histories_are_joined_once_and_not_by_time(spark, name):
+    plan = entry_point.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    uppermost = next(line for line in plan.split("Initial Plan")[-1].splitlines() if "Join " in line)
+    assert "subject_id" in uppermost and "[subject_id" in uppermost and "prediction_time" not in uppermost.split("Inner")[0]
