@@ -41,7 +41,7 @@ from askahead.operators.codesets import exclude_time_codes, sample_codes
 from askahead.operators.metrics import auroc_two_head
 from askahead.operators.sampling import sample_index_times
 from askahead.plans.labels import collate_labels, label_table
-from askahead.plans.scoring import baseline_two_head, predict_table
+from askahead.plans.scoring import LEARNED, baseline_two_head, predict_table
 from askahead.schemas import EVENTS, SPLITS
 from askahead.session import checkpointed, fresh_path
 from askahead.sources import sinks
@@ -156,11 +156,14 @@ def simple_scorer():
     """A stand-in for a trained model: scores from length, last value, time covered, query and duration."""
 
     def score(batch: pd.DataFrame) -> pd.DataFrame:
-        length = batch["codes"].map(len).to_numpy(dtype=float)
+        # All arrays of a column end to end; none is empty, as the query stands in front.
+        values, deltas, mask = (np.concatenate(batch[c].to_list()) for c in ("numeric_values", "time_deltas", "attention_mask"))
+        length = batch["codes"].map(len).to_numpy()
+        ends, mask_ends = length.cumsum(), (length + 1).cumsum()
+        covered = np.add.reduceat(np.nan_to_num(deltas.astype(float)), ends - length)
+        attended = np.add.reduceat(mask.astype(float), mask_ends - length - 1)
+        last, length = values[ends - 1].astype(float), length.astype(float)
         query_id = batch["query_id"].to_numpy(dtype=float)
-        last = batch["numeric_values"].map(lambda v: v[-1]).to_numpy(dtype=float)
-        covered = batch["time_deltas"].map(lambda v: np.nansum(np.asarray(v, dtype=float))).to_numpy(dtype=float)
-        attended = batch["attention_mask"].map(sum).to_numpy(dtype=float)
         occurs = (length - 20) / 8 + batch["duration_years"].to_numpy(dtype=float) - query_id / 4 + last / 100
         return pd.DataFrame(
             {
@@ -212,7 +215,7 @@ BASELINE_ROWS = 20_000
 )
 def _baseline(spark, sf):
     """What the oracle can know: every row is scored once, with probabilities, and the censor head has learned."""
-    inputs = checkpointed(click_inputs(spark, sf))
+    inputs = checkpointed(click_inputs(spark, sf).select(*LEARNED))
     scored = checkpointed(baseline_two_head(inputs, n_features=256, max_rows=BASELINE_ROWS).transform(inputs))
     counts = scored.groupBy("code").agg(
         F.count("*").alias("n_scored"),

@@ -21,6 +21,9 @@ from askahead.session import checkpointed
 # Per token of a sequence; the mask has a further slot for the duration at position 1.
 MODEL_ARRAYS = ["codes", "numeric_values", "time_deltas", "attention_mask"]
 
+# What the baseline reads of model input.
+LEARNED = ["subject_id", "prediction_time", "query", "query_id", "duration_days", "duration_years", "censor", "occurs", "codes"]
+
 # Gets one Arrow batch of model input (MODEL_ARRAYS, query_id, duration_years), returns occurs_probs, censor_probs and embedding in row order.
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -74,9 +77,12 @@ class TwoHeadModel:
 
 
 def _with_tokens(inputs: DataFrame) -> DataFrame:
-    """History codes and the query as separate words, so that both get their own hashed counts."""
-    history = F.transform(F.slice("codes", 2, F.greatest(F.size("codes"), F.lit(1))), lambda c: F.concat(F.lit("h"), c.cast("string")))
-    return inputs.withColumn("words", F.concat(history, F.array(F.concat(F.lit("q"), F.col("query_id").cast("string")))))
+    """History codes and the query as separate words, so that both get their own hashed counts.
+
+    Words are numbers, the query's below zero: nothing is made into text per token.
+    """
+    history = F.slice("codes", 2, F.greatest(F.size("codes"), F.lit(1)))
+    return inputs.withColumn("words", F.concat(history, F.array(-1 - F.col("query_id").cast("int"))))
 
 
 def training_sample(inputs: DataFrame, max_rows: int, seed: int = 0) -> DataFrame:
@@ -92,7 +98,7 @@ def baseline_two_head(
     The censor head learns from all rows, the occurs head from the uncensored ones. At most ``max_rows`` rows
     are learned from, drawn by a hash of their keys; the model can score any number.
     """
-    inputs = checkpointed(training_sample(inputs, max_rows))
+    inputs = checkpointed(training_sample(inputs.select(*LEARNED), max_rows))
     features = Pipeline(
         stages=[
             HashingTF(inputCol="words", outputCol="counts", numFeatures=n_features),

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from askahead.catalog.base import orders_log, table
+from askahead.catalog.sequences import click_inputs
 from askahead.operators import sampling
 from askahead.operators.context import candidate_times
 from askahead.operators.zones import zone_map
 from askahead.plans.evaluation import eval_tasks_from_log
 from askahead.plans.labels import training_table
+from askahead.plans.scoring import LEARNED, _with_tokens, baseline_two_head
+from askahead.session import checkpointed
 
 SF = "/root/testdata/sf0.001"
 QUERIES = entry_point.queries()
@@ -73,3 +76,13 @@ def test_no_local_checkpoint_or_driver_collection_in_operators():
             text = path.read_text()
             assert "localCheckpoint" not in text
             assert ".collect()" not in text and ".toPandas()" not in text
+
+
+def test_the_baseline_makes_no_text_of_tokens(spark):
+    rows = spark.createDataFrame([([2, 7, 7], 2)], "codes array<int>, query_id int")
+    assert _with_tokens(rows).first().words == [7, 7, -3]
+
+
+def test_the_baseline_needs_no_more_than_it_names(spark):
+    inputs = checkpointed(click_inputs(spark, SF).select(*LEARNED).limit(300))
+    assert baseline_two_head(inputs, n_features=16, max_iter=1).transform(inputs).count() == 300
