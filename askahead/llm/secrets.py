@@ -141,19 +141,21 @@ def file_features(text: str) -> list[str]:
 class Tagger(dict):
     """Tags of whole texts; remembers the scores of tokens, which are the keys, by the row of ``table`` they stand in.
 
-    Rows 0 and 1 stand for spaces without and with a line end.
+    Rows 0 and 1 stand for spaces without and with a line end; row 0 adds to its neighbours what an edge does.
     """
 
     def __init__(self, field: Crf) -> None:
         super().__init__()
         self.field, self.steps = field, field.steps.tolist()
-        self.edges = np.array([field.weights[bucket(f"{d} edge")] for d in _NEAR])
         # Per token: scores if not joined to the one before, if joined, and what it adds to its neighbours.
         self.table = np.zeros((1024, 2 + len(_NEAR), TAGS))
+        self.table[0, 2:] = [field.weights[bucket(f"{d} edge")] for d in _NEAR]
         self.n_rows, self.n_chars = 2, 0
-        self.new_own: list[np.ndarray] = []
-        self.new_near: list[list[int]] = []
-        self.shapes: dict[tuple, tuple[np.ndarray, str]] = {}
+        # Of tokens not in the table yet: the number of what their shape scores, and the CRCs of their names as neighbours.
+        self.new_own: list[int] = []
+        self.new_near: list[int] = []
+        self.own = np.zeros((0, 2, TAGS))
+        self.shapes: dict[tuple, tuple[int, str]] = {}
         # The least that steps can gain where a token becomes outside: from before it, to after it, and one further on,
         # where an inside token after it has to begin.
         s, allowed = field.steps, [(p, x) for p in range(TAGS) for x in (BEGIN, INSIDE) if (p, x) != (OUTSIDE, INSIDE)]
@@ -171,7 +173,7 @@ class Tagger(dict):
         near = (token.lower() if len(token) < 12 else beside).encode()
         self.new_own.append(own)
         # The CRC of "distance token" goes on from that of "distance ".
-        self.new_near.append([1 + zlib.crc32(near, c) % (BUCKETS - 1) for c in _NEAR_CRC])
+        self.new_near += [zlib.crc32(near, c) for c in _NEAR_CRC]
         self.n_rows += 1
         self[token] = row
         return row
@@ -182,23 +184,27 @@ class Tagger(dict):
             while self.n_rows > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             new = slice(self.n_rows - len(self.new_own), self.n_rows)
-            self.table[new, :2] = self.new_own
-            self.table[new, 2:] = self.field.weights[self.new_near]
+            self.table[new, :2] = self.own[self.new_own]
+            near = 1 + np.array(self.new_near, np.int64).reshape(-1, len(_NEAR)) % (BUCKETS - 1)
+            self.table[new, 2:] = self.field.weights[near]
             self.new_own, self.new_near = [], []
         return self.table
 
-    def _own(self, token: str) -> tuple[np.ndarray, str]:
-        """What a token's shape scores, and its name to the neighbours of a long one."""
-        # The shape of ASCII letters follows from this much of them.
+    def _own(self, token: str) -> tuple[int, str]:
+        """The number in ``own`` of what a token's shape scores, and its name to the neighbours of a long one."""
+        # The shape of ASCII letters follows from this much of them, that of others is taken whole.
         letters = token.isascii() and token.isalpha()
         key = (min(len(token), 24), token.isupper(), token.islower(), not token.strip("abcdef")) if letters else None
         found = self.shapes.get(key)
         if found is None:
             shape = _shape(token)
-            names = [["bias", *shape, f"joined {joined} {shape[0]}"] for joined in (False, True)]
-            found = np.array([self.field.weights[[bucket(n) for n in row]].sum(axis=0) for row in names]), shape[1]
-            if letters:
-                self.shapes[key] = found
+            key = key or tuple(shape)
+            found = self.shapes.get(key)
+            if found is None:
+                names = [["bias", *shape, f"joined {joined} {shape[0]}"] for joined in (False, True)]
+                scores = [self.field.weights[[bucket(n) for n in row]].sum(axis=0) for row in names]
+                self.own = np.concatenate([self.own, [scores]])
+                found = self.shapes[key] = len(self.own) - 1, shape[1]
         return found
 
     def spans(self, text: str) -> list[tuple[int, int]]:
@@ -208,26 +214,28 @@ class Tagger(dict):
             self.new_own, self.new_near = [], []
             self.n_rows, self.n_chars = 2, 0
         pieces = _PIECE.findall(text)
-        rows = np.array([self[p] for p in pieces], np.int64)
-        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        rows = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(lengths)
         real = rows > 1
         n = int(real.sum())
         if not n:
             return []
         line, end, tokens = np.cumsum(rows == 1)[real], ends[real], rows[real]
-        start = end - np.fromiter((len(p) for p, r in zip(pieces, real.tolist(), strict=True) if r), np.int64, n)
+        start = end - lengths[real]
         joined = np.zeros(n + 1, bool)
         joined[1:n] = start[1:] == end[:-1]
-        table = self.scored()
-        score = table[tokens, joined[:n].astype(np.int64)]
+        width = 2 + len(_NEAR)
+        table = self.scored().reshape(-1, TAGS)
+        at = tokens * width
+        score = table.take(at + joined[:n], axis=0)
         score += self.field.weights[[bucket(f) for f in file_features(text)]].sum(axis=0)
-        for k, d in enumerate(_NEAR):
-            beside = np.broadcast_to(self.edges[k], (n, TAGS)).copy()
+        for k, d in enumerate(_NEAR, 2):
+            beside = np.full(n, k)
             if abs(d) < n:
                 here, there = (slice(-d, None), slice(None, d)) if d < 0 else (slice(None, -d), slice(d, None))
-                same = line[here] == line[there]
-                beside[here][same] = table[tokens[there][same], 2 + k]
-            score += beside
+                beside[here] += at[there] * (line[here] == line[there])
+            score += table.take(beside, axis=0)
         inside = np.where(joined[:n], score[:, INSIDE], -np.inf)
         change = np.zeros(n)
         change[:-1] = np.where(joined[1:n], score[1:, BEGIN] - score[1:, INSIDE], 0.0)
