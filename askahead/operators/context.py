@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from askahead.functions import micros
+from askahead.functions import from_micros, micros
 from askahead.functions.columns import DAY_US
 from askahead.operators.skew import ROWS_PER_TASK, heavy_keys, join_to_unique
 from askahead.operators.timeline import Running, running
@@ -73,6 +73,25 @@ def candidate_times(events: DataFrame, min_context: int, rows_per_task: int = RO
     return _from_context_start(events, context_start(events, min_context), rows_per_task)
 
 
+def subject_times(events: DataFrame, min_context: int, n_tasks: int) -> DataFrame:
+    """Candidate times of each subject that has any, in order, as the array ``times``, with the end of its record.
+
+    One shuffle by subject serves the distinct rows, the context and the record's end. A subject's rows meet in one task, so
+    it is for subjects with few; ``min_context`` is at least 1.
+    """
+    rows = events.where(F.col("time").isNotNull()).select("subject_id", micros("time").alias("_us"), "code")
+    every = (
+        rows.repartition(n_tasks, "subject_id")
+        .distinct()
+        .groupBy("subject_id")
+        .agg(F.sort_array(F.collect_list("_us")).alias("_every"))
+        .where(F.size("_every") >= min_context)
+    )
+    start = F.array_position("_every", F.get("_every", F.lit(min_context - 1)))
+    times = F.array_distinct(F.slice("_every", start.cast("int"), F.size("_every")))
+    return every.select("subject_id", times.alias("times"), from_micros(F.element_at("_every", -1)).alias("record_end_time"))
+
+
 def candidates_with_record_end(
     events: DataFrame, min_context: int, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:

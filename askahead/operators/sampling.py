@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from askahead.functions import draw_key, draw_number, micros
-from askahead.operators.codesets import CodeSet, code_universe, codes_table, numbered
-from askahead.operators.context import row_index
+from askahead.functions import draw_key, draw_number, from_micros, micros
+from askahead.operators.codesets import CodeSet, code_universe, codes_or_all, codes_table, numbered
+from askahead.operators.context import candidate_times, record_end, row_index, subject_times
+from askahead.operators.skew import large_keys
+from askahead.operators.zones import LIGHT_ROWS, tasks_for
 
 
 def _key_parts(df: DataFrame, keys: list[str]) -> list[Column]:
@@ -74,27 +76,76 @@ def _draw_without_replacement(population: Column, k: int, seed: int, *key: str)
     return F.aggregate(steps, F.array().cast("array<bigint>"), step)
 
 
-def sample_grid(candidates: DataFrame, codes: CodeSet, durations: range, k: int, seed: int) -> DataFrame:
-    """``k`` random cells per subject from times × codes × durations, without building the grid.
+def _numbered_codes(codes: CodeSet, spark: SparkSession) -> DataFrame:
+    return numbered(code_universe(codes_table(codes, spark)).where(F.col("code").isNotNull()), ["code"], "_code_no")
 
-    Cell numbers are drawn per subject and then decoded, codes through a table of numbered codes; only the drawn
-    cells are ever rows, and the size of the vocabulary does not matter. Gives
-    (subject_id, prediction_time, query, duration_days).
-    """
-    vocab = numbered(code_universe(codes_table(codes, candidates.sparkSession)).where(F.col("code").isNotNull()), ["code"], "_code_no")
-    n_codes = vocab.agg(F.count("*")).scalar()
-    sizes = candidates.groupBy("subject_id").agg(F.count("*").alias("_n_times")).withColumn("_n_codes", n_codes)
+
+def _drawn_cells(sizes: DataFrame, vocab: DataFrame, durations: range, k: int, seed: int) -> DataFrame:
+    """The drawn cells of each subject with ``_n_times`` times, decoded to ``row_index``, ``_code_no`` and ``duration_days``."""
     n_durations = F.lit(len(durations)).cast("bigint")
     population = F.col("_n_times") * F.col("_n_codes") * n_durations
-    cells = (
-        sizes.where(F.col("_n_codes") > 0)
+    return (
+        sizes.withColumn("_n_codes", vocab.agg(F.count("*")).scalar())
+        .where(F.col("_n_codes") > 0)
         .withColumn("_cell", F.explode(_draw_without_replacement(population, k, seed, "subject_id")))
         .withColumn("duration_days", (F.pmod("_cell", n_durations) * F.lit(durations.step) + durations.start).cast("int"))
         .withColumn("_rest", F.expr(f"_cell div {len(durations)}"))
         .withColumn("_code_no", F.pmod("_rest", "_n_codes"))
         .withColumn("row_index", F.expr("_rest div _n_codes"))
-        .select("subject_id", "row_index", "_code_no", "duration_days")
+        .drop("_n_times", "_n_codes", "_cell", "_rest")
     )
+
+
+def _with_query(cells: DataFrame, vocab: DataFrame) -> DataFrame:
     # Drawn numbers are uniform, so this join has no large key however skewed the codes are in the log.
-    cells = cells.join(vocab, "_code_no").select("subject_id", "row_index", F.col("code").alias("query"), "duration_days")
-    return row_index(candidates).join(cells, ["subject_id", "row_index"]).drop("row_index")
+    return cells.join(vocab.withColumnRenamed("code", "query"), "_code_no").drop("_code_no")
+
+
+def _sample_times(candidates: DataFrame, vocab: DataFrame, durations: range, k: int, seed: int) -> DataFrame:
+    sizes = candidates.groupBy("subject_id").agg(F.count("*").alias("_n_times"))
+    cells = _with_query(_drawn_cells(sizes, vocab, durations, k, seed), vocab)
+    asked = row_index(candidates).join(cells, ["subject_id", "row_index"])
+    return asked.select("subject_id", "prediction_time", "query", "duration_days")
+
+
+def sample_grid(candidates: DataFrame, codes: CodeSet, durations: range, k: int, seed: int) -> DataFrame:
+    """``k`` random cells per subject from times × codes × durations, without building the grid.
+
+    Cell numbers are drawn per subject and then decoded, codes through a table of numbered codes; only the drawn
+    cells are ever rows, and the size of the vocabulary does not matter. Gives
+    (subject_id, prediction_time, query, duration_days).
+    """
+    return _sample_times(candidates, _numbered_codes(codes, candidates.sparkSession), durations, k, seed)
+
+
+def sample_log(
+    events: DataFrame,
+    codes: CodeSet | None,
+    durations: range,
+    k: int,
+    seed: int,
+    min_context: int,
+    light_rows: int = LIGHT_ROWS,
+) -> DataFrame:
+    """``sample_grid`` over the candidate times of a log, with ``record_end_time``.
+
+    Subjects with at most ``light_rows`` rows are each read and drawn for in one task, from one shuffle of the log that is
+    dealt to more tasks the longer the log is. Others go through ``candidate_times``, whatever their number of rows.
+    """
+    vocab = _numbered_codes(codes_or_all(codes, events), events.sparkSession)
+
+    def general(rows: DataFrame) -> DataFrame:
+        # A sample has at most k rows per subject, so this join has no large key.
+        return _sample_times(candidate_times(rows, min_context), vocab, durations, k, seed).join(record_end(rows), "subject_id")
+
+    if min_context < 1:
+        return general(events)
+    timed = events.where(F.col("time").isNotNull() & F.col("subject_id").isNotNull())
+    large = large_keys(timed, ["subject_id"], light_rows)
+    light = timed if large is None else timed.join(large, "subject_id", "left_anti")
+    known = subject_times(light, min_context, tasks_for(timed.sparkSession, timed.count()))
+    cells = _drawn_cells(known.withColumn("_n_times", F.size("times").cast("bigint")), vocab, durations, k, seed)
+    at = from_micros(F.get("times", F.col("row_index").cast("int")))
+    placed = cells.select("subject_id", at.alias("prediction_time"), "_code_no", "duration_days", "record_end_time")
+    drawn = _with_query(placed, vocab).select("subject_id", "prediction_time", "query", "duration_days", "record_end_time")
+    return drawn if large is None else drawn.unionByName(general(timed.join(large, "subject_id", "left_semi")))

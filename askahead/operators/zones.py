@@ -132,7 +132,7 @@ def with_reach(
     return _grid(joined, codes_or_all(codes, events)) if dense else _sparse(joined)
 
 
-def _tasks(spark: SparkSession, cells: int) -> int:
+def tasks_for(spark: SparkSession, cells: int) -> int:
     """How many tasks share this many cells. A given number is not coalesced by bytes, which say little about cells."""
     return max(spark.sparkContext.defaultParallelism, -(-cells // CELLS_PER_TASK))
 
@@ -216,7 +216,7 @@ def eligible_with_reach(
     timed = events.where(F.col("time").isNotNull() & F.col("subject_id").isNotNull())
     all_codes = codes_or_all(codes, events)
     large = large_keys(timed, ["subject_id"], light_rows)
-    n_tasks = _tasks(timed.sparkSession, _grid_cells(timed, codes, len(durations)))
+    n_tasks = tasks_for(timed.sparkSession, _grid_cells(timed, codes, len(durations)))
     if large is None:
         reach = _ordered_reach(timed, codes, all_codes, min_context, earlier, n_tasks)
     else:
@@ -325,7 +325,7 @@ def _ordered_questions(asked: DataFrame, timed: DataFrame) -> DataFrame:
     seen = timed.select("subject_id", F.col("code").alias("query"), micros("time").alias("_at_us"), *none, F.lit(False).alias("_asked"))
     key = ["subject_id", "query"]
     # Sized by the events alone, as counting the questions would draw them twice.
-    n_tasks = _tasks(timed.sparkSession, 2 * timed.count())
+    n_tasks = tasks_for(timed.sparkSession, 2 * timed.count())
     rows = seen.unionByName(asked.withColumn("_asked", F.lit(True))).repartition(n_tasks, *key)
     # Growing frames only: looking ahead runs backwards through time.
     later = Window.partitionBy(*key).orderBy(-F.col("_at_us")).rangeBetween(Window.unboundedPreceding, -1)

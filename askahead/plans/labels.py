@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from askahead.functions.columns import DAY_US
-from askahead.operators.codesets import CodeSet, codes_or_all, only_codes
-from askahead.operators.context import candidate_times, censor_flag, record_end
+from askahead.operators.codesets import CodeSet, only_codes
+from askahead.operators.context import censor_flag, record_end
 from askahead.operators.labels import LABEL_COLUMNS, label_grid, null_when_censored, to_training_rows
-from askahead.operators.sampling import sample_grid, sample_per_subject
+from askahead.operators.sampling import sample_log, sample_per_subject
 from askahead.operators.zones import eligible_with_reach, label_questions, occurs_within, with_reach
 
 TRAINING_COLUMNS = ["subject_id", "prediction_time", "boolean_value", "occurs", "query", "duration_days"]
@@ -108,9 +108,7 @@ def training_table(
     events: DataFrame, codes: CodeSet | None, durations: range, k: int = 20, seed: int = 1, min_context: int = 50
 ) -> DataFrame:
     """``k`` random questions per subject with labels: samples first, then labels only the sample."""
-    drawn = sample_grid(candidate_times(events, min_context), codes_or_all(codes, events), durations, k, seed)
-    # A sample has at most k rows per subject, so this join has no large key.
-    questions = drawn.join(record_end(events), "subject_id")
+    questions = sample_log(events, codes, durations, k, seed, min_context)
     asked = events if codes is None else only_codes(events, codes)
     return to_training_rows(label_sampled(questions, asked, durations.start)).select(*TRAINING_COLUMNS)
 

@@ -7,6 +7,7 @@ from calendar_days import day
 from pyspark.sql import functions as F
 
 from askahead.operators import codesets, sampling
+from askahead.operators.context import candidate_times, record_end
 from askahead.operators.sequences import assign_batches, pad_and_mask, padding_share
 
 
@@ -75,6 +76,24 @@ def test_grid_sample_is_even(spark):
         assert all(abs(c - mean) < 5 * mean**0.5 for c in counts)
 
 
+@pytest.mark.parametrize("min_context", [0, 1, 4])
+@pytest.mark.parametrize("codes", [None, ["a", "c"]])
+def test_log_sample_is_the_grid_sample_of_its_times(events, min_context, codes):
+    rows = [(s, (7 * i * s) % 31 / 2, "abc"[i % 3]) for s in range(1, 9) for i in range(3 * s)]
+    # Repeated rows, rows without a code, a time or a subject, and a subject without any time.
+    rows += rows[:20] + [(3, 1.0, None), (3, 1.0, None), (4, None, "b"), (None, 2.0, "d"), (20, None, "a"), (21, 3.0, "a")]
+    log = events(rows)
+    universe = codesets.codes_or_all(codes, log)
+    times = candidate_times(log, min_context)
+    want = sampling.sample_grid(times, universe, range(30, 34), 9, 3).join(record_end(log), "subject_id")
+    want = set(want.select(*KEYS, "query", "duration_days", "record_end_time").collect())
+    assert want
+    for light_rows in (0, 10, 1000):
+        got = sampling.sample_log(log, codes, range(30, 34), 9, 3, min_context, light_rows)
+        got = got.select(*KEYS, "query", "duration_days", "record_end_time").collect()
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_code_draws(spark):
     codes = spark.createDataFrame([(f"c{i:03d}",) for i in range(50)] + [("X//TIME",), ("lower time",)], "code string")
     assert codesets.exclude_time_codes(codes).count() == 51

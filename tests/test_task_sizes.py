@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
 from askahead.catalog import QUERIES
 from askahead.operators import zones
-from askahead.plans.labels import label_table
+from askahead.plans.labels import label_table, training_table
 
 
 def some_log(events, n=300):
@@ -35,3 +36,14 @@ def plan_of(df):
 
 def test_codes_are_united_from_stored_predictions(spark):
     assert "Join" not in plan_of(QUERIES["union_codes"](spark, "/root/testdata/sf0.001"))
+
+
+def test_a_longer_log_is_drawn_for_by_more_tasks(events, monkeypatch):
+    log = some_log(events)
+    whole = rows_of(training_table(log, None, range(5, 9), 6, 1, 3))
+    monkeypatch.setattr(zones, "CELLS_PER_TASK", 20)
+    cut = training_table(log, None, range(5, 9), 6, 1, 3)
+    assert rows_of(cut) == whole
+    # 300 rows are dealt by subject to that many tasks, and no others are combined or shuffled for the drawing.
+    dealt = re.findall(r"hashpartitioning\(subject_id#\d+L, (\d+)\), REPARTITION_BY_NUM", plan_of(cut))
+    assert dealt and all(int(n) >= 300 / 20 for n in dealt)
