@@ -412,8 +412,7 @@ _GRID_TRAIN = """, nxt AS (SELECT g.*, (SELECT min(e.time) FROM e WHERE e.subjec
 
 @query("sample_grid_at_scale", _floyd(E, MIN_ORDERS, 20, 9) + _GRID_SAMPLE)
 def _sample_grid(spark, sf):
-    log = orders_log(spark, sf)
-    return sampling.sample_grid(context.candidate_times(log, MIN_ORDERS), log.select("code"), range(30, 366), 20, 9)
+    return sampling.sample_log(orders_log(spark, sf), None, range(30, 366), 20, 9, MIN_ORDERS).drop("record_end_time")
 
 
 @query("collate_sampled", _floyd(E, MIN_ORDERS, 20, 1) + _GRID_TRAIN)

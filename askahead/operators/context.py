@@ -92,6 +92,20 @@ def subject_times(events: DataFrame, min_context: int, n_tasks: int) -> DataFram
     return every.select("subject_id", times.alias("times"), from_micros(F.element_at("_every", -1)).alias("record_end_time"))
 
 
+def numbered_times(events: DataFrame, min_context: int, n_tasks: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Candidate times with their place ``_nth`` among all times of the subject, for subjects of any length.
+
+    Rows are dealt by subject and time, so that a task's share does not depend on how well they compress. Only where one
+    time owns more than ``rows_per_task`` rows, they are combined before the shuffle instead.
+    """
+    timed = events.where(F.col("time").isNotNull()).select("subject_id", "time", "code")
+    key = ["subject_id", "time"]
+    dealt = timed.repartition(n_tasks, *key) if heavy_keys(timed, key, rows_per_task) is None else timed
+    measures = [Running("_count", F.col("n_events")), Running("_nth", F.lit(1))]
+    counted = running(visits(dealt), ["subject_id"], "time", measures)
+    return counted.where(F.col("_count") >= min_context).select("subject_id", F.col("time").alias("prediction_time"), "_nth")
+
+
 def candidates_with_record_end(
     events: DataFrame, min_context: int, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from askahead.functions import draw_key, draw_number, from_micros, micros
 from askahead.operators.codesets import CodeSet, code_universe, codes_or_all, codes_table, numbered
-from askahead.operators.context import candidate_times, record_end, row_index, subject_times
+from askahead.operators.context import candidate_times, numbered_times, record_end, row_index, subject_times
 from askahead.operators.skew import large_keys
 from askahead.operators.zones import LIGHT_ROWS, tasks_for
 
@@ -130,22 +130,27 @@ def sample_log(
     """``sample_grid`` over the candidate times of a log, with ``record_end_time``.
 
     Subjects with at most ``light_rows`` rows are each read and drawn for in one task, from one shuffle of the log that is
-    dealt to more tasks the longer the log is. Others go through ``candidate_times``, whatever their number of rows.
+    dealt to more tasks the longer the log is. The rows of others are dealt by their times, whatever their number.
     """
     vocab = _numbered_codes(codes_or_all(codes, events), events.sparkSession)
-
-    def general(rows: DataFrame) -> DataFrame:
-        # A sample has at most k rows per subject, so this join has no large key.
-        return _sample_times(candidate_times(rows, min_context), vocab, durations, k, seed).join(record_end(rows), "subject_id")
-
     if min_context < 1:
-        return general(events)
+        # A sample has at most k rows per subject, so this join has no large key.
+        drawn = _sample_times(candidate_times(events, min_context), vocab, durations, k, seed)
+        return drawn.join(record_end(events), "subject_id")
     timed = events.where(F.col("time").isNotNull() & F.col("subject_id").isNotNull())
     large = large_keys(timed, ["subject_id"], light_rows)
+    n_tasks = tasks_for(timed.sparkSession, timed.count())
     light = timed if large is None else timed.join(large, "subject_id", "left_anti")
-    known = subject_times(light, min_context, tasks_for(timed.sparkSession, timed.count()))
-    cells = _drawn_cells(known.withColumn("_n_times", F.size("times").cast("bigint")), vocab, durations, k, seed)
+    known = subject_times(light, min_context, n_tasks).withColumn("_n_times", F.size("times").cast("bigint"))
     at = from_micros(F.get("times", F.col("row_index").cast("int")))
-    placed = cells.select("subject_id", at.alias("prediction_time"), "_code_no", "duration_days", "record_end_time")
-    drawn = _with_query(placed, vocab).select("subject_id", "prediction_time", "query", "duration_days", "record_end_time")
-    return drawn if large is None else drawn.unionByName(general(timed.join(large, "subject_id", "left_semi")))
+    cells = _drawn_cells(known, vocab, durations, k, seed).withColumn("prediction_time", at).drop("times")
+    columns = ["subject_id", "prediction_time", "query", "duration_days", "record_end_time"]
+    drawn = _with_query(cells, vocab).select(*columns)
+    if large is None:
+        return drawn
+    times = numbered_times(timed.join(large, "subject_id", "left_semi"), min_context, n_tasks)
+    sizes = times.groupBy("subject_id").agg(
+        F.count("*").alias("_n_times"), F.min("_nth").alias("_first"), F.max("prediction_time").alias("record_end_time")
+    )
+    cells = _drawn_cells(sizes, vocab, durations, k, seed).withColumn("_nth", F.col("_first") + F.col("row_index"))
+    return drawn.unionByName(times.join(_with_query(cells, vocab), ["subject_id", "_nth"]).select(*columns))
