@@ -202,9 +202,6 @@ def _predict(spark, sf):
     )
 
 
-BASELINE_ROWS = 20_000
-
-
 @query(
     "baseline_two_head",
     log_sql(
@@ -216,7 +213,7 @@ BASELINE_ROWS = 20_000
 def _baseline(spark, sf):
     """What the oracle can know: every row is scored once, with probabilities, and the censor head has learned."""
     inputs = checkpointed(click_inputs(spark, sf).select(*LEARNED))
-    scored = checkpointed(baseline_two_head(inputs, n_features=256, max_rows=BASELINE_ROWS).transform(inputs))
+    scored = checkpointed(baseline_two_head(inputs, n_features=256).transform(inputs))
     counts = scored.groupBy("code").agg(
         F.count("*").alias("n_scored"),
         F.count_if("boolean_value").alias("n_censored"),

@@ -24,6 +24,10 @@ MODEL_ARRAYS = ["codes", "numeric_values", "time_deltas", "attention_mask"]
 # What the baseline reads of model input.
 LEARNED = ["subject_id", "prediction_time", "query", "query_id", "duration_days", "duration_years", "censor", "occurs", "codes"]
 
+# A fit keeps its rows in blocks, in memory as far as they fit there and else on disk. Blocks of 1 MB, Spark's default, have
+# arrays that take up whole regions of a small heap, more than Spark counts, and the heap runs out.
+BLOCK_MB = 0.25
+
 # Gets one Arrow batch of model input (MODEL_ARRAYS, query_id, duration_years), returns occurs_probs, censor_probs and embedding in row order.
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
@@ -86,28 +90,26 @@ def _with_tokens(inputs: DataFrame) -> DataFrame:
 
 
 def training_sample(inputs: DataFrame, max_rows: int, seed: int = 0) -> DataFrame:
-    """At most ``max_rows`` rows, drawn by a hash of their keys."""
+    """At most ``max_rows`` rows, drawn by a hash of their keys, for trials; the baseline learns from all rows it gets."""
     return at_most(inputs, draw_key(seed, "subject_id", micros("prediction_time"), "query", "duration_days"), max_rows)
 
 
-def baseline_two_head(
-    inputs: DataFrame, n_features: int = 1 << 12, max_iter: int = 20, max_rows: int = 100_000
-) -> TwoHeadModel:
+def baseline_two_head(inputs: DataFrame, n_features: int = 1 << 12, max_iter: int = 20) -> TwoHeadModel:
     """Logistic regressions on hashed history counts, query and duration.
 
-    The censor head learns from all rows, the occurs head from the uncensored ones. At most ``max_rows`` rows
-    are learned from, drawn by a hash of their keys; the model can score any number.
+    The censor head learns from all rows, the occurs head from all uncensored ones. The rows are read once, into a table
+    of their features and labels, and learned from where its partitions lie: a step of a fit brings one gradient to the
+    driver, however many rows there are.
     """
-    inputs = checkpointed(training_sample(inputs.select(*LEARNED), max_rows))
+    inputs = inputs.select(*LEARNED)
     features = Pipeline(
         stages=[
             HashingTF(inputCol="words", outputCol="counts", numFeatures=n_features),
             VectorAssembler(inputCols=["counts", "duration_years"], outputCol="features"),
         ]
     ).fit(_with_tokens(inputs))
-    rows = features.transform(_with_tokens(inputs)).select(
-        "features", F.col("censor").cast("double").alias("censor_y"), F.col("occurs").cast("double").alias("occurs_y")
-    )
+    censor, occurs = F.col("censor").cast("double").alias("censor_y"), F.col("occurs").cast("double").alias("occurs_y")
+    rows = checkpointed(features.transform(_with_tokens(inputs)).select("features", censor, occurs))
 
     def head(name: str, data: DataFrame) -> LogisticRegressionModel:
         return LogisticRegression(
@@ -115,6 +117,7 @@ def baseline_two_head(
             labelCol=f"{name}_y",
             maxIter=max_iter,
             regParam=0.01,
+            maxBlockSizeInMB=BLOCK_MB,
             probabilityCol=f"{name}_probability",
             rawPredictionCol=f"{name}_raw",
             predictionCol=f"{name}_prediction",
